@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bounds of one Arrow batch on its way to Python; one row may be larger.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -46,6 +47,11 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """df's schema with more fields at its end."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
