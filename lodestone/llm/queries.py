@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, url_filter
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, pii, url_filter
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_chat_format": chat_format.op8_chat_format,
+    "op9_pii": pii.op9_pii,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-ORACLES = {**exact_dedup.ORACLE, **url_filter.ORACLE, **decontaminate.ORACLE}
+ORACLES = {**exact_dedup.ORACLE, **url_filter.ORACLE, **chat_format.ORACLE, **decontaminate.ORACLE}
