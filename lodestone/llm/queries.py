@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, pii, quality, token_files, url_filter
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, lm_score, pii, quality, token_files, url_filter
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op2_quality": quality.op2_quality,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_lm_score": lm_score.op4_lm_score,
     "op5_token_files": token_files.op5_token_files,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_chat_format": chat_format.op8_chat_format,
