@@ -22,8 +22,9 @@ from .common import WordHashes, bound_batches, joined_hashes, texts, with_fields
 WINDOW, SHINGLE = 10, 5
 #: What is a word, in UTF-8: ASCII digits and letters and everything beyond ASCII.
 WORDS = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-#: Up to so many windows go to every task (some 250 bytes each, so 250 MB at most); more are taken in rounds of this many.
-WINDOWS_AT_ONCE = 1_000_000
+#: So many windows go to every task at once (some 500 bytes each, so 100 MB); a larger benchmark is taken in rounds, each with
+#: a pass over the documents. An item is not split.
+WINDOWS_AT_ONCE = 200_000
 
 _HASHES = WordHashes()
 
@@ -111,24 +112,47 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     A null text has no words. Items with one text, and repeated rows of one item, count once; an item without words, and
     an empty benchmark, hit nothing. Columns of docs that have one of the new names are replaced.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(docs.sparkSession)
     new = [prefix + x for x in ("words", "n", "items", "spans")]
-    docs = docs.drop(*new)
-    schema = with_fields(docs, f"{new[0]} long, {new[1]} long, {new[2]} array<string>, {new[3]} array<struct<start:int,end:int>>")
-    items = [(None if r[0] is None else str(r[0]), r[1]) for r in benchmark.select(item_col, item_text_col).toLocalIterator()]
-    windows = Windows(items)
-    prefixes = windows.prefixes(corpus_counts(docs, windows, text_col))
-    shared = spark.sparkContext.broadcast((windows.words, windows.items, prefixes))
+    found = docs = docs.drop(*new)
+    for windows in _rounds(benchmark.select(item_col, item_text_col)):
+        found = _find(found, windows, windows.prefixes(corpus_counts(docs, windows, text_col)), text_col, new)
+    return found
+
+
+def _rounds(items: DataFrame) -> Iterator[Windows]:
+    """The benchmark's windows, some WINDOWS_AT_ONCE at a time; one round at least."""
+    lot, size, begun = [], 0, False
+    for item, text in items.toLocalIterator():
+        lot.append((None if item is None else str(item), text))
+        size += (text or "").count(" ") + 1
+        if size >= WINDOWS_AT_ONCE:
+            yield Windows(lot)
+            lot, size, begun = [], 0, True
+    if lot or not begun:
+        yield Windows(lot)
+
+
+def _find(docs: DataFrame, windows: Windows, prefixes: dict, text_col: str, new: list[str]) -> DataFrame:
+    """One round: what docs has from earlier rounds in the columns new is added to."""
+    shared = docs.sparkSession.sparkContext.broadcast((windows.words, windows.items, prefixes))
+    earlier = new[0] in docs.columns
+    kept = [c for c in docs.columns if c not in new]
+    schema = with_fields(docs.select(*kept), f"{new[0]} long, {new[1]} long, {new[2]} array<string>, {new[3]} array<struct<start:int,end:int>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_words, all_items, by_size = shared.value
         for b in batches:
             rows = []
+            before = zip(b.column(new[2]).to_pylist(), b.column(new[3]).to_pylist(), strict=True) if earlier else None
             for t in texts(b.column(text_col)):
                 words = words_of(t)
                 h = _HASHES.of(words)
-                cover, got = None, set()
+                items, spans = next(before) if before else ([], [])
+                cover, got = np.zeros(len(words) + 1, np.int32) if spans else None, set(items)
+                for span in spans:
+                    cover[span["start"]] += 1
+                    cover[span["end"]] -= 1
                 for n, (keys, places) in by_size.items():
                     for at, key in zip(*_found(joined_hashes(h, n), keys), strict=True):
                         for k, offset in places[key]:
@@ -148,7 +172,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 rows.append((len(words), int(inside.sum()), sorted(x for x in got if x is not None), spans))
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*b.schema.names, *new])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*kept, *new])
 
     return docs.mapInArrow(run, schema)
 
