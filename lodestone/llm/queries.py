@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, lm_score, pii, quality, token_files, url_filter
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, lm_score, pii, quality, token_files, url_filter
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -10,10 +10,11 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_lm_score": lm_score.op4_lm_score,
     "op5_token_files": token_files.op5_token_files,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_pii": pii.op9_pii,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-ORACLES = {**exact_dedup.ORACLE, **url_filter.ORACLE, **chat_format.ORACLE, **decontaminate.ORACLE}
+ORACLES = {**exact_dedup.ORACLE, **jaccard_join.ORACLE, **url_filter.ORACLE, **chat_format.ORACLE, **decontaminate.ORACLE}
