@@ -13,7 +13,10 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +25,8 @@ from .common import CACHE_WORDS, bound_batches, text_or_empty, with_fields
 
 #: Pieces longer than this are encoded without being kept.
 CACHE_PIECE_BYTES = 64
-#: Compatible pairs that are kept.
-CACHE_PAIRS = 2_000_000
+#: Pairs of tokens whose compatibility is kept.
+CACHE_PAIRS = 300_000
 #: Python's \s takes four control characters more than Unicode's White_Space, which the pattern means.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -34,45 +37,72 @@ class PrefixBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
+        # finds all tokens that end at a byte, the longest first; it reads bytes as the characters of Latin-1
+        self.tokens = ahocorasick.Automaton()
+        for t, i in ranks.items():
+            self.tokens.add_word(t.decode("latin-1"), (i, len(t)))
+        self.tokens.make_automaton()
         pattern = pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\s", f"[{WHITE_SPACE}]").replace(r"\S", f"[^{WHITE_SPACE}]")
         self.pieces = regex.compile(pattern).findall
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
+        self._pairs: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
         self._kept: dict[str, tuple[int, ...]] = {}
 
-    def merged(self, piece: bytes) -> list[int]:
-        """By definition: the adjacent pair of lowest rank merges, the first of equals, until none can. Quadratic; only
-        for pieces of at most two tokens' bytes."""
+    def merged(self, piece: bytes, but: int = -1) -> list[int]:
+        """By definition: the adjacent pair of lowest rank merges, the first of equals, until none can; the token `but` is not
+        made. Quadratic; only for pieces of a token's bytes."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, 1 << 62), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            rank, at = min((1 << 62 if (r := self.ranks.get(a + b, 1 << 62)) == but else r, i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
             if rank == 1 << 62:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def _reachable(self, token: int) -> bool:
-        """Whether merging the token's own bytes gives the token."""
-        if (ok := self._whole.get(token)) is None:
-            ok = self._whole[token] = self.merged(self.bytes_of[token]) == [token]
-        return ok
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one, (token, token) for a single byte; None if merges don't make it."""
+        if token not in self._halves:
+            raw = self.bytes_of[token]
+            parts = self.merged(raw, token)
+            self._halves[token] = (token, token) if len(raw) == 1 else tuple(parts) if len(parts) == 2 else None
+        return self._halves[token]
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether merging the joined bytes of a and b gives just these two. Undoes merges next to the border, the last made
+        first: none of the pairs that met there may have had a merge that would have come before the next merge of one
+        of its sides."""
+        bound = 1 << 62
+        while True:
+            across = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+            if across is not None and across < bound:
+                return False
+            (_, inner_a), (inner_b, _) = self.halves(a), self.halves(b)
+            if inner_a == a and inner_b == b:
+                return True
+            # of equal ranks the left merge came first, so the right one is undone first
+            if inner_b == b or (inner_a != a and a > b):
+                a, bound = inner_a, a
+            else:
+                b, bound = inner_b, b + 1
 
     def _compatible(self, a: int, b: int) -> bool:
-        if (ok := self._pairs.get((a, b))) is None:
+        ok = self._pairs.get(key := a << 32 | b)
+        if ok is None:
             if len(self._pairs) >= CACHE_PAIRS:
                 self._pairs.clear()
-            ok = self._pairs[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            ok = self._pairs[key] = self.halves(b) is not None and self._apart(a, b)
         return ok
 
     def extend(self, piece: bytes, last: list[int], stop: int | None = None) -> list[int]:
         """Extends last, where last[i] is the last token of piece[:i + 1], to stop bytes (all by default)."""
-        get, longest = self.ranks.get, self.longest
-        for end in range(len(last) + 1, (len(piece) if stop is None else stop) + 1):
-            for start in range(max(0, end - longest), end):
-                token = get(piece[start:end])
-                if token is not None and (self._compatible(last[start - 1], token) if start else self._reachable(token)):
+        compatible, halves, found = self._compatible, self.halves, len(last)
+        begin = max(0, found - self.longest)
+        for at, (token, size) in self.tokens.iter(piece[begin:stop].decode("latin-1")):
+            if at + begin == found:
+                start = found + 1 - size
+                if compatible(last[start - 1], token) if start > 0 else start == 0 and halves(token):
                     last.append(token)
-                    break
+                    found += 1
         return last
 
     def read_off(self, last: list[int]) -> list[int]:
@@ -158,7 +188,9 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, ids_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         for b in batches:
-            got = pa.array([bpe.decode(x or []) for x in b.column(ids_col).to_pylist()], pa.binary())
+            ids = b.column(ids_col)
+            flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum([n or 0 for n in pc.list_value_length(ids).to_pylist()], dtype=np.int64).tolist()
+            got = pa.array([bpe.decode(flat[a:z].tolist()) for a, z in zip([0, *ends], ends, strict=False)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, bytes_col])
 
     return encoded.mapInArrow(run, schema)
