@@ -9,6 +9,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that documents drop and queries keep.
 STOP_WORDS = (
@@ -58,7 +59,7 @@ def fold(c: Column) -> Column:
     return F.translate(F.when(c.rlike(f"[{''.join(several)}]"), special).otherwise(c), before, after)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_exact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """fold_text for any text, in Arrow batches."""
     for s in batches:

@@ -15,6 +15,7 @@ from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 #: Query parameters that canonical URLs drop.
 TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content gclid fbclid mc_cid mc_eid ref ref_src spm".split()
@@ -66,7 +67,7 @@ def _global(name: str) -> bool:
         return True
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_global(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda x: _global(x or ""))
@@ -120,7 +121,7 @@ def normalize_text(url: str, drop_tracking: bool = True) -> str:
     return urlunsplit((u.scheme, name, path, query, ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda u: normalize_text(u or ""))
@@ -133,7 +134,7 @@ def resolve_text(base: str, link: str) -> str:
         return normalize_text(link or "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """A link against its base, in canonical form."""
     for bases, links in batches:
@@ -167,6 +168,6 @@ def robots_allows(body: str, agent: str, url: str) -> tuple[bool, float]:
     return rules.can_fetch(agent, url), max(0.0, float(delay or 0))
 
 
-@F.pandas_udf("allowed boolean, delay double")
+@F.pandas_udf(StructType([StructField("allowed", BooleanType()), StructField("delay", DoubleType())]))
 def robots(bodies: pd.Series, agents: pd.Series, urls: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([robots_allows(*x) for x in zip(bodies, agents, urls, strict=True)], columns=["allowed", "delay"])

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import text as T
@@ -79,7 +80,7 @@ def clean_source(text: Column) -> Column:
     return T.collapsed(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unescape(t or ""))
 

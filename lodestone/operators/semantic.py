@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import text as T
@@ -32,7 +33,7 @@ def encode(rows: DataFrame, text_col: str, out_col: str = "embedding", dim: int
     """rows with out_col: the encoder's vectors of length one. encoder(text, dim) is called in batches on the executors; any model that
     pickles can stand there."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(ArrayType(FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(lambda t: encoder(t or "", dim).tolist())

@@ -131,7 +131,7 @@ def _merged(wb: float, ws: float, wide: int, near: int, k: int) -> str:
 both_ AS (SELECT query_id, document_id, coalesce(bt.score, 0) AS bm25, coalesce(nt.score, 0) AS semantic FROM bt FULL JOIN nt USING (query_id, document_id)),
 lim AS (SELECT *, min(bm25) OVER w AS lo1, max(bm25) OVER w AS hi1, min(semantic) OVER w AS lo2, max(semantic) OVER w AS hi2 FROM both_ WINDOW w AS (PARTITION BY query_id)),
 hyb AS (SELECT query_id, document_id, bm25, semantic, round({wb} * ({scaled("bm25", 1)}) + {ws} * ({scaled("semantic", 2)}), 9) AS h FROM lim),
-merged AS (SELECT query_id, document_id, bm25, semantic, round(h, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, document_id) AS rank FROM hyb) WHERE rank <= {k})"""
+merged AS (SELECT query_id, document_id, bm25, semantic, round(h::DECIMAL(18, 9), 4)::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, document_id) AS rank FROM hyb) WHERE rank <= {k})"""
 
 
 _HYBRID = f"{_DOCS}, {_LIKE}, {_INDEX}, {_SCORES}, {_PADDED}, {_NEAR}"
@@ -232,7 +232,7 @@ def bm25_padded(spark, sf):
     return lexical.ranked(asked(spark, sf), lexical.build_index(docs_of(spark, sf)), 50, pad=True).select("query_id", "document_id", "score", "rank")
 
 
-@query(f"WITH {_DOCS}, {_INDEX}, {_ASKED}, {_SCORES}, {_PADDED}, {_top('pad', 10)} SELECT query_id, rank, document_id, title, source, {_snippet('content', _words('query'), 26)} AS snippet, round(score, 4) AS score, {_MATCHED} AS matched_terms FROM top JOIN q USING (query_id) JOIN docs USING (document_id)")
+@query(f"WITH {_DOCS}, {_INDEX}, {_ASKED}, {_SCORES}, {_PADDED}, {_top('pad', 10)} SELECT query_id, rank, document_id, title, source, {_snippet('content', _words('query'), 26)} AS snippet, round(score::DECIMAL(18, 6), 4)::DOUBLE AS score, {_MATCHED} AS matched_terms FROM top JOIN q USING (query_id) JOIN docs USING (document_id)")
 def lexical_search(spark, sf):
     """Full hits with snippets (W9) and matched terms."""
     d = docs_of(spark, sf)
@@ -271,7 +271,7 @@ def vector_topk(spark, sf):
     """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM documents),
 h AS (SELECT doc_id, sha256(w) AS h FROM w),
 b AS (SELECT doc_id, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT % 64 AS bucket, count(*) AS c FROM h GROUP BY ALL)
-SELECT doc_id, count(*) AS buckets, round(sum(c * bucket) / sqrt(sum(c * c)), 3) AS weighted FROM b GROUP BY doc_id"""
+SELECT doc_id, count(*) AS buckets, round(sum((c::FLOAT / sqrt(ss)::FLOAT)::DOUBLE * bucket), 3) AS weighted FROM (SELECT *, sum(c * c) OVER (PARTITION BY doc_id) AS ss FROM b) GROUP BY doc_id"""
 )
 def embedding_hash_encode(spark, sf):
     """Documents encoded by the hashing encoder, as two numbers of each vector."""
@@ -363,33 +363,34 @@ def mode_stats(spark, sf):
     return modes.mode_stats(hits, modes.diversify(modes.drop_unmatched(hits), 3))
 
 
-@query(f"WITH {_PAGE_HITS} SELECT query_id, document_id, title, source, {_HOST} AS domain, rank, round(score, 4) AS score FROM hits WHERE rank <= 5")
+@query(f"WITH {_PAGE_HITS} SELECT query_id, document_id, title, source, {_HOST} AS domain, rank, round(score::DECIMAL(18, 6), 4)::DOUBLE AS score FROM hits WHERE rank <= 5")
 def source_entries(spark, sf):
     """The sources of the five first hits."""
     return modes.source_entries(_page_hits(spark, sf).filter("rank <= 5"))
 
 
-@query(f"WITH {_PAGE_HITS} SELECT query_id, rank, document_id, title, source, round(score, 4) AS score FROM hits WHERE score > 0 AND rank <= 10")
+@query(f"WITH {_PAGE_HITS} SELECT query_id, rank, document_id, title, source, round(score::DECIMAL(18, 6), 4)::DOUBLE AS score FROM hits WHERE score > 0 AND rank <= 10")
 def mode_web(spark, sf):
     """R12 web, R13: without vectors the mode falls back to lexical hits."""
     found = plans.search(asked(spark, sf), plans.make_corpus(page_docs(spark, sf)), "web")
     return found.hits.select("query_id", "rank", "document_id", "title", "source", "score")
 
 
-@query(f"WITH {_PAGE_HITS}, {_DIVERSE} SELECT query_id, rank, document_id, page.source, round(score, 4) AS score, {_snippet('content', _words('query'), 56)} AS snippet FROM page JOIN docs USING (document_id) JOIN q USING (query_id) WHERE rank <= 15")
+@query(f"WITH {_PAGE_HITS}, {_DIVERSE} SELECT query_id, rank, document_id, page.source, round(score::DECIMAL(18, 6), 4)::DOUBLE AS score, {_snippet('content', _words('query'), 56)} AS snippet FROM page JOIN docs USING (document_id) JOIN q USING (query_id) WHERE rank <= 15")
 def mode_research(spark, sf):
     """R12 research, R16: wider retrieval and snippets, three hits a host."""
     found = plans.search(asked(spark, sf), plans.make_corpus(page_docs(spark, sf)), "research")
     return found.hits.select("query_id", "rank", "document_id", "source", "score", "snippet")
 
 
-_CODE = f"{_HYBRID}, {_merged(0.7, 0.3, 50, 50, 30)}, m AS (SELECT merged.*, title, docs.source FROM merged JOIN docs USING (document_id) WHERE score > 0)"
+_CODE = f"{_HYBRID.replace('title AS query', f"array_to_string({_words('title')}, ' ') AS query")}, {_merged(0.7, 0.3, 50, 50, 30)}, m AS (SELECT merged.*, title, docs.source FROM merged JOIN docs USING (document_id) WHERE score > 0)"
 
 
 @query(f"WITH {_CODE} SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY NOT {_doc_like('source', 'title')}, rank) AS rank, document_id, title, source, score FROM m) WHERE rank <= 10")
 def mode_code(spark, sf):
-    """R12 code: 0.7 lexical, thirty candidates, documentation first."""
-    found = plans.search(like_documents(spark, sf), hybrid_corpus(spark, sf), "code")
+    """R12 code: 0.7 lexical, thirty candidates, documentation first. The queries are plain words, so none is expanded."""
+    q = like_documents(spark, sf).withColumn("query", F.array_join(T.words(F.col("query")), " "))
+    found = plans.search(q, hybrid_corpus(spark, sf), "code")
     return found.hits.select("query_id", "rank", "document_id", "title", "source", "score")
 
 
@@ -670,7 +671,7 @@ def history_clear(spark, sf):
     return history.without(h, h.agg(F.min("owner")).first()[0]).groupBy("owner").agg(F.count("*").alias("left_"))
 
 
-_LEDGER = "l AS (SELECT ts AS at, 1 + event_id % 2 AS credits, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'reserved' ELSE 'success' END AS state FROM events)"
+_LEDGER = "l AS (SELECT ts AS t, 1 + event_id % 2 AS credits, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'reserved' ELSE 'success' END AS state FROM events)"
 
 
 def _ledger(spark, sf):
@@ -680,7 +681,7 @@ def _ledger(spark, sf):
 
 def _usage_sql(pattern: str, allowance: int) -> str:
     spent = "coalesce(sum(credits) FILTER (state IN ('reserved', 'success')), 0)::BIGINT"
-    return f"WITH {_LEDGER} SELECT strftime(at, '{pattern}') AS period, {spent} AS consumed, greatest(0, {allowance} - {spent}) AS remaining, count(*) FILTER (state = 'success') AS successes, count(*) FILTER (state = 'failed') AS failures, max(at) FILTER (state = 'success') AS last_success FROM l GROUP BY 1"
+    return f"WITH {_LEDGER} SELECT strftime(t, '{pattern}') AS period, {spent} AS consumed, greatest(0, {allowance} - {spent}) AS remaining, count(*) FILTER (state = 'success') AS successes, count(*) FILTER (state = 'failed') AS failures, max(t) FILTER (state = 'success') AS last_success FROM l GROUP BY 1"
 
 
 @query(_usage_sql("%Y-%m", 1_000_000))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig, clamp_limit
 from ..operators import hybrid, lexical, modes, rag, semantic
+from ..sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,7 @@ def hybrid_hits(queries: DataFrame, corpus: Corpus, limit: int, weights: tuple[f
     weights = weights or (corpus.config.bm25_weight, corpus.config.semantic_weight)
     left = lexical.search(queries, corpus.docs, corpus.index, wide, pad=True, places=6)
     right = semantic.search(queries, corpus.vectors, corpus.docs, near, places=6)
-    return hybrid.merge_hits(left, right, queries, limit, *weights)
+    return stored(hybrid.merge_hits(stored(left, "lexical-hits"), stored(right, "semantic-hits"), queries, limit, *weights), "hybrid-hits")
 
 
 @dataclass(frozen=True)
@@ -70,7 +71,7 @@ def search(queries: DataFrame, corpus: Corpus, mode: str = "lexical", limit: int
     if semantic_ready:
         found = hybrid_hits(asked, corpus, wide, weights or spec.weights)
     else:
-        found = lexical.search(asked, corpus.docs, corpus.index, min(wide, config.max_limit))
+        found = stored(lexical.search(asked, corpus.docs, corpus.index, min(wide, config.max_limit)), "hits")
     matched = modes.drop_unmatched(found, config.match_floor)
     hits = matched
     if spec.snippet_words:
