@@ -13,6 +13,7 @@ then 2 * n_rules symbols (the rules), n_rules uint32 (expansion lengths) and n_s
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,10 @@ MAGIC = b"LRP1"
 SHARD_IDS = 1 << 20
 #: Rounds of replacement, and the least count of a pair that gets a rule (two symbols and a length must pay off).
 ROUNDS, LEAST_COUNT = 4, 6
+#: Parts of stretches whose ids a worker keeps, some 150 bytes each.
+CACHE_PARTS = 1_000_000
+#: Plain letters between plain signs: neither composes or changes with its neighbours, and no sign begins a special token.
+PLAIN = re.compile(rb"([\"(\[*#%$&!]*)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:%*#$&)\]\"|]*)")
 #: Pairs of one round are counted by this many bits of their hash at first; those of one bucket are then told apart.
 SLOT_BITS = 20
 
@@ -134,11 +139,11 @@ class Shard:
 
 
 class WordIds:
-    """The ids of texts by the tokenizers library, kept by stretches between ASCII white space.
+    """The ids of texts by the tokenizers library, kept by stretches between ASCII white space, and by the parts of a stretch.
 
-    This gives what encoding the whole text gives if the tokenizer treats white space as a border that it drops, as the
-    tests hold for the files in use. New stretches are encoded together, set apart by a special token, or one by one
-    where a stretch holds such a token itself.
+    This gives what encoding the whole text gives if the tokenizer drops white space, folds case and takes runs of letters apart from
+    runs of signs, as the tests hold for the files in use. A stretch of plain letters (ASCII and Latin-1) between plain signs is
+    made of its parts, the letters in lower case; any other stretch goes to the library as it is.
     """
 
     def __init__(self, path: str) -> None:
@@ -146,39 +151,38 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
-        self.border = special[-1] if special else None
-        self.marks = [s for _, s in special]
+        self.parts: dict[bytes, bytes] = {}
         self.reset()
 
     def reset(self) -> None:
         self.at: dict[bytes, int] = {}
         self.flat, self.starts, self.lengths, self.used = np.empty(1 << 16, np.uint32), np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), 0
 
-    def _add(self, words: list[bytes], ids: list[np.ndarray]) -> None:
-        n, size = len(self.at), sum(map(len, ids))
+    def _add(self, words: list[bytes], ids: list[bytes]) -> None:
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        n, lengths = len(self.at), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         while n + len(words) > len(self.starts):
             self.starts, self.lengths = np.concatenate([self.starts, self.starts]), np.concatenate([self.lengths, self.lengths])
-        while self.used + size > len(self.flat):
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat])
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.lengths[n : n + len(ids)], self.starts[n : n + len(ids)] = lengths, self.used + np.cumsum(lengths) - lengths
-        if size:
-            self.flat[self.used : self.used + size] = np.concatenate(ids)
-        self.used += size
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
         self.at.update(zip(words, range(n, n + len(words)), strict=True))
 
     def _learn(self, words: list[bytes]) -> None:
-        strings = [w.decode("utf-8", "replace") for w in words]
-        plain = [not any(m in s for m in self.marks) for s in strings] if self.border else [False] * len(words)
-        apart = [i for i, ok in enumerate(plain) if not ok]
-        for i in apart:
-            self._add([words[i]], [np.array(self.tokenizer.encode(strings[i], add_special_tokens=False).ids, np.uint32)])
-        rest = [i for i, ok in enumerate(plain) if ok]
-        for lot in (rest[i : i + 20_000] for i in range(0, len(rest), 20_000)):
-            ids = np.array(self.tokenizer.encode(self.border[1].join(strings[i] for i in lot), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(ids == self.border[0])
-            self._add([words[i] for i in lot], [np.delete(x, 0) if k else x for k, x in enumerate(np.split(ids, cut))])
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+        split = []
+        for w in words:
+            m = PLAIN.fullmatch(w)
+            split.append((w,) if m is None else (m[1], m[2].decode().lower().encode(), m[3]))
+        parts = self.parts
+        parts[b""] = b""
+        new = [p for p in dict.fromkeys(p for ps in split for p in ps) if p not in parts]
+        for p, e in zip(new, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False), strict=True):
+            parts[p] = np.array(e.ids, np.uint32).tobytes()
+        self._add(words, [parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]] + parts[ps[2]] for ps in split])
 
     def encode(self, raw: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by end, and how many each has."""
