@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ PERCENT = 80
 #: are verified by.
 RARITY_BITS, SET_BITS = 40, 48
 #: Stars at most before the remaining pairs are all verified, and how many pairs a set that pays another star.
-STARS, PAYS = 4, 4
+STARS, PAYS = 2, 4
 
 _HASHES = WordHashes()
 
@@ -68,8 +68,9 @@ def _levels(keys: np.ndarray, sums: list[np.ndarray]) -> list[np.ndarray]:
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Stored, one row per input row: row (a unique number), id, n, and for rows that may link to others set_key (equal for
-    equal sets); of each block's first row with a set also shingles (packed), of its first with a prefix and size group
-    (a hash of both) and prefix (packed: places and hashes of the prefix's shingles that others have too)."""
+    equal sets); of each block's first row with a set also shingles (packed) and mid (how common its shingles are on average: in
+    a family of copies the original's are the most), of its first with a prefix and size group (a hash of both) and prefix (of
+    the prefix's shingles that others have too: hash and place)."""
     bound_batches(docs.sparkSession)
     rows = with_blocks(docs, text_col).select("block", F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     counts = answer(send_keys(rows, [], "t", _block_shingles), _levels, lambda keys, sums: [], "shingle-counts").filter("block IS NOT NULL").select("block", "part", "counts")
@@ -85,11 +86,11 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             n = len(h)
             rarity = level[np.searchsorted(keys, _top(h, RARITY_BITS))]
             if not n or np.count_nonzero(rarity > 1) < least_overlap(n):
-                out.append((n, None, None, None, None))
+                out.append((n, None, None, None, None, None))
                 continue
             set_key = xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
             if set_key in seen_sets:
-                out.append((n, set_key, None, None, None))
+                out.append((n, set_key, None, None, None, None))
                 continue
             seen_sets.add(set_key)
             order = np.lexsort((h, rarity))[: n - least_overlap(n) + 1]
@@ -99,12 +100,12 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 seen_groups.add(group)
                 at = np.flatnonzero(rarity[order] > 1)
                 prefix = [{"token": int(x), "pos": int(p)} for x, p in zip(h[order][at].view(np.int64), at, strict=True)]
-            out.append((n, set_key, group, prefix, pack_keys(np.unique(_top(h, SET_BITS) >> np.uint64(64 - SET_BITS)))))
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())])), pa.binary())
-        return pa.Table.from_arrays([texts_of.column("id").combine_chunks(), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "n", "set_key", "group", "prefix", "shingles"])
+            out.append((n, set_key, group, prefix, int(1000 * rarity.mean()), pack_keys(np.unique(_top(h, SET_BITS) >> np.uint64(64 - SET_BITS)))))
+        cols = list(zip(*out, strict=True)) or [()] * 6
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())])), pa.int32(), pa.binary())
+        return pa.Table.from_arrays([texts_of.column("id").combine_chunks(), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "n", "set_key", "group", "prefix", "mid", "shingles"])
 
-    schema = f"id {id_type}, n int, set_key long, group long, prefix array<struct<token:long,pos:int>>, shingles binary"
+    schema = f"id {id_type}, n int, set_key long, group long, prefix array<struct<token:long,pos:int>>, mid int, shingles binary"
     found = rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(sets, schema)
     return stored(found.select(F.monotonically_increasing_id().alias("row"), "*"), "sets")
 
@@ -126,12 +127,16 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
-def _fits(n1: str, p1: str, n2: str, p2: str):
-    """Size and positional filter of two prefixes that share a token at places p1 and p2: what comes before, the token, and
-    what comes after can't give more than this overlap."""
-    most = F.least(F.col(p1), F.col(p2)) + 1 + F.least(F.col(n1) - F.col(p1) - 1, F.col(n2) - F.col(p2) - 1)
-    least = F.ceil(F.lit(PERCENT) * (F.col(n1) + F.col(n2)) / (100 + PERCENT))
-    return (100 * F.least(n1, n2) >= PERCENT * F.greatest(n1, n2)) & (most >= least)
+def _fits(a: str, b: str) -> Column:
+    """Size and positional filter of two entries that share a token (n and pos are columns with the suffixes a and b): if it is the first
+    that they share, no more than what is left of either set can follow. Sets that link always pass at their first shared token."""
+    n1, p1, n2, p2 = (F.col(x + y) for y in (a, b) for x in ("n", "pos"))
+    return _enough(F.least(n1 - p1, n2 - p2), n1, n2)
+
+
+def _enough(most: Column, n1: Column, n2: Column) -> Column:
+    """Whether sets of these sizes that share at most so many can link."""
+    return (100 * F.least(n1, n2) >= PERCENT * F.greatest(n1, n2)) & ((100 + PERCENT) * most >= PERCENT * (n1 + n2))
 
 
 def linked_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -139,9 +144,10 @@ def linked_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     a row of sets); components has v (a set's number) and c (its component's) for sets that link to another."""
     some = sets.filter("shingles IS NOT NULL")
     members = stored(some.groupBy("set_key", "group", "n").agg(F.min("row").alias("s")), "members")
-    entries = some.filter("prefix IS NOT NULL").select("group", "n", F.inline("prefix"))
-    lists = entries.repartition("token").groupBy("token", "group").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    entries = some.filter("prefix IS NOT NULL").select("group", "n", "mid", F.inline("prefix"))
+    lists = entries.repartition("token").groupBy("token", "group").agg(*[F.min(x).alias(x) for x in ("n", "pos")], F.max("mid").alias("mid"))
     lists = lists.withColumn("m", F.count("*").over(W.partitionBy("token"))).filter("m > 1").drop("m")
+    lists = lists.withColumns({"c": F.lit(None).cast("long"), "rest": F.lit(False)})
     leader = members.groupBy("group").agg(F.min("s").alias("leader"), F.count("*").alias("sets"))
     lists = stored(lists, "prefix-lists")
     leader = stored(leader, "leaders")
@@ -150,18 +156,20 @@ def linked_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     inner = members.join(leader.filter("sets > 1"), "group").filter("s <> leader").select(F.col("leader").alias("a"), F.col("s").alias("b"))
     links, components, remaining = none, None, lists
     for star in range(STARS):
-        pivot = W.partitionBy("token")
-        order = F.struct(F.xxhash64("group", F.lit(star)).alias("h"), "group", "n", "pos")
-        held = remaining.withColumn("p", F.min(order).over(pivot)).filter("group <> p.group").select("group", "n", "pos", F.col("p.group").alias("pg"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp"))
-        best = held.filter(_fits("n", "pos", "pn", "pp")).groupBy("group", "pg").agg(F.count("*").alias("k")).groupBy("group").agg(F.max_by("pg", F.struct("k", "pg")).alias("pg"))
-        pairs = best.join(leader.select("group", F.col("leader").alias("b")), "group").join(leader.select(F.col("group").alias("pg"), F.col("leader").alias("a")), "pg").select("a", "b")
+        # at first the most central entry is a list's pivot; then any of its main component, and any outside it, in turn
+        order = [F.col("mid")] if star == 0 else [(F.col("rest") == F.lit(star % 2 == 0)).cast("int")]
+        pivot = F.max(F.struct(*[x.alias(f"o{i}") for i, x in enumerate([*order, F.xxhash64("group", F.lit(star))])], "group", "n", "pos", "c")).over(W.partitionBy("token"))
+        held = remaining.withColumn("p", pivot).select("token", "group", "n", "pos", "c", *[F.col(f"p.{x}").alias(f"{x}2") for x in ("group", "n", "pos", "c")])
+        held = held.filter("group <> group2 AND (c IS NULL OR c2 IS NULL OR c <> c2)").filter(_fits("", "2"))
+        best = held.groupBy("group", "group2").agg(F.count("*").alias("k")).groupBy("group").agg(F.max_by("group2", F.struct("k", "group2")).alias("group2"))
+        pairs = best.join(leader.select("group", F.col("leader").alias("b")), "group").join(leader.select(F.col("group").alias("group2"), F.col("leader").alias("a")), "group2").select("a", "b")
         links = links.union(verified(pairs.union(inner) if star == 0 else pairs, sets))
         components = connected_components(links)
-        remaining, small, pairs_left = _remaining(lists, members, components)
-        if pairs_left <= PAYS * max(1, leader.count()):
+        remaining, work = _remaining(lists.drop("c", "rest"), members, components)
+        if work <= PAYS * max(1, leader.count()):
             break
-    if pairs_left:
-        links = links.union(verified(_all_pairs(remaining, small, members, components), sets))
+    if work:
+        links = links.union(verified(_all_pairs(remaining, members, components), sets))
         components = connected_components(links)
     return members, components
 
@@ -170,28 +178,38 @@ def _of_component(members: DataFrame, components: DataFrame) -> DataFrame:
     return members.join(components.select(F.col("v").alias("s"), "c"), "s", "left").select("s", "group", F.coalesce("c", "s").alias("c"))
 
 
-def _remaining(lists: DataFrame, members: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """The lists whose groups aren't all of one component, with each group's component (null: several) and whether it is the
-    list's main one; of them those entries that must be held against the whole list; and how many pairs that makes."""
-    by = _of_component(members, components).groupBy("group").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("k"))
-    own = lists.join(by.select("group", F.when(F.col("c1") == F.col("c2"), F.col("c1")).alias("c"), "k"), "group")
+def _remaining(lists: DataFrame, members: DataFrame, components: DataFrame) -> tuple[DataFrame, int]:
+    """The lists whose groups aren't all of one component, with c, each group's component (null: several), and rest, whether the group
+    is outside its list's main component; and how many pairs it takes to hold each such entry against its whole list."""
+    by = _of_component(members, components).groupBy("group").agg(F.min("c").alias("c1"), F.max("c").alias("c2"))
+    own = lists.join(by.select("group", F.when(F.col("c1") == F.col("c2"), F.col("c1")).alias("c")), "group")
     token = W.partitionBy("token")
-    # a list that is all of one component is done; a group of several sets has pairs of its own
-    mixed = own.withColumns({"lo": F.min(F.coalesce("c", F.lit(-1))).over(token), "hi": F.max(F.coalesce("c", F.lit(-1))).over(token)}).filter("lo <> hi OR lo = -1").drop("lo", "hi")
-    size = mixed.groupBy("token", "c").agg(F.count("*").alias("in_c"))
-    main = size.filter("c IS NOT NULL").groupBy("token").agg(F.max_by("c", F.struct("in_c", "c")).alias("main"))
-    mixed = stored(mixed.join(main, "token", "left").withColumn("rest", F.col("c").isNull() | (F.col("c") != F.col("main"))), "mixed-lists")
-    rest = mixed.filter("rest")
+    # a list that is all of one component is done; a group of several components has pairs of its own
+    some = F.coalesce("c", F.lit(-1))
+    mixed = own.withColumns({"lo": F.min(some).over(token), "hi": F.max(some).over(token)}).filter("lo <> hi OR lo = -1").drop("lo", "hi")
+    size = mixed.filter("c IS NOT NULL").groupBy("token", "c").agg(F.count("*").alias("in_c"))
+    main = size.groupBy("token").agg(F.max_by("c", F.struct("in_c", "c")).alias("main"))
+    mixed = stored(mixed.join(main, "token", "left").withColumn("rest", F.col("c").isNull() | (F.col("c") != F.col("main"))).drop("main"), "mixed-lists")
     work = mixed.groupBy("token").agg((F.count("*") * F.count_if("rest")).alias("w")).agg(F.sum("w")).first()[0]
-    return mixed.select("token", "group", "n", "pos", "c"), rest.select("token", "group", "n", "pos", "c"), int(work or 0)
+    return mixed, int(work or 0)
 
 
-def _all_pairs(mixed: DataFrame, rest: DataFrame, members: DataFrame, components: DataFrame) -> DataFrame:
+def _all_pairs(mixed: DataFrame, members: DataFrame, components: DataFrame) -> DataFrame:
     """All pairs of sets from different components that pass the filters: every entry outside its list's main component against
-    the whole list. Two entries of the main component need no look."""
-    other = mixed.select("token", *[F.col(x).alias(f"{x}2") for x in ("group", "n", "pos", "c")])
-    near = rest.join(other, "token").filter(F.col("c").isNull() | F.col("c2").isNull() | (F.col("c") != F.col("c2"))).filter(_fits("n", "pos", "n2", "pos2"))
-    groups = near.select(F.least("group", "group2").alias("g"), F.greatest("group", "group2").alias("g2")).distinct()
+    the whole list, each pair once. Two entries of the main component need no look. A pair of groups meets at all
+    tokens that they share early enough in both; up to the last of these it is known how many they share, and the rest can't
+    give more than what is left of either."""
+    fields = ("group", "n", "pos", "c", "rest")
+    other = mixed.select("token", *[F.col(x).alias(f"{x}2") for x in fields])
+    once = F.col("rest") & (~F.col("rest2") | (F.col("group") <= F.col("group2")))
+    apart = F.col("c").isNull() | F.col("c2").isNull() | (F.col("c") != F.col("c2"))
+    near = mixed.filter("rest").join(other, "token").filter(once & apart).filter(_fits("", "2"))
+    low, high = F.col("group") <= F.col("group2"), F.col("group") > F.col("group2")
+    of = lambda x: (F.when(low, F.col(x)).otherwise(F.col(f"{x}2")), F.when(high, F.col(x)).otherwise(F.col(f"{x}2")))
+    (g, g2), (n, n2), (p, p2) = of("group"), of("n"), of("pos")
+    met = near.select("token", g.alias("g"), g2.alias("g2"), n.alias("n"), n2.alias("n2"), p.alias("p"), p2.alias("p2"))
+    met = met.groupBy("g", "g2").agg(F.count("*").alias("k"), *[F.max(x).alias(x) for x in ("n", "n2", "p", "p2")])
+    groups = met.filter(_enough(F.col("k") + F.least(F.col("n") - F.col("p") - 1, F.col("n2") - F.col("p2") - 1), F.col("n"), F.col("n2"))).select("g", "g2")
     sets = _of_component(members, components)
     left = sets.select(F.col("group").alias("g"), F.col("s").alias("a"), "c")
     right = sets.select(F.col("group").alias("g2"), F.col("s").alias("b"), F.col("c").alias("c2"))
@@ -220,7 +238,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component (that of the smallest id), columns as they were. Ids are expected to name
-    rows: rows that share one stay or go together."""
+    rows: rows that share one stay or go together, and rows without one stay."""
     lost = jaccard_components(docs, id_col, text_col).filter("NOT first").select(F.col("id").alias("__gone")).distinct()
     return docs.join(lost, docs[id_col] == lost["__gone"], "left_anti")
 
