@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +31,46 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Lists that collect the paths of stored tables; the innermost begun() has the last.
+_BEGUN: list[list[str]] = []
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet to the shared folder and read back: this cuts its lineage, and lost executors cost
-    nothing that was written. The files go when the application ends."""
+    nothing that was written. The files go when the application ends, or by drop_tables()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    place, fs = _place(spark, path)
+    fs.deleteOnExit(place)
+    if _BEGUN:
+        _BEGUN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def begun() -> Iterator[list[str]]:
+    """Collects the paths of the tables that are stored meanwhile."""
+    _BEGUN.append([])
+    try:
+        yield _BEGUN[-1]
+    finally:
+        _BEGUN.pop()
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stored tables. No DataFrame that reads them may be run any more."""
+    for path in paths:
+        place, fs = _place(spark, path)
+        fs.delete(place, True)
+    paths.clear()
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker gets at once by bytes and not by rows alone, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
