@@ -1,0 +1,416 @@
+"""The ten operators against brute force, on tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import blocks, byte_bpe, chat_format, components, decontaminate, exact_dedup, jaccard_join, lm_score, pii, quality, token_files, url_filter
+
+P = pytest.importorskip("public_tokenizers")
+BPE = P.path("byte_bpe_multi_50k.tiktoken")
+
+
+def prose(rnd, n, words=400):
+    return " ".join(f"w{rnd.randrange(words)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rnd = random.Random(11)
+    base = prose(rnd, 120).split()
+    near = []
+    for _ in range(12):
+        w = base[:]
+        for _ in range(rnd.randint(0, 2)):
+            w[rnd.randrange(len(w))] = "edited"
+        near.append(" ".join(w))
+    passage = prose(rnd, 40)
+    own = [prose(rnd, rnd.randint(1, 200)) for _ in range(25)]
+    shared = [f"{prose(rnd, 60)} {passage} {prose(rnd, 60)}" for _ in range(8)]
+    odd = [None, "", "  \n ", "one", "ONE", "two three four", "Two Three four", "é É ß İ 日本", "x" * 30_000, "long " * 20_000, "a\x00b \x1c c"]
+    return near + near[:3] + [near[0].upper()] + own + shared + odd
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts, tmp_path_factory):
+    """With extra columns that have the operators' own names, and a repeated row; in files, as in production."""
+    rows = [(i * 3 + 1, t, "en", f"src{i % 3}", i, "clash", 7) for i, t in enumerate(texts)]
+    rows.append(rows[5])
+    path = str(tmp_path_factory.mktemp("docs") / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, token_ids string, block int").repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def empty(docs):
+    return docs.filter("doc_id < 0")
+
+
+# ------------------------------------------------------------------------------------------------------------- 1: BPE
+
+
+def test_bpe_is_tiktoken(spark, docs):
+    import tiktoken
+
+    bpe = byte_bpe.tokenizer(BPE, P.PATTERN)
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    rnd = random.Random(3)
+    signs = ["a", "é", "  ", "\n", "\t", "12", "!", "\x1c", "\x85", "\xa0", "日", "the", "'s", "aaaa", "​", "😀"]
+    for _ in range(800):
+        t = "".join(rnd.choice(signs) for _ in range(rnd.randint(0, 40)))
+        assert bpe.encode(t) == want.encode_ordinary(t), t
+    got = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, BPE, P.PATTERN), BPE, P.PATTERN).collect()
+    for r in got:
+        assert r.token_ids == want.encode_ordinary(r.text or "") and r.decoded == (r.text or "").encode()
+    assert byte_bpe.encode_documents(empty(docs), BPE, P.PATTERN).count() == 0
+
+
+def test_bpe_appends_and_edits():
+    bpe, rnd = byte_bpe.tokenizer(BPE, P.PATTERN), random.Random(4)
+    for _ in range(100):
+        piece = bytes(rnd.choice(b"abcdethinge ") for _ in range(rnd.randint(1, 200)))
+        last = bpe.extend(piece, [])
+        assert bpe.extend(piece, bpe.extend(piece, [], len(piece) // 2)) == last
+        a = rnd.randint(0, len(piece))
+        z = rnd.randint(a, min(len(piece), a + 4))
+        now, table = bpe.edited(piece, last, a, z, bytes(rnd.choice(b"abthe") for _ in range(rnd.randint(0, 4))))
+        assert table == bpe.extend(now, [])
+
+
+# --------------------------------------------------------------------------------------------------------- 2: quality
+
+
+def test_quality_on_held_out_rows(spark):
+    rnd = random.Random(5)
+    good = [prose(rnd, rnd.randint(5, 120), 300) for _ in range(400)]
+    bad = [" ".join(w + rnd.choice(["!!", "%%%"]) for w in prose(rnd, 60, 300).split()) for _ in range(50)] + [("spam " * 60) for _ in range(30)]
+    rows = [(i, t, 1) for i, t in enumerate(good)] + [(1000 + i, t, 0) for i, t in enumerate(bad)] + [(5000, None, None), (5001, "", None), (None, "w1 w2", None)]
+    docs = spark.createDataFrame([(i, t, 1.0) for i, t, _ in rows], "doc_id long, text string, q_key double")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows if q is not None and i % 2 == 0], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    held = [(i, q) for i, _, q in rows if q is not None and i % 2]
+    assert np.mean([got[i].q_kept for i, q in held if q]) > 0.95 and np.mean([got[i].q_kept for i, q in held if not q]) < 0.1
+    assert got[5000].q_log_weight == 0 == got[5001].q_n_grams
+    assert quality.keep_good(docs, labels).columns == docs.columns
+    assert quality.classify(docs, labels.limit(0)).filter("q_kept").count() == len(rows)
+    assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_kth_largest_and_cut(spark):
+    rnd = random.Random(6)
+    values = [rnd.uniform(-900, 900) for _ in range(300)] + [0.5, 0.5]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for k in (1, 7, 150, 302):
+        assert abs(quality.kth_largest(df, "x", k) - sorted(values, reverse=True)[k - 1]) < 1e-5
+    assert quality.kth_largest(df, "x", 999) == -math.inf and quality.kth_largest(df, "x", 0) == math.inf
+    assert quality.best_cut(np.array([5.0, 6]), np.array([1.0, 2])) == 3.5 and quality.best_cut(np.array([]), np.array([1.0])) == -math.inf
+
+
+# ----------------------------------------------------------------------------------------------------- 3: exact copies
+
+
+def lowered(t):
+    return (t or "").encode().lower().decode()
+
+
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_exact_groups(docs, keep):
+    rows = [(r.doc_id, lowered(r.text)) for r in docs.collect()]
+    best = {t: (max if keep == "max" else min)(i for i, x in rows if x == t) for _, t in rows}
+    size = Counter(t for _, t in rows)
+    got = exact_dedup.exact_groups(docs, keep=keep).collect()
+    want = sorted((i, best[t], size[t], hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+    assert sorted((r.id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+    assert Counter(r.keep_id for r in got if r.kept) == Counter(best.values())
+    kept = exact_dedup.exact_dedup(docs, keep=keep)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(best.values())
+    assert exact_dedup.exact_groups(empty(docs)).count() == 0 == exact_dedup.exact_dedup(empty(docs)).count()
+
+
+def test_exact_groups_through_many_runs(spark):
+    df = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50)).alias("text")).repartition(40)
+    want = {r.text: (r.k, r.n) for r in df.groupBy("text").agg(F.max("doc_id").alias("k"), F.count("*").alias("n")).collect()}
+    got = exact_dedup.exact_groups(df).collect()
+    assert len(got) == 600 and sum(r.kept for r in got) == len(want) and {(r.keep_id, r.group_size) for r in got} == set(want.values())
+    nulls = spark.createDataFrame([(None, "a"), (5, "a"), (None, "b")], "doc_id long, text string")
+    assert sorted((r.keep_id, r.kept) for r in exact_dedup.exact_groups(nulls).collect() if r.group_size == 2) == [(5, False), (5, True)]
+
+
+# ------------------------------------------------------------------------------------------------------ 4: LM scores
+
+
+def test_lm_scores_by_definition(docs):
+    got = {(r.doc_id, r.n_tokens): r for r in lm_score.lm_scores(docs).collect()}
+    rows = [(r.doc_id, zlib.crc32(str(r.doc_id).encode()) % 7, [*(r.text or "").encode().lower().split(), None]) for r in docs.collect()]
+    pairs = lambda w: list(zip([None] + w[:-1], w, strict=True))
+    every, main = [w for _, f, w in rows if f != 2], [w for _, f, w in rows if f not in (2, 5)]
+    uni, bi = Counter(x for w in every for x in w), Counter(x for w in every for x in pairs(w))
+    uni_m, bi_m = Counter(x for w in main for x in w), Counter(x for w in main for x in pairs(w))
+    n, v, n_m, v_m = sum(uni.values()), len(uni), sum(uni_m.values()), len(uni_m)
+    bucket = lambda c: int(lm_score.buckets(np.array([c]))[0])
+    seen = [(bucket(uni_m[a]), bi_m[a, x] / uni_m[a] if uni_m[a] else 0, uni_m[x] / n_m, 1 / (v_m + 1)) for _, f, w in rows if f == 5 for a, x in pairs(w)]
+    b, p = np.array([s[0] for s in seen]), np.array([s[1:] for s in seen])
+    weights = np.full((lm_score.BUCKETS, 3), 1 / 3)
+    for _ in range(lm_score.EM_ROUNDS):
+        share = weights[b] * p
+        share /= share.sum(1)[:, None]
+        sums = np.stack([np.bincount(b, share[:, k], lm_score.BUCKETS) for k in range(3)], 1)
+        has = sums.sum(1) > 0
+        weights[has] = np.maximum(sums[has] / sums[has].sum(1)[:, None], lm_score.LEAST_WEIGHT)
+        weights /= weights.sum(1)[:, None]
+    for i, f, w in rows:
+        r = got[i, len(w)]
+        assert (r.held_out, r.n_known, r.train_tokens) == (f == 2, sum(uni[x] > 0 for x in w), n)
+        assert math.isclose(r.base_score, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+        want = sum(math.log10(np.dot(weights[bucket(uni[a])], (bi[a, x] / uni[a] if uni[a] else 0, uni[x] / n, 1 / (v + 1)))) for a, x in pairs(w))
+        assert math.isclose(r.score, want, rel_tol=0.02)
+    assert lm_score.lm_scores(empty(docs)).count() == 0
+
+
+def test_packed_arrays():
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 999, dtype=np.uint64))
+    assert np.array_equal(blocks.unpack_keys(blocks.pack_keys(keys)), keys) and len(blocks.unpack_keys(b"")) == 0
+    for c in ([1, 2, 3], [], [70_000, 0], [2**40]):
+        assert blocks.unpack_counts(blocks.pack_counts(np.array(c, np.int64)))[0].tolist() == c
+
+
+# ---------------------------------------------------------------------------------------------------- 5: token files
+
+
+def test_repair_round_trip():
+    rnd = random.Random(8)
+    for n, k in ((0, 1), (1, 5), (2, 1), (500, 1), (500, 3), (20_000, 40), (20_000, 70_000)):
+        ids = np.array([rnd.randrange(k) for _ in range(n)] * 2, np.uint32)
+        shard = token_files.Shard(token_files.compress(ids))
+        assert np.array_equal(shard.ids(), ids)
+        for _ in range(20):
+            a = rnd.randint(0, len(ids))
+            assert np.array_equal(shard.ids(a, a + 50), ids[a : a + 50])
+    assert len(token_files.compress(np.array([7, 8, 9] * 5000, np.uint32))) < 6000
+    with pytest.raises(ValueError):
+        token_files.Shard(b"????")
+
+
+def test_token_files(docs):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    plain, rnd = Tokenizer.from_file(path), random.Random(9)
+    signs = ["a", "B", "é", "É", "́", " ", "\n", "\x85", "\xa0", "\x1c", "<|endoftext|>", "<|", "İ", "日", "'s", "1", "!", "(", "ß", "Ÿ"]
+    cases = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 30))) for _ in range(1500)]
+    flat, counts = token_files.WordIds(path).encode([c.encode() for c in cases], 2)
+    for c, ids in zip(cases, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+        assert ids.tolist() == [*plain.encode(c, add_special_tokens=False).ids, 2], c
+    got = token_files.read_token_files(token_files.write_token_files(docs, path, 2, shard_ids=500)).orderBy("start").collect()
+    rows, at = sorted((r.doc_id, r.text or "") for r in docs.collect()), 0
+    assert len(got) == len(rows)
+    for r, (i, t) in zip(got, rows, strict=True):
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert token_files.read_token_files(token_files.write_token_files(empty(docs), path, 2)).count() == 0
+
+
+# ------------------------------------------------------------------------------------------------------ 6: near copies
+
+
+def shingles(t):
+    w = lowered(t).encode().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_components(rows):
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                label[root(i)] = root(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        low[root(i)] = min(low.get(root(i), d), d)
+    return sorted((d, len(sets[i]), low[root(i)]) for i, (d, _) in enumerate(rows))
+
+
+def test_jaccard_components(docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = jaccard_join.jaccard_components(docs).collect()
+    assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    assert sum(r.first for r in got) == len({c for _, n, c in brute_components(rows) if n}) + sum(n == 0 for _, n, _ in brute_components(rows))
+    left = jaccard_join.dedup_near(docs)
+    assert left.columns == docs.columns
+    assert jaccard_join.jaccard_components(empty(docs)).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "stars"), [(1, 4), (2, 1), (3, 4)])
+def test_jaccard_on_chains(spark, tmp_path, monkeypatch, seed, stars):
+    """Texts that drift, so that neighbours link and ends don't, some with one prefix and size; with few stars the exact round works."""
+    monkeypatch.setattr(jaccard_join, "STARS", stars)
+    monkeypatch.setattr(jaccard_join, "PAYS", 0 if stars > 1 else 10**9)
+    rnd = random.Random(seed)
+    rows, i = [], 0
+    for _ in range(6):
+        w = prose(rnd, rnd.randint(20, 60), 60).split()
+        for _ in range(rnd.randint(2, 12)):
+            rows.append((i, " ".join(w)))
+            i += 1
+            w = w[1:] + [f"n{rnd.randrange(60)}"] if rnd.random() < 0.6 else w + ["tail"]
+    rnd.shuffle(rows)
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(path)
+    got = jaccard_join.jaccard_components(spark.read.parquet(path)).collect()
+    assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+
+
+def test_components(spark):
+    rnd = random.Random(10)
+    edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(rnd.randint(200, 260), rnd.randint(200, 260)) for _ in range(30)] + [(7, 7)]
+    label = {}
+    for a, b in edges:
+        label.setdefault(a, a), label.setdefault(b, b)
+    for _ in range(100):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.v: r.c for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: c for v, c in label.items() if any(v in e and e[0] != e[1] for e in edges)}
+
+
+# --------------------------------------------------------------------------------------------------------------- 7: URLs
+
+
+def test_url_verdicts(spark):
+    rules = url_filter.RULES
+    urls = ["http://Example.com/en/x", "https://www.example.com/en/?q", "https://www.example.com/fr/", "http://a.net/es/1", "http://net/fr/", "http://x.org/en/", "https://ads-track.example.org/q#f", "no url", None, "http://com", "http://notcom/", "ftp://a.b.com/x?y", "://example.com/en/"]
+    rows = [(i, u) for i, u in enumerate(urls)] + [(0, urls[0])]
+
+    def judge(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.split("[/?#]", rest)[0].lower()
+        path = re.split("[?#]", rest[len(host) :])[0]
+        fit = lambda xs: max(((len(x.host + x.path), x.host + x.path, x.verdict) for x in xs if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)), default=None)
+        rule, listed = fit(rules), fit(url_filter.LISTED_URLS)
+        return host, path, rule and rule[1], (rule or listed or (0, 0, "allow"))[2]
+
+    df = spark.createDataFrame([(i, u, "h") for i, u in rows], "page_id long, url string, host string")
+    got = url_filter.url_verdicts(df).collect()
+    assert sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in got) == sorted((i, *[x or "" for x in judge(u)]) for i, u in rows)
+    assert url_filter.url_verdicts(df.limit(0)).count() == 0
+
+
+def test_bloom_has_no_false_negatives(spark, monkeypatch):
+    many = tuple(url_filter.Listed(f"h{i}.example", "/", "block") for i in range(400))
+    df = spark.createDataFrame([(i, f"http://h{i}.example/x") for i in range(800)], "page_id long, url string")
+    blocked = lambda: sorted(r.page_id for r in url_filter.url_verdicts(df, (), many).filter("verdict = 'block'").collect())
+    assert blocked() == list(range(400))
+    monkeypatch.setattr(url_filter, "MAX_BLOCKS", 0)
+    monkeypatch.setattr(url_filter, "BROADCAST_KEYS", 0)
+    assert blocked() == list(range(400))
+
+
+# --------------------------------------------------------------------------------------------------------------- 8: chat
+
+
+def test_chat_round_trip(spark):
+    rows = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok"), (1, 1, "assistant", "b\\\\"), (1, 0, "us:er\n#", None), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 2, "user", "</turn>\n### assistant: x"), (2, 0, None, "q" * 50_000), (None, 0, "assistant", "é日\n"), (3, None, "assistant", "")]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, piece string")
+    by = {}
+    for c, t, r, x in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        by.setdefault(c, []).append((r or "", x or ""))
+    expanded = chat_format.expand(chat_format.format_turns(df))
+    got = {r.conv_id: r for r in chat_format.read_back(expanded).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for c, turns in by.items():
+        loss = "".join(x for r, x in turns if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), sha("".join(f"{r}\n{x}\n" for r, x in turns)), len(loss), sha(loss))
+    whole = {}
+    for r in expanded.orderBy("conv_id", "index").collect():
+        whole[r.conv_id] = whole.get(r.conv_id, "") + r.piece
+    spans = {(r.conv_id, r.index): r.example for r in expanded.filter("example IS NOT NULL").collect()}
+    written = chat_format.example_texts(expanded).collect()
+    assert len(written) == len(spans) == sum(r == "assistant" for _, _, r, _ in rows)
+    for r in written:
+        e, text = spans[r.conv_id, r.example], whole[r.conv_id]
+        assert r.context == text[: e.context_end] and r.target == text[e.loss_start : e.loss_end]
+    assert chat_format.read_back(chat_format.expand(chat_format.format_turns(df.limit(0)))).count() == 0
+
+
+# ---------------------------------------------------------------------------------------------------------------- 9: PII
+
+
+def plain_spans(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        s = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d)))
+        if 16 <= len(d) <= 19 and s % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_base_spans_by_pattern():
+    rnd = random.Random(12)
+    signs = ["a", "b.c", "@", ".", "x-1", "1", "255", "256", " ", "-", "+", "(", "4111111111111111", "4111 1111 1111 1111", "%_", "é", "+49 30 1234567", "a@b.c", "1.2.3.4", "007"]
+    for _ in range(6000):
+        t = "".join(rnd.choice(signs) for _ in range(rnd.randint(0, 25)))
+        assert [x[:3] for x in pii.find_spans(t) if x[0] in pii.BASE_KINDS] == plain_spans(t), t
+
+
+def test_pii_on_tables(spark, docs):
+    t = "iban GB82 WEST 1234 5698 7654 32, GB82 WEST 1234 5698 7654 33, ssn 123-45-6789, n 123-45-6789" + " " * 60 + "mail a@b.co"
+    kinds = [x[0] for x in pii.find_spans(t)]
+    assert kinds.count("iban") == 1 and kinds.count("ssn") >= 1 and kinds.count("email") == 1
+    assert all(x[0] != "ssn" for x in pii.find_spans("n 123-45-6789"))
+    got = pii.find_pii(docs).collect()
+    assert len(got) == docs.count() and all([(s.kind, s.start, s.end) for s in r.pii if s.base] == plain_spans(r.text or "") for r in got)
+    one = spark.createDataFrame([(1, "to a@b.co, now"), (2, None)], "doc_id long, text string")
+    assert [r.text for r in pii.redacted(one).orderBy("doc_id").collect()] == ["to <email>, now", None]
+    for hard in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" + "(" * 200_000, "@" * 100_000, "a@" * 100_000):
+        pii.find_spans(hard)
+
+
+# ------------------------------------------------------------------------------------------------------ 10: benchmark
+
+
+def brute_hits(doc, items):
+    words = lambda t: re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").encode().lower())
+    w, hit, found = words(doc), set(), set()
+    for item, t in items:
+        v = words(t)
+        for i in range(max(1, len(v) - 9) if v else 0):
+            g = v[i : i + 10]
+            for at in range(len(w) - len(g) + 1):
+                if w[at : at + len(g)] == g:
+                    hit |= set(range(at, at + len(g)))
+                    found.add(str(item))
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("at_once", [200_000, 20])
+def test_windows(spark, docs, texts, monkeypatch, at_once):
+    monkeypatch.setattr(decontaminate, "WINDOWS_AT_ONCE", at_once)
+    rnd = random.Random(13)
+    passages = [t for t in texts if t and len(t.split()) > 60][:6]
+    items = [(i, " ".join(t.split()[20:45]).upper()) for i, t in enumerate(passages)] + [(20, prose(rnd, 30)), (21, "one"), (22, "Two, three; four"), (23, ""), (24, None), (25, "w1 w2"), (0, "w3"), (26, "edited edited")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.text): r for r in decontaminate.find_windows(docs.withColumn("hit_n", F.lit("x")), bench).collect()}
+    for (_, t), r in got.items():
+        assert (r.hit_words, r.hit_n, r.hit_items) == brute_hits(t, items)
+        assert sum(s.end - s.start for s in r.hit_spans) == r.hit_n
+    clean = decontaminate.decontaminate(docs, bench)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {d for (d, _), r in got.items() if not r.hit_n}
+    assert decontaminate.find_windows(docs, bench.limit(0)).filter("hit_n > 0").count() == 0
+    assert decontaminate.find_windows(empty(docs), bench).count() == 0
