@@ -43,7 +43,7 @@ def part_count(df: DataFrame) -> int:
 
 def _planes(values: np.ndarray) -> bytes:
     """Byte planes: the first bytes of all values, then the second ones; those that are nearly all zero compress away."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -57,11 +57,11 @@ def unpack_keys(data: bytes) -> np.ndarray:
 
 
 def pack_counts(*columns: np.ndarray) -> bytes:
-    """Columns of counts, each in the fewest bytes that hold its largest."""
+    """Columns of counts, each as byte planes of the fewest bytes that hold its largest."""
     out = [struct.pack("<B", len(columns))]
     for c in columns:
         kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(c) or int(c.max()) <= np.iinfo(k).max)
-        out += [struct.pack("<BQ", np.dtype(kind).itemsize, len(c)), c.astype(kind).tobytes()]
+        out += [struct.pack("<BQ", np.dtype(kind).itemsize, len(c)), _planes(c.astype(kind))]
     return b"".join(out)
 
 
@@ -69,11 +69,16 @@ def unpack_counts(data: bytes) -> list[np.ndarray]:
     out, at = [], 1
     for _ in range(data[0]):
         size, n = struct.unpack_from("<BQ", data, at)
-        out.append(np.frombuffer(data, f"<u{size}", n, at + 9).astype(np.int64))
+        planes = np.frombuffer(data, np.uint8, size * n, at + 9).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{size}").astype(np.int64))
         at += 9 + size * n
     return out
 
 
+#: From a part's distinct keys and their summed columns, the columns that go back.
+Reply = Callable[[np.ndarray, list[np.ndarray]], list[np.ndarray]]
+
+
 def send_keys(blocked: DataFrame, cols: list[str], text_col: str, keys_of: Callable[[dict[str, list], list[bytes]], tuple[np.ndarray, list[np.ndarray]]]) -> DataFrame:
     """Rows block, part, keys, counts. keys_of gets a block's rows (the columns cols, and the texts), or some of them, and gives
     their distinct keys, sorted, and columns of counts."""
@@ -117,10 +122,11 @@ def send_keys(blocked: DataFrame, cols: list[str], text_col: str, keys_of: Calla
     return rows.mapInArrow(run, "block long, part int, keys binary, counts binary")
 
 
-def answer(sent: DataFrame, reply: Callable[[np.ndarray, list[np.ndarray]], list[np.ndarray]], stat: Callable[[np.ndarray, list[np.ndarray]], list[int]], name: str) -> DataFrame:
-    """Stored rows block, part, counts (columns for the block's keys of this part, in their order), and one row with a null
-    block for each part, with stats (whole numbers about the part's keys). reply and stat get the part's distinct keys and
-    the sums of their columns over all blocks."""
+def answer(sent: DataFrame, reply: Reply, stat: Callable[[np.ndarray, list[np.ndarray]], list[int]], name: str, subset: Callable[[list[np.ndarray]], np.ndarray] | None = None, subset_reply: Reply | None = None) -> DataFrame:
+    """Stored rows block, part, counts (columns for the block's keys of this part, in their order), some (columns of subset_reply for
+    those of them that subset picks by the block's own counts), and one row with a null block for each part, with stats (whole
+    numbers about the part's keys). reply, subset_reply and stat get the part's distinct keys and the sums of their columns
+    over all blocks."""
 
     def merge(table: pa.Table) -> pa.Table:
         blocks = np.array(table.column("block").to_pylist(), np.int64)
@@ -134,24 +140,30 @@ def answer(sent: DataFrame, reply: Callable[[np.ndarray, list[np.ndarray]], list
         index = np.empty(len(every), np.int64)
         index[order] = np.repeat(np.arange(len(keys)), np.diff(np.append(starts, len(ordered))))
         sums = [np.bincount(index, np.concatenate([c[k] for c in sent_counts]), len(keys)).astype(np.int64) for k in range(len(sent_counts[0]))]
-        replies = reply(keys, sums)
+        replies, some_replies = reply(keys, sums), subset_reply(keys, sums) if subset_reply else []
         edges = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
         by: dict[int, list[int]] = {}
         for i, block in enumerate(blocks.tolist()):
             by.setdefault(block, []).append(i)
-        out = []
+        out, some = [], []
         for places in by.values():
-            at = index[edges[places[0]] : edges[places[0] + 1]] if len(places) == 1 else np.unique(np.concatenate([index[edges[i] : edges[i + 1]] for i in places]))
+            there = np.concatenate([index[edges[i] : edges[i + 1]] for i in places])
+            at, own = there, sent_counts[places[0]]
+            if len(places) > 1:
+                at, inverse = np.unique(there, return_inverse=True)
+                own = [np.bincount(inverse, np.concatenate([sent_counts[i][k] for i in places]), len(at)) for k in range(len(own))]
             out.append(pack_counts(*(c[at] for c in replies)))
+            picked = at[subset(own)] if subset else at[:0]
+            some.append(pack_counts(*(c[picked] for c in some_replies)) if len(picked) else None)
         part = table.column("part")[0].as_py()
         n = len(by) + 1
-        cells = [pa.array([*by, None], pa.int64()), pa.array([part] * n, pa.int32()), pa.array([*out, None], pa.binary()), pa.array([None] * (n - 1) + [stat(keys, sums)], pa.list_(pa.int64()))]
-        return pa.Table.from_arrays(cells, ["block", "part", "counts", "stats"])
+        cells = [pa.array([*by, None], pa.int64()), pa.array([part] * n, pa.int32()), pa.array([*out, None], pa.binary()), pa.array([*some, None], pa.binary()), pa.array([None] * (n - 1) + [stat(keys, sums)], pa.list_(pa.int64()))]
+        return pa.Table.from_arrays(cells, ["block", "part", "counts", "some", "stats"])
 
-    return stored(sent.groupBy("part").applyInArrow(merge, "block long, part int, counts binary, stats array<long>"), name)
+    return stored(sent.groupBy("part").applyInArrow(merge, "block long, part int, counts binary, some binary, stats array<long>"), name)
 
 
-def answered(table: pa.Table) -> list[np.ndarray]:
-    """The columns of counts for all of a block's distinct keys, in their order, from its rows of answer()."""
-    rows = sorted(zip(table.column("part").to_pylist(), table.column("counts").to_pylist(), strict=True))
+def answered(table: pa.Table, column: str = "counts") -> list[np.ndarray]:
+    """The columns of counts (or some) for all of a block's distinct keys that they are for, in their order, from its rows of answer()."""
+    rows = sorted(zip(table.column("part").to_pylist(), table.column(column).to_pylist(), strict=True))
     return [np.concatenate(c) for c in zip(*(unpack_counts(x) for _, x in rows), strict=True)]

@@ -6,7 +6,8 @@ how frequent the context is: contexts fall into buckets by the power of two of t
 expectation-maximisation on counts that the estimates haven't seen: a seventh of the ids is held out of the estimates for
 this, and joins them afterwards.
 
-All counts are exact (up to collisions of 61-bit hashes) and cover the whole corpus; see blocks.py for how they travel.
+All counts cover the whole corpus and are exact up to collisions of hashes, of 61 bits for tokens and of PAIR_BITS for bigrams; see
+blocks.py for how they travel.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ FOLDS, TEST, FOLD = 7, 2, 5
 MAIN_ROLE, FOLD_ROLE, TEST_ROLE = 1, 2, 0
 #: Buckets of context counts: 0, 1, 2-3, 4-7, ... and all from 2**(BUCKETS - 2) on.
 BUCKETS = 24
+#: Bits of a bigram's hash. Among 2**32 distinct bigrams one in a million shares its bits with another.
+PAIR_BITS = 52
 #: The end of a text, and the context that a text begins in.
 END = np.uint64(0xE4D0_F7E8_7000_0001)
 #: Learning reads a histogram of the estimates with steps of 1/STEPS in their logarithm.
@@ -46,8 +49,7 @@ def token_keys(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.concatenate(([END], tokens[:-1]))
     with np.errstate(over="ignore"):
         pairs = mixed(mixed(before) + tokens)
-    low = np.uint64(7)
-    return mixed(tokens) & ~low, pairs & ~low | np.uint64(4), n
+    return mixed(tokens) & ~np.uint64(7), pairs & ~np.uint64((1 << (64 - PAIR_BITS)) - 1) | np.uint64(4), n
 
 
 def _block_keys(values: dict[str, list], raw: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -73,12 +75,12 @@ def buckets(context: np.ndarray) -> np.ndarray:
 
 
 class _Block:
-    """A block's tokens with their counts; which: 0 of the main rows, 1 of all that are learned from."""
+    """The tokens of a block's texts with the counts that came back for them."""
 
-    def __init__(self, raw: list[bytes], role: list[int], counts: pa.Table, which: int) -> None:
+    def __init__(self, raw: list[bytes], counted: pa.Table, column: str) -> None:
         one, two, self.n = token_keys(raw)
         keys = np.unique(np.concatenate([one, two]))
-        count = answered(counts)[which]
+        (count,) = answered(counted, column)
         self.token, self.pair = count[np.searchsorted(keys, one)], count[np.searchsorted(keys, two)]
         # a text begins in the end's context, which has as many occurrences as there are texts
         ends = np.cumsum(self.n) - 1
@@ -117,20 +119,19 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     fold = F.pmod(F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")), F.lit(FOLDS))
     blocked = with_blocks(docs, text_col)
     rows = blocked.select("block", F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.when(fold == TEST, TEST_ROLE).when(fold == FOLD, FOLD_ROLE).otherwise(MAIN_ROLE).alias("role"))
-    counts = answer(send_keys(rows, ["role"], "t", _block_keys), lambda keys, sums: [sums[0], sums[0] + sums[1]], _stats, "lm-counts")
+    counts = answer(send_keys(rows, ["role"], "t", _block_keys), lambda keys, sums: [sums[0] + sums[1]], _stats, "lm-counts", lambda own: own[1] > 0, lambda keys, sums: [sums[0]])
     stats = counts.filter("block IS NULL").select(*[F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(4)]).first()
     n_main, v_main, n_all, v_all = (int(x or 0) for x in stats)
-    kept = counts.filter("block IS NOT NULL").select("block", "part", "counts")
+    back = counts.filter("block IS NOT NULL")
+    kept, held = back.select("block", "part", "counts"), back.select("block", "part", "some").filter("some IS NOT NULL")
 
     def histogram(_: tuple, texts_of: pa.Table, counted: pa.Table) -> pa.Table:
         names = ["b", "p2", "p1", "n"]
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64())
         if not texts_of.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
-        role = np.array(texts_of.column("role").to_pylist())
-        block = _Block(texts(texts_of.column("t")), role, counted, 0)
-        mine = np.repeat(role == FOLD_ROLE, block.n)
-        b, pair, context, token = (x[mine] for x in (buckets(block.context), block.pair, block.context, block.token))
+        block = _Block(texts(texts_of.column("t")), counted, "some")
+        b, pair, context, token = buckets(block.context), block.pair, block.context, block.token
         far = -(1 << 20)
         with np.errstate(divide="ignore"):
             p2 = np.where(pair > 0, np.round(STEPS * np.log(pair / np.maximum(context, 1))), far).astype(np.int64)
@@ -138,8 +139,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         cells, n = np.unique(np.stack([b, p2, p1]), axis=1, return_counts=True)
         return pa.Table.from_arrays([pa.array(cells[0], kinds[0]), *(pa.array(c, kinds[1], mask=c == far) for c in cells[1:]), pa.array(n, kinds[3])], names)
 
-    # a block's counts belong to all of its keys, so its other texts come along
-    learned = rows.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(histogram, "b int, p2 int, p1 int, n long") if n_main else None
+    # only the held-out texts go here, and the counts of just their keys
+    learned = rows.filter(F.col("role") == FOLD_ROLE).select("block", "t").groupBy("block").cogroup(held.groupBy("block")).applyInArrow(histogram, "b int, p2 int, p1 int, n long") if n_main else None
     found = [tuple(r) for r in learned.groupBy("b", "p2", "p1").agg(F.sum("n")).collect()] if learned is not None else []
     weights = learn_weights(found, 1 / (v_main + 1))
     shared = spark.sparkContext.broadcast((weights, n_all, v_all))
@@ -149,7 +150,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def score(_: tuple, texts_of: pa.Table, counted: pa.Table) -> pa.Table:
         weights, total, distinct = shared.value
         role = np.array(texts_of.column("role").to_pylist())
-        block = _Block(texts(texts_of.column("t")), role, counted, 1)
+        block = _Block(texts(texts_of.column("t")), counted, "counts")
         starts = np.concatenate(([0], np.cumsum(block.n)[:-1]))
         sums = lambda x: np.add.reduceat(x, starts)
         w = weights[buckets(block.context)]
