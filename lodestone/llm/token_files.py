@@ -24,15 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, bound_batches, stored, texts
+from .common import bound_batches, stored, texts
 
 MAGIC = b"LRP1"
 #: Ids in a shard, but for its last document, which is whole.
 SHARD_IDS = 1 << 20
 #: Rounds of replacement, and the least count of a pair that gets a rule (two symbols and a length must pay off).
 ROUNDS, LEAST_COUNT = 4, 6
-#: Parts of stretches whose ids a worker keeps, some 150 bytes each.
-CACHE_PARTS = 1_000_000
+#: Stretches, and parts of them, whose ids a worker keeps, some 150 bytes each.
+CACHE_STRETCHES, CACHE_PARTS = 1_000_000, 1_000_000
 #: Plain letters between plain signs: neither composes or changes with its neighbours, and no sign begins a special token.
 PLAIN = re.compile(rb"([\"(\[*#%$&!]*)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:%*#$&)\]\"|]*)")
 #: Pairs of one round are counted by this many bits of their hash at first; those of one bucket are then told apart.
@@ -138,6 +138,19 @@ class Shard:
         return self._expand(self.seq[a:z])[start - before : end - before]
 
 
+class _Index(dict):
+    """Numbers words as they come; new has those that were numbered last."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        self.new.append(word)
+        return i
+
+
 class WordIds:
     """The ids of texts by the tokenizers library, kept by stretches between ASCII white space, and by the parts of a stretch.
 
@@ -155,44 +168,50 @@ class WordIds:
         self.reset()
 
     def reset(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.at, self.known = _Index(), 0
         self.flat, self.starts, self.lengths, self.used = np.empty(1 << 16, np.uint32), np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), 0
 
-    def _add(self, words: list[bytes], ids: list[bytes]) -> None:
+    def _add(self, ids: list[bytes]) -> None:
+        """The ids of the next words in the index's order."""
         flat = np.frombuffer(b"".join(ids), np.uint32)
-        n, lengths = len(self.at), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        while n + len(words) > len(self.starts):
+        n, lengths = self.known, np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        while n + len(ids) > len(self.starts):
             self.starts, self.lengths = np.concatenate([self.starts, self.starts]), np.concatenate([self.lengths, self.lengths])
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat])
         self.lengths[n : n + len(ids)], self.starts[n : n + len(ids)] = lengths, self.used + np.cumsum(lengths) - lengths
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.at.update(zip(words, range(n, n + len(words)), strict=True))
+        self.known += len(ids)
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.parts) > CACHE_PARTS:
-            self.parts.clear()
+        parts = self.parts
+        if len(parts) > CACHE_PARTS:
+            parts.clear()
+        parts[b""] = b""
         split = []
         for w in words:
             m = PLAIN.fullmatch(w)
-            split.append((w,) if m is None else (m[1], m[2].decode().lower().encode(), m[3]))
-        parts = self.parts
-        parts[b""] = b""
-        new = [p for p in dict.fromkeys(p for ps in split for p in ps) if p not in parts]
+            if m is None:
+                split.append((w, b"", b""))
+            else:
+                before, core, after = m.groups()
+                split.append((before, core.lower() if core.isascii() else core.decode().lower().encode(), after))
+        new = list(dict.fromkeys([p for ps in split for p in ps if p not in parts]))
         for p, e in zip(new, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False), strict=True):
             parts[p] = np.array(e.ids, np.uint32).tobytes()
-        self._add(words, [parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]] + parts[ps[2]] for ps in split])
+        self._add([parts[a] + parts[b] + parts[c] for a, b, c in split])
 
     def encode(self, raw: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by end, and how many each has."""
-        if len(self.at) > CACHE_WORDS:
+        if len(self.at) > CACHE_STRETCHES:
             self.reset()
         split = [t.split() for t in raw]
         words = [w for ws in split for w in ws]
-        if new := [w for w in dict.fromkeys(words) if w not in self.at]:
-            self._learn(new)
         index = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        if self.at.new:
+            self._learn(self.at.new)
+            self.at.new = []
         lengths = self.lengths[index]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
