@@ -338,7 +338,7 @@ def test_chat_round_trip(spark):
     whole = {}
     for r in expanded.orderBy("conv_id", "index").collect():
         whole[r.conv_id] = whole.get(r.conv_id, "") + r.piece
-    spans = {(r.conv_id, r.index): r.example for r in expanded.filter("example IS NOT NULL").collect()}
+    spans = {(r.conv_id, r["index"]): r.example for r in expanded.filter("example IS NOT NULL").collect()}
     written = chat_format.example_texts(expanded).collect()
     assert len(written) == len(spans) == sum(r == "assistant" for _, _, r, _ in rows)
     for r in written:
