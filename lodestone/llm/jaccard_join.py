@@ -165,11 +165,11 @@ def linked_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = best.join(leader.select("group", F.col("leader").alias("b")), "group").join(leader.select(F.col("group").alias("group2"), F.col("leader").alias("a")), "group2").select("a", "b")
         links = links.union(verified(pairs.union(inner) if star == 0 else pairs, sets))
         components = connected_components(links)
-        remaining, work = _remaining(lists.drop("c", "rest"), members, components)
+        remaining, split, work = _remaining(lists.drop("c", "rest"), members, components)
         if work <= PAYS * max(1, leader.count()):
             break
     if work:
-        links = links.union(verified(_all_pairs(remaining, members, components), sets))
+        links = links.union(verified(_all_pairs(remaining, split, members, components), sets))
         components = connected_components(links)
     return members, components
 
@@ -178,10 +178,13 @@ def _of_component(members: DataFrame, components: DataFrame) -> DataFrame:
     return members.join(components.select(F.col("v").alias("s"), "c"), "s", "left").select("s", "group", F.coalesce("c", "s").alias("c"))
 
 
-def _remaining(lists: DataFrame, members: DataFrame, components: DataFrame) -> tuple[DataFrame, int]:
+def _remaining(lists: DataFrame, members: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """The lists whose groups aren't all of one component, with c, each group's component (null: several), and rest, whether the group
-    is outside its list's main component; and how many pairs it takes to hold each such entry against its whole list."""
-    by = _of_component(members, components).groupBy("group").agg(F.min("c").alias("c1"), F.max("c").alias("c2"))
+    is outside its list's main component; the groups of several components, in a list or not; and how many pairs it takes to hold
+    each such entry against its whole list, and the sets of each such group against each other."""
+    by = _of_component(members, components).groupBy("group").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("sets"))
+    by = stored(by, "group-components")
+    split = by.filter("c1 <> c2").select("group", "sets")
     own = lists.join(by.select("group", F.when(F.col("c1") == F.col("c2"), F.col("c1")).alias("c")), "group")
     token = W.partitionBy("token")
     # a list that is all of one component is done; a group of several components has pairs of its own
@@ -191,17 +194,18 @@ def _remaining(lists: DataFrame, members: DataFrame, components: DataFrame) -> t
     main = size.groupBy("token").agg(F.max_by("c", F.struct("in_c", "c")).alias("main"))
     mixed = stored(mixed.join(main, "token", "left").withColumn("rest", F.col("c").isNull() | (F.col("c") != F.col("main"))).drop("main"), "mixed-lists")
     work = mixed.groupBy("token").agg((F.count("*") * F.count_if("rest")).alias("w")).agg(F.sum("w")).first()[0]
-    return mixed, int(work or 0)
+    inside = split.agg(F.sum(F.col("sets") * F.col("sets"))).first()[0]
+    return mixed, split, int(work or 0) + int(inside or 0)
 
 
-def _all_pairs(mixed: DataFrame, members: DataFrame, components: DataFrame) -> DataFrame:
-    """All pairs of sets from different components that pass the filters: every entry outside its list's main component against
-    the whole list, each pair once. Two entries of the main component need no look. A pair of groups meets at all
-    tokens that they share early enough in both; up to the last of these it is known how many they share, and the rest can't
-    give more than what is left of either."""
+def _all_pairs(mixed: DataFrame, split: DataFrame, members: DataFrame, components: DataFrame) -> DataFrame:
+    """All pairs of sets from different components that pass the filters. Sets of one group share its whole prefix and always pass.
+    Between groups: every entry outside its list's main component against the whole list, each pair once. Two entries of the
+    main component need no look. A pair of groups meets at all tokens that they share early enough in both; up to the last of
+    these it is known how many they share, and the rest can't give more than what is left of either."""
     fields = ("group", "n", "pos", "c", "rest")
     other = mixed.select("token", *[F.col(x).alias(f"{x}2") for x in fields])
-    once = F.col("rest") & (~F.col("rest2") | (F.col("group") <= F.col("group2")))
+    once = F.col("rest") & (~F.col("rest2") | (F.col("group") < F.col("group2"))) & (F.col("group") != F.col("group2"))
     apart = F.col("c").isNull() | F.col("c2").isNull() | (F.col("c") != F.col("c2"))
     near = mixed.filter("rest").join(other, "token").filter(once & apart).filter(_fits("", "2"))
     low, high = F.col("group") <= F.col("group2"), F.col("group") > F.col("group2")
@@ -210,10 +214,11 @@ def _all_pairs(mixed: DataFrame, members: DataFrame, components: DataFrame) -> D
     met = near.select("token", g.alias("g"), g2.alias("g2"), n.alias("n"), n2.alias("n2"), p.alias("p"), p2.alias("p2"))
     met = met.groupBy("g", "g2").agg(F.count("*").alias("k"), *[F.max(x).alias(x) for x in ("n", "n2", "p", "p2")])
     groups = met.filter(_enough(F.col("k") + F.least(F.col("n") - F.col("p") - 1, F.col("n2") - F.col("p2") - 1), F.col("n"), F.col("n2"))).select("g", "g2")
+    groups = groups.union(split.select(F.col("group").alias("g"), F.col("group").alias("g2")))
     sets = _of_component(members, components)
     left = sets.select(F.col("group").alias("g"), F.col("s").alias("a"), "c")
     right = sets.select(F.col("group").alias("g2"), F.col("s").alias("b"), F.col("c").alias("c2"))
-    pairs = groups.join(left, "g").join(right, "g2").filter("c <> c2")
+    pairs = groups.join(left, "g").join(right, "g2").filter("c <> c2 AND (g <> g2 OR a < b)")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

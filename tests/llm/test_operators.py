@@ -275,6 +275,24 @@ def test_jaccard_on_chains(spark, tmp_path, monkeypatch, seed, stars):
     assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+def test_jaccard_inside_a_group(spark, tmp_path):
+    """Sets with one prefix and size whose prefix no other group has: two link to each other and not to the third, whichever leads."""
+    rows, quotes = [], [prose(random.Random(i), 300, 10**6) for i in range(5)]
+    for f in range(6):
+        head = [f"p{f}_{i}" for i in range(7)]
+        a, b = (head + [f"{x}{f}_{i}" for i in range(7)] for x in "xy")
+        three = [a, b, [*b[:-1], f"z{f}"]]
+        rows += [(10 * f + i, " ".join(w)) for i, w in enumerate(three[f % 3 :] + three[: f % 3])]
+        quotes = [" ".join([q, *(x for w in three for x in w[3:])]) for q in quotes]
+    rows += [(1000 + i, q) for i, q in enumerate(quotes)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    want = brute_components(rows)
+    assert len({c for d, _, c in want if d < 1000}) == 12
+    got = jaccard_join.jaccard_components(spark.read.parquet(path)).collect()
+    assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == want
+
+
 def test_components(spark):
     rnd = random.Random(10)
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(rnd.randint(200, 260), rnd.randint(200, 260)) for _ in range(30)] + [(7, 7)]
