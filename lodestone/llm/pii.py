@@ -23,7 +23,19 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: At every place where one may start, the longest proposal; it may run into the words that follow, and over the start of another.
+IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9]))")
+#: Characters of an IBAN by its country.
+IBAN_LENGTH = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+        26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
@@ -51,6 +63,21 @@ def mod97(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Of each proposal, leftmost first, the part up to the end of a word that has its country's length and that mod-97 confirms;
+    for a country without a known length the longest that mod-97 confirms."""
+    done = 0
+    for m in IBAN.finditer(text):
+        start, end = m.span(1)
+        n = IBAN_LENGTH.get(text[start : start + 2])
+        while start >= done and end > start:
+            if (n is None or n == len(text[start:end].replace(" ", ""))) and mod97(text[start:end]):
+                yield start, end
+                done = end
+            else:
+                end = text.rfind(" ", start, end)
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """As the pattern of local part, @ and dotted domain finds them; each @ looks back over its own local part only."""
     done, at = 0, text.find("@")
@@ -79,7 +106,7 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
             found.append(("card", *m.span()))
     if "+" in text:
         found += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(NOT_DIGIT.sub("", m[0])) <= 15]
-    more = [("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m[0])]
+    more = [("iban", *x) for x in ibans(text)]
     more += [("ssn", *m.span()) for m in SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"]
     rows = [(k, a, z, _scored(text, k, a, z)) for k, a, z in found + more]
     return [x for x in rows if x[0] in BASE_KINDS or x[3] >= LEAST]

@@ -400,6 +400,19 @@ def test_pii_on_tables(spark, docs):
         pii.find_spans(hard)
 
 
+def test_ibans_before_words():
+    es, at, be, no = "ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "BE68 5390 0754 7034", "NO93 8601 1117 947"
+    for iban in (es, es.replace(" ", ""), at, be, be.replace(" ", ""), no, no.replace(" ", "")):
+        for after in ("", ".", " EUR 500", " BANK", " BIC ABCD", " OK", " CODES", " 1234 5678", " IN THE BANK OF YOUR CITY", " a"):
+            for before in ("", "IBAN ", "DE12 CDEF GHIJ "):
+                t = f"bank {before}{iban}{after}"
+                found = [t[a:z] for k, a, z, _ in pii.find_spans(t) if k == "iban"]
+                assert found == [iban], t
+    t = f"iban {be} {es} {at} OK"
+    assert [t[a:z] for k, a, z, _ in pii.find_spans(t) if k == "iban"] == [be, es, at]
+    assert not [x for x in pii.find_spans(f"iban {es[:-1]}3 BANK") if x[0] == "iban"]
+
+
 # ------------------------------------------------------------------------------------------------------ 10: benchmark
 
 
