@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.config import clamp_limit, normalized_weights
 from lodestone.functions import text as T
 from lodestone.operators import evaluate, hybrid, lexical, modes, rag, semantic
+from lodestone.plans import catalog
 from lodestone.plans import search as plans
 
 DOCS = [
@@ -203,6 +204,14 @@ def test_sources_fit_the_budget():
         assert len({s["url"].rstrip("/") for s in got}) == len(got) <= 4 and [s["id"] for s in got] == list(range(1, len(got) + 1))
 
 
+def test_live_sources_read_whole_pages(spark, tmp_path):
+    """A body behind a long head is found, and none of its script."""
+    page = "<html><head><title>T</title><script>" + "var hidden = 1;\n" * 4000 + "</script></head><body><p>the body</p></body></html>"
+    spark.createDataFrame([(0, "https://a.example/x", page)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalog.QUERIES["live_sources"](spark, str(tmp_path)).collect()
+    assert [(r.url, "the body" in r.content, "hidden" in r.content) for r in got] == [("https://a.example/x", True, False)]
+
+
 def test_metrics(spark):
     results = spark.createDataFrame([(0, "a", 1), (0, "b", 2), (0, "c", 3), (1, "x", 1)], "query_id long, document_id string, rank long")
     judged = spark.createDataFrame([(0, "a", 2), (0, "b", 1), (1, "y", 1), (2, "z", 0)], "query_id long, document_id string, grade int")
