@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,23 +20,26 @@ from pyspark.sql.types import StructType
 
 #: Bounds of one Arrow batch on its way to Python; one row may be larger.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
-#: Entries that a worker's word cache holds before it starts anew.
+#: Pieces of text that a worker's cache holds before it starts anew.
 CACHE_WORDS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests, where it is unset, a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (as in tests) gets a
+    temporary one; on a cluster that would be a folder of the driver alone, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         path = context.getCheckpointDir()
     return path.rstrip("/")
 
 
-#: Lists that collect the paths of stored tables; the innermost begun() has the last.
-_BEGUN: list[list[str]] = []
+#: The list that collects the paths of stored tables, inside begun().
+_BEGUN: ContextVar[list[str] | None] = ContextVar("begun", default=None)
 
 
 def _place(spark: SparkSession, path: str):
@@ -48,19 +55,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     place, fs = _place(spark, path)
     fs.deleteOnExit(place)
-    if _BEGUN:
-        _BEGUN[-1].append(path)
+    if (begun_here := _BEGUN.get()) is not None:
+        begun_here.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def begun() -> Iterator[list[str]]:
-    """Collects the paths of the tables that are stored meanwhile."""
-    _BEGUN.append([])
+    """Collects the paths of the tables that this thread stores meanwhile; those that are left in the list go on to the list around it."""
+    outer = _BEGUN.get()
+    token = _BEGUN.set(tables := [])
     try:
-        yield _BEGUN[-1]
+        yield tables
     finally:
-        _BEGUN.pop()
+        _BEGUN.reset(token)
+        if outer is not None:
+            outer.extend(tables)
 
 
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
@@ -72,11 +82,23 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker gets at once by bytes and not by rows alone, as texts may be long."""
+    """Bounds what a Python worker gets at once by bytes and not by rows alone, as texts may be long. These are settings of the
+    session, which Spark reads when it plans an action; they only bound the size of batches, never what comes out."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Names for columns that df doesn't have yet, one for each stem; upper and lower case count as the same."""
+    taken, names = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    return names
+
+
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """df's schema with more fields at its end."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
@@ -91,17 +113,45 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-class WordHashes(dict):
-    """bytes -> 64-bit hash, kept for words seen lately."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: A-Z in lower case, every other byte as it is.
+LOWER = bytes(range(256)).lower()
+
+
+class Words(NamedTuple):
+    """The words of some texts: the distinct ones, of each word in order which of them it is, and how many each text has."""
+
+    distinct: np.ndarray
+    codes: np.ndarray
+    counts: np.ndarray
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes of all words in order."""
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.distinct), np.uint64, len(self.distinct))[self.codes]
+
+
+def split_words(column: pa.Array | pa.ChunkedArray | list[bytes], table: bytes | None = LOWER) -> Words:
+    """Words between ASCII white space, after each byte went through table, if any, which must map ASCII to ASCII and leave the
+    rest. A null is a text without words. Python handles each distinct word only once."""
+    if isinstance(column, list):
+        column = pa.array(column, pa.binary())
+    elif isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = pc.fill_null(column.cast(pa.binary()), b"")
+    _, offsets, data = column.buffers()
+    if table and data:
+        data = pa.py_buffer(data.to_pybytes().translate(table))
+    column = pa.Array.from_buffers(pa.string(), len(column), [None, offsets, data], 0, column.offset)
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(column))
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # a text without words is split into one empty word
+    if len(nothing := np.flatnonzero(distinct == b"")):
+        starts = np.cumsum(counts) - counts
+        counts[codes[starts] == nothing[0]] = 0
+        codes = codes[codes != nothing[0]]
+    return Words(distinct, codes, counts)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .blocks import answer, answered, pack_keys, send_keys, unpack_keys, with_blocks
-from .common import WordHashes, bound_batches, joined_hashes, stored, texts
+from .common import bound_batches, joined_hashes, split_words, stored
 from .components import connected_components
 
 SHINGLE = 5
@@ -36,13 +36,17 @@ RARITY_BITS, SET_BITS = 40, 48
 #: Stars at most before the remaining pairs are all verified, and how many pairs a set that pays another star.
 STARS, PAYS = 2, 4
 
-_HASHES = WordHashes()
 
-
-def shingle_set(raw: bytes) -> np.ndarray:
-    """Sorted distinct hashes; a text of fewer words has its whole sequence as one; without words it is empty."""
-    h = _HASHES.of(raw.lower().split())
-    return np.unique(joined_hashes(h, min(SHINGLE, len(h)))) if len(h) else h
+def shingle_sets(texts_of: pa.ChunkedArray | list[bytes]) -> list[np.ndarray]:
+    """Each text's set as sorted distinct hashes; a text of fewer words has its whole sequence as one; without words it is empty."""
+    split = split_words(texts_of)
+    h, ends = split.hashes(), np.cumsum(split.counts).tolist()
+    grams, out, a = joined_hashes(h, SHINGLE), [], 0
+    for z in ends:
+        n = z - a
+        out.append(np.unique(grams[a : z - SHINGLE + 1] if n >= SHINGLE else joined_hashes(h[a:z], n)) if n else h[:0])
+        a = z
+    return out
 
 
 def _top(h: np.ndarray, bits: int) -> np.ndarray:
@@ -55,7 +59,7 @@ def least_overlap(n: int) -> int:
 
 
 def _block_shingles(values: dict[str, list], raw: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-    every = np.sort(np.concatenate([np.unique(_top(shingle_set(t), RARITY_BITS)) for t in raw]))
+    every = np.sort(np.concatenate([np.unique(_top(x, RARITY_BITS)) for x in shingle_sets(raw)]))
     starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.empty(0, np.int64)
     return every[starts], [np.diff(np.append(starts, len(every)))]
 
@@ -77,7 +81,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def sets(_: tuple, texts_of: pa.Table, counted: pa.Table) -> pa.Table:
-        own = [shingle_set(t) for t in texts(texts_of.column("t"))]
+        own = shingle_sets(texts_of.column("t")) if texts_of.num_rows else []
         keys = np.unique(_top(np.concatenate(own), RARITY_BITS)) if own else np.empty(0, np.uint64)
         level = answered(counted)[0] if counted.num_rows else np.empty(0, np.int64)
         out: list[tuple] = []

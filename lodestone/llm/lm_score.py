@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import answer, answered, send_keys, with_blocks
-from .common import WordHashes, mixed, texts
+from .common import mixed, split_words, texts
 
 #: crc32 of the id as text, mod FOLDS: TEST is not learned from, FOLD learns the weights.
 FOLDS, TEST, FOLD = 7, 2, 5
@@ -35,16 +35,13 @@ END = np.uint64(0xE4D0_F7E8_7000_0001)
 STEPS = 8
 EM_ROUNDS, LEAST_WEIGHT = 60, 1e-5
 
-_HASHES = WordHashes()
-
 
 def token_keys(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts one after the other: keys of the tokens (words, A-Z lower-cased, then one end), keys of the bigrams that end
     in them, and the number of tokens of each text. Keys are even hashes, 4 apart: the bits below tell unigrams from
     bigrams and, while counting, hold a role."""
-    split = [t.lower().split() for t in raw]
-    n = np.fromiter(map(len, split), np.int64, len(split)) + 1
-    words = _HASHES.of([w for ws in split for w in ws])
+    split = split_words(raw)
+    n, words = split.counts + 1, split.hashes()
     tokens = np.insert(words, np.cumsum(n - 1), END)
     before = np.concatenate(([END], tokens[:-1]))
     with np.errstate(over="ignore"):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bound_batches, joined_hashes, mixed, stored, texts, with_fields
+from .common import bound_batches, joined_hashes, mixed, split_words, stored, texts, with_fields
 
 BUCKETS = 1 << 14
 #: At most so many labelled rows (those whose ids hash lowest) fit the target model and set the cut; every fifth sets the cut.
@@ -31,14 +31,11 @@ SEED = 0x5EED
 #: A pair of one word with itself is one and the same n-gram for all words: repetition is a trait of its own.
 REPEATED = np.uint64(0x9D3F_51C7_0A6B_E245)
 
-_HASHES = WordHashes()
-
 
 def ngrams(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all texts' n-grams, text by text, and how many each text has. Words: between ASCII white space, A-Z lower-cased."""
-    split = [t.lower().split() for t in raw]
-    n = np.fromiter(map(len, split), np.int64, len(split))
-    h = _HASHES.of([w for ws in split for w in ws])
+    split = split_words(raw)
+    n, h = split.counts, split.hashes()
     pairs = joined_hashes(h, 2)
     pairs[h[1:] == h[:-1]] = REPEATED
     within = np.ones(len(pairs), bool)
