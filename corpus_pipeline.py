@@ -5,61 +5,38 @@ one's docs. All but the last return the columns of documents; the last adds toke
 classifier, then all but one of equal texts (the largest doc_id stays), then all but one of each component of near copies
 (the smallest stays), then those with a window of the benchmark.
 
-As a stage's result is written before the next one begins, the tables that a stage stored on its way go when the next begins.
+run() deletes what a stage stored on its way, and what the stage before it returned, once the stage's result is written. A stage
+that is called by itself leaves its stored tables until the application ends.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.byte_bpe import encode_documents
-from lodestone.llm.common import begun, drop_tables, shared_dir
+from lodestone.llm.common import begun, drop_tables, stored
 from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.jaccard_join import dedup_near
 from lodestone.llm.quality import keep_good
 
 
-_TABLES: list[str] = []
-
-
-def stage(step: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    @wraps(step)
-    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_tables(spark, _TABLES)
-        with begun() as tables:
-            out = step(spark, docs, sf_dir)
-        _TABLES.extend(tables)
-        return out
-
-    return run_step
-
-
-@stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-@stage
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup(docs)
 
 
-@stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup_near(docs)
 
 
-@stage
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@stage
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,10 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on sf_dir's documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
-        docs = spark.read.parquet(f"{at}/{k}-{name}")
+    """All stages on sf_dir's documents, each written to the shared folder and read again. The last result's files go when the
+    application ends."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES:
+        with begun() as tables:
+            step = stage(spark, docs, sf_dir)
+        with begun() as written:
+            docs = stored(step, f"pipeline-{name}")
+        drop_tables(spark, [*tables, *before])
+        before = written
     return docs
