@@ -99,6 +99,13 @@ def unused(df: DataFrame, *stems: str) -> list[str]:
     return names
 
 
+def unused_prefix(df: DataFrame, prefix: str) -> str:
+    """prefix, longer if columns of df begin with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """df's schema with more fields at its end."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import begun, bound_batches, drop_tables, joined_hashes, split_words, stored, unused, with_fields
+from .common import begun, bound_batches, drop_tables, joined_hashes, split_words, stored, unused, unused_prefix, with_fields
 
 WINDOW, SHINGLE = 10, 5
 #: Words are ASCII letters (A-Z in lower case) and digits and everything beyond ASCII; other bytes become white space.
@@ -226,9 +226,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without those that have a window of the benchmark, columns as they were. See find_windows for nulls, empty texts and
     tables and repeated rows; each row is judged by its own text."""
-    prefix = "hit_"
-    while any(c.startswith(prefix) for c in docs.columns):
-        prefix += "_"
+    prefix = unused_prefix(docs, "hit_")
     return find_windows(docs, benchmark, text_col, prefix=prefix).filter(F.col(f"{prefix}n") == 0).select(*docs.columns)
 
 

@@ -1,11 +1,14 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed n-grams (words and pairs of successive words, in BUCKETS buckets): one of the target, fitted
-on labelled good documents, one of the raw corpus, counted over all documents. A document's importance weight is the ratio
-of its probabilities under the two. Long documents would get extreme weights, so the log ratio is taken per n-gram and
-tempered (TEMPER). The k documents with the largest log weight plus Gumbel noise are a sample of size k without
-replacement in proportion to the weights; the others are rejected. k is the number of documents whose weight is above the
-cut that best tells labelled good from labelled bad documents, on labelled rows that the target model has not seen.
+Two generative models over hashed n-grams (words and pairs of successive words, in BUCKETS buckets): one of the raw corpus,
+counted over all documents, and one of the target, fitted on labelled good documents and shrunk towards the raw one where it
+has few counts. A document's importance weight is the ratio of its probabilities under the two. Successive n-grams share words
+and all share the models' errors, so a text is weighed as at most EFFECTIVE independent n-grams of its own mix: up to that
+length the log weight is the whole log ratio, beyond it EFFECTIVE times the mean one.
+
+The k documents with the largest log weight plus Gumbel noise are a sample of size k without replacement in proportion to the
+weights; the others are rejected. Unless it is given, k is the number of documents whose weight is above the cut that
+best tells labelled good from labelled bad documents, on labelled rows that the target model has not seen.
 """
 
 from __future__ import annotations
@@ -18,21 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, joined_hashes, mixed, split_words, stored, texts, with_fields
+from .common import bound_batches, joined_hashes, mixed, split_words, stored, unused, unused_prefix, with_fields
 
 BUCKETS = 1 << 14
-#: At most so many labelled rows (those whose ids hash lowest) fit the target model and set the cut; every fifth sets the cut.
+#: At most so many labelled ids (those that hash lowest) fit the target model and set the cut; every fifth sets the cut.
 MAX_LABELLED, EVERY = 20_000, 5
-#: The log weight is TEMPER times the mean log ratio of an n-gram. Gumbel noise spreads by about 1.3.
-TEMPER = 1000.0
-#: What losing a good document counts against keeping a bad one, when the cut is set.
-GOOD_COUNTS = 3.0
+#: Independent n-grams that a text counts for at most.
+EFFECTIVE = 100
+#: What losing a good document counts against keeping a bad one, when the cut is set, and the steps of a weight that it is set in.
+GOOD_COUNTS, STEPS = 3.0, 64
 SEED = 0x5EED
 #: A pair of one word with itself is one and the same n-gram for all words: repetition is a trait of its own.
 REPEATED = np.uint64(0x9D3F_51C7_0A6B_E245)
 
 
-def ngrams(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def ngrams(raw: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all texts' n-grams, text by text, and how many each text has. Words: between ASCII white space, A-Z lower-cased."""
     split = split_words(raw)
     n, h = split.counts, split.hashes()
@@ -48,26 +51,29 @@ def ngrams(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Log ratio of every bucket."""
+    """Log ratio of every bucket, from the counts of target and raw text. The raw model adds one to each count; the target model's
+    prior is BUCKETS n-grams of raw text, so with no target text all ratios are 1."""
 
     def __init__(self, target: np.ndarray, raw: np.ndarray) -> None:
-        self.ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
+        of_raw = (raw + 1) / (raw.sum() + BUCKETS)
+        self.ratio = np.log((target + BUCKETS * of_raw) / (target.sum() + BUCKETS) / of_raw)
 
-    def log_weights(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def log_weights(self, raw: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Of each text, and its number of n-grams. A text without words has weight 1, so log weight 0."""
         grams, n = ngrams(raw)
-        sums = np.diff(np.concatenate(([0.0], np.cumsum(self.ratio[grams])))[np.concatenate(([0], np.cumsum(n)))])
-        return TEMPER * sums / np.maximum(n, 1), n
+        sums = np.bincount(np.repeat(np.arange(len(n)), n), self.ratio[grams], len(n))
+        return sums * np.minimum(n, EFFECTIVE) / np.maximum(n, 1), n
 
 
-def gumbel(ids: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """Noise that an id always gets again; rows that share an id share it."""
-    u = ((mixed(mixed(ids.astype(np.int64).view(np.uint64)) ^ np.uint64(seed)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+def gumbel(hashes: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """Noise that a 64-bit hash of an id always gets again; rows that share an id share it."""
+    u = ((mixed(mixed(hashes.astype(np.int64).view(np.uint64)) ^ np.uint64(seed)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
     return -np.log(-np.log(u))
 
 
 def labelled_sample(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """At most MAX_LABELLED rows (id, quality, fold), fold 0 for the cut; a bound that holds for any table of labels."""
+    """At most MAX_LABELLED rows (l_id, l_quality, l_fold), one for an id, fold 0 for the cut; a bound that holds for any table of
+    labels. Of an id that is labelled twice the lowest quality counts."""
     h = F.xxhash64(id_col)
     rows = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"))
     rows = rows.orderBy(h, id_col).limit(MAX_LABELLED)
@@ -84,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
         for b in batches:
-            grams, n = ngrams(texts(b.column(0)))
+            grams, n = ngrams(b.column(0))
             good = np.repeat(np.array(b.column(1).to_pylist(), bool), n)
             total[0] += np.bincount(grams, minlength=BUCKETS)
             total[1] += np.bincount(grams[good], minlength=BUCKETS)
@@ -97,33 +103,46 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(counts[1], counts[0])
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", prefix: str = "q_") -> DataFrame:
-    """docs with <prefix>n_grams, <prefix>log_weight and <prefix>key (log weight plus Gumbel noise). Columns of docs with
-    these names are replaced."""
+def scored(docs: DataFrame, labels: DataFrame, model: Model, id_col: str, text_col: str, keep: list[str], new: list[str]) -> DataFrame:
+    """Stored: docs' columns keep, and the columns new: n_grams, log_weight, key (log weight plus Gumbel noise) and label (quality, for
+    labelled rows that set the cut)."""
     bound_batches(docs.sparkSession)
-    new = [prefix + x for x in ("n_grams", "log_weight", "key")]
-    docs = docs.drop(*new)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    text, noise, l_id, l_quality, l_fold = unused(docs, "t", "noise", "l_id", "l_quality", "l_fold")
+    sample = labelled_sample(labels, id_col).toDF(l_id, l_quality, l_fold)
+    label = F.when(F.col(l_fold) == 0, F.col(l_quality))
+    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col(l_id), "left")  # at most MAX_LABELLED rows
+    rows = rows.select(*keep, label.alias(new[3]), F.xxhash64(id_col).alias(noise), F.col(text_col).cast("string").alias(text))
+    kept = [*keep, new[3]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            weights, n = shared.value.log_weights(texts(b.column(text_col)))
-            ids = np.array([x or 0 for x in b.column(id_col).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(weights), pa.array(weights + gumbel(ids))], [*b.schema.names, *new])
+            weights, n = shared.value.log_weights(b.column(text))
+            keys = weights + gumbel(b.column(noise).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(n), pa.array(weights), pa.array(keys)], [*kept, *new[:3]])
 
-    return docs.mapInArrow(run, with_fields(docs, f"`{new[0]}` long, `{new[1]}` double, `{new[2]}` double"))
+    return stored(rows.mapInArrow(run, with_fields(rows.select(*kept), f"`{new[0]}` long, `{new[1]}` double, `{new[2]}` double")), "quality-keys")
 
 
-def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
-    """The log weight from which on documents count as good; minus infinity if one of the two is missing. Between two
-    weights that serve equally it lies midway."""
-    if not len(good) or not len(bad):
+def best_cut(steps: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The weight's step from which on documents count as good: steps in ascending order, and how many good and bad rows are at
+    each. Minus infinity if either has none. Between two steps that serve equally it lies midway."""
+    if not good.sum() or not bad.sum():
         return -math.inf
-    values = np.unique(np.concatenate([good, bad]))
-    kept = 1 - np.searchsorted(np.sort(good), values) / len(good)
-    gone = np.searchsorted(np.sort(bad), values) / len(bad)
+    kept = 1 - (np.cumsum(good) - good) / good.sum()
+    gone = (np.cumsum(bad) - bad) / bad.sum()
     at = int(np.argmax(GOOD_COUNTS * kept + gone))
-    return float(values[at] if at == 0 else (values[at] + values[at - 1]) / 2)
+    return float(steps[at] if at == 0 else (steps[at] + steps[at - 1] + 1) / 2)
+
+
+def sample_size(table: DataFrame, weight: str, label: str) -> int | None:
+    """How many rows are above the cut; None without labelled rows of both kinds. The driver gets two counts for each step that a
+    weight can take: some hundred thousand at most, as a text counts for EFFECTIVE n-grams."""
+    step = F.floor(F.col(weight) * STEPS).alias("step")
+    told = table.filter(F.col(label).isNotNull()).groupBy(step).agg(F.count_if(F.col(label) == 1).alias("good"), F.count_if(F.col(label) != 1).alias("bad"))
+    rows = sorted(told.collect())
+    cut = best_cut(*(np.array([r[k] for r in rows], np.float64) for k in range(3)))
+    return None if cut == -math.inf else table.filter(F.col(weight) * STEPS >= cut).count()
 
 
 def kth_largest(values: DataFrame, name: str, k: int) -> float:
@@ -147,38 +166,31 @@ def kth_largest(values: DataFrame, name: str, k: int) -> float:
     return prefix / (1 << 20)
 
 
-def cutoff(docs: DataFrame, labels: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> float:
-    """The key from which on documents are kept: that of the k-th in the sample. Keys are compared in steps of 2**-20; rows
-    that tie with the k-th are all kept."""
-    docs = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    sample = F.broadcast(labelled_sample(labels, id_col))
-    table = scored(docs, model, id_col, text_col).select(F.col(id_col).alias("id"), "q_log_weight", "q_key").join(sample, F.col("id") == F.col("l_id"), "left")
-    table = stored(table.select("q_log_weight", "q_key", F.when(F.col("l_fold") == 0, F.col("l_quality")).alias("label")), "quality-keys")
-    told = table.filter("label IS NOT NULL").select("label", "q_log_weight").collect()  # of at most MAX_LABELLED ids
-    cut = best_cut(*(np.array([r.q_log_weight for r in told if (r.label == 1) == good]) for good in (True, False)))
-    if cut == -math.inf:
-        return cut
-    return kth_largest(table, "q_key", table.filter(F.col("q_log_weight") >= cut).count())
-
-
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with q_n_grams, q_log_weight, q_key and q_kept.
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, prefix: str = "q_", keep: list[str] | None = None) -> DataFrame:
+    """docs' columns (or those of keep) with <prefix>n_grams, <prefix>log_weight, <prefix>key and <prefix>kept. One row per input
+    row; columns of docs that have one of the new names are replaced. An empty table gives an empty result.
 
-    A null text counts as empty; a text without words has log weight 0. Without labels of both kinds nothing is rejected.
-    Of a doc labelled twice the lowest quality counts; rows that share an id are judged each by its own text.
+    k is the size of the sample; without it the labels tell. Keys are compared in steps of 2**-20; rows that tie with the k-th
+    are all kept. A null text counts as empty; a text without words has log weight 0. With neither k nor labels of both kinds
+    nothing is rejected. Rows that share an id are judged each by its own text, with the same noise; so are rows without one.
     """
-    model = fit(docs, labels, id_col, text_col)
-    least = cutoff(docs, labels, model, id_col, text_col)
-    return scored(docs, model, id_col, text_col).withColumn("q_kept", F.floor(F.col("q_key") * (1 << 20)) / (1 << 20) >= F.lit(least))
+    new = [prefix + x for x in ("n_grams", "log_weight", "key", "kept")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    (label,) = unused(docs.select(*keep), f"{prefix}label")
+    table = scored(docs, labels, fit(docs, labels, id_col, text_col), id_col, text_col, keep, [*new[:3], label])
+    k = sample_size(table, new[1], label) if k is None else k
+    least = -math.inf if k is None else kth_largest(table, new[2], k)
+    return table.select(*keep, *new[:3], (F.floor(F.col(new[2]) * (1 << 20)) / (1 << 20) >= F.lit(least)).alias(new[3]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rejected ones, columns as they were."""
-    return classify(docs, labels).filter("q_kept").select(*docs.columns)
+    """docs without the rejected ones, columns as they were; see classify."""
+    prefix = unused_prefix(docs, "q_")
+    return classify(docs, labels, prefix=prefix).filter(F.col(f"{prefix}kept")).select(*docs.columns)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight, key and whether it is kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id"])
     return found.select("doc_id", F.col("q_n_grams").alias("n_grams"), F.col("q_log_weight").alias("log_weight"), F.col("q_key").alias("sample_key"), F.col("q_kept").alias("kept"))
