@@ -1,49 +1,48 @@
 """Token ids in compressed shard files, by Re-Pair.
 
 A shard holds whole documents' ids one after the other. Re-Pair replaces frequent pairs of successive symbols by new
-symbols (nonterminals) and repeats this on what results; here a round takes the most frequent pairs together, so that
-it is a few sorted passes over arrays. A shard stores its rules, the length that every nonterminal expands to, and the
-last sequence, so any range of ids is read by expanding only the symbols that overlap it.
-
-A shard file is a row of a Parquet table, which any store that Spark reaches can hold. Its payload, little-endian:
-magic "LRP1", then uint32 first (ids below it stand for themselves), n_rules, n_symbols, width (2 or 4 bytes a symbol);
-then 2 * n_rules symbols (the rules), n_rules uint32 (expansion lengths) and n_symbols symbols (the sequence).
+symbols (nonterminals) and repeats this on what results until no pair is frequent; here a round takes the more frequent half of
+the frequent pairs together, so that it is a few passes over arrays. A shard stores its rules, the length that every
+nonterminal expands to, and the last sequence, so any range of ids is read by expanding only the symbols that overlap it.
+
+A shard file is a row of a Parquet table, which any store that Spark reaches can hold. Its payload, little-endian: magic
+"LRP2", then uint32 n_ids (symbols below it stand for the ids of the alphabet), n_rules, n_symbols, wide (1: a symbol has 4 bytes,
+else 2); then n_ids uint32 (the alphabet), 2 * n_rules symbols (the rules), n_rules uint32 (expansion lengths) and n_symbols
+symbols (the sequence).
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stored, texts
+from .common import bound_batches, split_words, stored
 
-MAGIC = b"LRP1"
+MAGIC = b"LRP2"
 #: Ids in a shard, but for its last document, which is whole.
 SHARD_IDS = 1 << 20
-#: Rounds of replacement, and the least count of a pair that gets a rule (two symbols and a length must pay off).
-ROUNDS, LEAST_COUNT = 4, 6
-#: Stretches, and parts of them, whose ids a worker keeps, some 150 bytes each.
-CACHE_STRETCHES, CACHE_PARTS = 1_000_000, 1_000_000
-#: Plain letters between plain signs: neither composes or changes with its neighbours, and no sign begins a special token.
-PLAIN = re.compile(rb"([\"(\[*#%$&!]*)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:%*#$&)\]\"|]*)")
-#: Pairs of one round are counted by this many bits of their hash at first; those of one bucket are then told apart.
+#: The least count of a pair that gets a rule (two symbols and a length must pay off).
+LEAST_COUNT = 6
+#: Words whose ids a worker keeps, some 150 bytes each.
+CACHE_WORDS = 1_000_000
+#: Signs that may stand before and after plain letters: neither composes or changes with its neighbours, and none begins a special
+#: token. Plain letters are ASCII and Latin-1 ones.
+BEFORE, AFTER, LETTERS = '"([*#%$&!', '.,!?;:%*#$&)]"|', "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+#: A round finds its pairs by this many bits of their hash.
 SLOT_BITS = 20
 
 
-def _key(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
-    kind = np.uint32 if width == 2 else np.uint64
-    return (a.astype(kind) << kind(8 * width)) | b.astype(kind)
-
-
 def _slots(keys: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         if keys.dtype == np.uint32:
@@ -51,51 +50,90 @@ def _slots(keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
 
 
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, sorted, and each id as its place among them."""
+    if len(ids) and ids.max() < 1 << 22:
+        there = np.zeros(int(ids.max()) + 1, bool)
+        there[ids] = True
+        return np.flatnonzero(there), (np.cumsum(there, dtype=np.uint32) - 1)[ids].astype(np.uint32)
+    alphabet, seq = np.unique(ids, return_inverse=True)
+    return alphabet, seq.astype(np.uint32)
+
+
+def _every_other(at: np.ndarray) -> np.ndarray:
+    """Of places in a row, which overlap, every other one from the first on: a mask."""
+    starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    odd = np.zeros(len(at), np.uint8)
+    odd[1::2] = 1
+    return odd == np.repeat(odd[starts], np.diff(starts, append=len(at)))
+
+
 def compress(ids: np.ndarray) -> bytes:
-    """A shard's payload."""
-    first = int(ids.max()) + 1 if len(ids) else 0
-    width = 2 if first <= 60_000 else 4
-    room = (1 << 16) - first if width == 2 else 1 << 16
-    seq = ids.astype(np.uint16 if width == 2 else np.uint32)
-    rules, lengths = [], np.ones(first, np.uint32)
-    for left in range(ROUNDS, 0, -1):
-        if len(seq) < 2:
-            break
-        keys = _key(seq[:-1], seq[1:], width)
+    """A shard's payload. Ends when no pair stands LEAST_COUNT times where it could be replaced."""
+    alphabet, seq = _numbered(ids)
+    symbols, rules = len(alphabet), []
+    # places whose pair may be frequent (a pair that isn't becomes so by new symbols only); None: all
+    live = None
+    while len(seq) > 1:
+        half = 16 if symbols <= 1 << 16 else 32
+        kind = np.uint32 if half == 16 else np.uint64
+        left, right = (seq[:-1], seq[1:]) if live is None else (seq.take(live), seq[1:].take(live))
+        keys = left.astype(kind)
+        keys <<= kind(half)
+        keys |= right
         ordered = np.sort(keys)
-        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(starts, len(ordered)))
-        often = counts >= LEAST_COUNT
+        starts = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]))
+        counts = np.diff(starts, append=len(ordered))
+        often = np.flatnonzero(counts >= LEAST_COUNT)
         pairs, counts = ordered[starts[often]], counts[often]
-        if len(pairs) > (most := room // left):
-            best = np.argsort(-counts, kind="stable")[:most]
-            pairs, counts = pairs[best], counts[best]
-        # one pair a slot: of pairs that share one, the most frequent gets its rule in this round, the others in a later one
-        slots = _slots(pairs)
-        by = np.lexsort((-counts, slots))
-        pairs = pairs[by][np.concatenate(([True], np.diff(slots[by].astype(np.int64)) != 0))] if len(by) else pairs
         if not len(pairs):
             break
-        table = np.full(1 << SLOT_BITS, -1, np.int32)
-        table[_slots(pairs)] = np.arange(len(pairs))
-        rule = table[_slots(keys)]
-        at = np.flatnonzero(rule >= 0)
-        at = at[pairs[rule[at]] == keys[at]]
-        # of overlapping places in a row every other one
-        run = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(at) != 1)), np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run) % 2 == 0]
-        symbols = len(lengths) + np.arange(len(pairs))
-        seq[at] = symbols[rule[at]].astype(seq.dtype)
-        keep = np.ones(len(seq), bool)
+        # one pair a slot, the most frequent; others that share it, or are in the less frequent half, wait for a later round
+        slot = np.full(1 << SLOT_BITS, -1, np.int32)
+        order = np.argsort(counts, kind="stable")
+        slot[_slots(pairs[order])] = order
+        pair = slot.take(_slots(keys))
+        some = np.flatnonzero(pair >= 0)
+        live, pair, keys = some if live is None else live.take(some), pair.take(some), keys.take(some)
+        now = np.flatnonzero((pairs.take(pair) == keys) & (counts >= np.median(counts)).take(pair))
+        at, pair = live.take(now), pair.take(now)
+        free = np.flatnonzero(_every_other(at))
+        at, pair = at.take(free), pair.take(free)
+        # overlaps may have left a pair with too few places
+        pays = np.bincount(pair, minlength=len(pairs)) >= (LEAST_COUNT + 1) // 2
+        if not pays.all():
+            free = np.flatnonzero(pays.take(pair))
+            at, pair = at.take(free), pair.take(free)
+        if not len(at):
+            break
+        rules.append(np.stack([pairs[pays] >> kind(half), pairs[pays] & kind((1 << half) - 1)], 1).astype(np.uint32))
+        seq[at] = (symbols - 1 + np.cumsum(pays, dtype=np.uint32)).take(pair)
+        symbols += int(pays.sum())
+        alive, keep = np.zeros(len(seq), bool), np.ones(len(seq), bool)
+        alive[live] = True
+        alive[at] = True
+        alive[at - (at > 0)] = True
         keep[at + 1] = False
+        alive = alive[keep]
         seq = seq[keep]
-        low = pairs.dtype.type((1 << (8 * width)) - 1)
-        a, b = (pairs >> pairs.dtype.type(8 * width)).astype(np.int64), (pairs & low).astype(np.int64)
-        rules.append(np.stack([a, b], 1))
-        lengths = np.concatenate([lengths, lengths[a] + lengths[b]])
-        room -= len(pairs)
-    flat = (np.concatenate(rules) if rules else np.empty((0, 2), np.int64)).astype(seq.dtype)
-    return MAGIC + struct.pack("<4I", first, len(flat), len(seq), width) + flat.tobytes() + lengths[first:].astype("<u4").tobytes() + seq.tobytes()
+        live = np.flatnonzero(alive[:-1])
+        if not len(live):
+            break
+    kind, flat = np.dtype("<u4" if symbols > 1 << 16 else "<u2"), np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
+    lengths, done = np.ones(symbols, np.uint32), len(alphabet)
+    for rule in rules:
+        lengths[done : done + len(rule)] = lengths[rule].sum(1)
+        done += len(rule)
+    head = struct.pack("<4I", len(alphabet), len(flat), len(seq), kind.itemsize == 4)
+    return b"".join([MAGIC, head, alphabet.astype("<u4").tobytes(), flat.astype(kind).tobytes(), lengths[len(alphabet) :].astype("<u4").tobytes(), seq.astype(kind).tobytes()])
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat[start : start + length] of each, one after the other, and the lengths."""
+    ends = np.cumsum(lengths)
+    places = np.repeat(starts - ends + lengths, lengths)
+    places += np.arange(len(places))
+    return flat.take(places), lengths
 
 
 class Shard:
@@ -104,20 +142,28 @@ class Shard:
     def __init__(self, payload: bytes) -> None:
         if payload[:4] != MAGIC:
             raise ValueError("not a shard")
-        self.first, n, m, width = struct.unpack_from("<4I", payload, 4)
-        kind, at = np.dtype("<u2" if width == 2 else "<u4"), 20
-        self.rules = np.frombuffer(payload, kind, 2 * n, at).reshape(n, 2)
-        self.lengths = np.frombuffer(payload, "<u4", n, at := at + 2 * n * width)
+        self.first, n, m, wide = struct.unpack_from("<4I", payload, 4)
+        kind, at = np.dtype("<u4" if wide else "<u2"), 20
+        self.alphabet = np.frombuffer(payload, "<u4", self.first, at)
+        self.rules = np.frombuffer(payload, kind, 2 * n, at := at + 4 * self.first).reshape(n, 2)
+        self.lengths = np.frombuffer(payload, "<u4", n, at := at + 2 * n * kind.itemsize)
         self.seq = np.frombuffer(payload, kind, m, at + 4 * n)
+        self._flat: np.ndarray | None = None
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
-        while len(where := np.flatnonzero(seq >= self.first)):
-            pairs = self.rules[seq[where].astype(np.int64) - self.first]
-            at = where + np.arange(len(where))
-            out = np.repeat(seq, np.where(seq >= self.first, 2, 1))
-            out[at], out[at + 1] = pairs[:, 0], pairs[:, 1]
-            seq = out
-        return seq.astype(np.uint32)
+        """The ids of symbols: every rule's expansion is made once, then all symbols are looked up together."""
+        if self._flat is None:
+            own = self.rules.reshape(-1)
+            while len(where := np.flatnonzero(own >= self.first)):
+                pairs = self.rules[own[where].astype(np.int64) - self.first]
+                at = where + np.arange(len(where))
+                out = np.repeat(own, np.where(own >= self.first, 2, 1))
+                out[at], out[at + 1] = pairs[:, 0], pairs[:, 1]
+                own = out
+            self._flat = np.concatenate([self.alphabet, self.alphabet[own]])
+            self._sizes = np.concatenate([np.ones(self.first, np.int64), self.lengths.astype(np.int64)])
+            self._starts = np.cumsum(self._sizes) - self._sizes
+        return _gathered(self._flat, self._starts.take(seq), self._sizes.take(seq))[0]
 
     def _ends(self) -> np.ndarray:
         sizes = np.ones(len(self.seq), np.int64)
@@ -138,25 +184,20 @@ class Shard:
         return self._expand(self.seq[a:z])[start - before : end - before]
 
 
-class _Index(dict):
-    """Numbers words as they come; new has those that were numbered last."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        i = self[word] = len(self)
-        self.new.append(word)
-        return i
+def _byte_letters() -> str:
+    """The character by which a byte-level vocabulary writes each byte: printable Latin-1 as it is, the others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in own else next(others)) for b in range(256))
 
 
 class WordIds:
     """The ids of texts by the tokenizers library, kept by stretches between ASCII white space, and by the parts of a stretch.
 
-    This gives what encoding the whole text gives if the tokenizer drops white space, folds case and takes runs of letters apart from
-    runs of signs, as the tests hold for the files in use. A stretch of plain letters (ASCII and Latin-1) between plain signs is
-    made of its parts, the letters in lower case; any other stretch goes to the library as it is.
+    This gives what encoding the whole text gives if the tokenizer drops white space, folds case after composing characters, takes
+    runs of letters apart from runs of signs and writes bytes by a byte-level alphabet, as the tests hold for the files in use. A
+    stretch between ASCII white space that is plain letters between plain signs is made of these three parts, the letters in
+    lower case, which go to the library's model; any other stretch goes to the library as it is.
     """
 
     def __init__(self, path: str) -> None:
@@ -164,61 +205,67 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.reset()
 
     def reset(self) -> None:
-        self.at, self.known = _Index(), 0
-        self.flat, self.starts, self.lengths, self.used = np.empty(1 << 16, np.uint32), np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), 0
+        self.at: dict[bytes, int] = {b"": 0}
+        self.flat, self.starts, self.lengths, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
 
-    def _add(self, ids: list[bytes]) -> None:
-        """The ids of the next words in the index's order."""
+    def _add(self, ids: list[bytes], known: int) -> None:
+        """The ids of the next words, of which so many are known."""
         flat = np.frombuffer(b"".join(ids), np.uint32)
-        n, lengths = self.known, np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        while n + len(ids) > len(self.starts):
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        while known + len(ids) > len(self.starts):
             self.starts, self.lengths = np.concatenate([self.starts, self.starts]), np.concatenate([self.lengths, self.lengths])
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat])
-        self.lengths[n : n + len(ids)], self.starts[n : n + len(ids)] = lengths, self.used + np.cumsum(lengths) - lengths
+        new = slice(known, known + len(ids))
+        self.lengths[new], self.starts[new] = lengths, self.used + np.cumsum(lengths) - lengths
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.known += len(ids)
-
-    def _learn(self, words: list[bytes]) -> None:
-        parts = self.parts
-        if len(parts) > CACHE_PARTS:
-            parts.clear()
-        parts[b""] = b""
-        split = []
-        for w in words:
-            m = PLAIN.fullmatch(w)
-            if m is None:
-                split.append((w, b"", b""))
-            else:
-                before, core, after = m.groups()
-                split.append((before, core.lower() if core.isascii() else core.decode().lower().encode(), after))
-        new = list(dict.fromkeys([p for ps in split for p in ps if p not in parts]))
-        for p, e in zip(new, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False), strict=True):
-            parts[p] = np.array(e.ids, np.uint32).tobytes()
-        self._add([parts[a] + parts[b] + parts[c] for a, b, c in split])
-
-    def encode(self, raw: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+
+    def _numbers(self, words: list[bytes], whole: bool) -> np.ndarray:
+        """The words' numbers in the table of ids; new ones go to the library, as a whole or to its model alone."""
+        at, known = self.at, len(self.at)
+        index = np.fromiter([at.setdefault(w, len(at)) for w in words], np.int64, len(words))
+        if len(at) > known and whole:
+            new = [w.decode("utf-8", "replace") for w in islice(at, known, None)]
+            self._add([array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)], known)
+        elif len(at) > known:
+            new = [w.decode("latin-1").translate(self.letters) for w in islice(at, known, None)]
+            self._add([array("I", [t.id for t in self.model.tokenize(w)]).tobytes() for w in new], known)
+        return index
+
+    def _ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by their numbers, one after the other, and how many each has."""
+        return _gathered(self.flat, self.starts.take(numbers), self.lengths.take(numbers))
+
+    def encode(self, column: pa.Array | list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by end, and how many each has."""
-        if len(self.at) > CACHE_STRETCHES:
+        if len(self.at) > CACHE_WORDS:
             self.reset()
-        split = [t.split() for t in raw]
-        words = [w for ws in split for w in ws]
-        index = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        if self.at.new:
-            self._learn(self.at.new)
-            self.at.new = []
-        lengths = self.lengths[index]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.repeat(self.starts[index] - ends + lengths, lengths) + np.arange(total)]
-        borders = np.cumsum([len(ws) for ws in split])
-        text_ends = np.concatenate(([0], ends))[borders] if len(split) else np.empty(0, np.int64)
-        return np.insert(flat, text_ends, np.uint32(end)), np.diff(np.concatenate(([0], text_ends))) + 1
+        split = split_words(column, None)
+        raw, stretches = split.distinct, pa.array(split.distinct, pa.binary()).cast(pa.string())
+        right = pc.ascii_ltrim(stretches, characters=BEFORE)
+        core = pc.ascii_rtrim(right, characters=AFTER)
+        plain = pc.match_substring_regex(core, LETTERS)
+        n, n_right, n_core = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (stretches, right, core))
+        # three words of each stretch: the signs before, the letters, the signs after; of one that isn't plain the middle one is all
+        words = np.zeros((len(raw), 3), np.int64)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        odd, even = np.flatnonzero(~is_plain), np.flatnonzero(is_plain)
+        before, after = even[n_right[even] < n[even]], even[n_core[even] < n_right[even]]
+        words[odd, 1] = self._numbers(raw[odd].tolist(), True)
+        words[even, 1] = self._numbers(pc.utf8_lower(core.filter(plain)).cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), False)
+        words[before, 0] = self._numbers([w[:k] for w, k in zip(raw[before], (n - n_right)[before].tolist(), strict=True)], False)
+        words[after, 2] = self._numbers([w[-k:] for w, k in zip(raw[after], (n_right - n_core)[after].tolist(), strict=True)], False)
+        ids, lengths = self._ids(words.reshape(-1))
+        lengths = lengths.reshape(-1, 3).sum(1)
+        flat, sizes = _gathered(ids, (np.cumsum(lengths) - lengths).take(split.codes), lengths.take(split.codes))
+        text_ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(split.counts)]
+        return np.insert(flat, text_ends, np.uint32(end)), np.diff(text_ends, prepend=0) + 1
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -250,7 +297,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, id_col: str = "do
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["part", "shard", "before", "n_ids", "doc_ids", "n_tokens", "payload"])
 
         for b in batches:
-            flat, counts = words.encode(texts(b.column(1)), end_id)
+            flat, counts = words.encode(b.column(1), end_id)
             doc_ids, ends, i = b.column(0).to_pylist(), np.cumsum(counts), 0
             while i < len(counts):
                 start = int(ends[i - 1]) if i else 0
