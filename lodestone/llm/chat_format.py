@@ -4,10 +4,10 @@ A turn is formatted as "### role: text</turn>\n". Inside roles and texts a backs
 (in roles before every colon too), so no control string can occur there, and dropping one backslash of each pair gives
 the text back.
 
-Every assistant turn becomes an example of its own: all turns before it are context, and only its text is trainable. A
-conversation of k turns has up to k such contexts, each a prefix of the next. They are therefore kept once: a piece for
-each turn with its place in the conversation's formatted text, and an example as a range of that text. example_texts()
-writes the contexts out.
+Every assistant turn becomes an example of its own, a row beside the rows of the turns: all turns before it are context, and only
+its text is trainable. A conversation of k turns has up to k such contexts, each a prefix of the next. The text is therefore
+kept once: a piece for each turn with its place in the conversation's formatted text, and an example as ranges of that text.
+example_texts() writes the contexts out.
 """
 
 from __future__ import annotations
@@ -61,78 +61,117 @@ def _head() -> Column:
 
 
 def expand(pieces: DataFrame, trained: str = "assistant") -> DataFrame:
-    """pieces with a column example: for each turn of the trained role the example that it ends, else null. An example is
-    context_end (its context is the conversation's formatted text up to there: all preceding turns and its own head),
-    loss_start and loss_end (the range under the loss mask: that reply's text and nothing else). A reply with an empty
-    text has an empty range."""
+    """One row for each turn, and one more for each example: conv_id, index (the turn's, which an example ends with), piece (of turns;
+    null in examples), and of examples context_end (the context is the conversation's formatted text up to there: all preceding turns
+    and the reply's own head), loss_start and loss_end (the range under the loss mask: that reply's text and nothing else).
+
+    Every turn of the trained role gives an example. A reply with an empty text has an empty range; a reply that comes first has its
+    own head as context. An empty table gives an empty one.
+    """
     reply = F.col("start") + F.length(_head())
-    example = F.struct(reply.alias("context_end"), reply.alias("loss_start"), (F.col("end") - len(END)).alias("loss_end"))
-    return pieces.withColumn("example", F.when(F.col("role") == trained, example))
+    none = F.lit(None).cast("long")
+    turn = F.struct("piece", none.alias("context_end"), none.alias("loss_start"), none.alias("loss_end"))
+    example = F.struct(F.lit(None).cast("string").alias("piece"), reply.alias("context_end"), reply.alias("loss_start"), (F.col("end") - len(END)).alias("loss_end"))
+    return pieces.select("conv_id", "index", F.inline(F.when(F.col("role") == trained, F.array(turn, example)).otherwise(F.array(turn))))
+
+
+def _in_order(expanded: DataFrame) -> DataFrame:
+    """A conversation's turns in order, each followed by its example."""
+    return expanded.select("conv_id", "index", "piece", "context_end", "loss_start", "loss_end").sortWithinPartitions("conv_id", "index", F.col("context_end").asc_nulls_first())
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
 
 def example_texts(expanded: DataFrame) -> DataFrame:
     """The examples written out: conv_id, example (the index of the reply), context and target. Reads each conversation
     once, in order; what it writes is the sum of all contexts, which is the square of a conversation's length."""
     bound_batches(expanded.sparkSession)
-    a, z = F.col("example.loss_start") - F.col("start"), F.col("example.loss_end") - F.col("start")
-    rows = expanded.select("conv_id", "index", "piece", a.alias("a"), z.alias("z")).repartition("conv_id").sortWithinPartitions("conv_id", "index")
     kind = expanded.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, before = object(), []
+        conv, before, size = object(), [], 0
         for b in batches:
-            for own, index, piece, a, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for own, index, piece, end, a, z in _streamed([b]):
                 if own != conv:
-                    conv, before = own, []
-                if a is not None:
-                    cells = [[own], [index], ["".join(before) + piece[:a]], [piece[a:z]]]
-                    kinds = (b.schema.field("conv_id").type, pa.int64(), pa.string(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["conv_id", "example", "context", "target"])
-                before.append(piece)
-
-    return rows.mapInArrow(run, f"conv_id {kind}, example long, context string, target string")
+                    conv, before, size = own, [], 0
+                if piece is not None:
+                    before.append(piece)
+                    size += len(piece)
+                    continue
+                start = size - len(before[-1])
+                cells = [[own], [index], ["".join([*before[:-1], before[-1][: end - start]])], [before[-1][a - start : z - start]]]
+                kinds = (b.schema.field("conv_id").type, pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["conv_id", "example", "context", "target"])
+
+    return _in_order(expanded.repartition("conv_id")).mapInArrow(run, f"conv_id {kind}, example long, context string, target string")
+
+
+class _Conversation:
+    """What is known of a conversation after some of its turns and examples."""
+
+    def __init__(self, conv_id: object) -> None:
+        self.id, self.turns, self.chars, self.examples, self.loss_chars, self.last = conv_id, 0, 0, 0, 0, ""
+        self.said, self.loss, self.text, self.contexts = (hashlib.sha256() for _ in range(4))
+
+    def turn(self, piece: str) -> None:
+        self.text.update(self.last.encode())
+        role, text = map(unescape, PIECE.fullmatch(piece).groups())
+        self.said.update(f"{role}\n{text}\n".encode())
+        self.turns, self.chars, self.last = self.turns + 1, self.chars + len(piece), piece
+
+    def example(self, context_end: int, a: int, z: int) -> None:
+        start = self.chars - len(self.last)
+        if not start < context_end == a <= z <= self.chars - len(END):
+            raise ValueError(f"conversation {self.id}: an example's ranges don't end in its last turn")
+        context = self.text.copy()
+        context.update(self.last[: context_end - start].encode())
+        self.contexts.update(context.hexdigest().encode())
+        loss = unescape(self.last[a - start : z - start])
+        self.loss.update(loss.encode())
+        self.examples, self.loss_chars = self.examples + 1, self.loss_chars + len(loss)
+
+    def row(self) -> tuple:
+        return self.id, self.turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.examples, self.contexts.hexdigest()
 
 
 def read_back(expanded: DataFrame) -> DataFrame:
     """What the formatted conversations hold, parsed from the pieces and the examples' ranges alone: conv_id, n_turns,
-    turns_sha256, loss_chars, loss_sha256, formatted_chars. Conversations stream by, so a long one takes no memory."""
+    turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples and contexts_sha256 (of the examples' contexts' hexadecimal
+    SHA-256 one after the other). Loss and contexts come from the example rows. Conversations stream by in order, so a long one
+    takes no memory; as its digests are over its whole text, it is one task's work."""
     bound_batches(expanded.sparkSession)
     kind = expanded.schema["conv_id"].dataType.simpleString()
-    rows = expanded.select("conv_id", "index", "piece", F.col("example.loss_start").alias("a"), F.col("example.loss_end").alias("z")).sortWithinPartitions("conv_id", "index")
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples", "contexts_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
-        conv: list | None = None
+        conv: _Conversation | None = None
 
         def flush(kind: pa.DataType) -> pa.RecordBatch:
-            cols = list(zip(*done, strict=True)) or [()] * 6
+            cols = list(zip(*done, strict=True)) or [()] * len(names)
             done.clear()
-            kinds = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-        def close() -> None:
-            if conv:
-                done.append((conv[0], conv[1], conv[2].hexdigest(), conv[3], conv[4].hexdigest(), conv[5]))
+            kinds = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
         for b in batches:
-            for own, piece, a, z in zip(*(b.column(n).to_pylist() for n in ("conv_id", "piece", "a", "z")), strict=True):
-                if conv is None or conv[0] != own:
-                    close()
-                    conv = [own, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = map(unescape, PIECE.fullmatch(piece).groups())
-                conv[1] += 1
-                conv[2].update(f"{role}\n{text}\n".encode())
-                if a is not None:
-                    loss = unescape(piece[a - conv[5] : z - conv[5]])
-                    conv[3] += len(loss)
-                    conv[4].update(loss.encode())
-                conv[5] += len(piece)
+            for own, _, piece, end, a, z in _streamed([b]):
+                if conv is None or conv.id != own:
+                    if conv:
+                        done.append(conv.row())
+                    conv = _Conversation(own)
+                if piece is not None:
+                    conv.turn(piece)
+                else:
+                    conv.example(end, a, z)
             yield flush(b.schema.field("conv_id").type)
-        close()
-        if done:
+        if conv:
+            done.append(conv.row())
             yield flush(b.schema.field("conv_id").type)
 
-    return rows.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _in_order(expanded).mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, contexts_sha256 string")
 
 
 #: Control strings in texts, added to what op8 formats; its contract fixes it.
@@ -151,10 +190,13 @@ ORACLE = {
     "op8_chat_format": rf"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT {PLANTED[0]}, i, r, '{PLANTED[1]}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r))
+  UNION ALL SELECT {PLANTED[0]}, i, r, '{PLANTED[1]}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+p AS (SELECT *, '{HEAD}' || {_ESC.format("role", ":")} || '{MIDDLE}' AS head, {_ESC.format("text", "")} || '</turn>' || chr(10) AS rest FROM t),
+c AS (SELECT *, sha256(coalesce(string_agg(head || rest, '') OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || head) AS context FROM p)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length({_ESC.format("role", ":")}) + length({_ESC.format("text", "")}) + {len(HEAD + MIDDLE + END)})::BIGINT AS formatted_chars
-FROM t GROUP BY conv_id"""
+  sum(length(head) + length(rest))::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples,
+  sha256(coalesce(string_agg(context, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS contexts_sha256
+FROM c GROUP BY conv_id"""
 }

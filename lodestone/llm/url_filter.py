@@ -1,14 +1,17 @@
-"""URL filtering by listed hosts, path prefixes and canonical URLs, in DataFrame operations only.
+"""URL filtering by rules and by a list of canonical URLs, in DataFrame operations only.
 
-A URL gives a bounded set of keys: each suffix of its host with each prefix of its path whose length occurs in the
-list. A blocked Bloom filter over the listed keys lets possible hits through; an exact hash join on the key then removes
-false positives. The longest listed key wins.
+Rules are few (a contract's); the longest that fits decides. Where none does, the list decides, which is a table of any size:
+every listed URL is brought to its canonical form and covers the page of that form, or all below it if it ends in a
+slash, on its host and all subdomains. A URL gives a bounded set of keys: each suffix of its canonical host with each directory
+of its canonical path, as deep as the list goes, and the path itself. A blocked Bloom filter of the listed hosts and URLs
+lets possible hits through; an exact hash join on the key then removes false positives. The longest listed key wins.
 
 A key's block is one 64-bit word; four bits in it are set, all from one hash, so a probe reads a single word.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +19,11 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import ascii_lower
 
-#: Listed keys per 64-bit block (16 bits a key: about 1 % false positives).
-KEYS_PER_BLOCK = 4
-#: The filter travels with the plan as one value of 8 bytes a block, so this bounds it to 8 MB; longer lists are joined without it.
-MAX_BLOCKS = 1 << 20
-#: Up to so many listed keys the exact join may broadcast them (under 100 bytes each); beyond, it shuffles.
-BROADCAST_KEYS = 50_000
+#: Keys per 64-bit block (16 bits a key: about 1 % false positives), as long as the filter has at most MAX_BLOCKS words. It travels
+#: with the plan as one value, so this bounds it to 32 MB; a list of over 16 million keys fills it more and lets more through.
+KEYS_PER_BLOCK, MAX_BLOCKS = 4, 1 << 22
+#: The longest host name that there can be; a longer one is on no list.
+LONGEST_HOST = 253
 
 
 @dataclass(frozen=True)
@@ -41,11 +43,8 @@ RULES = (
     Listed("net", "/es/", "block"),
     Listed("net", "/fr/", "block"),
 )
-#: Canonical URLs (host and path) that are blocked where no rule fits.
-LISTED_URLS = (
-    Listed("ads-track.example.org", "/", "block"),
-    Listed("ads-track.example.net", "/", "block"),
-)
+#: URLs that are blocked where no rule fits: the list that op7 gives to the filter. Any table of URLs may take its place.
+LISTED_URLS = tuple(f"http://{name}.example.{end}/" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org"))
 
 
 def host_of(url: Column) -> Column:
@@ -58,10 +57,29 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """host, then each of its parent domains."""
-    parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+def canonical_host(host: Column) -> Column:
+    """host without user, port and the root's dot."""
+    return F.regexp_replace(host, r"^.*@|:[0-9]*$|\.+$|\.+(?=:[0-9]*$)", "")
+
+
+def canonical_path(path: Column) -> Column:
+    """path with escapes in capitals, or as the character where that needs none, without empty, . and .. parts; at least a slash."""
+    parts = F.split(path, "%")
+    hexadecimal = lambda p: F.upper(F.substring(p, 1, 2))
+    plain = lambda p: F.decode(F.unhex(hexadecimal(p)), "UTF-8")
+    valid = lambda p: F.substring(p, 1, 2).rlike("^[0-9A-Fa-f]{2}$")
+    free = lambda p: hexadecimal(p).rlike("^(2[DE]|3[0-9]|4[1-9A-F]|5[0-9AF]|6[1-9A-F]|7[0-9AE])$")
+    escaped = F.transform(
+        F.slice(parts, 2, F.size(parts)),
+        lambda p: F.when(valid(p) & free(p), F.concat(plain(p), F.substring(p, F.lit(3), F.length(p)))).when(valid(p), F.concat(F.lit("%"), hexadecimal(p), F.substring(p, F.lit(3), F.length(p)))).otherwise(F.concat(F.lit("%"), p)),
+    )
+    path = F.when(F.instr(path, "%") > 0, F.concat(F.element_at(parts, 1), F.array_join(escaped, ""))).otherwise(path)
+    parts = F.split(path, "/")
+    up = lambda seen: F.slice(seen, F.lit(1), F.greatest(F.size(seen) - 1, F.lit(0)))
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda seen, p: F.when(p.isin("", "."), seen).when(p == "..", up(seen)).otherwise(F.concat(seen, F.array(p))))
+    directory = F.element_at(parts, -1).isin("", ".", "..") & (F.size(walked) > 0)
+    straight = F.concat(F.lit("/"), F.array_join(walked, "/"), F.when(directory, "/").otherwise(""))
+    return F.when(path == "", "/").when(path.rlike(r"//|/\.{1,2}(/|$)"), straight).otherwise(path)
 
 
 def _mask(h: Column) -> Column:
@@ -71,60 +89,90 @@ def _mask(h: Column) -> Column:
 
 
 def blocked_bloom(keys: DataFrame, blocks: int) -> DataFrame:
-    """One row with one column, words: the filter of keys' column key as an array of 64-bit words."""
+    """One row with one column, words: the filter of keys' column key as an array of so many 64-bit words."""
     hashed = keys.select(F.xxhash64("key").alias("h"))
-    words = hashed.groupBy(F.pmod(F.shiftright("h", 24), F.lit(blocks)).cast("int").alias("b")).agg(F.bit_or(_mask(F.col("h"))).alias("w"))
-    at = words.agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"))
-    return at.select(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("words"))
+    words = hashed.select(F.pmod(F.shiftright("h", 24), F.lit(blocks)).alias("b"), _mask(F.col("h")).alias("w"))
+    words = words.union(keys.sparkSession.range(blocks).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("w"))).groupBy("b").agg(F.bit_or("w").alias("w"))
+    return words.agg(F.sort_array(F.collect_list(F.struct("b", "w"))).alias("all")).select(F.transform("all", lambda x: x["w"]).alias("words"))
+
+
+def _passes(words: Column, blocks: int) -> Callable[[Column], Column]:
+    """Whether the filter lets a key through."""
+
+    def one(key: Column) -> Column:
+        h = F.xxhash64(key)
+        word = F.element_at(words, (F.pmod(F.shiftright(h, 24), F.lit(blocks)) + 1).cast("int"))
+        bits = [F.call_function("getbit", word, F.shiftright(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")) == 1 for k in range(4)]
+        return bits[0] & bits[1] & bits[2] & bits[3]
 
+    return one
 
-def url_verdicts(pages: DataFrame, rules: tuple[Listed, ...] = RULES, listed: tuple[Listed, ...] = LISTED_URLS, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+
+def listed_keys(listed: DataFrame) -> DataFrame:
+    """From a list (url, verdict) its distinct keys: key, host, depth (parts of the path) and key_verdict; of a key with both verdicts
+    block counts. Rows without a host are left out."""
+    url = listed.select(F.col("url").cast("string").alias("u"), "verdict")
+    rows = url.select(canonical_host(host_of(F.col("u"))).alias("host"), canonical_path(path_of(F.col("u"))).alias("path"), "verdict").filter("host <> ''")
+    rows = rows.select(F.concat("host", "path").alias("key"), "host", (F.size(F.split("path", "/")) - 1).alias("depth"), "verdict")
+    return rows.groupBy("key", "host", "depth").agg(F.max("verdict").alias("key_verdict"))
+
+
+def url_verdicts(pages: DataFrame, listed: DataFrame, rules: tuple[Listed, ...] = RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per input row: id_col, host, path, rule, verdict, listed.
 
-    rule is the longest (in characters; equal ones: the greater string) of the rules that fit, null if none does. Where
-    none does, listed is the longest listed canonical URL that covers the page, and decides; else the verdict is
-    default. A null url, or one without ://, has empty host and path and fits nothing. Repeated rows are each judged.
+    rule is the longest (in characters; equal ones: the greater string) of the rules that fit, null if none does. Where none
+    does, listed is the longest listed canonical URL (a row of listed: url, verdict) that covers the page, and decides; else the
+    verdict is default. A null or empty url, or one without ://, has empty host and path, fits nothing and is on no list. Repeated rows
+    are each judged; an empty table of pages or an empty list is fine. Other columns of pages are not read.
     """
-    spark = pages.sparkSession
-    rows = [(x.host.lower() + x.path, x.host.lower() + x.path, x.verdict, kind) for kind, xs in ((1, rules), (0, listed)) for x in xs]
-    table = spark.createDataFrame(rows, "key string, entry string, entry_verdict string, kind int")
-    lengths = sorted({len(x.path) for x in (*rules, *listed)})
+    host, path = F.col("host"), F.col("path")
+    entries = listed_keys(listed)
+    n, hosts, depth = entries.agg(F.count("*"), F.count_distinct("host"), F.max("depth")).first()
+    blocks = min(MAX_BLOCKS, max(1, -(-(n + hosts) // KEYS_PER_BLOCK)))
+    words = blocked_bloom(entries.select("key").union(entries.select("host").distinct()), blocks).scalar()
+    rule, rule_verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for x in sorted(rules, key=lambda x: (len(x.host + x.path), x.host + x.path)):
+        fits = ((host == x.host) | F.endswith(host, F.lit("." + x.host))) & F.startswith(path, F.lit(x.path))
+        rule, rule_verdict = F.when(fits, x.host + x.path).otherwise(rule), F.when(fits, x.verdict).otherwise(rule_verdict)
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("u")).select("id", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
-    path, host = F.col("path"), F.col("host")
-    fits = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: F.length(path) >= n)
-    keys = F.flatten(F.transform(host_suffixes(host), lambda s: F.transform(fits, lambda n: F.concat(s, F.substring(path, F.lit(1), n)))))
-    base = base.select(F.monotonically_increasing_id().alias("row"), "id", "host", "path", F.when(host == "", F.array().cast("array<string>")).otherwise(keys).alias("keys"))
-    blocks = max(1, -(-len(rows) // KEYS_PER_BLOCK))
-    if blocks <= MAX_BLOCKS:
-        words = blocked_bloom(table, blocks).scalar()
-        hashed = base.withColumn("keys", F.transform("keys", lambda k: F.struct(k.alias("key"), F.xxhash64(k).alias("h"))))
-        spot = lambda x: F.element_at(F.col("words"), (F.pmod(F.shiftright(x["h"], 24), F.lit(blocks)) + 1).cast("int"))
-        bits = lambda x: [F.shiftright(x["h"], 6 * k).bitwiseAND(F.lit(63)).cast("int") for k in range(4)]
-        hit = lambda x: F.forall(F.array(*bits(x)), lambda b: F.call_function("getbit", spot(x), b) == 1)
-        base = hashed.withColumn("words", words).withColumn("keys", F.transform(F.filter("keys", hit), lambda x: x["key"])).drop("words")
-    possible = base.select("row", "id", "host", "path", F.explode_outer("keys").alias("key"))
-    exact = F.broadcast(table) if len(rows) <= BROADCAST_KEYS else table
-    found = possible.join(exact, "key", "left")
-    order = F.when(F.col("entry").isNotNull(), F.struct("kind", F.length("entry").alias("n"), "entry", "entry_verdict"))
-    best = found.groupBy("row", "id", "host", "path").agg(F.max(order).alias("best"))
-    return best.select(
+    base = base.select(F.monotonically_increasing_id().alias("row"), "id", "host", "path", rule.alias("rule"), rule_verdict.alias("rule_verdict"), canonical_host(host).alias("h"), canonical_path(path).alias("p"), words.alias("words"))
+    passes, labels, parts = _passes(F.col("words"), blocks), F.split("h", r"\."), F.split("p", "/")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    on_list = F.when((F.col("h") != "") & (F.length("h") <= LONGEST_HOST) & F.col("rule").isNull(), F.filter(suffixes, passes)).otherwise(F.array().cast("array<string>"))
+    deep = F.least(F.size(parts) - 1, F.lit(depth or 0))
+    directories = F.transform(F.when(deep > 0, F.sequence(F.lit(1), deep)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
+    own = F.when(F.size(parts) - 1 <= F.lit(depth or 0), F.array("p")).otherwise(F.array().cast("array<string>"))
+    paths = F.array_distinct(F.concat(directories, own))
+    keys = F.filter(F.flatten(F.transform("on_list", lambda s: F.transform(paths, lambda p: F.concat(s, p)))), passes)
+    hits = base.withColumn("on_list", on_list).withColumn("keys", F.when(F.size("on_list") > 0, keys).otherwise(F.array().cast("array<string>")))
+    kept = ("row", "id", "host", "path", "rule", "rule_verdict")
+    # a row without possible hits gets a key of its own that nothing has, so such rows don't meet in one task
+    possible = hits.select(*kept, F.explode_outer("keys").alias("key")).withColumn("key", F.coalesce("key", F.concat(F.lit("\n"), F.col("row").cast("string"))))
+    found = possible.join(entries.select("key", "key_verdict"), "key", "left")
+    best = F.max(F.when(F.col("key_verdict").isNotNull(), F.struct(F.length("key").alias("n"), "key", "key_verdict"))).alias("best")
+    return found.groupBy(*kept).agg(best).select(
         F.col("id").alias(id_col),
         "host",
         "path",
-        F.when(F.col("best.kind") == 1, F.col("best.entry")).alias("rule"),
-        F.coalesce("best.entry_verdict", F.lit(default)).alias("verdict"),
-        F.when(F.col("best.kind") == 0, F.col("best.entry")).alias("listed"),
+        "rule",
+        F.coalesce("rule_verdict", "best.key_verdict", F.lit(default)).alias("verdict"),
+        F.col("best.key").alias("listed"),
     )
 
 
+def list_of(spark: SparkSession, urls: tuple[str, ...], verdict: str = "block") -> DataFrame:
+    """A short list as a table."""
+    rows = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(verdict).alias("verdict")) for u in urls])
+    return spark.range(1).select(F.inline(rows if urls else F.array().cast("array<struct<url:string,verdict:string>>")))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on every page's url by RULES, then LISTED_URLS, else allow."""
-    return url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    """Verdicts on every page's url by RULES, then the list, else allow."""
+    return url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"), list_of(spark, LISTED_URLS))
 
 
-_FITS = " UNION ALL ".join(
-    f"SELECT {kind} AS kind, '{x.host}' AS h, '{x.path}' AS p, '{x.verdict}' AS v" for kind, xs in ((1, RULES), (0, LISTED_URLS)) for x in xs
-)
+_RULES = " UNION ALL ".join(f"SELECT '{x.host}' AS h, '{x.path}' AS p, '{x.verdict}' AS v" for x in RULES)
+_LIST = " UNION ALL ".join(f"SELECT '{u.removeprefix('http://').removesuffix('/')}' AS l" for u in LISTED_URLS)
 ORACLE = {
     "op7_url_filter": f"""
 WITH parts AS (
@@ -133,10 +181,11 @@ cut AS (
   SELECT page_id, row_number() OVER () AS rn,
     translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM parts),
-listed AS ({_FITS}),
-best AS (
-  SELECT rn, max_by(kind, kind * 1000000 + length(h || p)) AS kind, max_by(h || p, kind * 1000000 + length(h || p)) AS e, max_by(v, kind * 1000000 + length(h || p)) AS v
-  FROM cut JOIN listed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rn)
-SELECT page_id, host, path, CASE WHEN kind = 1 THEN e END AS rule, coalesce(v, 'allow') AS verdict, CASE WHEN kind = 0 THEN e END AS listed
-FROM cut LEFT JOIN best USING (rn)"""
+named AS (SELECT *, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS name FROM cut),
+rules AS ({_RULES}),
+listed AS ({_LIST}),
+ruled AS (SELECT rn, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v FROM named JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rn),
+found AS (SELECT rn, max_by(l, length(l)) || '/' AS listed FROM named JOIN listed ON name = l OR ends_with(name, '.' || l) WHERE rn NOT IN (SELECT rn FROM ruled) GROUP BY rn)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN listed IS NOT NULL THEN 'block' END, 'allow') AS verdict, listed
+FROM named LEFT JOIN ruled USING (rn) LEFT JOIN found USING (rn)"""
 }

@@ -382,33 +382,50 @@ def test_components(spark):
 # --------------------------------------------------------------------------------------------------------------- 7: URLs
 
 
-def test_url_verdicts(spark):
-    rules = url_filter.RULES
-    urls = ["http://Example.com/en/x", "https://www.example.com/en/?q", "https://www.example.com/fr/", "http://a.net/es/1", "http://net/fr/", "http://x.org/en/", "https://ads-track.example.org/q#f", "no url", None, "http://com", "http://notcom/", "ftp://a.b.com/x?y", "://example.com/en/"]
-    rows = [(i, u) for i, u in enumerate(urls)] + [(0, urls[0])]
+def judged(u, rules, listed):
+    """host, path, rule, verdict and listed key of a url by the definition, on listed keys (canonical) with their verdicts."""
+    rest = u.split("://", 1)[1] if u and "://" in u else ""
+    host = re.split("[/?#]", rest)[0].lower()
+    path = re.split("[?#]", rest[len(re.split("[/?#]", rest)[0]) :])[0]
+    rule = max(((len(x.host + x.path), x.host + x.path, x.verdict) for x in rules if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)), default=None)
+    name = re.sub(r":\d*$", "", host.split("@")[-1]).rstrip(".")
+    at = re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)) if re.match(r"[A-Za-z0-9._~-]", chr(int(m[1], 16))) else m[0].upper(), path)
+    seen = []
+    for p in at.split("/"):
+        seen = seen[:-1] if p == ".." else seen + [p] if p not in ("", ".") else seen
+    at = "/" + "/".join(seen) + ("/" if seen and at.split("/")[-1] in ("", ".", "..") else "")
+    fits = [k for k in listed if not rule and name and (name == (h := k.split("/")[0]) or name.endswith("." + h)) and (at == (p := k[len(h) :]) or p.endswith("/") and at.startswith(p))]
+    key = max(fits, key=lambda k: (len(k), k), default=None)
+    return host, path, rule and rule[1], rule[2] if rule else listed[key] if key else "allow", key
 
-    def judge(u):
-        rest = u.split("://", 1)[1] if u and "://" in u else ""
-        host = re.split("[/?#]", rest)[0].lower()
-        path = re.split("[?#]", rest[len(host) :])[0]
-        fit = lambda xs: max(((len(x.host + x.path), x.host + x.path, x.verdict) for x in xs if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)), default=None)
-        rule, listed = fit(rules), fit(url_filter.LISTED_URLS)
-        return host, path, rule and rule[1], (rule or listed or (0, 0, "allow"))[2]
 
-    df = spark.createDataFrame([(i, u, "h") for i, u in rows], "page_id long, url string, host string")
-    got = url_filter.url_verdicts(df).collect()
-    assert sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in got) == sorted((i, *[x or "" for x in judge(u)]) for i, u in rows)
-    assert url_filter.url_verdicts(df.limit(0)).count() == 0
+def test_url_verdicts(spark):
+    urls = ["http://Example.com/en/x", "https://www.example.com/en/?q", "https://www.example.com/fr/", "http://a.net/es/1", "http://net/fr/", "http://x.org/en/", "https://ads-track.example.org/q#f", "no url", None, "", "http://com", "http://notcom/", "ftp://a.b.com/x?y", "://example.com/en/"]
+    urls += ["http://Bad.org:8080/a/b", "http://u:p@sub.bad.org./a/b/", "http://bad.org/a/%62", "http://bad.org/x/../a//b", "http://bad.org/a/bc", "http://worse.org", "http://worse.org/..", "http://worse.org?x", "http://bad.org/%2f%zz%e9", "http://notbad.org/a/b", "http://bad.org/d/e/f/g.html", "http://bad.org/d/e/ok/x", "x://" + "a." * 20_000 + "org/x", "http://bad.org/" + "b/" * 20_000, "http://bad.org/" + "%41" * 5000, "http://./", "http://:80/", "http://bad.org/d/e/."]
+    listed = {"bad.org/a/b": "block", "worse.org/": "block", "bad.org/d/e/": "block", "bad.org/d/e/ok/": "allow", "bad.org/%2F%zz%E9": "block", "ads-track.example.org/": "block"}
+    table = spark.createDataFrame([("http://BAD.org:80/a/x/../%62", "block"), ("http://bad.org/a/b", "allow"), ("http://worse.org", "block"), ("http://bad.org/d/e/", "block"), ("http://bad.org/d/./e/ok/", "allow"), ("http://bad.org/%2f%zz%e9", "block"), ("https://ads-track.example.org", "block"), (None, "block"), ("nothing", "block"), ("http:///x", "block")], "url string, verdict string")
+    rows = [(i, u) for i, u in enumerate(urls)] + [(0, urls[0])]
+    df = spark.createDataFrame([(i, u, "h", "k") for i, u in rows], "page_id long, url string, host string, key string")
+    got = url_filter.url_verdicts(df, table).collect()
+    want = [(i, *[x or "" for x in judged(u, url_filter.RULES, listed)]) for i, u in rows]
+    assert sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict, r.listed or "") for r in got) == sorted(want)
+    assert url_filter.url_verdicts(df.limit(0), table).count() == 0
+    none = url_filter.url_verdicts(df, table.limit(0)).collect()
+    assert len(none) == len(rows) and all(r.listed is None for r in none)
 
 
 def test_bloom_has_no_false_negatives(spark, monkeypatch):
-    many = tuple(url_filter.Listed(f"h{i}.example", "/", "block") for i in range(400))
-    df = spark.createDataFrame([(i, f"http://h{i}.example/x") for i in range(800)], "page_id long, url string")
-    blocked = lambda: sorted(r.page_id for r in url_filter.url_verdicts(df, (), many).filter("verdict = 'block'").collect())
-    assert blocked() == list(range(400))
-    monkeypatch.setattr(url_filter, "MAX_BLOCKS", 0)
-    monkeypatch.setattr(url_filter, "BROADCAST_KEYS", 0)
-    assert blocked() == list(range(400))
+    many = spark.range(4000).select(F.concat(F.lit("http://h"), "id", F.lit(".example/")).alias("url"), F.lit("block").alias("verdict"))
+    df = spark.createDataFrame([(i, f"http://h{i}.example/x") for i in range(8000)], "page_id long, url string")
+    blocked = lambda: sorted(r.page_id for r in url_filter.url_verdicts(df, many, ()).filter("verdict = 'block'").collect())
+    assert blocked() == list(range(4000))
+    keys, blocks = url_filter.listed_keys(many).select("key"), 1000
+    words = url_filter.blocked_bloom(keys, blocks)
+    assert len(words.first().words) == blocks
+    probes = df.withColumn("words", words.scalar()).withColumn("pass", url_filter._passes(F.col("words"), blocks)(F.regexp_extract("url", "//(.*/)", 1)))
+    assert probes.filter("pass AND page_id < 4000").count() == 4000 and probes.filter("pass AND page_id >= 4000").count() < 400
+    monkeypatch.setattr(url_filter, "MAX_BLOCKS", 3)
+    assert blocked() == list(range(4000))
 
 
 # --------------------------------------------------------------------------------------------------------------- 8: chat
@@ -426,16 +443,25 @@ def test_chat_round_trip(spark):
     for c, turns in by.items():
         loss = "".join(x for r, x in turns if r == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), sha("".join(f"{r}\n{x}\n" for r, x in turns)), len(loss), sha(loss))
-    whole = {}
-    for r in expanded.orderBy("conv_id", "index").collect():
-        whole[r.conv_id] = whole.get(r.conv_id, "") + r.piece
-    spans = {(r.conv_id, r["index"]): r.example for r in expanded.filter("example IS NOT NULL").collect()}
-    written = chat_format.example_texts(expanded).collect()
-    assert len(written) == len(spans) == sum(r == "assistant" for _, _, r, _ in rows)
-    for r in written:
-        e, text = spans[r.conv_id, r.example], whole[r.conv_id]
-        assert r.context == text[: e.context_end] and r.target == text[e.loss_start : e.loss_end]
-    assert chat_format.read_back(chat_format.expand(chat_format.format_turns(df.limit(0)))).count() == 0
+    written = {(r.conv_id, r.example): r for r in chat_format.example_texts(expanded).collect()}
+    formatted = lambda r, x: ("### " + re.sub(r"([\\#<:])", r"\\\1", r) + ": ", re.sub(r"([\\#<])", r"\\\1", x), "</turn>\n")
+    examples = 0
+    for c, turns in by.items():
+        before, contexts = "", ""
+        for i, (r, x) in enumerate(turns):
+            head, text, end = formatted(r, x)
+            if r == "assistant":
+                examples += 1
+                assert (written[c, i].context, written[c, i].target) == (before + head, text)
+                contexts += sha(before + head)
+            before += head + text + end
+        assert (got[c].formatted_chars, got[c].n_examples, got[c].contexts_sha256) == (len(before), sum(r == "assistant" for r, _ in turns), sha(contexts))
+    assert examples == len(written) == expanded.filter("piece IS NULL").count()
+    nothing = chat_format.expand(chat_format.format_turns(df.limit(0)))
+    assert chat_format.read_back(nothing).count() == 0 == chat_format.example_texts(nothing).count()
+    # an example that isn't of its turn is refused
+    with pytest.raises(Exception, match="ranges"):
+        chat_format.read_back(expanded.withColumn("loss_end", F.col("loss_end") + 100)).collect()
 
 
 # ---------------------------------------------------------------------------------------------------------------- 9: PII
