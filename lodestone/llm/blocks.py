@@ -3,7 +3,8 @@
 Documents are taken in blocks of bounded size. A block sends each distinct key once, as sorted arrays, to the part of the key
 space that the key lies in; a part adds up what all blocks sent and answers each block with the counts of its keys, in
 the order of the keys, so the keys need not travel back. A key that a third of all documents share costs one entry for
-each block. Blocks and parts grow in number with the corpus, not in size.
+each block. Blocks and parts grow in number with the corpus, not in size; so do the cells of a block and a part, with the square, and get
+smaller. That bounds a corpus to some hundred GB for each exchange; beyond it, keys would have to travel in two steps.
 """
 
 from __future__ import annotations
@@ -23,22 +24,37 @@ from .common import bound_batches, stored, texts
 BLOCK_ROWS, LONG_BYTES = 2048, 32 << 10
 #: Texts that a task gathers before it sends the keys of the blocks that it has begun.
 PENDING_BYTES = 16 << 20
+#: Bytes of input, as Spark estimates it, that a part of the key space is for at most; a part's keys are merged in one worker.
+PART_BYTES = 64 << 20
 
 
-def with_blocks(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a column block that stays the same whenever the rows are read again: it follows from where a row lies in its
-    file. What doesn't come straight from files is written to the shared folder first."""
+def with_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """block, id and t (the text): a block stays the same whenever the rows are read again, as it follows from where a row lies in
+    its file. What doesn't come straight from files is written to the shared folder first."""
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+
     try:
-        placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        rows = placed(docs)
     except AnalysisException:
-        placed = stored(docs, "blocks").select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    long = F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) > LONG_BYTES
-    block = F.when(long, F.xxhash64("__file", "__row", F.lit(1))).otherwise(F.xxhash64("__file", F.floor(F.col("__row") / BLOCK_ROWS)))
-    return placed.withColumn("block", block).drop("__file", "__row")
+        rows = placed(stored(docs.select(*{id_col: None, text_col: None}), "blocks"))
+    long = F.octet_length(F.coalesce("t", F.lit(""))) > LONG_BYTES
+    block = F.when(long, F.xxhash64("file", "at", F.lit(1))).otherwise(F.xxhash64("file", F.floor(F.col("at") / BLOCK_ROWS)))
+    return rows.select(block.alias("block"), "id", "t")
 
 
-def part_count(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def part_names(df: DataFrame) -> list[int]:
+    """A number for each part of the key space, in its order. There are as many parts as shuffle partitions, or as the input's
+    size asks for, if that is more; their numbers are such that a shuffle by them gives each partition as many as any other."""
+    spark = df.sparkSession
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    rounds = max(1, -(-min(size, 1 << 50) // (PART_BYTES * partitions)))
+    lot = spark.range(partitions * (rounds + 1) * 12).select(F.col("id").cast("int").alias("name"))
+    by = lot.groupBy(F.pmod(F.hash("name"), F.lit(partitions)).alias("at")).agg(F.slice(F.sort_array(F.collect_list("name")), 1, rounds).alias("names"))
+    names = [n for r in by.orderBy("at").collect() for n in r.names]
+    return names if len(names) == partitions * rounds else list(range(partitions * rounds))
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -79,12 +95,13 @@ def unpack_counts(data: bytes) -> list[np.ndarray]:
 Reply = Callable[[np.ndarray, list[np.ndarray]], list[np.ndarray]]
 
 
-def send_keys(blocked: DataFrame, cols: list[str], text_col: str, keys_of: Callable[[dict[str, list], list[bytes]], tuple[np.ndarray, list[np.ndarray]]]) -> DataFrame:
-    """Rows block, part, keys, counts. keys_of gets a block's rows (the columns cols, and the texts), or some of them, and gives
+def send_keys(blocked: DataFrame, cols: list[str], keys_of: Callable[[dict[str, list], list[bytes]], tuple[np.ndarray, list[np.ndarray]]]) -> DataFrame:
+    """Rows block, part, name (the part's number among part_names), keys, counts. keys_of gets a block's rows (the columns cols, and the texts), or some of them, and gives
     their distinct keys, sorted, and columns of counts."""
     bound_batches(blocked.sparkSession)
-    parts = part_count(blocked)
-    rows = blocked.select("block", F.col(text_col).cast("string").alias("__t"), *cols)
+    names = part_names(blocked)
+    parts = len(names)
+    rows = blocked.select("block", "t", *cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: dict[int, tuple[dict[str, list], list[bytes]]] = {}
@@ -98,15 +115,16 @@ def send_keys(blocked: DataFrame, cols: list[str], text_col: str, keys_of: Calla
                 cells = [
                     pa.array([block] * len(there), pa.int64()),
                     pa.array(there, pa.int32()),
+                    pa.array([names[p] for p in there], pa.int32()),
                     pa.array([pack_keys(keys[edges[p] : edges[p + 1]]) for p in there], pa.binary()),
                     pa.array([pack_counts(*(c[edges[p] : edges[p + 1]] for c in counts)) for p in there], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(cells, ["block", "part", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays(cells, ["block", "part", "name", "keys", "counts"])
             pending.clear()
 
         size = 0
         for b in batches:
-            raw = texts(b.column("__t"))
+            raw = texts(b.column("t"))
             values = {c: b.column(c).to_pylist() for c in cols}
             for i, block in enumerate(b.column("block").to_pylist()):
                 own = pending.setdefault(block, ({c: [] for c in cols}, []))
@@ -119,7 +137,7 @@ def send_keys(blocked: DataFrame, cols: list[str], text_col: str, keys_of: Calla
                 size = 0
         yield from flush()
 
-    return rows.mapInArrow(run, "block long, part int, keys binary, counts binary")
+    return rows.mapInArrow(run, "block long, part int, name int, keys binary, counts binary")
 
 
 def answer(sent: DataFrame, reply: Reply, stat: Callable[[np.ndarray, list[np.ndarray]], list[int]], name: str, subset: Callable[[list[np.ndarray]], np.ndarray] | None = None, subset_reply: Reply | None = None) -> DataFrame:
@@ -160,7 +178,7 @@ def answer(sent: DataFrame, reply: Reply, stat: Callable[[np.ndarray, list[np.nd
         cells = [pa.array([*by, None], pa.int64()), pa.array([part] * n, pa.int32()), pa.array([*out, None], pa.binary()), pa.array([*some, None], pa.binary()), pa.array([None] * (n - 1) + [stat(keys, sums)], pa.list_(pa.int64()))]
         return pa.Table.from_arrays(cells, ["block", "part", "counts", "some", "stats"])
 
-    return stored(sent.groupBy("part").applyInArrow(merge, "block long, part int, counts binary, some binary, stats array<long>"), name)
+    return stored(sent.groupBy("name").applyInArrow(merge, "block long, part int, counts binary, some binary, stats array<long>"), name)
 
 
 def answered(table: pa.Table, column: str = "counts") -> list[np.ndarray]:

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import stored, text_or_empty, unused
 
 #: Runs that meet in one round: 2 ** ROUND_BITS.
 ROUND_BITS = 4
@@ -46,8 +46,8 @@ def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """One row per input row: id, row, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when identical after lower-casing A-Z; a null text counts as empty. Of equal texts the row with the
-    largest id stays (keep="min": the smallest); a null id loses to any other; of repeated rows with one id, exactly one
+    Texts are equal when identical after lower-casing A-Z; a null text counts as empty. Ids may be of any type that sorts. Of equal
+    texts the row with the largest id stays (keep="min": the smallest); a null id loses to any other; of repeated rows with one id, exactly one
     stays. An empty table gives an empty result; other columns of docs are not read.
     """
     best = {"max": F.max, "min": F.min}[keep]
@@ -55,7 +55,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = rows.agg(F.max("run")).first()[0] or 0
     # a null id loses in either order: its flag comes first
     first_flag = F.col("id").isNotNull() if keep == "max" else F.col("id").isNull()
-    candidate = F.struct(first_flag.alias("f"), F.coalesce("id", F.lit(0)).alias("id"), "row")
+    candidate = F.struct(first_flag.alias("f"), "id", "row")
     level = rows.groupBy("run", *DIGEST).agg(F.count("*").alias("n"), best(candidate).alias("best"))
     levels, shift = [level], 0
     while runs >> shift:
@@ -83,11 +83,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs without the rows that lose to an equal text, all columns as they were (see exact_groups). Ids are expected to
     name rows: of rows that share both id and kept state one stays."""
     lost = exact_groups(docs, id_col, text_col, keep)
-    key = F.coalesce(F.col(id_col), F.lit(-(1 << 63)))
-    kept = lost.filter("kept").select(F.coalesce("id", F.lit(-(1 << 63))).alias("__kept"), F.col("text_sha256").alias("__sha"))
+    own_id, own_sha, kept_id, kept_sha = unused(docs, "own_id", "own_sha", "kept_id", "kept_sha")
+    kept = lost.filter("kept").select(F.col("id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
     sha = F.sha2(F.encode(ascii_lower(text_or_empty(text_col)), "UTF-8"), 256)
-    got = docs.withColumns({"__id": key, "__own": sha}).join(kept, (F.col("__id") == F.col("__kept")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    return got.dropDuplicates(["__id", "__own"]).drop("__id", "__own")
+    got = docs.withColumns({own_id: F.col(id_col), own_sha: sha}).join(kept, F.col(own_id).eqNullSafe(F.col(kept_id)) & (F.col(own_sha) == F.col(kept_sha)), "left_semi")
+    return got.dropDuplicates([own_id, own_sha]).select(*docs.columns)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -20,11 +20,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .blocks import answer, answered, pack_keys, send_keys, unpack_keys, with_blocks
-from .common import bound_batches, joined_hashes, split_words, stored
+from .common import bound_batches, joined_hashes, split_words, stored, unused
 from .components import connected_components
 
 SHINGLE = 5
@@ -32,9 +31,11 @@ SHINGLE = 5
 PERCENT = 80
 #: Bits of a shingle's hash that its rarity is counted by (equal bits make shingles seem less rare, no more), and that sets
 #: are verified by.
-RARITY_BITS, SET_BITS = 40, 48
+RARITY_BITS, SET_BITS = 40, 56
 #: Stars at most before the remaining pairs are all verified, and how many pairs a set that pays another star.
 STARS, PAYS = 2, 4
+#: Entries of a list that one task holds against the whole list; a longer list is dealt out.
+LIST_PART = 2000
 
 
 def shingle_sets(texts_of: pa.ChunkedArray | list[bytes]) -> list[np.ndarray]:
@@ -71,13 +72,13 @@ def _levels(keys: np.ndarray, sums: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Stored, one row per input row: row (a unique number), id, n, and for rows that may link to others set_key (equal for
-    equal sets); of each block's first row with a set also shingles (packed) and mid (how common its shingles are on average: in
+    """Stored, one row per input row: row (a unique number), id, n, and for rows that may link to others set_key (128 bits of hash,
+    equal for equal sets); of each block's first row with a set also shingles (packed) and mid (how common its shingles are on average: in
     a family of copies the original's are the most), of its first with a prefix and size group (a hash of both) and prefix (of
     the prefix's shingles that others have too: hash and place)."""
     bound_batches(docs.sparkSession)
-    rows = with_blocks(docs, text_col).select("block", F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    counts = answer(send_keys(rows, [], "t", _block_shingles), _levels, lambda keys, sums: [], "shingle-counts").filter("block IS NOT NULL").select("block", "part", "counts")
+    rows = with_blocks(docs, id_col, text_col)
+    counts = answer(send_keys(rows, [], _block_shingles), _levels, lambda keys, sums: [], "shingle-counts").filter("block IS NOT NULL").select("block", "part", "counts")
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def sets(_: tuple, texts_of: pa.Table, counted: pa.Table) -> pa.Table:
@@ -92,13 +93,13 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             if not n or np.count_nonzero(rarity > 1) < least_overlap(n):
                 out.append((n, None, None, None, None, None))
                 continue
-            set_key = xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+            set_key = xxhash.xxh3_128_digest(h.tobytes())
             if set_key in seen_sets:
                 out.append((n, set_key, None, None, None, None))
                 continue
             seen_sets.add(set_key)
             order = np.lexsort((h, rarity))[: n - least_overlap(n) + 1]
-            group = xxhash.xxh3_64_intdigest(h[order].tobytes(), n) - (1 << 63)
+            group = xxhash.xxh3_128_digest(h[order].tobytes(), n)
             prefix = None
             if group not in seen_groups:
                 seen_groups.add(group)
@@ -106,10 +107,10 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 prefix = [{"token": int(x), "pos": int(p)} for x, p in zip(h[order][at].view(np.int64), at, strict=True)]
             out.append((n, set_key, group, prefix, int(1000 * rarity.mean()), pack_keys(np.unique(_top(h, SET_BITS) >> np.uint64(64 - SET_BITS)))))
         cols = list(zip(*out, strict=True)) or [()] * 6
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())])), pa.int32(), pa.binary())
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())])), pa.int32(), pa.binary())
         return pa.Table.from_arrays([texts_of.column("id").combine_chunks(), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "n", "set_key", "group", "prefix", "mid", "shingles"])
 
-    schema = f"id {id_type}, n int, set_key long, group long, prefix array<struct<token:long,pos:int>>, mid int, shingles binary"
+    schema = f"id {id_type}, n int, set_key binary, group binary, prefix array<struct<token:long,pos:int>>, mid int, shingles binary"
     found = rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(sets, schema)
     return stored(found.select(F.monotonically_increasing_id().alias("row"), "*"), "sets")
 
@@ -149,9 +150,10 @@ def linked_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     some = sets.filter("shingles IS NOT NULL")
     members = stored(some.groupBy("set_key", "group", "n").agg(F.min("row").alias("s")), "members")
     entries = some.filter("prefix IS NOT NULL").select("group", "n", "mid", F.inline("prefix"))
-    lists = entries.repartition("token").groupBy("token", "group").agg(*[F.min(x).alias(x) for x in ("n", "pos")], F.max("mid").alias("mid"))
-    lists = lists.withColumn("m", F.count("*").over(W.partitionBy("token"))).filter("m > 1").drop("m")
-    lists = lists.withColumns({"c": F.lit(None).cast("long"), "rest": F.lit(False)})
+    # a token may be in a third of all prefixes: what is known of a list is aggregated and joined to it, so that no task has it all
+    lists = stored(entries.groupBy("token", "group").agg(*[F.min(x).alias(x) for x in ("n", "pos")], F.max("mid").alias("mid")), "prefix-entries")
+    shared = lists.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
+    lists = lists.join(shared, "token").withColumns({"c": F.lit(None).cast("long"), "rest": F.lit(False)})
     leader = members.groupBy("group").agg(F.min("s").alias("leader"), F.count("*").alias("sets"))
     lists = stored(lists, "prefix-lists")
     leader = stored(leader, "leaders")
@@ -162,8 +164,8 @@ def linked_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     for star in range(STARS):
         # at first the most central entry is a list's pivot; then any of its main component, and any outside it, in turn
         order = [F.col("mid")] if star == 0 else [(F.col("rest") == F.lit(star % 2 == 0)).cast("int")]
-        pivot = F.max(F.struct(*[x.alias(f"o{i}") for i, x in enumerate([*order, F.xxhash64("group", F.lit(star))])], "group", "n", "pos", "c")).over(W.partitionBy("token"))
-        held = remaining.withColumn("p", pivot).select("token", "group", "n", "pos", "c", *[F.col(f"p.{x}").alias(f"{x}2") for x in ("group", "n", "pos", "c")])
+        pivot = F.max(F.struct(*[x.alias(f"o{i}") for i, x in enumerate([*order, F.xxhash64("group", F.lit(star))])], "group", "n", "pos", "c"))
+        held = remaining.join(remaining.groupBy("token").agg(pivot.alias("p")), "token").select("token", "group", "n", "pos", "c", *[F.col(f"p.{x}").alias(f"{x}2") for x in ("group", "n", "pos", "c")])
         held = held.filter("group <> group2 AND (c IS NULL OR c2 IS NULL OR c <> c2)").filter(_fits("", "2"))
         best = held.groupBy("group", "group2").agg(F.count("*").alias("k")).groupBy("group").agg(F.max_by("group2", F.struct("k", "group2")).alias("group2"))
         pairs = best.join(leader.select("group", F.col("leader").alias("b")), "group").join(leader.select(F.col("group").alias("group2"), F.col("leader").alias("a")), "group2").select("a", "b")
@@ -190,13 +192,13 @@ def _remaining(lists: DataFrame, members: DataFrame, components: DataFrame) -> t
     by = stored(by, "group-components")
     split = by.filter("c1 <> c2").select("group", "sets")
     own = lists.join(by.select("group", F.when(F.col("c1") == F.col("c2"), F.col("c1")).alias("c")), "group")
-    token = W.partitionBy("token")
+    own = stored(own, "lists-components")
     # a list that is all of one component is done; a group of several components has pairs of its own
-    some = F.coalesce("c", F.lit(-1))
-    mixed = own.withColumns({"lo": F.min(some).over(token), "hi": F.max(some).over(token)}).filter("lo <> hi OR lo = -1").drop("lo", "hi")
-    size = mixed.filter("c IS NOT NULL").groupBy("token", "c").agg(F.count("*").alias("in_c"))
-    main = size.groupBy("token").agg(F.max_by("c", F.struct("in_c", "c")).alias("main"))
-    mixed = stored(mixed.join(main, "token", "left").withColumn("rest", F.col("c").isNull() | (F.col("c") != F.col("main"))).drop("main"), "mixed-lists")
+    size = own.groupBy("token", "c").agg(F.count("*").alias("in_c"))
+    main = F.max_by("c", F.when(F.col("c").isNotNull(), F.struct("in_c", "c"))).alias("main")
+    open_lists = size.groupBy("token").agg(main, F.count("*").alias("components"), F.sum("in_c").alias("size")).filter("components > 1 OR main IS NULL").drop("components")
+    mixed = own.join(open_lists, "token").withColumn("rest", F.col("c").isNull() | (F.col("c") != F.col("main"))).drop("main")
+    mixed = stored(mixed, "mixed-lists")
     work = mixed.groupBy("token").agg((F.count("*") * F.count_if("rest")).alias("w")).agg(F.sum("w")).first()[0]
     inside = split.agg(F.sum(F.col("sets") * F.col("sets"))).first()[0]
     return mixed, split, int(work or 0) + int(inside or 0)
@@ -208,10 +210,13 @@ def _all_pairs(mixed: DataFrame, split: DataFrame, members: DataFrame, component
     main component need no look. A pair of groups meets at all tokens that they share early enough in both; up to the last of
     these it is known how many they share, and the rest can't give more than what is left of either."""
     fields = ("group", "n", "pos", "c", "rest")
-    other = mixed.select("token", *[F.col(x).alias(f"{x}2") for x in fields])
+    # the entries of a long list are dealt to several tasks, and the whole list goes to each of these
+    parts = F.ceil(F.col("size") / LIST_PART).cast("int")
+    other = mixed.select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(x).alias(f"{x}2") for x in fields])
+    outside = mixed.filter("rest").withColumn("part", F.pmod(F.xxhash64("group"), parts).cast("int"))
     once = F.col("rest") & (~F.col("rest2") | (F.col("group") < F.col("group2"))) & (F.col("group") != F.col("group2"))
     apart = F.col("c").isNull() | F.col("c2").isNull() | (F.col("c") != F.col("c2"))
-    near = mixed.filter("rest").join(other, "token").filter(once & apart).filter(_fits("", "2"))
+    near = outside.join(other, ["token", "part"]).filter(once & apart).filter(_fits("", "2"))
     low, high = F.col("group") <= F.col("group2"), F.col("group") > F.col("group2")
     of = lambda x: (F.when(low, F.col(x)).otherwise(F.col(f"{x}2")), F.when(high, F.col(x)).otherwise(F.col(f"{x}2")))
     (g, g2), (n, n2), (p, p2) = of("group"), of("n"), of("pos")
@@ -248,8 +253,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component (that of the smallest id), columns as they were. Ids are expected to name
     rows: rows that share one stay or go together, and rows without one stay."""
-    lost = jaccard_components(docs, id_col, text_col).filter("NOT first").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(lost, docs[id_col] == lost["__gone"], "left_anti")
+    (gone,) = unused(docs, "gone")
+    lost = jaccard_components(docs, id_col, text_col).filter("NOT first").select(F.col("id").alias(gone)).distinct()
+    return docs.join(lost, F.col(id_col) == F.col(gone), "left_anti")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ BUCKETS = 24
 PAIR_BITS = 52
 #: The end of a text, and the context that a text begins in.
 END = np.uint64(0xE4D0_F7E8_7000_0001)
-#: Learning reads a histogram of the estimates with steps of 1/STEPS in their logarithm.
+#: Learning reads a histogram of the estimates with steps of 1/STEPS in their logarithm; a bin counts by its mean logarithms.
 STEPS = 8
 EM_ROUNDS, LEAST_WEIGHT = 60, 1e-5
 
@@ -86,14 +86,14 @@ class _Block:
         self.context = before
 
 
-def learn_weights(rows: list[tuple[int, int | None, int | None, int]], uniform: float) -> np.ndarray:
+def learn_weights(rows: list[tuple[int, float | None, float | None, int]], uniform: float) -> np.ndarray:
     """Weights of bigram, unigram and uniform for each bucket, by expectation-maximisation over a histogram with rows (bucket,
-    step of the log bigram estimate, step of the log unigram estimate, tokens); None: the estimate is zero."""
+    mean log bigram estimate, mean log unigram estimate, tokens); None: the estimate is zero."""
     weights = np.full((BUCKETS, 3), 1 / 3)
     if not rows:
         return weights
     b = np.array([r[0] for r in rows])
-    p = np.array([[0.0 if x is None else np.exp(x / STEPS) for x in r[1:3]] + [uniform] for r in rows])
+    p = np.array([[0.0 if x is None else np.exp(x) for x in r[1:3]] + [uniform] for r in rows])
     n = np.array([r[3] for r in rows], np.float64)
     for _ in range(EM_ROUNDS):
         share = weights[b] * p
@@ -113,32 +113,33 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     they are there. An empty table gives no rows; with nothing to learn from, every token has the uniform probability.
     """
     spark = docs.sparkSession
-    fold = F.pmod(F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")), F.lit(FOLDS))
-    blocked = with_blocks(docs, text_col)
-    rows = blocked.select("block", F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.when(fold == TEST, TEST_ROLE).when(fold == FOLD, FOLD_ROLE).otherwise(MAIN_ROLE).alias("role"))
-    counts = answer(send_keys(rows, ["role"], "t", _block_keys), lambda keys, sums: [sums[0] + sums[1]], _stats, "lm-counts", lambda own: own[1] > 0, lambda keys, sums: [sums[0]])
+    fold = F.pmod(F.crc32(F.encode(F.coalesce(F.col("id").cast("string"), F.lit("")), "UTF-8")), F.lit(FOLDS))
+    rows = with_blocks(docs, id_col, text_col).select("*", F.when(fold == TEST, TEST_ROLE).when(fold == FOLD, FOLD_ROLE).otherwise(MAIN_ROLE).alias("role"))
+    counts = answer(send_keys(rows, ["role"], _block_keys), lambda keys, sums: [sums[0] + sums[1]], _stats, "lm-counts", lambda own: own[1] > 0, lambda keys, sums: [sums[0]])
     stats = counts.filter("block IS NULL").select(*[F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(4)]).first()
     n_main, v_main, n_all, v_all = (int(x or 0) for x in stats)
     back = counts.filter("block IS NOT NULL")
     kept, held = back.select("block", "part", "counts"), back.select("block", "part", "some").filter("some IS NOT NULL")
 
     def histogram(_: tuple, texts_of: pa.Table, counted: pa.Table) -> pa.Table:
-        names = ["b", "p2", "p1", "n"]
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64())
+        names = ["b", "p2", "p1", "n", "s2", "s1"]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
         if not texts_of.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
         block = _Block(texts(texts_of.column("t")), counted, "some")
         b, pair, context, token = buckets(block.context), block.pair, block.context, block.token
         far = -(1 << 20)
         with np.errstate(divide="ignore"):
-            p2 = np.where(pair > 0, np.round(STEPS * np.log(pair / np.maximum(context, 1))), far).astype(np.int64)
-            p1 = np.where(token > 0, np.round(STEPS * np.log(token / max(n_main, 1))), far).astype(np.int64)
-        cells, n = np.unique(np.stack([b, p2, p1]), axis=1, return_counts=True)
-        return pa.Table.from_arrays([pa.array(cells[0], kinds[0]), *(pa.array(c, kinds[1], mask=c == far) for c in cells[1:]), pa.array(n, kinds[3])], names)
+            logs = [np.where(x > 0, np.log(x / y), far) for x, y in ((pair, np.maximum(context, 1)), (token, max(n_main, 1)))]
+        steps = [np.where(x > far, np.round(STEPS * x), far).astype(np.int64) for x in logs]
+        cells, at, n = np.unique(np.stack([b, *steps]), axis=1, return_inverse=True, return_counts=True)
+        sums = [pa.array(np.bincount(at.reshape(-1), x, len(n)), kinds[4]) for x in logs]
+        return pa.Table.from_arrays([pa.array(cells[0], kinds[0]), *(pa.array(c, kinds[1], mask=c == far) for c in cells[1:]), pa.array(n, kinds[3]), *sums], names)
 
     # only the held-out texts go here, and the counts of just their keys
-    learned = rows.filter(F.col("role") == FOLD_ROLE).select("block", "t").groupBy("block").cogroup(held.groupBy("block")).applyInArrow(histogram, "b int, p2 int, p1 int, n long") if n_main else None
-    found = [tuple(r) for r in learned.groupBy("b", "p2", "p1").agg(F.sum("n")).collect()] if learned is not None else []
+    learned = rows.filter(F.col("role") == FOLD_ROLE).select("block", "t").groupBy("block").cogroup(held.groupBy("block")).applyInArrow(histogram, "b int, p2 int, p1 int, n long, s2 double, s1 double") if n_main else None
+    mean = lambda p, s: F.when(F.col(p).isNotNull(), F.sum(s) / F.sum("n")).alias(f"m{p}")
+    found = [tuple(r) for r in learned.groupBy("b", "p2", "p1").agg(mean("p2", "s2"), mean("p1", "s1"), F.sum("n").alias("n")).select("b", "mp2", "mp1", "n").collect()] if learned is not None else []
     weights = learn_weights(found, 1 / (v_main + 1))
     shared = spark.sparkContext.broadcast((weights, n_all, v_all))
     id_type = docs.schema[id_col].dataType.simpleString()

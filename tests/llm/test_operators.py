@@ -242,7 +242,7 @@ def test_lm_scores_by_definition(docs):
         assert (r.held_out, r.n_known, r.train_tokens) == (f == 2, sum(uni[x] > 0 for x in w), n)
         assert math.isclose(r.base_score, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
         want = sum(math.log10(np.dot(weights[bucket(uni[a])], (bi[a, x] / uni[a] if uni[a] else 0, uni[x] / n, 1 / (v + 1)))) for a, x in pairs(w))
-        assert math.isclose(r.score, want, rel_tol=0.02)
+        assert math.isclose(r.score, want, rel_tol=0.002)
     assert lm_score.lm_scores(empty(docs)).count() == 0
 
 
