@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 
@@ -42,8 +43,8 @@ class EngineConfig:
     crawl_chars: int = 200_000
     frontier_cap: int = 2000
     chunk_chars: int = 1500
-    #: Spark-side bounds: query vectors that go to a task at once.
-    query_block: int = 4096
+    #: Spark-side bounds: bytes of query vectors that go to every task at once.
+    query_bytes: int = 32 << 20
 
 
 DEFAULT = EngineConfig()
@@ -54,6 +55,32 @@ def clamp_limit(limit: int | None, config: EngineConfig = DEFAULT, cap: int | No
     return max(1, min(config.default_limit if limit is None else int(limit), config.max_limit if cap is None else cap))
 
 
+#: What a query, a list of results and a list of domains may be.
+QUERY_CHARS, DOMAINS, SOURCES = 500, {"include": 300, "exclude": 150}, 5
+HOST_NAME = re.compile(r"(?=.{1,253}$)[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)*")
+
+
+def checked_query(query: str) -> str:
+    """A query with its white space collapsed; ValueError if it is blank or too long."""
+    query = " ".join(query.split())
+    if not 1 <= len(query) <= QUERY_CHARS:
+        raise ValueError(f"a query has 1 to {QUERY_CHARS} characters")
+    return query
+
+
+def checked_domains(domains: list[str], kind: str = "include") -> list[str]:
+    """Host names in their ASCII form, each once, in order; ValueError for what is none, or for too many."""
+    if len(domains) > DOMAINS[kind]:
+        raise ValueError(f"at most {DOMAINS[kind]} domains to {kind}")
+    try:
+        names = [d.strip().rstrip(".").encode("idna").decode("ascii").lower() for d in domains]
+    except UnicodeError as error:
+        raise ValueError("not a host name") from error
+    if wrong := [d for d in names if not HOST_NAME.fullmatch(d)]:
+        raise ValueError(f"not host names: {wrong}")
+    return list(dict.fromkeys(names))
+
+
 def normalized_weights(bm25: float, semantic: float) -> tuple[float, float]:
     """Weights that sum to one. Negative ones, or two zeros, are an error."""
     if bm25 < 0 or semantic < 0 or bm25 + semantic <= 0:

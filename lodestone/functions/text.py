@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -27,36 +27,43 @@ def fold_text(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()
 
 
+#: No character from here on decomposes, folds or combines.
+LAST_FOLDED = 0x30000
+
+
 @cache
-def _tables() -> tuple[str, str, dict[str, str]]:
-    """For translate(): characters and what single one each becomes, those that vanish last; and those that become several."""
-    single, gone, several = [], [], {}
-    for code in range(0x10000):
-        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:
-            continue
+def _tables() -> tuple[str, str, list[tuple[str, str]], str]:
+    """fold_text works character by character, as the marks that it could reorder all vanish. For translate(): characters and what single
+    one each becomes, those that vanish last; for characters that become several, the same for the first of these, the second and
+    so on; and a class of all of the latter."""
+    single, gone, several = [], [], []
+    for code in (*range(0xD800), *range(0xE000, LAST_FOLDED)):
         c = chr(code)
-        to = fold_text(c)
+        to = c if code < 0x41 else fold_text(c)
         if to == c:
             continue
-        if len(to) == 1:
-            single.append((c, to))
-        elif not to:
-            gone.append(c)
-        elif code < 0x250 or code == 0x1E9E or 0xFB00 <= code <= 0xFB06:
-            several[c] = to
-    return "".join(c for c, _ in single) + "".join(gone), "".join(t for _, t in single), several
+        (single if len(to) == 1 else several if to else gone).append((c, to))
+    longest = max(len(to) for _, to in several)
+    by_place = []
+    for k in range(longest):
+        there, ended = [(c, to[k]) for c, to in several if len(to) > k], [c for c, to in several if len(to) <= k]
+        by_place.append(("".join(c for c, _ in there) + "".join(ended), "".join(t for _, t in there)))
+    runs, codes = [], [ord(c) for c, _ in several]
+    for code in codes:
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "".join(c for c, _ in single) + "".join(c for c, _ in gone), "".join(t for _, t in single), by_place, "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in runs)
 
 
 def fold(c: Column) -> Column:
-    """fold_text in JVM code: one translate(), and replacements only for texts that hold a character that becomes several.
-
-    Covers the basic plane but Hangul and the rarer characters that decompose into several; fold_exact covers all.
-    """
-    before, after, several = _tables()
-    special = c
-    for x, to in several.items():
-        special = F.replace(special, F.lit(x), F.lit(to))
-    return F.translate(F.when(c.rlike(f"[{''.join(several)}]"), special).otherwise(c), before, after)
+    """fold_text in JVM code: lower() for ASCII texts, else one translate(); a text that holds a character that becomes several is taken
+    character by character first."""
+    before, after, by_place, several = _tables()
+    spelled = lambda x: F.when(x.rlike(f"[{several}]"), F.concat(*[F.translate(x, a, b) for a, b in by_place])).otherwise(x)
+    spread = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(f"[{several}]|[^{several}]+"), F.lit(0)), spelled), "")
+    return F.when(c.rlike(r"\A[\x00-\x7f]*\z"), F.lower(c)).otherwise(F.translate(F.when(c.rlike(f"[{several}]"), spread).otherwise(c), before, after))
 
 
 @F.pandas_udf(StringType())
@@ -66,19 +73,18 @@ def fold_exact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: None if t is None else fold_text(t))
 
 
-def words(c: Column) -> Column:
-    """All tokens of a text: runs of letters and digits of the folded text. Null has none."""
-    return F.regexp_extract_all(F.coalesce(fold(c), F.lit("")), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+_WORD = r"[\p{L}\p{N}]"
 
 
-def without_stop_words(tokens: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(tokens, lambda t: ~F.array_contains(stop, t))
+def words(c: Column) -> Column:
+    """All tokens of a text: runs of letters and digits of the folded text. Null has none."""
+    return F.regexp_extract_all(F.coalesce(fold(c), F.lit("")), F.lit(f"({_WORD}+)"), F.lit(1))
 
 
 def tokens(c: Column) -> Column:
-    """The tokens that an index holds, repeats included."""
-    return without_stop_words(words(c))
+    """The tokens that an index holds, repeats included: all but stop words."""
+    stop = f"(?!(?:{'|'.join(STOP_WORDS)})(?!{_WORD}))"
+    return F.regexp_extract_all(F.coalesce(fold(c), F.lit("")), F.lit(f"(?<!{_WORD}){stop}{_WORD}+"), F.lit(0))
 
 
 def leading(c: Column, n: int = 26) -> Column:
@@ -111,17 +117,23 @@ def query_terms(query: Column) -> Column:
     return words(query)
 
 
-def snippet(content: Column, terms: Column, n: int = 26) -> Column:
-    """The window around the first query term of the first line that has one: up to n // 2 tokens to either side. Without such a
-    line, or without terms, the first n tokens. Output is folded."""
-    half = max(1, n // 2)
-    lines = F.transform(F.split(fold(content), LINE_END), lambda x: F.regexp_extract_all(x, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
-    hit = F.try_element_at(F.filter(lines, lambda x: F.arrays_overlap(x, terms)), F.lit(1))
-    # the first place in the line whose token is a term, from 1
-    anchor = F.array_position(F.transform(hit, lambda t: F.array_contains(terms, t)), True)
-    start = F.greatest(F.lit(1).cast("long"), anchor - half).cast("int")
-    window = F.slice(hit, start, (anchor + half - start + 1).cast("int"))
-    return F.when(hit.isNotNull() & (F.size(terms) > 0), F.array_join(window, " ")).otherwise(F.array_join(leading(content, n), " "))
+def lines_of(content: Column) -> Column:
+    """The words of each line of a text; what a snippet is taken from."""
+    return F.transform(F.split(F.coalesce(fold(content), F.lit("")), LINE_END), lambda x: F.regexp_extract_all(x, F.lit(f"({_WORD}+)"), F.lit(1)))
+
+
+def with_snippet(rows: DataFrame, lines: str, terms: str, n: int = 26, out: str = "snippet") -> DataFrame:
+    """rows with a column out, from the columns lines (see lines_of) and terms (an array): the window around the first query term of the
+    first line that has one, up to n // 2 words to either side. Without such a line, or without terms, the first n words. Output is
+    folded. Each step is a column of its own, so nothing is computed twice."""
+    half, hit, anchor = max(1, n // 2), f"__{out}_hit", f"__{out}_at"
+    rows = rows.withColumn(hit, F.try_element_at(F.filter(lines, lambda x: F.arrays_overlap(x, F.col(terms))), F.lit(1)))
+    # the first place in the line whose word is a term, from 1
+    rows = rows.withColumn(anchor, F.array_position(F.transform(hit, lambda t: F.array_contains(F.col(terms), t)), True).cast("int"))
+    start = F.greatest(F.lit(1), F.col(anchor) - half)
+    window = F.slice(hit, start, F.col(anchor) + half - start + 1)
+    found = F.when(F.col(hit).isNotNull(), F.array_join(window, " ")).otherwise(F.array_join(F.slice(F.flatten(lines), 1, max(0, n)), " "))
+    return rows.withColumn(out, found).drop(hit, anchor)
 
 
 def escape_html(c: Column) -> Column:

@@ -1,16 +1,15 @@
 """URLs: canonical form, resolution, safety gate, scope, robots rules.
 
-Splitting and gating are column expressions. Canonical forms need percent re-encoding and relative resolution, which no
-built-in has, so these go through Arrow batches and the standard library.
+Splitting, gating and canonical forms are column expressions. Only the resolution of relative links and robots rules go through
+Arrow batches and the standard library.
 """
 
 from __future__ import annotations
 
 import ipaddress
-import re
 import urllib.robotparser
 from collections.abc import Iterator
-from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -97,48 +96,92 @@ def is_crawlable(url: Column) -> Column:
     return ~is_dangerous(url) & ~unwanted & ~is_private_name(name) & standard & F.when(literal, is_global(name)).otherwise(F.lit(True))
 
 
-def normalize_text(url: str, drop_tracking: bool = True) -> str:
-    """The canonical form: scheme and host lower-cased, no default port, no fragment, single slashes, no slash at the end of a longer
-    path, no tracking parameters, the others encoded anew. What has no scheme and host, or no valid port, stays as it is."""
-    url = (url or "").strip()
-    try:
-        u = urlsplit(url)
-        port = u.port
-    except ValueError:
-        return url
-    if not (u.scheme and u.netloc):
-        return url
-    name = f"[{u.hostname}]" if ":" in (u.hostname or "") else u.hostname or ""
-    if port is not None and port != {"http": 80, "https": 443}.get(u.scheme):
-        name = f"{name}:{port}"
-    if u.username:
-        name = u.username + (f":{u.password}" if u.password else "") + "@" + name
-    path = re.sub("/+", "/", u.path)
-    path = path if path == "/" else path.rstrip("/")
-    query = u.query
-    if query and drop_tracking:
-        query = urlencode([kv for kv in parse_qsl(query, keep_blank_values=True) if kv[0].lower() not in TRACKING])
-    return urlunsplit((u.scheme, name, path, query, ""))
+_AUTHORITY = r"(?s)\A(?:([^:]*)(:.*)?@)?(\[[^\]@]*\]|[^:\[\]@]*)(?::([0-9]*))?\z"
 
 
-@F.pandas_udf(StringType())
-def normalize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(lambda u: normalize_text(u or ""))
+def _requoted(word: Column) -> Column:
+    """A name or value of a query as forms write it: decoded, then encoded anew. A percent sign that begins no escape stands for itself."""
+    decoded = F.url_decode(F.regexp_replace(word, "%(?![0-9A-Fa-f]{2})", "%25"))
+    return F.replace(F.replace(F.url_encode(decoded), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
-def resolve_text(base: str, link: str) -> str:
-    try:
-        return normalize_text(urljoin(base or "", link or ""))
-    except ValueError:
-        return normalize_text(link or "")
+def _canonical_query(query: Column) -> Column:
+    """Without tracking parameters and empty pairs; each of the others as name=value."""
+    pairs = F.filter(F.split(query, "&"), lambda x: x != "")
+    named = F.transform(pairs, lambda x: F.struct(_requoted(F.substring_index(x, "=", 1)).alias("name"), _requoted(F.when(F.instr(x, "=") > 0, F.regexp_replace(x, r"(?s)\A[^=]*=", "")).otherwise("")).alias("value")))
+    kept = F.filter(named, lambda p: ~F.lower(p["name"]).isin(TRACKING))
+    return F.array_join(F.transform(kept, lambda p: F.concat(p["name"], F.lit("="), p["value"])), "&")
+
+
+def normalize(url: Column | str, drop_tracking: bool = True) -> Column:
+    """The canonical form: scheme and host lower-cased, no default port, no fragment, single slashes, no slash at the end of a longer
+    path, no tracking parameters, the others encoded anew. What has no scheme and host, or no valid port, stays as it is, but for
+    white space around it; null is empty."""
+    raw = F.regexp_replace(F.coalesce(F.col(url) if isinstance(url, str) else url, F.lit("")), r"\A[\s\x00-\x20\x85\xa0]+|[\s\x85\xa0]+\z", "")
+    whole = F.translate(raw, "\t\r\n", "")
+    place = _piece(whole, 2)
+    part = lambda k: F.regexp_extract(place, _AUTHORITY, k)
+    port = F.regexp_replace(part(4), "^0+(?=[0-9])", "")
+    valid = (place != "") & place.rlike(_AUTHORITY) & (F.length(port) <= 5) & ((port == "") | (port.cast("int") <= 65535))
+    standard = (port == "") | ((scheme(whole) == "http") & (port == "80")) | ((scheme(whole) == "https") & (port == "443"))
+    password = F.when(F.length(part(2)) > 1, part(2)).otherwise("")
+    user = F.when(part(1) != "", F.concat(part(1), password, F.lit("@"))).otherwise("")
+    single = F.regexp_replace(_piece(whole, 3), "/+", "/")
+    path = F.when(single == "/", single).otherwise(F.regexp_replace(single, "/$", ""))
+    query = _canonical_query(_piece(whole, 4)) if drop_tracking else _piece(whole, 4)
+    return F.when(valid, F.concat(scheme(whole), F.lit("://"), user, F.lower(part(3)), F.when(standard, "").otherwise(F.concat(F.lit(":"), port)), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))).otherwise(raw)
 
 
 @F.pandas_udf(StringType())
-def resolve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """A link against its base, in canonical form."""
+def _joined(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def one(base: str, link: str) -> str:
+        try:
+            return urljoin(base or "", link or "")
+        except ValueError:
+            return link or ""
+
     for bases, links in batches:
-        yield pd.Series([resolve_text(b, x) for b, x in zip(bases, links, strict=True)], dtype=object)
+        yield pd.Series([one(b, x) for b, x in zip(bases, links, strict=True)], dtype=object)
+
+
+def resolve(base: Column | str, link: Column | str) -> Column:
+    """A link against its base, in canonical form. Joining is the standard library's, in Arrow batches."""
+    return normalize(_joined(base, link))
+
+
+def is_public(url: Column) -> Column:
+    """An http(s) URL with a host and a valid port, without credentials or white space."""
+    port = F.regexp_extract(_host_port(url), r":([^:\]]*)\z", 1)
+    return scheme(url).isin("http", "https") & (host(url) != "") & (_user(url) == "") & ~url.rlike(r"[\s\x85\xa0]") & (port.rlike(r"\A[0-9]{0,5}\z")) & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535)
+
+
+#: Fixed value: the longest URL that a reader takes.
+READER_URL_CHARS = 2048
+
+
+def reader_url(url: Column) -> Column:
+    """A struct url, error: what a reader would fetch (scheme and host lower-cased, no fragment, a path at least), or why it doesn't:
+    invalid_url (no public form of http or https, another port than the scheme's, control characters, too long) or
+    blocked_destination (a local name)."""
+    clean = F.trim(F.coalesce(url, F.lit("")))
+    port = F.regexp_extract(_host_port(clean), r":([^:\]]*)\z", 1)
+    own = (port == "") | ((scheme(clean) == "http") & (port == "80")) | ((scheme(clean) == "https") & (port == "443"))
+    valid = (F.length(url) <= READER_URL_CHARS) & scheme(clean).isin("http", "https") & (host(clean) != "") & ~F.contains(_piece(clean, 2), F.lit("@")) & own & ~url.rlike(r"[\x00-\x1f\x7f]")
+    name = F.regexp_replace(host(clean), r"\.+$", "")
+    place = F.concat(F.when(F.contains(name, F.lit(":")), F.concat(F.lit("["), name, F.lit("]"))).otherwise(name), F.when(port == "", "").otherwise(F.concat(F.lit(":"), port)))
+    path, query = _piece(clean, 3), _piece(clean, 4)
+    form = F.concat(scheme(clean), F.lit("://"), place, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    error = F.when(~F.coalesce(valid, F.lit(False)), "invalid_url").when(is_private_name(name), "blocked_destination")
+    return F.struct(F.when(error.isNull(), form).alias("url"), error.alias("error"))
+
+
+def public_form(url: Column) -> Column:
+    """By what public URLs count as the same: scheme and host lower-cased, no default port, no slash at the end, no fragment."""
+    port = F.regexp_extract(_host_port(url), r":([0-9]+)\z", 1)
+    standard = (port == "") | ((scheme(url) == "https") & (port == "443")) | ((scheme(url) != "https") & (port == "80"))
+    path = F.regexp_replace(_piece(url, 3), "/+$", "")
+    query = _piece(url, 4)
+    return F.concat(scheme(url), F.lit("://"), host(url), F.when(standard, "").otherwise(F.concat(F.lit(":"), port)), F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
 def in_scope(name: Column, domains: list[str]) -> Column:

@@ -28,6 +28,27 @@ def link_graph(pages: DataFrame) -> DataFrame:
     return links.select(U.normalize("url").alias("src"), U.resolve("url", "link").alias("dst")).distinct()
 
 
+def jobs_report(jobs: DataFrame) -> DataFrame:
+    """One row, jobs and documents: how many crawls (job_id, pages_crawled) there were, and pages that they kept."""
+    return jobs.agg(F.count("*").alias("jobs"), F.coalesce(F.sum("pages_crawled"), F.lit(0)).cast("long").alias("documents"))
+
+
+def with_robots(rows: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
+    """rows (url, ...) with allowed and delay, by the robots.txt (robots: host, body) of each url's host; a host without one allows all."""
+    bodies = robots.select(F.col("host").alias("__host"), F.col("body").alias("__body"))
+    rows = rows.join(bodies, U.host(F.col("url")) == F.col("__host"), "left")
+    rows = rows.withColumn("__r", U.robots(F.coalesce("__body", F.lit("")), F.lit(agent), "url"))
+    return rows.withColumns({"allowed": F.col("__r.allowed"), "delay": F.col("__r.delay")}).drop("__host", "__body", "__r")
+
+
+def with_scope(rows: DataFrame, url_col: str, domains: DataFrame) -> DataFrame:
+    """rows with in_scope: whether the url's host is one of domains (domain) or below one. An equi-join on the hosts' suffixes, so the
+    domains may be many; null hosts are in none."""
+    hosts = rows.select(U.host(F.col(url_col)).alias("__host")).distinct()
+    inside = hosts.select("__host", F.explode(U.suffixes(F.col("__host"))).alias("domain")).join(domains.select("domain").distinct(), "domain").select(F.col("__host").alias("__in")).distinct()
+    return rows.join(inside, U.host(F.col(url_col)) == F.col("__in"), "left").withColumn("in_scope", F.col("__in").isNotNull()).drop("__in")
+
+
 @dataclass(frozen=True)
 class Crawl:
     pages: DataFrame
@@ -45,19 +66,24 @@ class CrawlConfig:
     respect_robots: bool = True
 
 
-def crawl(fetched: DataFrame, seeds: list[str], config: CrawlConfig = CrawlConfig(), robots: DataFrame | None = None) -> Crawl:
-    """Follows links from seeds through a table of fetched pages (url, status, content_type, html), level by level; robots has host and
-    body. Of a level the first URLs in their order of discovery are read until max_pages pages are kept; a page that has the text of an
+def crawl(fetched: DataFrame, seeds: list[str] | DataFrame, config: CrawlConfig = CrawlConfig(), robots: DataFrame | None = None) -> Crawl:
+    """Follows links from seeds (urls, or a table pos, url) through a table of fetched pages (url, status, content_type, html), level by
+    level; robots has host and body. Of a level the first URLs in their order of discovery are read until max_pages pages are kept; a page that has the text of an
     earlier one isn't kept and its links aren't followed. The order within a level is fixed, so results don't depend on timing.
 
     Visited URLs and text hashes are tables, so each level is a few joins; what reaches the driver are counts.
     """
     spark = fetched.sparkSession
     store = fetched.withColumn("url", U.normalize("url")).dropDuplicates(["url"])
-    seed_rows = spark.createDataFrame(list(enumerate(seeds)), "pos long, raw string").withColumn("url", U.normalize("raw"))
-    allowed = list(config.allowed) or sorted({r.h for r in seed_rows.select(U.host(F.col("url")).alias("h")).collect() if r.h})
-    gate = F.when(~U.is_crawlable(F.col("url")), "unparsable_seed").when(~U.in_scope(U.host(F.col("url")), allowed), "out_of_scope")
-    seed_rows = stored(seed_rows.withColumn("error", gate), "seeds")
+    table = seeds if isinstance(seeds, DataFrame) else spark.createDataFrame(list(enumerate(seeds)), "pos long, url string")
+    # a page's place in the order of discovery: its seed's number, then the number of each link on the way to it
+    place = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
+    seed_rows = table.select(place("pos").alias("pos"), F.col("url").alias("raw"), U.normalize("url").alias("url"))
+    hosts = seed_rows.select(U.host(F.col("url")).alias("domain"))
+    allowed = spark.createDataFrame([(d.lower().strip("."),) for d in config.allowed], "domain string") if config.allowed else hosts
+    allowed = stored(allowed.filter("domain <> ''").distinct(), "allowed")
+    gate = F.when(~U.is_crawlable(F.col("url")), "unparsable_seed").when(~F.col("in_scope"), "out_of_scope")
+    seed_rows = stored(with_scope(seed_rows, "url", allowed).withColumn("error", gate).drop("in_scope"), "seeds")
     failures = seed_rows.filter("error IS NOT NULL").select(F.col("raw").alias("url"), F.lit(0).alias("status"), F.col("error").alias("error_code"))
     counts = dict.fromkeys(("robots_blocked", "urls_seen", "duplicate_urls", "duplicate_content"), 0)
     counts["out_of_scope"] = failures.filter("error_code = 'out_of_scope'").count()
@@ -68,8 +94,7 @@ def crawl(fetched: DataFrame, seeds: list[str], config: CrawlConfig = CrawlConfi
             break
         read = level.join(store, "url", "left")
         if config.respect_robots and robots is not None:
-            read = read.join(robots.withColumnRenamed("body", "__body"), U.host(F.col("url")) == F.col("host"), "left").drop("host")
-            read = read.withColumn("__ok", U.robots(F.coalesce("__body", F.lit("")), F.lit(config.agent), "url")["allowed"]).drop("__body")
+            read = with_robots(read, robots, config.agent).withColumnRenamed("allowed", "__ok").drop("delay")
         else:
             read = read.withColumn("__ok", F.lit(True))
         is_html = F.coalesce("content_type", F.lit("")).rlike(r"\A(text/html|application/xhtml\+xml|[^;]*\+html|)(;|\z)")
@@ -84,21 +109,24 @@ def crawl(fetched: DataFrame, seeds: list[str], config: CrawlConfig = CrawlConfi
         new = fresh.filter("__n = 1").drop("__n")
         if pages is not None:
             new = new.join(pages.select("content_hash"), "content_hash", "left_anti")
-        new = stored(new.orderBy("pos").limit(config.max_pages - kept), "pages")
+        new = stored(new, "pages")
         added = new.count()
+        if added > config.max_pages - kept:
+            added = config.max_pages - kept
+            new = stored(new.orderBy("pos").limit(added), "pages")
         counts["duplicate_content"] += fresh.count() - added
         kept += added
         pages = new if pages is None else pages.unionByName(new)
         if depth == config.max_depth or not added:
             break
-        links = new.select("url", "pos", F.posexplode("links").alias("at", "link")).withColumn("to", U.resolve("url", "link"))
-        ok = U.is_crawlable(F.col("to")) & U.in_scope(U.host(F.col("to")), allowed)
-        links = stored(links.withColumn("ok", ok), "links")
+        links = new.select("pos", "url", F.posexplode("links").alias("at", "link")).select(F.concat_ws(".", "pos", place("at")).alias("pos"), U.resolve("url", "link").alias("to"))
+        links = stored(with_scope(links, "to", allowed).withColumn("ok", U.is_crawlable(F.col("to")) & F.col("in_scope")), "links")
         counts["out_of_scope"] += links.filter("NOT ok").count()
         inside = links.filter("ok")
-        order = F.struct("pos", "at")
-        found = inside.groupBy(F.col("to").alias("url")).agg(F.min(order).alias("o")).join(visited, "url", "left_anti")
-        found = stored(found.withColumn("pos", F.row_number().over(W.orderBy("o")).cast("long")).drop("o").filter(F.col("pos") <= max(0, config.frontier_cap - visited.count())), "frontier")
+        found = stored(inside.groupBy(F.col("to").alias("url")).agg(F.min("pos").alias("pos")).join(visited, "url", "left_anti"), "frontier")
+        room = max(0, config.frontier_cap - visited.count())
+        if found.count() > room:
+            found = stored(found.orderBy("pos").limit(room), "frontier")
         counts["duplicate_urls"] += inside.count() - found.count()
         visited = stored(visited.union(found.select("url")), "visited")
         level = found

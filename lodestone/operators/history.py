@@ -54,6 +54,38 @@ def valid_sessions(sessions: DataFrame, token_hash: str, now) -> DataFrame:
     return sessions.filter((F.col("token_hash") == token_hash) & (F.col("expires_at") > F.lit(now)))
 
 
+def new_sessions(tokens: DataFrame, now) -> DataFrame:
+    """Sessions (token_hash, expires_at) for tokens (token): what is stored of a token is its SHA-256. Blank tokens and those of over 128
+    characters get none; a repeated one gets one."""
+    rows = tokens.filter((F.col("token") != "") & (F.length("token") <= 128)).distinct()
+    return rows.select(F.sha2("token", 256).alias("token_hash"), (F.lit(now).cast("timestamp") + F.expr(f"INTERVAL {SESSION_DAYS} DAYS")).alias("expires_at"))
+
+
+def with_session(history: DataFrame, sessions: DataFrame, now) -> DataFrame:
+    """history of owners (session hashes) whose session is still valid."""
+    return history.join(sessions.filter(F.col("expires_at") > F.lit(now)).select(F.col("token_hash").alias("owner")).distinct(), "owner", "left_semi")
+
+
+def reserve(ledger: DataFrame, requests: DataFrame, allowance: int, credits: int = 1) -> DataFrame:
+    """requests (reservation_id, at) with credits and state: reserved, in the order of at and id as far as their month's allowance goes
+    beside what the ledger has spent, else refused."""
+    spent = usage(ledger, "month", allowance).select("period", "remaining")
+    rows = requests.withColumn("period", F.date_format("at", "yyyy-MM")).join(spent, "period", "left")
+    place = F.row_number().over(W.partitionBy("period").orderBy("at", "reservation_id"))
+    fits = place * credits <= F.coalesce("remaining", F.lit(allowance))
+    return rows.select("reservation_id", "at", F.lit(credits).alias("credits"), F.when(fits, "reserved").otherwise("refused").alias("state"))
+
+
+def settle(ledger: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """ledger (reservation_id, at, credits, state) after outcomes (reservation_id, credits, succeeded): a reservation becomes a success or a
+    failure with what it really cost; others stay. An outcome counts once, and only for what is reserved."""
+    once = outcomes.groupBy("reservation_id").agg(F.min_by(F.struct("credits", "succeeded"), F.struct("credits", "succeeded")).alias("o"))
+    rows = ledger.join(once, "reservation_id", "left")
+    open_ = (F.col("state") == "reserved") & F.col("o").isNotNull()
+    state = F.when(open_, F.when(F.col("o.succeeded"), "success").otherwise("failed")).otherwise(F.col("state"))
+    return rows.select("reservation_id", "at", F.when(open_, F.col("o.credits")).otherwise(F.col("credits")).alias("credits"), state.alias("state"))
+
+
 def adopt_ownerless(history: DataFrame, quarantine: str) -> DataFrame:
     """Rows from before owners existed go to a quarantined owner whose session has expired."""
     return history.withColumn("owner", F.coalesce("owner", F.lit(quarantine)))
@@ -70,6 +102,16 @@ def usage(ledger: DataFrame, period: str, allowance: int) -> DataFrame:
     return rows.select("period", "consumed", F.greatest(F.lit(0).cast("long"), F.lit(allowance) - F.col("consumed")).alias("remaining"), "successes", "failures", "last_success")
 
 
+def query_fold(query):
+    """Case-folded: lower case, and those characters whose folding is more than that."""
+    several = [(chr(c), chr(c).casefold()) for c in range(0x80, 0x1E943) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c).lower()]
+    for before, after in several:
+        if len(after) > 1:
+            query = F.replace(query, F.lit(before), F.lit(after))
+    single = [(b, a) for b, a in several if len(a) == 1]
+    return F.lower(F.translate(query, "".join(b for b, _ in single), "".join(a for _, a in single)))
+
+
 def cache_key(query, include, exclude, most):
     """The key under which a live answer is cached: SHA-256 over the folded query, both sorted domain lists and the number of results."""
-    return F.sha2(F.concat_ws("\0", F.lower(query), F.array_join(F.array_sort(include), ","), F.array_join(F.array_sort(exclude), ","), most.cast("string")), 256)
+    return F.sha2(F.concat_ws("\0", query_fold(query), F.array_join(F.array_sort(include), ","), F.array_join(F.array_sort(exclude), ","), most.cast("string")), 256)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, EngineConfig
 from ..functions import text as T
 from ..functions.urls import source_host
+from ..sources.tables import stored
+from .lexical import asked_terms, with_lines
 
 #: What makes a source look like documentation.
 PATH_HINTS = "/docs/ /doc/ /documentation/ /reference/ /guide/ /guides/ /dev/ /developer/ /manual/ /wiki/ /tutorial/ /learn/".split()
@@ -92,6 +94,34 @@ def diversify(hits: DataFrame, cap: int, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.filter(F.col("rank") <= limit)
 
 
+def diversify_stats(hits: DataFrame, cap: int) -> DataFrame:
+    """query_id, considered, returned, duplicates_removed, host_capped, distinct_sources: what diversify() without a limit does. A hit whose
+    document was returned before is a duplicate; one whose host had its share is capped, and so are its document's other hits."""
+    host = F.nullif(source_host(F.coalesce("source", F.lit(""))), F.lit(""))
+    named = F.coalesce(F.col("document_id").cast("string"), F.lit("")) != ""
+    by_doc = W.partitionBy("query_id", "document_id").orderBy("rank")
+    rows = hits.withColumns({"__host": host, "__first": ~named | (F.row_number().over(by_doc) == 1)})
+    rows = rows.withColumn("__k", F.sum(F.col("__first").cast("int")).over(W.partitionBy("query_id", "__host").orderBy("rank")))
+    fits = F.col("__host").isNull() | (F.lit(cap) <= 0) | (F.col("__k") <= cap)
+    rows = rows.withColumn("__kept", F.col("__first") & fits)
+    again = ~F.col("__first") & F.max("__kept").over(W.partitionBy("query_id", "document_id"))
+    rows = rows.withColumn("__again", again)
+    return rows.groupBy("query_id").agg(
+        F.count("*").alias("considered"),
+        F.count_if("__kept").alias("returned"),
+        F.count_if("__again").alias("duplicates_removed"),
+        F.count_if(~F.col("__kept") & ~F.col("__again")).alias("host_capped"),
+        F.count_distinct(F.when(F.col("__kept"), F.coalesce("__host", F.concat(F.lit("doc:"), F.col("document_id").cast("string"))))).alias("distinct_sources"),
+    )
+
+
+def documentation_stats(hits: DataFrame) -> DataFrame:
+    """query_id, documentation_hits, other_hits, promoted: what documentation_first() puts in front."""
+    like = is_documentation(F.col("source"), F.col("title"))
+    rows = hits.groupBy("query_id").agg(F.count_if(like).alias("documentation_hits"), F.count_if(~like).alias("other_hits"))
+    return rows.withColumn("promoted", F.col("documentation_hits"))
+
+
 def _any(c: Column, hints) -> Column:
     out = F.lit(False)
     for h in hints:
@@ -122,16 +152,17 @@ def with_contents(hits: DataFrame, docs: DataFrame) -> DataFrame:
 
 def enrich_snippets(hits: DataFrame, docs: DataFrame, queries: DataFrame, words: int) -> DataFrame:
     """Wider snippets from the documents; where that gives none, the old one stays."""
-    rows = with_contents(hits, docs).join(queries.select("query_id", F.col("query").alias("__q")), "query_id")
-    new = F.nullif(T.snippet(F.col("__content"), T.query_terms(F.col("__q")), words), F.lit(""))
-    return rows.withColumn("snippet", F.coalesce(new, F.col("snippet"))).drop("__content", "__q")
+    hits = stored(hits, "hits")
+    rows = with_lines(hits, docs).join(asked_terms(queries), "query_id")
+    rows = T.with_snippet(rows, "lines", "terms", words, "wide").select("query_id", "document_id", "rank", F.nullif("wide", F.lit("")).alias("wide"))
+    return hits.join(rows, ["query_id", "document_id", "rank"], "left").withColumn("snippet", F.coalesce("wide", "snippet")).drop("wide")
 
 
 def attach_code(hits: DataFrame, docs: DataFrame, queries: DataFrame, budget: int = DEFAULT.code_chars) -> DataFrame:
     """code_snippet: an excerpt of code from the document, null without one."""
-    rows = with_contents(hits, docs).join(queries.select("query_id", F.col("query").alias("__q")), "query_id")
-    code = T.code_excerpt(F.coalesce("__content", F.lit("")), T.query_terms(F.col("__q")), budget)
-    return rows.withColumn("code_snippet", F.nullif(code, F.lit(""))).drop("__content", "__q")
+    rows = with_contents(hits, docs).join(asked_terms(queries).withColumnRenamed("terms", "__terms"), "query_id")
+    code = T.code_excerpt(F.coalesce("__content", F.lit("")), F.col("__terms"), budget)
+    return rows.withColumn("code_snippet", F.nullif(code, F.lit(""))).drop("__content", "__terms")
 
 
 def source_entries(hits: DataFrame) -> DataFrame:

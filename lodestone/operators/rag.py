@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 from html import unescape
-from urllib.parse import urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,8 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..config import DEFAULT, EngineConfig
+from ..config import DEFAULT
 from ..functions import text as T
+from ..functions import urls as U
 
 NOT_ENOUGH = "The indexed sources don't hold enough relevant information."
 RULES = "Answer only from the SOURCES. Cite them as [1], [2] after each statement. If they don't answer the question, say so. Name no other sources."
@@ -73,8 +72,11 @@ def validated(answers: DataFrame) -> DataFrame:
 
 
 def clean_source(text: Column) -> Column:
-    """Markup, scripts and control characters out of a source's text, white space collapsed. Entities are resolved first."""
-    c = _unescaped(text)
+    """Markup, scripts and control characters out of a source's text, white space collapsed. Entities are resolved first; texts without
+    any don't go through Python's tables."""
+    c = F.coalesce(text, F.lit(""))
+    marked = F.instr(c, "&") > 0
+    c = F.when(marked, _unescaped(F.when(marked, c))).otherwise(c)
     c = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
     c = F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")
     return T.collapsed(c)
@@ -82,58 +84,38 @@ def clean_source(text: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _unescaped(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unescape(t or ""))
-
-
-def _public(url: str) -> tuple[str, str] | None:
-    """Host and canonical form of a public http(s) URL."""
-    try:
-        u = urlsplit(url)
-        port = u.port
-    except ValueError:
-        return None
-    if u.scheme.lower() not in ("http", "https") or not u.hostname or u.username or u.password or any(c.isspace() for c in url):
-        return None
-    place = u.hostname.lower() + ("" if port in (None, 443 if u.scheme == "https" else 80) else f":{port}")
-    return u.hostname, urlunsplit((u.scheme.lower(), place, u.path.rstrip("/") or "/", u.query, ""))
-
-
-SOURCE_FIELDS = "query_id long, id long, title string, url string, domain string, content string"
-
-
-def fitted_sources(rows: list[tuple[str, str, str]], most: int, chars: int) -> list[dict]:
-    """Of results (url, title, content), in order: public ones with a title and a text, each canonical URL once, as many and as long as
-    the budget lets them be, 3,000 characters each at most. Then the last ones shrink until their JSON fits the budget too."""
-    out, seen, used = [], set(), 0
-    for url, title, content in rows:
-        place = _public(url or "")
-        if len(out) == most or place is None or place[1] in seen or not title or not content:
-            continue
-        title = title[:500]
-        overhead = len(title) + len(url) + len(place[0]) + 80
-        room = min(3000, len(content), max(0, chars - used - overhead))
-        if room <= 0:
-            break
-        seen.add(place[1])
-        out.append({"id": len(out) + 1, "title": title, "url": url, "domain": place[0], "content": content[:room]})
-        used += overhead + room
-    size = lambda: len(json.dumps(out, ensure_ascii=False, separators=(",", ":")))
-    while out and (over := size() - chars) > 0:
-        out[-1]["content"] = out[-1]["content"][: max(0, len(out[-1]["content"]) - over - 1)]
-        if not out[-1]["content"]:
-            out.pop()
-    return out
-
-
-def prepare_sources(results: DataFrame, most: int = DEFAULT.rag_passages, chars: int = DEFAULT.rag_chars, config: EngineConfig = DEFAULT) -> DataFrame:
-    """The sources of each query from results (query_id, rank, url, title, content). A query's later sources depend on the earlier ones'
-    lengths, so its first config.max_candidates results (more are never returned by a search) are fitted in order in one place."""
-    rows = results.withColumns({"title": clean_source(F.col("title")), "content": clean_source(F.col("content"))})
-    rows = rows.withColumn("__n", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).filter(F.col("__n") <= config.max_candidates)
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("__n")
-        found = fitted_sources(list(zip(group["url"], group["title"], group["content"], strict=True)), most, chars)
-        return pd.DataFrame([{"query_id": group["query_id"].iloc[0], **s} for s in found], columns=["query_id", "id", "title", "url", "domain", "content"])
-
-    return rows.select("query_id", "__n", "url", "title", "content").groupBy("query_id").applyInPandas(fit, SOURCE_FIELDS)
+    return texts.map(lambda t: None if t is None else unescape(t))
+
+
+#: Characters of a source's title and content at most, and what the rest of a source counts for.
+TITLE_CHARS, CONTENT_CHARS, OVERHEAD = 500, 3000, 80
+SOURCE_FIELDS = ("id", "title", "url", "domain", "content")
+
+
+def prepare_sources(results: DataFrame, most: int = DEFAULT.rag_passages, chars: int = DEFAULT.rag_chars) -> DataFrame:
+    """query_id, id, title, url, domain, content: the sources of each query from results (query_id, rank, url, title, content). In the order
+    of rank, public ones with a title and a text, each canonical URL once, at most `most`, as far as they fit the budget together;
+    the last that begins within it is cut. If their JSON is longer than the budget, sources go from the end until it fits, and the
+    one that is then the last is cut by what is over.
+
+    Both cuts follow from running sums: of what each source would take, and of the lengths of their JSON.
+    """
+    by_rank = W.partitionBy("query_id").orderBy("rank")
+    so_far = by_rank.rowsBetween(W.unboundedPreceding, 0)
+    url = F.coalesce("url", F.lit(""))
+    rows = results.select("query_id", "rank", url.alias("url"), F.substring(clean_source(F.col("title")), 1, TITLE_CHARS).alias("title"), clean_source(F.col("content")).alias("content"))
+    rows = rows.filter((F.col("title") != "") & (F.col("content") != "") & U.is_public(F.col("url")))
+    rows = rows.withColumns({"domain": U.host(F.col("url")), "one": F.row_number().over(W.partitionBy("query_id", U.public_form(F.col("url"))).orderBy("rank"))}).filter("one = 1")
+    rows = rows.withColumn("id", F.row_number().over(by_rank).cast("long")).filter(F.col("id") <= most)
+    around = F.length("title") + F.length("url") + F.length("domain") + OVERHEAD
+    full = F.least(F.length("content"), F.lit(CONTENT_CHARS))
+    rows = rows.withColumns({"around": around, "full": full}).withColumn("taken", F.sum(F.col("around") + F.col("full")).over(so_far))
+    room = F.least("full", chars - (F.col("taken") - F.col("full")))
+    rows = rows.withColumn("room", room.cast("int")).filter("room > 0").withColumn("content", F.substring("content", F.lit(1), F.col("room")))
+    # brackets, commas and the sources themselves, up to each of them
+    json_chars = 1 + F.sum(1 + F.length(F.to_json(F.struct(*SOURCE_FIELDS)))).over(so_far)
+    over = F.greatest(json_chars - chars, F.lit(0))
+    rows = rows.withColumn("over", over).withColumn("left", F.when(F.col("over") == 0, F.length("content")).otherwise(F.length("content") - F.col("over") - 1).cast("int"))
+    last = F.max(F.when(F.col("left") > 0, F.col("id"))).over(W.partitionBy("query_id"))
+    rows = rows.withColumn("last", last).filter(F.col("id") <= F.col("last"))
+    return rows.withColumn("content", F.when(F.col("id") == F.col("last"), F.substring("content", F.lit(1), F.col("left"))).otherwise(F.col("content"))).select("query_id", *SOURCE_FIELDS)

@@ -41,12 +41,46 @@ def encode(rows: DataFrame, text_col: str, out_col: str = "embedding", dim: int
     return rows.withColumn(out_col, run(T.collapsed(F.col(text_col))))
 
 
+#: Queries that a task scores at once, against a batch of vectors.
+CHUNK = 512
+
+
+class _Best:
+    """The k best documents of each query so far; equal scores in the order of ids."""
+
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.q, self.k = queries, k
+        self.s: np.ndarray | None = None
+        self.d: np.ndarray | None = None
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        k = min(self.k, len(ids))
+        found = [self._top(np.round(self.q[i : i + CHUNK] @ vectors.T, 6), k) for i in range(0, len(self.q), CHUNK)]
+        s, d = np.concatenate([x[0] for x in found]), ids[np.concatenate([x[1] for x in found])]
+        if self.s is not None:
+            s, d = np.concatenate([self.s, s], 1), np.concatenate([self.d, d], 1)
+            best = np.lexsort((d, -s), axis=-1)[:, : self.k]
+            s, d = np.take_along_axis(s, best, 1), np.take_along_axis(d, best, 1)
+        self.s, self.d = s, d
+
+    @staticmethod
+    def _top(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row the k best scores and their places, of equal ones the first places; no row is sorted as a whole."""
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+        above, equal = s > least, s == least
+        taken = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))
+        places = np.nonzero(taken)[1].reshape(len(s), k)
+        return np.take_along_axis(s, places, 1), places
+
+
 def vector_scores(queries: DataFrame, vectors: DataFrame, k: int, config: EngineConfig = DEFAULT) -> DataFrame:
     """query_id, document_id, score (6 places), rank: the k nearest documents of each query by dot product, equal scores by id.
 
-    queries (query_id, embedding) go to all tasks in blocks of config.query_block vectors, which bounds what is sent; every task keeps k
-    rows a query, so what is shuffled grows with the number of tasks and not of documents. Vectors of another length match
-    nothing. k is at least 1.
+    queries (query_id, embedding) go to all tasks in blocks of config.query_bytes, which bounds what is sent; for each block the vectors
+    are read once, and a task keeps k rows a query, so what is shuffled grows with the number of tasks and not of documents.
+    Vectors of another length match nothing. k is at least 1.
     """
     ids = queries.schema["query_id"].dataType.simpleString()
     doc_ids = vectors.schema["document_id"].dataType.simpleString()
@@ -60,22 +94,21 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, k: int, config: Engine
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = matrix.value
-            best = None
+            best, kind = _Best(q, k), None
             for b in batches:
                 right = b.filter(pc.equal(pc.list_value_length(b.column("embedding")), length))
-                if not right.num_rows:
-                    continue
-                d = right.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, length).astype(np.float64)
-                s = np.round(d @ q.T, 6)
-                rows = pd.concat([pd.DataFrame({"q": j, "d": right.column("document_id").to_pandas(), "s": s[:, j]}).sort_values(["s", "d"], ascending=[False, True]).head(k) for j in range(len(names))])
-                best = rows if best is None else pd.concat([best, rows]).sort_values(["q", "s", "d"], ascending=[True, False, True]).groupby("q").head(k)
-            if best is not None:
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(best["q"])), pa.array(best["d"]), pa.array(best["s"])], ["query_id", "document_id", "score"])
+                if right.num_rows:
+                    kind = right.column("document_id").type
+                    d = right.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, length).astype(np.float64)
+                    best.add(np.array(right.column("document_id").to_pylist()), d)
+            if best.s is not None:
+                width = best.s.shape[1]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(len(names)), width))), pa.array(best.d.reshape(-1).tolist(), kind), pa.array(best.s.reshape(-1))], ["query_id", "document_id", "score"])
 
-        return vectors.select("document_id", "embedding").filter("embedding IS NOT NULL").mapInArrow(run, f"query_id {ids}, document_id {doc_ids}, score double")
+        return vectors.select("document_id", "embedding").filter("embedding IS NOT NULL AND document_id IS NOT NULL").mapInArrow(run, f"query_id {ids}, document_id {doc_ids}, score double")
 
     for row in queries.select("query_id", "embedding").filter("embedding IS NOT NULL").toLocalIterator():
-        if block and (len(block) == config.query_block or len(block[0][1]) != len(row[1])):
+        if block and (len(block) * len(block[0][1]) * 8 >= config.query_bytes or len(block[0][1]) != len(row[1])):
             found = against(block) if found is None else found.union(against(block))
             block = []
         block.append((row[0], row[1]))
@@ -86,6 +119,12 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, k: int, config: Engine
     return top_k(found, k)
 
 
+def ask(queries: DataFrame, dim: int = 64, encoder=hash_encode) -> DataFrame:
+    """queries (query_id, query) with embedding, made of the folded query, as the documents' are of their texts."""
+    rows = encode(queries.select("query_id", T.fold(F.coalesce("query", F.lit(""))).alias("folded")), "folded", dim=dim, encoder=encoder)
+    return queries.join(rows.select("query_id", "embedding"), "query_id", "left")
+
+
 def search(queries: DataFrame, vectors: DataFrame, docs: DataFrame, k: int, places: int = 4) -> DataFrame:
     """Full hits; semantic hits report no matched terms, and their snippet is the first tokens of the content."""
     rows = vector_scores(queries, vectors, k).join(docs.select("document_id", "title", "source", "content"), "document_id")

@@ -17,6 +17,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import crawl, evaluate, history, hybrid, lexical, lifecycle, modes, rag, semantic
 from ..sources import corpus
+from ..sources.tables import stored
 from . import search as plans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,10 +50,37 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+_MADE: dict[tuple[str, str, str], object] = {}
+
+
+def made(spark: SparkSession, sf: str, name: str, make: Callable):
+    """What make() stores for a folder of tables, made once for an application: search runs against indexes that are there."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
+def read_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as a crawl keeps them: title, text, content_hash, chunks, links and published besides page_id and url."""
+    return made(spark, sf, "pages", lambda: stored(crawl.extracted(table(spark, sf, "pages").select("page_id", "url", "html")).drop("html"), "pages"))
+
+
 def page_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages as documents by their titles; source is the url."""
-    title = H.raw_title(F.col("html"))
-    return table(spark, sf, "pages").select(F.col("page_id").alias("document_id"), title.alias("title"), title.alias("content"), F.col("url").alias("source"))
+    """Pages as documents: title and whole text; source is the url."""
+    return read_pages(spark, sf).select(F.col("page_id").alias("document_id"), "title", F.col("text").alias("content"), F.col("url").alias("source"))
+
+
+def doc_index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
+    return made(spark, sf, "document index", lambda: lexical.build_index(docs_of(spark, sf)))
+
+
+def page_index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
+    return made(spark, sf, "page index", lambda: lexical.build_index(page_docs(spark, sf)))
+
+
+def page_corpus(spark: SparkSession, sf: str) -> plans.Corpus:
+    return plans.Corpus(page_docs(spark, sf), page_index(spark, sf))
 
 
 def vectors_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +94,7 @@ def like_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_corpus(spark: SparkSession, sf: str) -> plans.Corpus:
-    return plans.make_corpus(docs_of(spark, sf), vectors_of(spark, sf))
+    return plans.Corpus(docs_of(spark, sf), doc_index(spark, sf), vectors_of(spark, sf))
 
 
 # ------------------------------------------------------------------------------------------------------------ SQL pieces
@@ -94,12 +122,25 @@ _DOCS = f"""docs AS (SELECT document_id, coalesce(substr(list_filter(list_transf
   FROM (SELECT doc_id AS document_id, {_strip("coalesce(text, '')")} AS content, coalesce(source, '') AS source FROM documents))"""
 _ASKED = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 _TITLE = r"trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))"
-_PAGES = f"docs AS (SELECT page_id AS document_id, {_TITLE} AS title, {_TITLE} AS content, url AS source FROM pages)"
-_INDEX = f"""post AS (SELECT document_id, term, count(*) AS tf FROM (SELECT document_id, unnest({_tokens("content")}) AS term FROM docs) GROUP BY ALL),
-dl AS (SELECT document_id, sum(tf)::BIGINT AS dl FROM post GROUP BY document_id),
-st AS (SELECT count(*) AS n, avg(dl) AS avgdl, sum(dl)::BIGINT AS tokens FROM dl),
-raw AS (SELECT term, count(*) AS df, ln((SELECT n FROM st) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+
+
+def _decoded(x: str) -> str:
+    for name, c in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{c}', 'g')"
+    return x
+
+
+#: What the parser makes of the pages, for SQL: dropped elements, comments and tags end a line, entities are resolved, blank lines go.
+_DROPPED = "|".join(rf"<{e}[\s>].*?</{e}\s*>" for e in sorted(H.DROPPED - H.VOID))
+_BARE = rf"regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|{_DROPPED}', chr(10), 'g'), '(?s)<[^>]*>', chr(10), 'g')"
+_TEXT_LINES = rf"list_transform(regexp_split_to_array({_decoded(_BARE)}, '[\n\r\x0b\x0c\x1c-\x1e]'), lambda l: regexp_replace({_strip('l')}, '[ \t]+', ' ', 'g'))"
+_TEXT = f"array_to_string(list_filter({_TEXT_LINES}, lambda l: l <> ''), chr(10))"
+_PAGES = f"docs AS MATERIALIZED (SELECT page_id AS document_id, {_decoded(_TITLE)} AS title, {_TEXT} AS content, url AS source FROM pages)"
+_INDEX = f"""post AS MATERIALIZED (SELECT document_id, term, count(*) AS tf FROM (SELECT document_id, unnest({_tokens("content")}) AS term FROM docs) GROUP BY ALL),
+dl AS MATERIALIZED (SELECT document_id, sum(tf)::BIGINT AS dl FROM post GROUP BY document_id),
+st AS MATERIALIZED (SELECT count(*) AS n, avg(dl) AS avgdl, sum(dl)::BIGINT AS tokens FROM dl),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM post GROUP BY term) f, st),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, (SELECT avg(raw) AS mean FROM raw) m)"""
 _SCORES = f"""qt AS (SELECT DISTINCT query_id, unnest({_words("query")}) AS term FROM q),
 sc AS (SELECT query_id, document_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM st)))), 6) AS score
   FROM qt JOIN idf USING (term) JOIN post USING (term) JOIN dl USING (document_id) GROUP BY ALL)"""
@@ -198,20 +239,19 @@ def chunk_documents(spark, sf):
 @query(f"WITH {_DOCS}, {_INDEX} SELECT (SELECT count(*) FROM docs) AS documents, tokens AS corpus_tokens, round(avgdl, 3) AS average_document_length, (SELECT count(*) FROM idf) AS vocabulary, 1.5::DOUBLE AS k1, 0.75::DOUBLE AS b FROM st")
 def corpus_stats(spark, sf):
     """A1, A2: the index in one row."""
-    d = docs_of(spark, sf)
-    return lexical.stats_report(d, lexical.build_index(d))
+    return lexical.stats_report(docs_of(spark, sf), doc_index(spark, sf))
 
 
 @query(f"WITH {_DOCS}, {_INDEX} SELECT term, sum(tf)::BIGINT AS n FROM post GROUP BY term ORDER BY n DESC, term LIMIT 100")
 def term_profile_top(spark, sf):
     """A3: the hundred most frequent terms."""
-    return lexical.term_profile(lexical.build_index(docs_of(spark, sf))).orderBy(F.desc("n"), "term").limit(100)
+    return lexical.term_profile(doc_index(spark, sf)).orderBy(F.desc("n"), "term").limit(100)
 
 
 @query(f"WITH {_DOCS}, {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def idf_table(spark, sf):
     """A4: document frequency and idf of all terms."""
-    return lexical.build_index(docs_of(spark, sf)).term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
+    return doc_index(spark, sf).term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_DOCS}, {_INDEX} SELECT * FROM post")
@@ -223,27 +263,26 @@ def postings(spark, sf):
 @query(f"WITH {_DOCS}, {_INDEX}, {_ASKED}, {_SCORES}, {_top('sc', 10)} SELECT * FROM top")
 def bm25_batch_topk(spark, sf):
     """The ten best documents of every query."""
-    return lexical.ranked(asked(spark, sf), lexical.build_index(docs_of(spark, sf)), 10).select("query_id", "document_id", "score", "rank")
+    return lexical.ranked(asked(spark, sf), doc_index(spark, sf), 10).select("query_id", "document_id", "score", "rank")
 
 
 @query(f"WITH {_DOCS}, {_INDEX}, {_ASKED}, {_SCORES}, {_PADDED}, {_top('pad', 50)} SELECT * FROM top")
 def bm25_padded(spark, sf):
     """Pages of fifty, filled up with documents that don't match."""
-    return lexical.ranked(asked(spark, sf), lexical.build_index(docs_of(spark, sf)), 50, pad=True).select("query_id", "document_id", "score", "rank")
+    return lexical.ranked(asked(spark, sf), doc_index(spark, sf), 50, pad=True).select("query_id", "document_id", "score", "rank")
 
 
 @query(f"WITH {_DOCS}, {_INDEX}, {_ASKED}, {_SCORES}, {_PADDED}, {_top('pad', 10)} SELECT query_id, rank, document_id, title, source, {_snippet('content', _words('query'), 26)} AS snippet, round(score::DECIMAL(18, 6), 4)::DOUBLE AS score, {_MATCHED} AS matched_terms FROM top JOIN q USING (query_id) JOIN docs USING (document_id)")
 def lexical_search(spark, sf):
     """Full hits with snippets (W9) and matched terms."""
-    d = docs_of(spark, sf)
-    return lexical.search(asked(spark, sf), d, lexical.build_index(d), 10).withColumn("matched_terms", F.array_join("matched_terms", " "))
+    return lexical.search(asked(spark, sf), docs_of(spark, sf), doc_index(spark, sf), 10).withColumn("matched_terms", F.array_join("matched_terms", " "))
 
 
 @query(f"WITH {_DOCS} SELECT document_id, {_snippet('content', '''['von', 'que', 'thest']''', 10)} AS snippet FROM docs")
 def snippet_keyword(spark, sf):
     """Ten-word snippets around fixed terms."""
-    terms = F.array(F.lit("von"), F.lit("que"), F.lit("thest"))
-    return docs_of(spark, sf).select("document_id", T.snippet(F.col("content"), terms, 10).alias("snippet"))
+    rows = docs_of(spark, sf).select("document_id", T.lines_of(F.col("content")).alias("lines"), F.array(F.lit("von"), F.lit("que"), F.lit("thest")).alias("terms"))
+    return T.with_snippet(rows, "lines", "terms", 10).select("document_id", "snippet")
 
 
 @query(
@@ -317,7 +356,7 @@ def hybrid_hits_lexical(spark, sf):
 
 # ------------------------------------------------------------------------------------------------------------------- modes
 
-_PAGE_HITS = f"{_PAGES}, {_INDEX}, {_ASKED}, {_SCORES}, {_PADDED}, {_top('pad', 50)}, hits AS (SELECT top.*, title, source FROM top JOIN docs USING (document_id))"
+_PAGE_HITS = f"{_PAGES}, {_INDEX}, {_ASKED}, {_SCORES}, {_PADDED}, {_top('pad', 50)}, hits AS (SELECT top.*, title, source, content FROM top JOIN docs USING (document_id))"
 _HOST = "coalesce(lower(regexp_extract(source, '(?i)^https?://([^/?#]*)', 1)), '')"
 
 
@@ -329,8 +368,7 @@ def _doc_like(source: str, title: str) -> str:
 
 
 def _page_hits(spark, sf):
-    d = page_docs(spark, sf)
-    return lexical.search(asked(spark, sf), d, lexical.build_index(d), 50, places=6)
+    return lexical.search(asked(spark, sf), page_docs(spark, sf), page_index(spark, sf), 50, places=6)
 
 
 @query(f"WITH {_PAGE_HITS} SELECT query_id, document_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM hits WHERE score > 0")
@@ -363,6 +401,22 @@ def mode_stats(spark, sf):
     return modes.mode_stats(hits, modes.diversify(modes.drop_unmatched(hits), 3))
 
 
+@query(
+    f"""WITH {_PAGE_HITS}, c AS (SELECT *, CASE WHEN host <> '' AND k > 2 THEN 1 ELSE 0 END AS capped FROM (SELECT *, row_number() OVER (PARTITION BY query_id, host ORDER BY rank) AS k FROM (SELECT *, {_HOST} AS host FROM hits)))
+SELECT query_id, count(*) AS considered, count(*) FILTER (capped = 0) AS returned, 0::BIGINT AS duplicates_removed, sum(capped)::BIGINT AS host_capped,
+  count(DISTINCT CASE WHEN capped = 0 THEN CASE WHEN host = '' THEN 'doc:' || document_id ELSE host END END) AS distinct_sources FROM c GROUP BY query_id"""
+)
+def diversify_stats(spark, sf):
+    """A10: duplicates, capped hits and sources of each page."""
+    return modes.diversify_stats(_page_hits(spark, sf), 2)
+
+
+@query(f"WITH {_PAGE_HITS} SELECT query_id, count(*) FILTER ({_doc_like('source', 'title')}) AS documentation_hits, count(*) FILTER (NOT {_doc_like('source', 'title')}) AS other_hits, count(*) FILTER ({_doc_like('source', 'title')}) AS promoted FROM hits GROUP BY query_id")
+def documentation_stats(spark, sf):
+    """A10: hits that documentation first puts in front."""
+    return modes.documentation_stats(_page_hits(spark, sf))
+
+
 @query(f"WITH {_PAGE_HITS} SELECT query_id, document_id, title, source, {_HOST} AS domain, rank, round(score::DECIMAL(18, 6), 4)::DOUBLE AS score FROM hits WHERE rank <= 5")
 def source_entries(spark, sf):
     """The sources of the five first hits."""
@@ -372,14 +426,14 @@ def source_entries(spark, sf):
 @query(f"WITH {_PAGE_HITS} SELECT query_id, rank, document_id, title, source, round(score::DECIMAL(18, 6), 4)::DOUBLE AS score FROM hits WHERE score > 0 AND rank <= 10")
 def mode_web(spark, sf):
     """R12 web, R13: without vectors the mode falls back to lexical hits."""
-    found = plans.search(asked(spark, sf), plans.make_corpus(page_docs(spark, sf)), "web")
+    found = plans.search(asked(spark, sf), page_corpus(spark, sf), "web")
     return found.hits.select("query_id", "rank", "document_id", "title", "source", "score")
 
 
 @query(f"WITH {_PAGE_HITS}, {_DIVERSE} SELECT query_id, rank, document_id, page.source, round(score::DECIMAL(18, 6), 4)::DOUBLE AS score, {_snippet('content', _words('query'), 56)} AS snippet FROM page JOIN docs USING (document_id) JOIN q USING (query_id) WHERE rank <= 15")
 def mode_research(spark, sf):
     """R12 research, R16: wider retrieval and snippets, three hits a host."""
-    found = plans.search(asked(spark, sf), plans.make_corpus(page_docs(spark, sf)), "research")
+    found = plans.search(asked(spark, sf), page_corpus(spark, sf), "research")
     return found.hits.select("query_id", "rank", "document_id", "source", "score", "snippet")
 
 
@@ -397,7 +451,7 @@ def mode_code(spark, sf):
 @query()
 def mode_code_snippets(spark, sf):
     """Excerpts of code from all documents and pages (held against plain Python in the tests)."""
-    d = docs_of(spark, sf).unionByName(page_docs(spark, sf).withColumn("content", F.lit("")).withColumn("document_id", -F.col("document_id") - 1))
+    d = docs_of(spark, sf).unionByName(page_docs(spark, sf).withColumn("document_id", -F.col("document_id") - 1))
     code = T.code_excerpt(F.col("content"), F.array(F.lit("thin"), F.lit("que")), 600)
     return d.select("document_id", F.nullif(code, F.lit("")).alias("code_snippet"))
 
@@ -417,13 +471,13 @@ def mode_catalog(spark, sf):
 
 @query()
 def technical_queries(spark, sf):
-    """F21, expand_technical_query: conversations' first words and urls as queries (held against plain Python in the tests)."""
+    """F21, expand_technical_query: pages' urls and some technical words as queries (held against plain Python in the tests)."""
     return table(spark, sf, "pages").select("page_id", modes.expand_technical(F.concat_ws(" ", "url", F.lit("SearchEngine of api_v2"))).alias("query"))
 
 
 # ------------------------------------------------------------------------------------------------------- grounded answers
 
-_SNIPPETS = f"{_PAGE_HITS}, sn AS (SELECT hits.*, {_snippet('hits.title', _words('query'), 26)} AS snippet FROM hits JOIN q USING (query_id) WHERE score > 0)"
+_SNIPPETS = f"{_PAGE_HITS}, sn AS (SELECT hits.*, {_snippet('hits.content', _words('query'), 26)} AS snippet FROM hits JOIN q USING (query_id) WHERE score > 0)"
 _PASSAGES = f"""{_SNIPPETS}, ps AS (SELECT *, row_number() OVER w AS citation_id, sum(length(snippet)) OVER (PARTITION BY query_id ORDER BY rank) AS chars FROM (SELECT query_id, document_id, title, source, snippet, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM sn) WHERE snippet <> '' WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
 enough AS (SELECT query_id FROM sn GROUP BY query_id HAVING max(score) >= 0.15),
 pass AS (SELECT query_id, citation_id, document_id, title, source, snippet AS content, rank, score FROM ps WHERE query_id IN (FROM enough) AND citation_id <= 5 AND (citation_id = 1 OR chars <= 200))"""
@@ -483,11 +537,41 @@ def url_normalize(spark, sf):
 
 @query(f"WITH {_URL} SELECT page_id, host, false AS dangerous, NOT ({' OR '.join(f'ends_with(lower(path), {chr(39)}{x}{chr(39)})' for x in U.NOT_PAGES)}) AS crawlable, regexp_matches(host, '(^|[.])example[.](com|org)$') AS scoped FROM u")
 def url_safety(spark, sf):
-    """host, gates and scope."""
+    """host, gates and scope."""
     p = table(spark, sf, "pages")
     return p.select("page_id", U.host(F.col("url")).alias("host"), U.is_dangerous(F.col("url")).alias("dangerous"), U.is_crawlable(F.col("url")).alias("crawlable"), U.in_scope(U.host(F.col("url")), ["example.com", ".example.org."]).alias("scoped"))
 
 
+@query(r"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE regexp_replace(lower(regexp_extract(url, '^[^/]*//[^/?#]*')) || regexp_replace(regexp_replace(url, '^[^/]*//[^/?#]*', ''), '#.*$', ''), '(://[^/?]*)($|[?])', '\1/\2') END AS url, CASE WHEN page_id % 3 = 0 THEN 'invalid_url' END AS error FROM pages")
+def reader_urls(spark, sf):
+    """what a reader would fetch; every third url gets a port that isn't its scheme's."""
+    u = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "^([^/]*//[^/?#]*)", "$1:8443")).otherwise(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", U.reader_url(u).alias("r")).select("page_id", "r.url", "r.error")
+
+
+@query("SELECT event_id AS id, CASE WHEN n <= 5 THEN 'reserved' ELSE 'refused' END AS state FROM (SELECT event_id, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m') ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'click')")
+def usage_reserve(spark, sf):
+    """K9: requests against an allowance of ten credits a month, two each, with nothing spent."""
+    e = table(spark, sf, "events")
+    ask = e.filter("event_type = 'click'").select(F.col("event_id").alias("reservation_id"), F.col("ts").alias("at"))
+    return history.reserve(_ledger(spark, sf).limit(0), ask, 10, 2).select(F.col("reservation_id").alias("id"), "state")
+
+
+@query("SELECT event_id AS id, CASE WHEN event_type <> 'click' THEN 'success' WHEN event_id % 2 = 0 THEN 'success' WHEN event_id % 3 = 0 THEN 'failed' ELSE 'reserved' END AS state, CASE WHEN event_type = 'click' AND (event_id % 2 = 0 OR event_id % 3 = 0) THEN event_id % 5 ELSE 1 END::BIGINT AS credits FROM events")
+def usage_settle(spark, sf):
+    """K9: reservations (clicks) settled by outcomes; those without one stay open."""
+    e = table(spark, sf, "events")
+    ledger = e.select(F.col("event_id").alias("reservation_id"), F.col("ts").alias("at"), F.lit(1).cast("long").alias("credits"), F.when(F.col("event_type") == "click", "reserved").otherwise("success").alias("state"))
+    ends = e.filter("event_id % 2 = 0 OR event_id % 3 = 0").select(F.col("event_id").alias("reservation_id"), (F.col("event_id") % 5).cast("long").alias("credits"), (F.col("event_id") % 2 == 0).alias("succeeded"))
+    return history.settle(ledger, ends).select(F.col("reservation_id").alias("id"), "state", "credits")
+
+
+@query("SELECT DISTINCT sha256(user_id::VARCHAR) AS token_hash, TIMESTAMP '2024-01-31 00:00:00' AS expires_at FROM events")
+def session_create(spark, sf):
+    """K8: a session for every user, thirty days long."""
+    return history.new_sessions(table(spark, sf, "events").select(F.col("user_id").cast("string").alias("token")), "2024-01-01 00:00:00")
+
+
 @query(f"WITH {_URL}, d AS (SELECT unnest(['example.com', 'example.org', 'www.therti.example.org']) AS domain) SELECT page_id, count(*) AS domains FROM u JOIN d ON host = domain OR ends_with(host, '.' || domain) GROUP BY page_id")
 def domain_scope(spark, sf):
     """Hosts against a table of domains, as an equi-join on host suffixes."""
@@ -496,12 +580,22 @@ def domain_scope(spark, sf):
     return p.join(d, "domain").groupBy("page_id").agg(F.count("*").alias("domains"))
 
 
-@query(r"SELECT page_id, NOT regexp_matches(url, '^https?://[^/]*/fr/') AS allowed, 2.0::DOUBLE AS delay FROM pages")
+def robots_of(spark, sf) -> DataFrame:
+    """A robots.txt for every host of pages but those of com domains, made up by the host's length."""
+    hosts = table(spark, sf, "pages").select(U.host(F.col("url")).alias("host")).distinct().filter("NOT endswith(host, '.com')")
+    french, others = "User-agent: *\nDisallow: /fr/\nCrawl-delay: 2\n", "User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /de/1\nDisallow: /de/\n"
+    return hosts.select("host", F.when(F.length("host") % 3 == 0, french).when(F.length("host") % 3 == 1, others).otherwise("Disallow: /").alias("body"))
+
+
+@query(
+    rf"""WITH {_URL} SELECT page_id, CASE WHEN ends_with(host, '.com') THEN true WHEN length(host) % 3 = 0 THEN NOT regexp_matches(url, '^https?://[^/]*/fr/')
+WHEN length(host) % 3 = 1 THEN NOT regexp_matches(url, '^https?://[^/]*/de/') OR regexp_matches(url, '^https?://[^/]*/de/1') ELSE false END AS allowed,
+CASE WHEN NOT ends_with(host, '.com') AND length(host) % 3 = 0 THEN 2.0 ELSE 0.0 END::DOUBLE AS delay FROM u"""
+)
 def robots_allowed(spark, sf):
-    """Pages against a robots body."""
-    body = F.lit("User-agent: *\nDisallow: /fr/\nCrawl-delay: 2\n")
-    p = table(spark, sf, "pages").withColumn("r", U.robots(body, F.lit("lodestone"), "url"))
-    return p.select("page_id", "r.allowed", "r.delay")
+    """Pages against the robots.txt of their host; a host without one allows all."""
+    p = crawl.with_robots(table(spark, sf, "pages").select("page_id", "url"), robots_of(spark, sf), "lodestone")
+    return p.select("page_id", "allowed", "delay")
 
 
 @query(f"SELECT page_id, {_TITLE} AS title FROM pages")
@@ -509,11 +603,10 @@ def page_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", H.raw_title(F.col("html")).alias("title"))
 
 
-@query()
+@query(rf"WITH {_PAGES} SELECT document_id AS page_id, title, length(content) AS n_chars, sha256(content) AS content_hash, ceil(length(content) / 1500)::INT AS n_chunks, len({_LINKS}) AS n_links, NULL::VARCHAR AS published FROM docs JOIN pages ON page_id = document_id")
 def page_text(spark, sf):
-    """extract_text, extract_title, chunk_text, _published_date: all that a crawl keeps of a page (parsing has no SQL)."""
-    rows = crawl.extracted(table(spark, sf, "pages").select("page_id", "url", "html"))
-    return rows.select("page_id", "title", F.length("text").cast("long").alias("n_chars"), "content_hash", F.size("chunks").cast("long").alias("n_chunks"), F.size("links").cast("long").alias("n_links"), "published")
+    """extract_text, extract_title, chunk_text, _links_from, _published_date: all that a crawl keeps of a page."""
+    return read_pages(spark, sf).select("page_id", "title", F.length("text").cast("long").alias("n_chars"), "content_hash", F.size("chunks").alias("n_chunks"), F.size("links").cast("long").alias("n_links"), F.col("published").cast("string").alias("published"))
 
 
 @query(f"SELECT page_id, len({_LINKS}) AS n_links, array_to_string({_LINKS}, ' ') AS links FROM pages")
@@ -539,11 +632,12 @@ def reader_blocks(spark, sf):
 
 @query()
 def crawl_site(spark, sf):
-    """A crawl of the pages table from its first ten urls, two levels deep: the report."""
-    p = table(spark, sf, "pages")
+    """A crawl of the pages table from every host's first page, as deep as it goes, under the hosts' robots.txt: the
+    report (held against plain Python in the tests)."""
+    p = table(spark, sf, "pages").filter("url IS NOT NULL")
     fetched = p.select("url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), "html")
-    seeds = [r.url for r in p.orderBy("page_id").select("url").limit(10).collect()]
-    return crawl.crawl(fetched, seeds, crawl.CrawlConfig(max_pages=50)).report
+    seeds = p.groupBy(U.host(F.col("url")).alias("host")).agg(F.min_by("url", "page_id").alias("url"), F.min("page_id").alias("pos")).select("pos", "url")
+    return crawl.crawl(fetched, seeds, crawl.CrawlConfig(max_pages=1 << 40, max_depth=10, frontier_cap=1 << 40), robots_of(spark, sf)).report
 
 
 @query(
@@ -559,12 +653,11 @@ def crawl_frontier_level1(spark, sf):
     return new.groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("urls"))
 
 
-@query(f"WITH x AS (SELECT page_id, url, {_TITLE} AS title FROM pages) SELECT 'crawl-' || substr(sha256(title), 1, 12) AS document_id, CASE WHEN title = '' THEN url ELSE title END AS title, url AS source FROM x WHERE len({_tokens('title')}) > 0")
+@query(f"WITH {_PAGES} SELECT 'crawl-' || substr(sha256(content), 1, 12) AS document_id, CASE WHEN title = '' THEN source ELSE title END AS title, source, length(content) AS n_chars FROM docs WHERE len({_tokens('content')}) > 0")
 def crawl_documents(spark, sf):
-    """Crawled pages as documents (here by their titles)."""
-    title = H.raw_title(F.col("html"))
-    p = table(spark, sf, "pages").select("url", title.alias("title"), title.alias("text"), F.sha2(title, 256).alias("content_hash"))
-    return corpus.crawl_documents(p).select("document_id", "title", "source")
+    """Crawled pages as documents."""
+    rows = corpus.crawl_documents(read_pages(spark, sf))
+    return rows.select("document_id", "title", "source", F.length("content").cast("long").alias("n_chars"))
 
 
 # --------------------------------------------------------------------------------------------------------------- lifecycle
@@ -622,7 +715,7 @@ def lookup_by_hash(spark, sf):
     """The document that has the first one's hash."""
     d = _hashed(spark, sf)
     wanted = d.orderBy("document_id").select("content_hash").first()[0]
-    return corpus.keep_first(d.filter(F.col("content_hash") == wanted), ["content_hash"], ["document_id"]).select("document_id")
+    return corpus.by_hash(d, wanted).select("document_id")
 
 
 # ------------------------------------------------------------------------------------------------------- history and usage
@@ -696,7 +789,7 @@ def usage_daily(spark, sf):
     return history.usage(_ledger(spark, sf), "day", 400)
 
 
-@query("SELECT item_id, sha256(array_to_string([lower(text), 'a.example,b.example', '', '5'], chr(0))) AS key FROM benchmark")
+@query("SELECT item_id, sha256(array_to_string([replace(lower(text), 'ß', 'ss'), 'a.example,b.example', '', '5'], chr(0))) AS key FROM benchmark")
 def cache_keys(spark, sf):
     """_cache_key: keys of live searches."""
     none = F.array().cast("array<string>")
@@ -713,7 +806,7 @@ m AS (SELECT query_id, round(coalesce(n, 0) / 10, 6) AS precision, round(CASE WH
 
 
 def _metrics(spark, sf):
-    ranked = lexical.ranked(asked(spark, sf), lexical.build_index(docs_of(spark, sf)), 10)
+    ranked = lexical.ranked(asked(spark, sf), doc_index(spark, sf), 10)
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("document_id"), (F.col("quality") + 2 * F.col("toxic")).alias("grade"), (F.col("doc_id") % 10).alias("d"))
     judged = asked(spark, sf).select("query_id", (F.col("query_id") % 10).alias("d")).join(labels, "d").drop("d")
     return evaluate.metrics(ranked, judged, 10)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig, clamp_limit
 from ..operators import hybrid, lexical, modes, rag, semantic
+from ..sources import corpus as sources
 from ..sources.tables import stored
 
 
@@ -49,6 +50,30 @@ class Found:
     citations: DataFrame | None = None
 
 
+def answer_status(retrieval: str, generated: bool, answer: str = "ok") -> str:
+    """The status of an answered search: retrieval that isn't whole counts first; then an answer is ok, and none is ok only if the
+    provider was there."""
+    if retrieval in ("degraded", "unavailable"):
+        return retrieval
+    return "unavailable" if not generated and answer in ("degraded", "unavailable", "disabled") else "ok"
+
+
+@dataclass(frozen=True)
+class PipelineReport:
+    """What indexing a corpus did; rows that a store had before aren't persisted again."""
+
+    documents_loaded: int
+    indexed: int
+    persisted: int
+
+
+def run_pipeline(docs: DataFrame, known: DataFrame | None = None, config: EngineConfig = DEFAULT) -> tuple[Corpus, PipelineReport]:
+    """Indexes docs (document_id, title, source, content, content_hash) and says how many of them a store with the rows known doesn't have."""
+    made = make_corpus(docs, None, config)
+    new = docs if known is None else sources.new_only(docs, known, ["document_id"])
+    return made, PipelineReport(docs.count(), made.index.doc_stats.count(), new.count())
+
+
 def search(queries: DataFrame, corpus: Corpus, mode: str = "lexical", limit: int | None = None, weights: tuple[float, float] | None = None) -> Found:
     """All queries (query_id, query, and embedding where vectors are searched) in one mode. Ranking modes return padded pages; special
     modes only what matched."""

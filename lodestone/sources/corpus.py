@@ -86,7 +86,12 @@ def new_only(rows: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
 
 
 def by_hash(docs: DataFrame, content_hash: str) -> DataFrame:
-    return docs.filter(F.col("content_hash") == content_hash).limit(1)
+    """The document with a content; of several the one with the smallest id."""
+    return docs.filter(F.col("content_hash") == content_hash).orderBy("document_id").limit(1)
+
+
+def by_id(docs: DataFrame, document_id) -> DataFrame:
+    return docs.filter(F.col("document_id") == F.lit(document_id)).limit(1)
 
 
 def read_judgements(spark: SparkSession, path: str) -> DataFrame:

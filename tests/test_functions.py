@@ -1,5 +1,6 @@
 """Text, URL and HTML functions against the cases that they must meet."""
 
+import re
 import unicodedata
 
 import pytest
@@ -19,8 +20,12 @@ def test_fold_follows_its_rule(spark):
     texts = ["CAFÉ Crème", "  PyThôn  ", "Straße ŒUVRE ﬁn", "ΑΒΓ ς", "Ǆ ŉ ẞ", "áb", "Ünïcödé"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.fold(F.col("t")), T.fold_exact("t")).collect()
     assert [r[0] for r in rows] == [T.fold_text(t) for t in texts] == [r[1] for r in rows]
-    every = "".join(chr(c) for c in range(0x20, 0x3000) if unicodedata.category(chr(c)) not in ("Cs",) and len(T.fold_text(chr(c))) <= 1)
-    assert one(spark, T.fold(F.col("t")), t=every) == T.fold_text(every)
+    for plane in range(17):
+        every = ["".join(map(chr, range(a, a + 0x400))) for a in range(plane << 16, (plane + 1) << 16, 0x400) if not 0xD800 <= a < 0xE000]
+        got = spark.createDataFrame(list(enumerate(every)), "i int, t string").select("i", T.fold(F.col("t")).alias("f")).collect()
+        assert all(r.f == T.fold_text(every[r.i]) for r in got), plane
+    mixed = "한국어 텍스트 각 𝐀𝒷 ﷺ İstanbul ½ ǰ ΐ ﬃ 豈 𝟘"
+    assert one(spark, T.words(F.col("t")), t=mixed) == re.findall(r"[^\W_]+", T.fold_text(mixed))
 
 
 def test_tokens(spark):
@@ -31,13 +36,18 @@ def test_tokens(spark):
     assert one(spark, T.leading(F.col("t"), -1), t="The cat sat") == []
 
 
+def snippet(spark, n, t, q):
+    rows = spark.createDataFrame([(t, q)], "t string, terms array<string>").select("terms", T.lines_of(F.col("t")).alias("lines"))
+    return T.with_snippet(rows, "lines", "terms", n).first().snippet
+
+
 def test_snippets(spark):
     text = " ".join(f"tok{i}" for i in range(80))
-    got = one(spark, T.snippet(F.col("t"), F.col("q"), 10), t=text, q=["tok40"]).split()
+    got = snippet(spark, 10, t=text, q=["tok40"]).split()
     assert len(got) == 11 and got[5] == "tok40" and got[:2] == ["tok35", "tok36"]
-    assert one(spark, T.snippet(F.col("t"), F.col("q")), t="alpha beta\ngamma delta", q=["kubernetes"]) == "alpha beta gamma delta"
-    assert one(spark, T.snippet(F.col("t"), F.col("q")), t="alpha beta\nGamma delta", q=["gamma"]) == "gamma delta"
-    assert one(spark, T.snippet(F.col("t"), F.col("q")), t="", q=["a"]) == ""
+    assert snippet(spark, 26, t="alpha beta\ngamma delta", q=["kubernetes"]) == "alpha beta gamma delta"
+    assert snippet(spark, 26, t="alpha beta\nGamma delta", q=["gamma"]) == "gamma delta"
+    assert snippet(spark, 26, t="", q=["a"]) == ""
 
 
 @pytest.mark.parametrize(
@@ -87,12 +97,37 @@ def test_code_excerpts(spark):
         ("", ""),
     ],
 )
-def test_normalize_url(url, want):
-    assert U.normalize_text(url) == want
-
-
-def test_resolve_url():
-    assert U.resolve_text("https://h/docs/guide/index.html", "../api") == "https://h/docs/api"
+def test_normalize_url(spark, url, want):
+    assert one(spark, U.normalize(F.col("u")), u=url) == want
+
+
+def test_normalize_more_urls(spark):
+    cases = {
+        " http://h/a?b ": "http://h/a?b=",
+        "http://U:p@H:0080/": "http://U:p@h/",
+        "http://U:@h/?": "http://U@h/",
+        "http://@h": "http://h",
+        "http://h:99999/": "http://h:99999/",
+        "http://h:/x#y": "http://h/x",
+        "http://h?a=1&&UTM_Source=2&c=%zz*~&d=%C3%A9+x": "http://h?a=1&c=%25zz%2A~&d=%C3%A9+x",
+        "http://h/a//": "http://h/a",
+        "https://h:80/a": "https://h:80/a",
+        "mailto:x@y": "mailto:x@y",
+        "//h/x": "//h/x",
+        "http://a:b:80/": "http://a:b:80/",
+    }
+    rows = spark.createDataFrame(list(cases.items()), "u string, want string").select("u", "want", U.normalize("u").alias("got")).collect()
+    assert {r.u: r.got for r in rows} == cases
+
+
+def test_resolve_url(spark):
+    assert one(spark, U.resolve("b", "l"), b="https://h/docs/guide/index.html", l="../api") == "https://h/docs/api"
+    assert one(spark, U.resolve("b", "l"), b="https://h/docs/", l="http://[bad") == "http://[bad"
+
+
+def test_raw_links(spark):
+    html = """<a href="/a">x</a><A class='k>' HREF = '/b' >y</A><a id=z href=/c>z</a><a href="#t">t</a><abbr href="/no"><a title="href=/q" href="/d">"""
+    assert one(spark, H.raw_links(F.col("h")), h=html) == ["/a", "/b", "/c", "/d"]
 
 
 @pytest.mark.parametrize(

@@ -194,14 +194,45 @@ def test_citations(spark):
     assert rows[1].error == "invalid_citations" and rows[2].error == "missing_citations"
 
 
-def test_sources_fit_the_budget():
+def test_sources_fit_the_budget(spark):
+    """Every property that makes the result unique: order, one of each page, full texts but the last, and no character to spare."""
     rnd = random.Random(7)
-    for _ in range(300):
-        rows = [(rnd.choice(["https://a.example/x", "https://a.example/x/", "http://b.example", "ftp://c", "https://u@d.example", f"https://e.example/{rnd.random()}"]), rnd.choice(["", "t" * 20, 'q"' * 30]), "é" * rnd.randint(0, 4000)) for _ in range(8)]
-        chars = rnd.randint(50, 6000)
-        got = rag.fitted_sources(rows, 4, chars)
-        assert len(json.dumps(got, ensure_ascii=False, separators=(",", ":"))) <= chars or not got
-        assert len({s["url"].rstrip("/") for s in got}) == len(got) <= 4 and [s["id"] for s in got] == list(range(1, len(got) + 1))
+    urls = ["https://a.example/x", "HTTPS://A.example:443/x/", "http://b.example", "ftp://c", "https://u@d.example", "https://f.example/a b", "http://g:x/"]
+    results, budget = [], {}
+    for q in range(120):
+        results += [(q, r, rnd.choice([*urls, *(f"https://e.example/{rnd.random()}" for _ in urls)]), rnd.choice([None, "t" * 20, 'q" ' * 30, "é" * 700]), "é" * rnd.randint(0, 4000) if rnd.random() < 0.8 else 'say "x" \\ ' * 200) for r in range(8)]
+        budget[q] = rnd.choice([50, 150, 700, 3000, 6000])
+    df = spark.createDataFrame(results, "query_id long, rank long, url string, title string, content string")
+    public = re.compile(r"(?i)https?://[^@ /:]+(:[0-9]+)?(/[^ ]*)?$")
+    for chars in set(budget.values()):
+        got = {}
+        for r in rag.prepare_sources(df, 4, chars).orderBy("query_id", "id").collect():
+            got.setdefault(r.query_id, []).append(r)
+        for q in range(120):
+            there, seen = [], set()
+            for _, _, url, title, content in results[8 * q : 8 * q + 8]:
+                same = url.lower().replace(":443", "").rstrip("/")
+                if public.match(url) and title and content and same not in seen:
+                    seen.add(same)
+                    there.append((url, " ".join(title.split())[:500], " ".join(content.split())))
+            there, found = there[:4], got.get(q, [])
+            size = lambda xs: len(json.dumps([dict(zip(rag.SOURCE_FIELDS, x, strict=True)) for x in xs], ensure_ascii=False, separators=(",", ":")))
+            rows = [(r.id, r.title, r.url, r.domain, r.content) for r in found]
+            used = sum(len(r.title) + len(r.url) + len(r.domain) + 80 + len(r.content) for r in found)
+            assert (not rows or size(rows) <= chars) and used <= max(chars, 0) or not rows
+            for r, (url, title, content) in zip(found, there, strict=False):
+                assert (r.url, r.title) == (url, title) and content.startswith(r.content) and r.id == found.index(r) + 1
+                assert r is found[-1] or len(r.content) == min(3000, len(content))
+            if rows and len(found[-1].content) < min(3000, len(there[len(found) - 1][2])):
+                longer = rows[:-1] + [(*rows[-1][:4], there[len(found) - 1][2][: len(rows[-1][4]) + 1])]
+                # a cut takes as many characters as the JSON is over, and one more; escapes that go with them count twice
+                escapes = size(longer) - sum(map(len, longer[-1][1:])) if '"' in there[len(found) - 1][2] else 0
+                assert used == chars or size(longer) + 1 + escapes > chars
+            elif len(rows) < len(there):
+                url, title, _ = there[len(rows)]
+                host = url.split("/")[2].split(":")[0].lower()
+                least = len(title) + len(url) + len(host) + 80
+                assert used + least + 1 > chars or size([*rows, (len(rows) + 1, title, url, host, "x")]) + 2 > chars - 400
 
 
 def test_live_sources_read_whole_pages(spark, tmp_path):
@@ -221,3 +252,49 @@ def test_metrics(spark):
     assert evaluate.macro(evaluate.metrics(results, judged, 3)).first().queries == 3
     with pytest.raises(ValueError):
         evaluate.metrics(results, judged, 0)
+
+
+def test_vectors_with_ties(spark, monkeypatch):
+    """Equal scores go by id across batches and tasks; zero vectors tie with everything; ids may be strings."""
+    monkeypatch.setattr(semantic, "CHUNK", 3)
+    rng = np.random.default_rng(5)
+    v = rng.integers(-1, 2, size=(200, 4)).astype(np.float32)
+    names = [f"d{i:03d}" for i in range(200)]
+    rows = spark.createDataFrame([(n, x.tolist()) for n, x in zip(names, v, strict=True)], "document_id string, embedding array<float>").repartition(4)
+    q = rows.filter("document_id < 'd010'").select(F.col("document_id").alias("query_id"), "embedding").unionByName(spark.createDataFrame([("zero", [0.0] * 4)], "query_id string, embedding array<float>"))
+    asked = {n: x for n, x in zip(names[:10], v[:10], strict=True)} | {"zero": np.zeros(4)}
+    for k in (1, 7, 500):
+        got = {}
+        for r in semantic.vector_scores(q, rows, k).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.document_id, r.score))
+        for name, x in asked.items():
+            s = v @ x
+            assert got[name] == [(names[j], float(s[j])) for j in sorted(range(200), key=lambda j: (-s[j], j))[:k]]
+
+
+def test_query_vectors_are_of_folded_text(spark):
+    q = spark.createDataFrame([(1, "Éclair PIE"), (2, None)], "query_id long, query string")
+    got = {r.query_id: np.array(r.embedding) for r in semantic.ask(q, 16).collect()}
+    assert np.allclose(got[1], semantic.hash_encode("eclair pie", 16)) and not got[2].any()
+
+
+def test_diversify_stats(spark):
+    rows = [("a", "https://h/1"), ("b", "https://h/2"), ("a", "https://h/1"), ("c", "https://h/3"), ("c", "https://h/3"), ("d", "file.md"), ("d", "file.md"), ("e", "https://g/")]
+    hits = spark.createDataFrame([(1, i + 1, d, s, "t", 1.0) for i, (d, s) in enumerate(rows)], "query_id long, rank long, document_id string, source string, title string, score double")
+    assert tuple(modes.diversify_stats(hits, 2).first()) == (1, 8, 4, 2, 2, 3)
+    assert tuple(modes.diversify_stats(hits, 0).first())[1:5] == (8, 5, 3, 0)
+    assert tuple(modes.documentation_stats(hits).first()) == (1, 2, 6, 2)
+
+
+def test_requests_and_status():
+    from lodestone.config import checked_domains, checked_query
+    from lodestone.plans.search import answer_status
+
+    assert checked_query("  a \n b ") == "a b" and checked_domains([" Example.com.", "example.com", "bücher.example"]) == ["example.com", "xn--bcher-kva.example"]
+    for wrong in ("", "  ", "x" * 501):
+        with pytest.raises(ValueError):
+            checked_query(wrong)
+    for wrong in (["http://x.example"], ["a b"], [""], ["x.example"] * 301):
+        with pytest.raises(ValueError):
+            checked_domains(wrong)
+    assert [answer_status(*x) for x in (("degraded", True), ("ok", True), ("ok", False, "disabled"), ("ok", False, "ok"))] == ["degraded", "ok", "unavailable", "ok"]

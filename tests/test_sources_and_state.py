@@ -1,6 +1,7 @@
 """Corpus files, crawling, index versions, history and streams."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +159,43 @@ def test_streams(spark, tmp_path):
 def test_empty_tables(spark, size):
     none = hashed(spark, [("1", "")][:size])
     assert lifecycle.changes(none, none).count() == 0 and lifecycle.corpus_signature(none).first()[0]
+
+
+def test_semantic_versions_and_validation(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"alpha w{i}", f"h{i}", [float(i), 1.0]) for i in range(5)], "document_id long, content string, content_hash string, embedding array<float>")
+    for kind in lifecycle.KINDS:
+        folder = tmp_path / kind
+        store = lifecycle.IndexStore(spark, str(folder), kind=kind)
+        assert store.load() is None and store.refresh(docs)["rebuilt"] and not store.refresh(docs)["rebuilt"]
+        opened, first = store.load(docs), store.manifest()
+        assert store.load(docs.limit(2)) is None
+        store.rebuild(docs.limit(4))
+        # who has the version before open can go on reading
+        assert (opened.doc_stats if kind == "lexical" else opened).count() == 5 and store.manifest()["previous"] == first["version"]
+        store.load_or_rebuild(docs)
+        assert store.status(docs)["status"] == "ready" and store.manifest()["index_version"] == 3 and not (folder / first["version"]).exists()
+        assert not list(folder.glob("*.next"))
+        # another kind's store, and one whose documents are gone, are not taken
+        other = lifecycle.KINDS[kind == lifecycle.KINDS[0]]
+        assert lifecycle.IndexStore(spark, str(folder), kind=other).manifest() is None
+        for part in (folder / store.manifest()["version"] / "digests").glob("part-*"):
+            part.unlink()
+        assert store.load() is None
+    assert store.status()["dimension"] == 2
+
+
+def test_sessions_and_ledger(spark):
+    now = dt.datetime(2024, 3, 1)
+    tokens = spark.createDataFrame([("a",), ("a",), ("",), ("x" * 129,)], "token string")
+    sessions = history.new_sessions(tokens, now)
+    assert [(r.token_hash, r.expires_at) for r in sessions.collect()] == [(hashlib.sha256(b"a").hexdigest(), now + dt.timedelta(days=30))]
+    entries = spark.createDataFrame([(1, hashlib.sha256(b"a").hexdigest()), (2, "other")], "id long, owner string")
+    assert [r.id for r in history.with_session(entries, sessions, now).collect()] == [1] and history.with_session(entries, sessions, now + dt.timedelta(days=31)).count() == 0
+    ledger = spark.createDataFrame([("r0", now, 3, "success")], "reservation_id string, at timestamp, credits int, state string")
+    asked = spark.createDataFrame([(f"r{i}", now + dt.timedelta(hours=i)) for i in (1, 2, 3)], "reservation_id string, at timestamp")
+    made = history.reserve(ledger, asked, 5, 1)
+    assert {r.reservation_id: r.state for r in made.collect()} == {"r1": "reserved", "r2": "reserved", "r3": "refused"}
+    ends = spark.createDataFrame([("r1", 2, True), ("r1", 9, True), ("r2", 0, False), ("r0", 9, False)], "reservation_id string, credits int, succeeded boolean")
+    after = history.settle(ledger.unionByName(made.filter("state = 'reserved'")), ends)
+    assert {r.reservation_id: (r.credits, r.state) for r in after.collect()} == {"r0": (3, "success"), "r1": (2, "success"), "r2": (0, "failed")}
+    assert crawl.jobs_report(spark.createDataFrame([(1, 3), (2, 4)], "job_id int, pages_crawled int")).first() == (2, 7)
