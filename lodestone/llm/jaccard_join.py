@@ -150,9 +150,10 @@ def linked_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     some = sets.filter("shingles IS NOT NULL")
     members = stored(some.groupBy("set_key", "group", "n").agg(F.min("row").alias("s")), "members")
     entries = some.filter("prefix IS NOT NULL").select("group", "n", "mid", F.inline("prefix"))
-    # a token may be in a third of all prefixes: what is known of a list is aggregated and joined to it, so that no task has it all
+    # a token may be in a third of all prefixes: what is known of a list is aggregated, stored and joined to it, so that Spark can deal a
+    # long list out to several tasks
     lists = stored(entries.groupBy("token", "group").agg(*[F.min(x).alias(x) for x in ("n", "pos")], F.max("mid").alias("mid")), "prefix-entries")
-    shared = lists.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
+    shared = stored(lists.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token"), "shared-tokens")
     lists = lists.join(shared, "token").withColumns({"c": F.lit(None).cast("long"), "rest": F.lit(False)})
     leader = members.groupBy("group").agg(F.min("s").alias("leader"), F.count("*").alias("sets"))
     lists = stored(lists, "prefix-lists")
@@ -165,7 +166,7 @@ def linked_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         # at first the most central entry is a list's pivot; then any of its main component, and any outside it, in turn
         order = [F.col("mid")] if star == 0 else [(F.col("rest") == F.lit(star % 2 == 0)).cast("int")]
         pivot = F.max(F.struct(*[x.alias(f"o{i}") for i, x in enumerate([*order, F.xxhash64("group", F.lit(star))])], "group", "n", "pos", "c"))
-        held = remaining.join(remaining.groupBy("token").agg(pivot.alias("p")), "token").select("token", "group", "n", "pos", "c", *[F.col(f"p.{x}").alias(f"{x}2") for x in ("group", "n", "pos", "c")])
+        held = remaining.join(stored(remaining.groupBy("token").agg(pivot.alias("p")), "pivots"), "token").select("token", "group", "n", "pos", "c", *[F.col(f"p.{x}").alias(f"{x}2") for x in ("group", "n", "pos", "c")])
         held = held.filter("group <> group2 AND (c IS NULL OR c2 IS NULL OR c <> c2)").filter(_fits("", "2"))
         best = held.groupBy("group", "group2").agg(F.count("*").alias("k")).groupBy("group").agg(F.max_by("group2", F.struct("k", "group2")).alias("group2"))
         pairs = best.join(leader.select("group", F.col("leader").alias("b")), "group").join(leader.select(F.col("group").alias("group2"), F.col("leader").alias("a")), "group2").select("a", "b")
@@ -197,6 +198,7 @@ def _remaining(lists: DataFrame, members: DataFrame, components: DataFrame) -> t
     size = own.groupBy("token", "c").agg(F.count("*").alias("in_c"))
     main = F.max_by("c", F.when(F.col("c").isNotNull(), F.struct("in_c", "c"))).alias("main")
     open_lists = size.groupBy("token").agg(main, F.count("*").alias("components"), F.sum("in_c").alias("size")).filter("components > 1 OR main IS NULL").drop("components")
+    open_lists = stored(open_lists, "open-lists")
     mixed = own.join(open_lists, "token").withColumn("rest", F.col("c").isNull() | (F.col("c") != F.col("main"))).drop("main")
     mixed = stored(mixed, "mixed-lists")
     work = mixed.groupBy("token").agg((F.count("*") * F.count_if("rest")).alias("w")).agg(F.sum("w")).first()[0]
