@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stored, texts
+from .common import bound_batches, distinct, places, stored, texts
 
 #: Rows of a block; a text of more than LONG_BYTES is a block of its own, so a block's texts have at most 64 MB, or are one.
 BLOCK_ROWS, LONG_BYTES = 2048, 32 << 10
@@ -151,12 +151,7 @@ def answer(sent: DataFrame, reply: Reply, stat: Callable[[np.ndarray, list[np.nd
         lists = [unpack_keys(x) for x in table.column("keys").to_pylist()]
         sent_counts = [unpack_counts(x) for x in table.column("counts").to_pylist()]
         every = np.concatenate(lists)
-        order = np.argsort(every, kind="stable")
-        ordered = every[order]
-        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        keys = ordered[starts]
-        index = np.empty(len(every), np.int64)
-        index[order] = np.repeat(np.arange(len(keys)), np.diff(np.append(starts, len(ordered))))
+        index, keys = places(every), distinct(every)
         sums = [np.bincount(index, np.concatenate([c[k] for c in sent_counts]), len(keys)).astype(np.int64) for k in range(len(sent_counts[0]))]
         replies, some_replies = reply(keys, sums), subset_reply(keys, sums) if subset_reply else []
         edges = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
@@ -164,12 +159,12 @@ def answer(sent: DataFrame, reply: Reply, stat: Callable[[np.ndarray, list[np.nd
         for i, block in enumerate(blocks.tolist()):
             by.setdefault(block, []).append(i)
         out, some = [], []
-        for places in by.values():
-            there = np.concatenate([index[edges[i] : edges[i + 1]] for i in places])
-            at, own = there, sent_counts[places[0]]
-            if len(places) > 1:
-                at, inverse = np.unique(there, return_inverse=True)
-                own = [np.bincount(inverse, np.concatenate([sent_counts[i][k] for i in places]), len(at)) for k in range(len(own))]
+        for cells_of in by.values():
+            there = np.concatenate([index[edges[i] : edges[i + 1]] for i in cells_of])
+            at, own = there, sent_counts[cells_of[0]]
+            if len(cells_of) > 1:
+                at, inverse = distinct(there), places(there)
+                own = [np.bincount(inverse, np.concatenate([sent_counts[i][k] for i in cells_of]), len(at)) for k in range(len(own))]
             out.append(pack_counts(*(c[at] for c in replies)))
             picked = at[subset(own)] if subset else at[:0]
             some.append(pack_counts(*(c[picked] for c in some_replies)) if len(picked) else None)

@@ -161,6 +161,21 @@ def split_words(column: pa.Array | pa.ChunkedArray | list[bytes], table: bytes |
     return Words(distinct, codes, counts)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values. Sorting is several times as fast as numpy's table of integers."""
+    ordered = np.sort(values)
+    return ordered[np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]))]
+
+
+def places(values: np.ndarray) -> np.ndarray:
+    """Of each value its place among the sorted distinct ones."""
+    order = np.argsort(values)
+    ordered = values[order]
+    out = np.empty(len(values), np.int64)
+    out[order] = np.cumsum(np.concatenate((np.zeros(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
+    return out
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import answer, answered, send_keys, with_blocks
-from .common import mixed, split_words, texts
+from .common import distinct, mixed, places, split_words, texts
 
 #: crc32 of the id as text, mod FOLDS: TEST is not learned from, FOLD learns the weights.
 FOLDS, TEST, FOLD = 7, 2, 5
@@ -76,9 +76,8 @@ class _Block:
 
     def __init__(self, raw: list[bytes], counted: pa.Table, column: str) -> None:
         one, two, self.n = token_keys(raw)
-        keys = np.unique(np.concatenate([one, two]))
         (count,) = answered(counted, column)
-        self.token, self.pair = count[np.searchsorted(keys, one)], count[np.searchsorted(keys, two)]
+        self.token, self.pair = np.split(count[places(np.concatenate([one, two]))], [len(one)])
         # a text begins in the end's context, which has as many occurrences as there are texts
         ends = np.cumsum(self.n) - 1
         before = np.concatenate(([self.token[-1]], self.token[:-1]))
@@ -132,8 +131,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         with np.errstate(divide="ignore"):
             logs = [np.where(x > 0, np.log(x / y), far) for x, y in ((pair, np.maximum(context, 1)), (token, max(n_main, 1)))]
         steps = [np.where(x > far, np.round(STEPS * x), far).astype(np.int64) for x in logs]
-        cells, at, n = np.unique(np.stack([b, *steps]), axis=1, return_inverse=True, return_counts=True)
-        sums = [pa.array(np.bincount(at.reshape(-1), x, len(n)), kinds[4]) for x in logs]
+        bits = 21
+        cells = (b.astype(np.int64) << 2 * bits) | ((steps[0] - far) << bits) | (steps[1] - far)
+        at, cells = places(cells), distinct(cells)
+        n, sums = np.bincount(at), [pa.array(np.bincount(at, x, len(cells)), kinds[4]) for x in logs]
+        cells = [cells >> 2 * bits, ((cells >> bits) & ((1 << bits) - 1)) + far, (cells & ((1 << bits) - 1)) + far]
         return pa.Table.from_arrays([pa.array(cells[0], kinds[0]), *(pa.array(c, kinds[1], mask=c == far) for c in cells[1:]), pa.array(n, kinds[3]), *sums], names)
 
     # only the held-out texts go here, and the counts of just their keys
@@ -146,14 +148,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def score(_: tuple, texts_of: pa.Table, counted: pa.Table) -> pa.Table:
-        weights, total, distinct = shared.value
+        weights, total, vocabulary = shared.value
         role = np.array(texts_of.column("role").to_pylist())
         block = _Block(texts(texts_of.column("t")), counted, "counts")
         starts = np.concatenate(([0], np.cumsum(block.n)[:-1]))
         sums = lambda x: np.add.reduceat(x, starts)
         w = weights[buckets(block.context)]
-        p = w[:, 0] * (block.pair / np.maximum(block.context, 1)) + w[:, 1] * (block.token / max(total, 1)) + w[:, 2] / (distinct + 1)
-        base = np.log10((block.token + 1) / (total + distinct + 1))
+        p = w[:, 0] * (block.pair / np.maximum(block.context, 1)) + w[:, 1] * (block.token / max(total, 1)) + w[:, 2] / (vocabulary + 1)
+        base = np.log10((block.token + 1) / (total + vocabulary + 1))
         cells = [texts_of.column("id").combine_chunks(), pa.array(role == TEST_ROLE), pa.array(block.n), pa.array(sums((block.token > 0).astype(np.int64))), pa.array(np.full(len(role), total)), pa.array(sums(base)), pa.array(sums(np.log10(p)))]
         return pa.Table.from_arrays(cells, names)
 
