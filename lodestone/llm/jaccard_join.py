@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import answer, answered, pack_keys, send_keys, unpack_keys, with_blocks
-from .common import bound_batches, joined_hashes, split_words, stored, unused
+from .common import bound_batches, distinct, joined_hashes, places, split_words, stored, unused
 from .components import connected_components
 
 SHINGLE = 5
@@ -45,7 +45,7 @@ def shingle_sets(texts_of: pa.ChunkedArray | list[bytes]) -> list[np.ndarray]:
     grams, out, a = joined_hashes(h, SHINGLE), [], 0
     for z in ends:
         n = z - a
-        out.append(np.unique(grams[a : z - SHINGLE + 1] if n >= SHINGLE else joined_hashes(h[a:z], n)) if n else h[:0])
+        out.append(distinct(grams[a : z - SHINGLE + 1] if n >= SHINGLE else joined_hashes(h[a:z], n)) if n else h[:0])
         a = z
     return out
 
@@ -60,7 +60,7 @@ def least_overlap(n: int) -> int:
 
 
 def _block_shingles(values: dict[str, list], raw: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-    every = np.sort(np.concatenate([np.unique(_top(x, RARITY_BITS)) for x in shingle_sets(raw)]))
+    every = np.sort(np.concatenate([distinct(_top(x, RARITY_BITS)) for x in shingle_sets(raw)]))
     starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.empty(0, np.int64)
     return every[starts], [np.diff(np.append(starts, len(every)))]
 
@@ -83,13 +83,13 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def sets(_: tuple, texts_of: pa.Table, counted: pa.Table) -> pa.Table:
         own = shingle_sets(texts_of.column("t")) if texts_of.num_rows else []
-        keys = np.unique(_top(np.concatenate(own), RARITY_BITS)) if own else np.empty(0, np.uint64)
-        level = answered(counted)[0] if counted.num_rows else np.empty(0, np.int64)
+        rarities = [np.empty(0, np.int64)] * len(own)
+        if counted.num_rows and own:
+            rarities = np.split(answered(counted)[0][places(_top(np.concatenate(own), RARITY_BITS))], np.cumsum([len(h) for h in own])[:-1])
         out: list[tuple] = []
         seen_sets, seen_groups = set(), set()
-        for h in own:
+        for h, rarity in zip(own, rarities, strict=True):
             n = len(h)
-            rarity = level[np.searchsorted(keys, _top(h, RARITY_BITS))]
             if not n or np.count_nonzero(rarity > 1) < least_overlap(n):
                 out.append((n, None, None, None, None, None))
                 continue
@@ -105,7 +105,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 seen_groups.add(group)
                 at = np.flatnonzero(rarity[order] > 1)
                 prefix = [{"token": int(x), "pos": int(p)} for x, p in zip(h[order][at].view(np.int64), at, strict=True)]
-            out.append((n, set_key, group, prefix, int(1000 * rarity.mean()), pack_keys(np.unique(_top(h, SET_BITS) >> np.uint64(64 - SET_BITS)))))
+            out.append((n, set_key, group, prefix, int(1000 * rarity.mean()), pack_keys(distinct(_top(h, SET_BITS) >> np.uint64(64 - SET_BITS)))))
         cols = list(zip(*out, strict=True)) or [()] * 6
         kinds = (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())])), pa.int32(), pa.binary())
         return pa.Table.from_arrays([texts_of.column("id").combine_chunks(), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "n", "set_key", "group", "prefix", "mid", "shingles"])
