@@ -245,8 +245,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     best = F.min(F.struct(F.col("id").isNull().alias("u"), "id", "row"))
     classes = sets.filter("set_key IS NOT NULL").groupBy("set_key").agg(best.alias("best"), F.count("*").alias("k"))
     number = members.groupBy("set_key").agg(F.min("s").alias("v"))
-    joined = classes.join(number, "set_key").join(components, "v", "left").select("set_key", F.coalesce("c", "v").alias("c"), "best", "k")
-    whole = joined.groupBy("c").agg(F.min("best").alias("top"), F.sum("k").alias("k")).filter("k > 1")
+    # one component may have a third of all sets: as both sides of the join are stored, Spark can split it
+    joined = stored(classes.join(number, "set_key").join(components, "v", "left").select("set_key", F.coalesce("c", "v").alias("c"), "best", "k"), "set-components")
+    whole = stored(joined.groupBy("c").agg(F.min("best").alias("top"), F.sum("k").alias("k")).filter("k > 1"), "whole-components")
     named = stored(joined.select("set_key", "c").join(whole, "c").select("set_key", F.col("top.id").alias("component_id"), F.col("top.row").alias("first")), "named-sets")
     rows = sets.select("row", "id", F.col("n").cast("long").alias("n_shingles"), "set_key").join(named, "set_key", "left")
     return rows.select("row", "id", "n_shingles", F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce(F.col("first") == F.col("row"), F.lit(True)).alias("first"))
