@@ -26,7 +26,7 @@ from .common import CACHE_WORDS, bound_batches, text_or_empty, with_fields
 #: Pieces longer than this are encoded without being kept.
 CACHE_PIECE_BYTES = 64
 #: Pairs of tokens whose compatibility is kept.
-CACHE_PAIRS = 300_000
+CACHE_PAIRS = 150_000
 #: Python's \s takes four control characters more than Unicode's White_Space, which the pattern means.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 

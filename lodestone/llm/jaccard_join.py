@@ -87,28 +87,36 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if counted.num_rows and own:
             rarities = np.split(answered(counted)[0][places(_top(np.concatenate(own), RARITY_BITS))], np.cumsum([len(h) for h in own])[:-1])
         out: list[tuple] = []
+        # prefixes as arrays: where each row's begins (null: it has none), and all tokens and places
+        begins, tokens, spots, size = [], [np.empty(0, np.int64)], [np.empty(0, np.int32)], 0
         seen_sets, seen_groups = set(), set()
         for h, rarity in zip(own, rarities, strict=True):
             n = len(h)
+            begins.append(None)
             if not n or np.count_nonzero(rarity > 1) < least_overlap(n):
-                out.append((n, None, None, None, None, None))
+                out.append((n, None, None, None, None))
                 continue
             set_key = xxhash.xxh3_128_digest(h.tobytes())
             if set_key in seen_sets:
-                out.append((n, set_key, None, None, None, None))
+                out.append((n, set_key, None, None, None))
                 continue
             seen_sets.add(set_key)
             order = np.lexsort((h, rarity))[: n - least_overlap(n) + 1]
             group = xxhash.xxh3_128_digest(h[order].tobytes(), n)
-            prefix = None
             if group not in seen_groups:
                 seen_groups.add(group)
                 at = np.flatnonzero(rarity[order] > 1)
-                prefix = [{"token": int(x), "pos": int(p)} for x, p in zip(h[order][at].view(np.int64), at, strict=True)]
-            out.append((n, set_key, group, prefix, int(1000 * rarity.mean()), pack_keys(distinct(_top(h, SET_BITS) >> np.uint64(64 - SET_BITS)))))
-        cols = list(zip(*out, strict=True)) or [()] * 6
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())])), pa.int32(), pa.binary())
-        return pa.Table.from_arrays([texts_of.column("id").combine_chunks(), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "n", "set_key", "group", "prefix", "mid", "shingles"])
+                begins[-1] = size
+                tokens.append(h[order][at].view(np.int64))
+                spots.append(at.astype(np.int32))
+                size += len(at)
+            out.append((n, set_key, group, int(1000 * rarity.mean()), pack_keys(distinct(_top(h, SET_BITS) >> np.uint64(64 - SET_BITS)))))
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
+        n, set_key, group, mid, shingles = (pa.array(c, k) for c, k in zip(cols, kinds, strict=True))
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(spots))], ["token", "pos"])
+        prefix = pa.ListArray.from_arrays(pa.array([*begins, size], pa.int32()), pairs)
+        return pa.Table.from_arrays([texts_of.column("id").combine_chunks(), n, set_key, group, prefix, mid, shingles], ["id", "n", "set_key", "group", "prefix", "mid", "shingles"])
 
     schema = f"id {id_type}, n int, set_key binary, group binary, prefix array<struct<token:long,pos:int>>, mid int, shingles binary"
     found = rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(sets, schema)
