@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, lm_score, pii, quality, token_files, url_filter
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, lm_score, pii, prefix_trie, quality, token_files, url_filter
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_pii": pii.op9_pii,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
 }
 
-ORACLES = {**exact_dedup.ORACLE, **jaccard_join.ORACLE, **url_filter.ORACLE, **chat_format.ORACLE, **decontaminate.ORACLE}
+ORACLES = {**exact_dedup.ORACLE, **jaccard_join.ORACLE, **url_filter.ORACLE, **chat_format.ORACLE, **decontaminate.ORACLE, **prefix_trie.ORACLE}
