@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, hard_negatives, jaccard_join, lm_score, pii, prefix_trie, quality, token_files, url_filter
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, hard_negatives, jaccard_join, lm_score, pii, prefix_trie, quality, suffix_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
 
-ORACLES = {**exact_dedup.ORACLE, **jaccard_join.ORACLE, **url_filter.ORACLE, **chat_format.ORACLE, **decontaminate.ORACLE, **prefix_trie.ORACLE, **hard_negatives.ORACLE}
+ORACLES = {**exact_dedup.ORACLE, **jaccard_join.ORACLE, **url_filter.ORACLE, **chat_format.ORACLE, **decontaminate.ORACLE, **prefix_trie.ORACLE, **hard_negatives.ORACLE, **suffix_dedup.ORACLE}
