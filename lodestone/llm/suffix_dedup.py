@@ -170,6 +170,8 @@ class _Shared:
         self.which, self.start, self.n, self.text, self.ids = which, start, n, text, ids
 
     def sent(self) -> Iterator[tuple[int, bytes]]:
+        if not self.items:
+            return
         edges = np.flatnonzero(np.concatenate((np.ones(min(1, len(self.part)), bool), self.part[1:] != self.part[:-1])))
         for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(self.part)], strict=True):
             yield int(self.part[a]), _pack(self.keys[a:z], np.array([len(x) for x in self.items[a:z]], np.uint8), b"".join(self.items[a:z]), self.least[a:z])
