@@ -44,6 +44,15 @@ def with_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(block.alias("block"), "id", "t")
 
 
+def with_places(docs: DataFrame, file: str, at: str) -> DataFrame:
+    """docs with two more columns that tell its rows apart, whatever they hold, and are the same whenever the rows are read again: a hash of a
+    row's file and its place there. What doesn't come straight from files is written to the shared folder first."""
+    try:
+        return docs.withColumns({file: F.xxhash64("_metadata.file_path"), at: F.col("_metadata.row_index")})
+    except AnalysisException:
+        return stored(docs, "rows").withColumns({file: F.xxhash64("_metadata.file_path"), at: F.col("_metadata.row_index")})
+
+
 def part_names(df: DataFrame) -> list[int]:
     """A number for each part of the key space, in its order. There are as many parts as shuffle partitions, or as the input's
     size asks for, if that is more; their numbers are such that a shuffle by them gives each partition as many as any other."""

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import answer, answered, pack_keys, send_keys, unpack_keys, with_blocks
+from .blocks import answer, answered, pack_keys, send_keys, unpack_keys, with_blocks, with_places
 from .common import bound_batches, distinct, joined_hashes, places, split_words, stored, unused
 from .components import connected_components
 
@@ -262,11 +262,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component (that of the smallest id), columns as they were. Ids are expected to name
-    rows: rows that share one stay or go together, and rows without one stay."""
-    (gone,) = unused(docs, "gone")
-    lost = jaccard_components(docs, id_col, text_col).filter("NOT first").select(F.col("id").alias(gone)).distinct()
-    return docs.join(lost, F.col(id_col) == F.col(gone), "left_anti")
+    """docs with one row of each component (of the smallest id; a null id loses to any other), columns as they were. Rows are told apart by
+    where they lie and not by their ids, so of repeated rows one stays too. Rows with a null or empty text, or one without words, all
+    stay; an empty table gives an empty one."""
+    key, file, at, lost_file, lost_at = unused(docs, "key", "file_hash", "row_at", "lost_file", "lost_at")
+    placed = with_places(docs, file, at)
+    keyed = placed.withColumn(key, F.struct(F.col(id_col).isNull().alias("u"), F.col(id_col).alias("id"), F.col(file).alias("file"), F.col(at).alias("at")))
+    lost = jaccard_components(keyed, key, text_col).filter("NOT first").select(F.col("id.file").alias(lost_file), F.col("id.at").alias(lost_at))
+    return placed.join(lost, (F.col(file) == F.col(lost_file)) & (F.col(at) == F.col(lost_at)), "left_anti").select(*docs.columns)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
