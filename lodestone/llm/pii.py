@@ -49,16 +49,19 @@ DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 IMEI, ABA = (re.compile(rf"[0-9](?<![0-9.+-].)[0-9]{{{n}}}(?![0-9.-])") for n in (14, 8))
 NOT_DIGIT = re.compile(r"[^0-9]+")
 #: An assignment and its value, and a name before it that tells of a secret.
-ASSIGNED = re.compile(r"[:=][=>]?[ \t]{0,3}[\"']?([A-Za-z0-9+/_.~!@#$%^&*-]{8,200}={0,2})")
+ASSIGNED = re.compile(r"[:=][=>]?[ \t]{0,3}[\"']?([A-Za-z0-9+/_.~!@#$%^&*-]{8,}+={0,2})")
 NAMED = re.compile(r"(?i)(?<![A-Za-z])(?:(?:api|access|secret|client|auth|private|session|signing)[ _-]?)?(?:key|secret|token|password|passwd|passwort|contraseña|pwd|credential)s?[\"']?[ \t]{0,3}\Z")
 NAME_CHARS = 48
 #: Forms that providers give their secrets.
 PROVIDED = re.compile(
-    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,90}|sk-[A-Za-z0-9_-]{20,120}|[rs]k_live_[A-Za-z0-9]{16,100}"
-    r"|xox[abprs]-[A-Za-z0-9-]{10,100}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,4000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,1000})(?![A-Za-z0-9])|-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}+|sk-[A-Za-z0-9_-]{20,}+|[rs]k_live_[A-Za-z0-9]{16,}+"
+    r"|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])|-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"
 )
-PROVIDED_PARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "k_live_", "xox", "AIza", "eyJ", "-----BEGIN")
-HEXADECIMAL = re.compile(r"[0-9A-Fa-f](?<![A-Za-z0-9].)(?:(?<![A-F])[0-9a-f]{31,127}|(?<![a-f])[0-9A-F]{31,127})(?![A-Za-z0-9])")
+PROVIDED_PARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "k_live_", "xox", "AIza", "-----BEGIN")
+#: Web tokens: parts between dots of which two begin so, and their least length. Every run of parts is read once.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+")
+TOKEN_PART, TOKEN_START = 11, re.compile(r"(?<![A-Za-z0-9])eyJ")
+HEXADECIMAL = re.compile(r"[0-9A-Fa-f](?<![A-Za-z0-9].)(?:(?<![A-F])[0-9a-f]{31,}+|(?<![a-f])[0-9A-F]{31,}+)(?![A-Za-z0-9])")
 #: Bits that a character of a secret must tell at least, on average over the value.
 LEAST_ENTROPY = 2.5
 
@@ -132,9 +135,22 @@ def _random(value: str) -> bool:
     return any(c.isdigit() for c in value) and not value.isdigit() and entropy(value) >= LEAST_ENTROPY
 
 
+def web_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Three parts of a dotted run, the first two with the start of an encoded object; the first may have something before it, up to a sign."""
+    for m in DOTTED.finditer(text):
+        parts, at, done = m[0].split("."), m.start(), m.start()
+        for i, part in enumerate(parts[:-2]):
+            head = TOKEN_START.search(part)
+            if head and at >= done and len(part) - head.start() >= TOKEN_PART <= len(parts[i + 1]) and parts[i + 1].startswith("eyJ") and len(parts[i + 2]) >= 8:
+                done = at + len(part) + len(parts[i + 1]) + len(parts[i + 2]) + 2
+                yield at + head.start(), done
+            at += len(part) + 1
+
+
 def secrets(text: str) -> Iterator[tuple[int, int, float]]:
     """(start, end, score) of the values, leftmost first, not overlapping; of two that start together the one of the higher score."""
     found = [(*m.span(), SCORE["secret"]) for m in PROVIDED.finditer(text)] if any(x in text for x in PROVIDED_PARTS) else []
+    found += [(a, z, SCORE["secret"]) for a, z in web_tokens(text)] if "eyJ" in text else []
     if "=" in text or ":" in text:
         found += [(*m.span(1), SCORE["secret"]) for m in ASSIGNED.finditer(text) if _random(m[1]) and NAMED.search(text, max(0, m.start() - NAME_CHARS), m.start())]
     found += [(*m.span(), HEX_SCORE) for m in HEXADECIMAL.finditer(text) if _random(m[0])]
