@@ -138,7 +138,7 @@ class _Conversation:
 
 
 def read_back(expanded: DataFrame) -> DataFrame:
-    """What the formatted conversations hold, parsed from the pieces and the examples' ranges alone: conv_id, n_turns,
+    """What the formatted conversations hold, parsed from the pieces and the examples' ranges alone, wherever their rows lie (an empty table gives an empty one): conv_id, n_turns,
     turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples and contexts_sha256 (of the examples' contexts' hexadecimal
     SHA-256 one after the other). Loss and contexts come from the example rows. Conversations stream by in order, so a long one
     takes no memory; as its digests are over its whole text, it is one task's work."""
@@ -171,7 +171,7 @@ def read_back(expanded: DataFrame) -> DataFrame:
             done.append(conv.row())
             yield flush(b.schema.field("conv_id").type)
 
-    return _in_order(expanded).mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, contexts_sha256 string")
+    return _in_order(expanded.repartition("conv_id")).mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, contexts_sha256 string")
 
 
 #: Control strings in texts, added to what op8 formats; its contract fixes it.
