@@ -267,7 +267,9 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay; an empty table gives an empty one."""
     key, file, at, lost_file, lost_at = unused(docs, "key", "file_hash", "row_at", "lost_file", "lost_at")
     placed = with_places(docs, file, at)
-    keyed = placed.withColumn(key, F.struct(F.col(id_col).isNull().alias("u"), F.col(id_col).alias("id"), F.col(file).alias("file"), F.col(at).alias("at")))
+    # as a type of its own, so that its parts may be null, as those that come back from Python may
+    kind = f"struct<u:boolean,id:{docs.schema[id_col].dataType.simpleString()},file:bigint,at:bigint>"
+    keyed = placed.withColumn(key, F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(file), F.col(at)).cast(kind))
     lost = jaccard_components(keyed, key, text_col).filter("NOT first").select(F.col("id.file").alias(lost_file), F.col("id.at").alias(lost_at))
     return placed.join(lost, (F.col(file) == F.col(lost_file)) & (F.col(at) == F.col(lost_at)), "left_anti").select(*docs.columns)
 

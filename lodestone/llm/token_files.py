@@ -13,6 +13,7 @@ symbols (the sequence).
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, split_words, stored
+from .common import bound_batches, split_words, stored, texts
 
 MAGIC = b"LRP2"
 #: Ids in a shard, but for its last document, which is whole.
@@ -191,12 +192,26 @@ def _byte_letters() -> str:
     return "".join(chr(b if b in own else next(others)) for b in range(256))
 
 
+#: What a tokenizer's file has to say for the parts of a text to be encoded one by one.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+KNOWN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
 class WordIds:
     """The ids of texts by the tokenizers library, kept by stretches between ASCII white space, and by the parts of a stretch.
 
     This gives what encoding the whole text gives if the tokenizer drops white space, folds case after composing characters, takes
-    runs of letters apart from runs of signs and writes bytes by a byte-level alphabet, as the tests hold for the files in use. A
-    stretch between ASCII white space that is plain letters between plain signs is made of these three parts, the letters in
+    runs of letters apart from runs of signs and writes bytes by a byte-level alphabet. Of any file that doesn't say just that (see
+    KNOWN) every text goes to the library as a whole. A stretch between ASCII white space that is plain letters between plain signs is made of these three parts, the letters in
     lower case, which go to the library's model; any other stretch goes to the library as it is.
     """
 
@@ -205,6 +220,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        file = json.loads(self.tokenizer.to_str())
+        self.known = all(file.get(k) == v for k, v in KNOWN.items()) and all(file["model"].get(k) == v for k, v in KNOWN_MODEL.items())
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.reset()
@@ -244,6 +261,11 @@ class WordIds:
 
     def encode(self, column: pa.Array | list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by end, and how many each has."""
+        if not self.known:
+            found = self.tokenizer.encode_batch([t.decode("utf-8") for t in (column if isinstance(column, list) else texts(column))], add_special_tokens=False)
+            sizes = np.array([len(e.ids) for e in found], np.int64)
+            flat = np.fromiter((i for e in found for i in e.ids), np.uint32, int(sizes.sum()))
+            return np.insert(flat, np.cumsum(sizes), np.uint32(end)), sizes + 1
         if len(self.at) > CACHE_WORDS:
             self.reset()
         split = split_words(column, None)
@@ -273,12 +295,12 @@ _LOADED: dict[str, WordIds] = {}
 
 def write_token_files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encodes every text, appends end_id to each, and writes shard files in ascending order of ids (nulls first; rows that
-    share an id by their texts). Returns the table that it wrote: part, shard, before (ids of part before this shard), n_ids,
-    doc_ids and n_tokens (arrays), payload. A null text has end_id alone; an empty table gives no shards."""
+    share an id by their texts). Ids may be of any type that sorts. Returns the table that it wrote: part, shard, before (ids of part before
+    this shard), n_ids, doc_ids and n_tokens (arrays), payload. A null text has end_id alone; an empty table gives no shards."""
     bound_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    rows = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "t")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    rows, kind = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "t"), rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _LOADED:
@@ -291,12 +313,13 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, id_col: str = "do
             nonlocal shard, before, docs, sizes, ids, waiting
             flat = np.concatenate(ids)
             cells = [[part], [shard], [before], [len(flat)], [docs], [sizes], [compress(flat)]]
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary())
             shard, before = shard + 1, before + len(flat)
             docs, sizes, ids, waiting = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["part", "shard", "before", "n_ids", "doc_ids", "n_tokens", "payload"])
 
         for b in batches:
+            id_type = b.schema.field(0).type
             flat, counts = words.encode(b.column(1), end_id)
             doc_ids, ends, i = b.column(0).to_pylist(), np.cumsum(counts), 0
             while i < len(counts):
@@ -312,7 +335,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, id_col: str = "do
         if docs:
             yield flush()
 
-    schema = "part int, shard int, before long, n_ids long, doc_ids array<long>, n_tokens array<long>, payload binary"
+    schema = f"part int, shard int, before long, n_ids long, doc_ids array<{kind}>, n_tokens array<long>, payload binary"
     return stored(rows.mapInArrow(run, schema), "token-files")
 
 
@@ -328,14 +351,16 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            id_type = b.schema.field("doc_ids").type.value_type
             for part, before, docs, sizes, payload in zip(*(b.column(c).to_pylist() for c in ("part", "before", "doc_ids", "n_tokens", "payload")), strict=True):
                 ids = Shard(payload).ids().astype("<u4")
                 ends = np.cumsum(sizes)
                 crc = [zlib.crc32(ids[z - n : z].data) for z, n in zip(ends.tolist(), sizes, strict=True)]
-                cells = [pa.array(docs, pa.int64()), pa.array(starts[part] + before + ends - sizes), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())]
+                cells = [pa.array(docs, id_type), pa.array(starts[part] + before + ends - sizes), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cells, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    kind = files.schema["doc_ids"].dataType.elementType.simpleString()
+    return files.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
