@@ -124,8 +124,8 @@ def _unpack(data: bytes) -> tuple:
 
 
 class _Shared:
-    """What a block has under shared grams. items: its distinct strings (stretches, or single windows of frequent grams), ordered by part and bytes, with their
-    part, key and smallest id; and the places that each stretch of the block takes its answers from."""
+    """What a block has under shared grams. items: its distinct strings (stretches, or single windows of frequent grams), in an order that doesn't
+    depend on that of the rows, with their part, key and smallest id; and the places that each stretch of the block takes its answers from."""
 
     def __init__(self, ids: np.ndarray, raw: list[bytes], shared: pa.Table, length: int, parts: int) -> None:
         found = stretches(raw, length)
@@ -152,21 +152,21 @@ class _Shared:
         whole = np.flatnonzero(~fine)
         items = [*(strings[i] for i in whole.tolist()), *windows]
         least = np.full(len(windows), np.iinfo(np.int64).max)
-        if len(cut):
-            np.minimum.at(least, np.concatenate([np.array(w) for w in window_of]), np.repeat(first[cut], [len(w) for w in window_of]))
-        keys = np.concatenate([key_of[whole], np.fromiter(map(xxhash.xxh3_64_intdigest, windows), np.uint64, len(windows))])
-        part = (((mixed(keys) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-        order = sorted(range(len(items)), key=lambda i: (part[i], items[i]))
-        self.items = [items[i] for i in order]
-        self.part, self.keys, self.least = part[order], keys[order], np.concatenate([first[whole], least])[order]
+        sizes = np.array([len(w) for w in window_of], np.int64)
+        window_of = np.array([x for w in window_of for x in w], np.int64)
+        np.minimum.at(least, window_of, np.repeat(first[cut], sizes))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, items), np.uint64, len(items))
+        keys = mixed(np.concatenate([key_of[whole], hashes[len(whole) :]]))
+        order = np.lexsort((hashes, keys))
+        self.items, self.keys = [items[i] for i in order.tolist()], keys[order]
+        self.part = (((self.keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+        self.least = np.concatenate([first[whole], least])[order]
         place = np.empty(len(items), np.int64)
         place[order] = np.arange(len(items))
-        # each distinct string's windows as item numbers and offsets in them
-        self.of: list = [None] * len(strings)
-        for i, at in zip(whole.tolist(), place[: len(whole)].tolist(), strict=True):
-            self.of[i] = at
-        for i, w in zip(cut.tolist(), window_of, strict=True):
-            self.of[i] = place[len(whole) + np.array(w)]
+        # where each distinct string's windows are: all of one item, or each an item of its own
+        self.fine, self.item = fine, np.zeros(len(strings), np.int64)
+        self.item[whole], self.item[cut] = place[: len(whole)], np.cumsum(sizes) - sizes
+        self.single = place[len(whole) + window_of]
         self.which, self.start, self.n, self.text, self.ids = which, start, n, text, ids
 
     def sent(self) -> Iterator[tuple[int, bytes]]:
@@ -174,7 +174,7 @@ class _Shared:
             return
         edges = np.flatnonzero(np.concatenate((np.ones(min(1, len(self.part)), bool), self.part[1:] != self.part[:-1])))
         for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(self.part)], strict=True):
-            yield int(self.part[a]), _pack(self.keys[a:z], np.array([len(x) for x in self.items[a:z]], np.uint8), b"".join(self.items[a:z]), self.least[a:z])
+            yield int(self.part[a]), _pack((self.keys[a:z] & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.array([len(x) for x in self.items[a:z]], np.uint8), b"".join(self.items[a:z]), self.least[a:z])
 
     def windows(self, replies: list[tuple[int, bytes]], length: int) -> np.ndarray:
         """Where in the joined texts a window starts that a smaller id has."""
@@ -184,12 +184,12 @@ class _Shared:
         least = np.repeat(values, spans)
         sizes = np.array([len(x) - length + 1 for x in self.items])
         begin = np.cumsum(sizes) - sizes
-        flat = [np.arange(begin[x], begin[x] + sizes[x]) if isinstance(x, int) else begin[x] for x in self.of]
-        n = np.array([len(x) for x in flat])
-        flat = np.concatenate(flat)
-        at = (np.cumsum(n) - n)[self.which]
-        inner = np.arange(self.n.sum()) - np.repeat(np.cumsum(self.n) - self.n, self.n)
-        smaller = least[flat[np.repeat(at, self.n) + inner]] < np.repeat(self.ids[self.text], self.n)
+        which = np.repeat(self.which, self.n)
+        inner = np.arange(len(which)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        at, fine = self.item[which], self.fine[which]
+        window = np.where(fine, 0, begin[np.where(fine, 0, at)] + inner)
+        window[fine] = begin[self.single[at[fine] + inner[fine]]]
+        smaller = least[window] < np.repeat(self.ids[self.text], self.n)
         return (np.repeat(self.start, self.n) + inner)[smaller]
 
 
@@ -241,7 +241,8 @@ def _sorted_minima(groups: list[np.ndarray], items: list[bytes], begin: np.ndarr
 
 
 def _answers(table: pa.Table, length: int) -> pa.Table:
-    """A part's answers to its blocks: of each item in the order sent, the number of runs of windows with one smallest id, the runs' lengths and ids."""
+    """A part's answers to its blocks: of each item in the order sent, the number of runs of windows with one smallest id, the runs' lengths and ids.
+    Keys come with 32 bits; two that share them are sorted as one."""
     number: dict[bytes, int] = {}
     take = number.setdefault
     sent, keys, least = [], [], []
@@ -253,7 +254,7 @@ def _answers(table: pa.Table, length: int) -> pa.Table:
         least.append(own_least)
     items = list(number)
     every = np.concatenate(sent)
-    key = np.zeros(len(items), np.uint64)
+    key = np.zeros(len(items), np.uint32)
     key[every] = np.concatenate(keys)
     first = np.full(len(items), np.iinfo(np.int64).max)
     np.minimum.at(first, every, np.concatenate(least))
