@@ -9,12 +9,12 @@ from __future__ import annotations
 import ipaddress
 import urllib.robotparser
 from collections.abc import Iterator
-from urllib.parse import urljoin
+from urllib.parse import quote, unquote, urljoin, urlparse, urlunparse
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
 #: Query parameters that canonical URLs drop.
 TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content gclid fbclid mc_cid mc_eid ref ref_src spm".split()
@@ -58,7 +58,7 @@ def source_host(source: Column) -> Column:
     return F.when(scheme(F.trim(source)).isin("http", "https"), F.lower(_piece(F.trim(source), 2))).otherwise(F.lit(""))
 
 
-def _global(name: str) -> bool:
+def is_global_name(name: str) -> bool:
     """Whether a host that is an IP literal is public; a name counts as public."""
     try:
         return ipaddress.ip_address(name).is_global
@@ -69,7 +69,7 @@ def _global(name: str) -> bool:
 @F.pandas_udf(BooleanType())
 def is_global(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        yield s.map(lambda x: _global(x or ""))
+        yield s.map(lambda x: is_global_name(x or ""))
 
 
 def is_private_name(name: Column) -> Column:
@@ -133,7 +133,7 @@ def normalize(url: Column | str, drop_tracking: bool = True) -> Column:
 
 
 @F.pandas_udf(StringType())
-def _joined(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def joined(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     def one(base: str, link: str) -> str:
         try:
             return urljoin(base or "", link or "")
@@ -146,7 +146,7 @@ def _joined(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
 
 def resolve(base: Column | str, link: Column | str) -> Column:
     """A link against its base, in canonical form. Joining is the standard library's, in Arrow batches."""
-    return normalize(_joined(base, link))
+    return normalize(joined(base, link))
 
 
 def is_public(url: Column) -> Column:
@@ -199,18 +199,51 @@ def suffixes(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
-def robots_allows(body: str, agent: str, url: str) -> tuple[bool, float]:
-    """Whether agent may read url by a robots.txt body, and its crawl delay. A body that says "deny" by a bare Disallow (as a 401 or 403
-    answer is stored) denies: rules before any User-agent line hold for all agents."""
+def _parsed_robots(body: str) -> urllib.robotparser.RobotFileParser:
+    """A body that says "deny" by a bare Disallow (as a 401 or 403 answer is stored) denies: rules before any User-agent line hold for all
+    agents."""
     lines = (body or "").splitlines()
     if next((x for x in lines if x.split("#")[0].strip()), "").lower().startswith("disallow"):
         lines = ["User-agent: *", *lines]
     rules = urllib.robotparser.RobotFileParser()
     rules.parse(lines)
-    delay = rules.crawl_delay(agent)
-    return rules.can_fetch(agent, url), max(0.0, float(delay or 0))
+    return rules
+
+
+def robots_allows(body: str, agent: str, url: str) -> tuple[bool, float]:
+    """Whether agent may read url by a robots.txt body, and its crawl delay."""
+    rules = _parsed_robots(body)
+    return rules.can_fetch(agent, url), max(0.0, float(rules.crawl_delay(agent) or 0))
+
+
+def robots_rows(agent: str):
+    """A function of bodies: struct of delay and rules, an array of (path, allow) in their order; the first whose path begins a URL's path
+    decides. A body is parsed once for all its host's URLs."""
+    rule = StructType([StructField("path", StringType()), StructField("allow", BooleanType())])
+
+    def one(body: str) -> tuple[float, list[tuple[str, bool]]]:
+        parsed = _parsed_robots(body)
+        entry = next((e for e in [*parsed.entries, parsed.default_entry] if e and (e is parsed.default_entry or e.applies_to(agent))), None)
+        rules = [(r.path, r.allowance) for r in entry.rulelines] if entry else []
+        return max(0.0, float(parsed.crawl_delay(agent) or 0)), rules
+
+    @F.pandas_udf(StructType([StructField("delay", DoubleType()), StructField("rules", ArrayType(rule))]))
+    def run(bodies: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x) for x in bodies], columns=["delay", "rules"])
 
+    return run
 
-@F.pandas_udf(StructType([StructField("allowed", BooleanType()), StructField("delay", DoubleType())]))
-def robots(bodies: pd.Series, agents: pd.Series, urls: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([robots_allows(*x) for x in zip(bodies, agents, urls, strict=True)], columns=["allowed", "delay"])
+
+@F.pandas_udf(StringType())
+def robots_path(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """What the paths of rules are held against: a URL's path, query and fragment, decoded and quoted anew."""
+
+    def one(url: str) -> str:
+        try:
+            parts = urlparse(unquote(url or ""))
+        except ValueError:
+            return "/"
+        return quote(urlunparse(("", "", *parts[2:]))) or "/"
+
+    for s in batches:
+        yield s.map(one)

@@ -33,12 +33,76 @@ def jobs_report(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.count("*").alias("jobs"), F.coalesce(F.sum("pages_crawled"), F.lit(0)).cast("long").alias("documents"))
 
 
-def with_robots(rows: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
-    """rows (url, ...) with allowed and delay, by the robots.txt (robots: host, body) of each url's host; a host without one allows all."""
-    bodies = robots.select(F.col("host").alias("__host"), F.col("body").alias("__body"))
-    rows = rows.join(bodies, U.host(F.col("url")) == F.col("__host"), "left")
-    rows = rows.withColumn("__r", U.robots(F.coalesce("__body", F.lit("")), F.lit(agent), "url"))
-    return rows.withColumns({"allowed": F.col("__r.allowed"), "delay": F.col("__r.delay")}).drop("__host", "__body", "__r")
+@dataclass(frozen=True)
+class RobotsRules:
+    """hosts: host, delay and lengths (of its rules' paths); rules: host, path, pos and allow, each path once."""
+
+    hosts: DataFrame
+    rules: DataFrame
+
+
+def robots_rules(robots: DataFrame, agent: str) -> RobotsRules:
+    """The rules for an agent in robots.txt files (host, body; one for each host), stored. Every body is parsed once."""
+    parsed = robots.select("host", U.robots_rows(agent)(F.coalesce("body", F.lit(""))).alias("r"))
+    parsed = stored(parsed.select("host", "r.delay", "r.rules"), "robots")
+    hosts = parsed.select("host", "delay", F.array_distinct(F.transform("rules", lambda r: F.length(r["path"]))).alias("lengths"))
+    rules = parsed.select("host", F.posexplode("rules").alias("pos", "r")).groupBy("host", F.col("r.path").alias("path")).agg(F.min("pos").alias("pos"), F.min_by("r.allow", "pos").alias("allow"))
+    return RobotsRules(hosts, rules)
+
+
+def with_robots(rows: DataFrame, robots: DataFrame | RobotsRules, agent: str) -> DataFrame:
+    """rows (url, ...) with allowed and delay, by the robots.txt (robots: host, body, or the rules made of them) of each url's host; a host without
+    one allows all.
+
+    A path meets the rules that begin it in an equi-join: it is cut to each length that rules of its host have, so a host with many
+    URLs or rules is spread over tasks, and no file is parsed for a URL.
+    """
+    found = robots if isinstance(robots, RobotsRules) else robots_rules(robots, agent)
+    rows = rows.withColumns({"__h": U.host(F.col("url")), "__p": U.robots_path("url")})
+    asked = rows.select("__h", "__p").distinct().join(found.hosts.select(F.col("host").alias("__h"), "lengths"), "__h")
+    heads = asked.select("__h", "__p", F.explode("lengths").alias("n")).filter("n <= length(__p)").withColumn("path", F.expr("substring(__p, 1, n)"))
+    hits = heads.join(found.rules.withColumnRenamed("host", "__h"), ["__h", "path"]).groupBy("__h", "__p").agg(F.min_by("allow", "pos").alias("__ok"))
+    rows = rows.join(hits, ["__h", "__p"], "left").join(found.hosts.select(F.col("host").alias("__h"), F.col("delay").alias("__d")), "__h", "left")
+    return rows.withColumns({"allowed": F.coalesce("__ok", F.lit(True)), "delay": F.coalesce("__d", F.lit(0.0))}).drop("__h", "__p", "__ok", "__d")
+
+
+#: Fixed value: redirects that a reader follows at most.
+MOST_REDIRECTS = 5
+
+
+def redirects(requests: DataFrame, responses: DataFrame, robots: DataFrame | None = None, agent: str = "lodestone", most: int = MOST_REDIRECTS) -> DataFrame:
+    """One row for each distinct url of requests: url, final_url, status, hops, looped and error_code, by following recorded responses (url, in the form that a
+    reader asks for; status; location).
+
+    Every hop is brought to that form and checked (invalid_url; blocked_destination: a local name or address), held against its host's robots.txt
+    (robots_disallowed), and looked up (connection_error without a response). What leads on without a place, or after most hops, is
+    too_many_redirects, and so is a place that was visited before, which is also looped. All URLs go hop by hop, in a join each.
+    """
+    rules = robots_rules(robots, agent) if robots is not None else None
+    answers = stored(responses.select(F.col("url").alias("at"), "status", "location").dropDuplicates(["at"]), "responses")
+    nothing = F.lit(None).cast("string")
+    at = requests.select("url").distinct().select("url", F.col("url").alias("to"), F.array().cast("array<string>").alias("seen"))
+    done = None
+    for hop in range(most + 1):
+        checked = at.withColumn("x", U.reader_url(F.col("to"))).select("url", F.col("x.url").alias("at"), F.col("x.error").alias("error"), "seen")
+        inside = F.col("at").isNotNull() & ~U.is_global(U.host(F.col("at")))
+        checked = checked.withColumn("error", F.coalesce("error", F.when(inside, "blocked_destination")))
+        if rules is not None:
+            checked = with_robots(checked.withColumnRenamed("url", "__from").withColumn("url", F.coalesce("at", F.lit(""))), rules, agent).drop("url", "delay").withColumnRenamed("__from", "url")
+        else:
+            checked = checked.withColumn("allowed", F.lit(True))
+        looped = F.array_contains("seen", F.coalesce("at", F.lit("")))
+        error = F.coalesce(F.col("error"), F.when(looped, "too_many_redirects"), F.when(~F.col("allowed"), "robots_disallowed"))
+        met = checked.select("url", "at", error.alias("error"), "seen", looped.alias("looped")).join(answers, "at", "left")
+        leads = F.col("status").isin(301, 302, 303, 307, 308)
+        stuck = leads & ((F.coalesce("location", F.lit("")) == "") | F.lit(hop == most))
+        error = F.coalesce(F.col("error"), F.when(F.col("status").isNull(), "connection_error"), F.when(stuck, "too_many_redirects"))
+        met = stored(met.withColumns({"error": error, "on": error.isNull() & leads}), "hop")
+        ended = met.filter("NOT on").select("url", F.when(F.col("error").isNull(), F.col("at")).otherwise(nothing).alias("final_url"), F.when(F.col("error").isNull(), F.col("status")).otherwise(0).cast("int").alias("status"), F.lit(hop).alias("hops"), "looped", F.col("error").alias("error_code"))
+        done = ended if done is None else done.unionByName(ended)
+        at = met.filter("on").select("url", U.joined("at", "location").alias("to"), F.array_append("seen", F.col("at")).alias("seen"))
+        if hop == most or at.isEmpty():
+            return done
 
 
 def with_scope(rows: DataFrame, url_col: str, domains: DataFrame) -> DataFrame:
@@ -89,12 +153,13 @@ def crawl(fetched: DataFrame, seeds: list[str] | DataFrame, config: CrawlConfig
     counts["out_of_scope"] = failures.filter("error_code = 'out_of_scope'").count()
     level = seed_rows.filter("error IS NULL").groupBy("url").agg(F.min("pos").alias("pos"))
     visited, pages, kept = level.select("url"), None, 0
+    rules = robots_rules(robots, config.agent) if config.respect_robots and robots is not None else None
     for depth in range(config.max_depth + 1):
         if kept >= config.max_pages:
             break
         read = level.join(store, "url", "left")
-        if config.respect_robots and robots is not None:
-            read = with_robots(read, robots, config.agent).withColumnRenamed("allowed", "__ok").drop("delay")
+        if rules is not None:
+            read = with_robots(read, rules, config.agent).withColumnRenamed("allowed", "__ok").drop("delay")
         else:
             read = read.withColumn("__ok", F.lit(True))
         is_html = F.coalesce("content_type", F.lit("")).rlike(r"\A(text/html|application/xhtml\+xml|[^;]*\+html|)(;|\z)")

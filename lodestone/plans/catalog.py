@@ -16,7 +16,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import crawl, evaluate, history, hybrid, lexical, lifecycle, modes, rag, semantic
-from ..sources import corpus
+from ..sources import corpus, web
 from ..sources.tables import stored
 from . import search as plans
 
@@ -598,6 +598,44 @@ def robots_allowed(spark, sf):
     return p.select("page_id", "allowed", "delay")
 
 
+@query(
+    """SELECT page_id, CASE WHEN page_id % 10 = 8 OR page_id % 4 = 3 AND page_id % 10 <> 7 THEN 0 WHEN page_id % 10 = 7 THEN 404 ELSE 200 END::INTEGER AS status,
+CASE WHEN page_id % 10 = 8 THEN 'connection_error' WHEN page_id % 10 = 7 THEN NULL WHEN page_id % 4 = 3 THEN 'non_html_content' END AS error_code,
+CASE WHEN page_id % 10 IN (7, 8) OR page_id % 4 = 3 THEN 0 ELSE octet_length(encode(coalesce(html, ''))) END::BIGINT AS n_bytes FROM pages"""
+)
+def fetched_pages(spark, sf):
+    """All pages as recorded answers through the gates of a fetch; by their ids some are missing, not found, or no pages."""
+    status = F.when(F.col("page_id") % 10 == 7, 404).when(F.col("page_id") % 10 != 8, 200)
+    kind = F.when(F.col("page_id") % 4 == 3, "application/pdf").when(F.col("page_id") % 4 == 2, "application/xhtml+xml").otherwise("Text/HTML; charset=utf-8")
+    answers = table(spark, sf, "pages").select("page_id", "url", status.alias("status"), kind.alias("content_type"), F.col("html").alias("body"))
+    return web.gate_recorded(answers).select("page_id", "status", "error_code", "n_bytes")
+
+
+_FORM = r"regexp_replace(lower(regexp_extract(url, '^[^/]*//[^/?#]*')) || regexp_replace(regexp_replace(url, '^[^/]*//[^/?#]*', ''), '#.*$', ''), '(://[^/?]*)($|[?])', '\1/\2')"
+
+
+@query(
+    rf"""WITH RECURSIVE {_URL}, f AS (SELECT page_id, {_FORM} AS form, CASE WHEN ends_with(host, '.com') THEN true WHEN length(host) % 3 = 0 THEN NOT regexp_matches(url, '^https?://[^/]*/fr/')
+  WHEN length(host) % 3 = 1 THEN NOT regexp_matches(url, '^https?://[^/]*/de/') OR regexp_matches(url, '^https?://[^/]*/de/1') ELSE false END AS allowed FROM u),
+a AS (SELECT f.*, CASE WHEN f.page_id % 40 >= 30 THEN n.form WHEN f.page_id % 6 IN (0, 1) THEN n.form WHEN f.page_id % 6 = 2 AND f.page_id % 4 = 0 THEN b.form WHEN f.page_id % 6 = 3 THEN f.form WHEN f.page_id % 6 = 4 THEN 'http://127.0.0.1/' END AS place
+  FROM f LEFT JOIN f n ON n.page_id = f.page_id + 1 LEFT JOIN f b ON b.page_id = f.page_id - 2 QUALIFY row_number() OVER (PARTITION BY f.form ORDER BY f.page_id) = 1),
+r AS (SELECT form AS url, form AS here, 0 AS hops, []::VARCHAR[] AS seen FROM a
+  UNION ALL SELECT r.url, a.place, hops + 1, list_append(seen, here) FROM r JOIN a ON a.form = here WHERE a.place IS NOT NULL AND hops < 5 AND a.allowed AND NOT list_contains(seen, here)),
+e AS (SELECT r.*, list_contains(seen, here) AS looped, a.allowed, a.place, here = 'http://127.0.0.1/' AS blocked FROM r LEFT JOIN a ON a.form = here QUALIFY row_number() OVER (PARTITION BY url ORDER BY hops DESC) = 1),
+x AS (SELECT *, CASE WHEN blocked THEN 'blocked_destination' WHEN looped THEN 'too_many_redirects' WHEN NOT allowed THEN 'robots_disallowed' WHEN place IS NOT NULL THEN 'too_many_redirects' END AS error_code FROM e)
+SELECT url, CASE WHEN error_code IS NULL THEN here END AS final_url, CASE WHEN error_code IS NULL THEN 200 ELSE 0 END::INTEGER AS status, hops::INTEGER AS hops, looped, error_code FROM x"""
+)
+def redirect_chains(spark, sf):
+    """Every page's url followed through redirects that its id makes up: on to the next page, back, to itself, or inside the network."""
+    pages = table(spark, sf, "pages").select("page_id", U.reader_url(F.col("url")).url.alias("form"))
+    there = lambda shift, name: pages.select((F.col("page_id") + shift).alias("page_id"), F.col("form").alias(name))
+    i = F.col("page_id")
+    place = F.when(i % 40 >= 30, F.col("next")).when((i % 6).isin(0, 1), F.col("next")).when((i % 6 == 2) & (i % 4 == 0), F.col("back")).when(i % 6 == 3, F.col("form")).when(i % 6 == 4, "http://127.0.0.1/")
+    rows = corpus.keep_first(pages.join(there(-1, "next"), "page_id", "left").join(there(2, "back"), "page_id", "left"), ["form"], ["page_id"])
+    answers = rows.select(F.col("form").alias("url"), F.when(place.isNull(), 200).otherwise(302).alias("status"), place.alias("location"))
+    return crawl.redirects(answers.select("url"), answers, robots_of(spark, sf))
+
+
 @query(f"SELECT page_id, {_TITLE} AS title FROM pages")
 def page_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", H.raw_title(F.col("html")).alias("title"))
