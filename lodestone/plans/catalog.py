@@ -15,7 +15,7 @@ from ..config import DEFAULT
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import crawl, evaluate, history, hybrid, lexical, lifecycle, modes, rag, semantic
+from ..operators import crawl, evaluate, history, hybrid, lexical, lifecycle, merkle, modes, rag, semantic
 from ..sources import corpus, web
 from ..sources.tables import stored
 from . import search as plans
@@ -723,6 +723,35 @@ def corpus_signature(spark, sf):
     return lifecycle.corpus_signature(_hashed(spark, sf))
 
 
+_UP = """n{k} AS (SELECT level - 1 AS level, substr(prefix, 1, level - 1) AS prefix, sha256(string_agg(prefix || '=' || digest, ';' ORDER BY prefix)) AS digest, sum(n)::BIGINT AS n
+  FROM n{j} WHERE level > 0 GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {_HASHED}, l AS (SELECT CASE WHEN count(*) <= 256 THEN 0 WHEN count(*) <= 4096 THEN 1 WHEN count(*) <= 65536 THEN 2 ELSE 3 END AS levels FROM h),
+k AS (SELECT levels, substr(sha256(document_id::VARCHAR), 1, levels) AS prefix, sha256(concat_ws(':', length(document_id::VARCHAR), document_id, h)) AS d, count(*) AS k FROM h, l GROUP BY ALL),
+n0 AS (SELECT levels AS level, prefix, sha256(string_agg(d || '*' || k, ';' ORDER BY d)) AS digest, sum(k)::BIGINT AS n FROM k GROUP BY ALL),
+{", ".join(_UP.format(k=k, j=k - 1) for k in (1, 2, 3))}
+SELECT level::INTEGER AS level, prefix, digest, n FROM (FROM n0 UNION ALL FROM n1 UNION ALL FROM n2 UNION ALL FROM n3)"""
+)
+def merkle_nodes(spark, sf):
+    """The tree of digests over all documents."""
+    return merkle.build(_hashed(spark, sf)).nodes
+
+
+@query(
+    f"""WITH {_HASHED}, a AS (SELECT document_id, CASE WHEN document_id % 70 = 0 THEN 'x' ELSE h END AS h FROM h WHERE document_id % 50 <> 1), b AS (SELECT document_id, h FROM h WHERE document_id % 110 <> 5)
+SELECT coalesce(a.document_id, b.document_id)::VARCHAR AS document_id, CASE WHEN b.h IS NULL THEN 'new' WHEN a.h IS NULL THEN 'deleted' ELSE 'modified' END AS change
+FROM a FULL OUTER JOIN b USING (document_id) WHERE a.h IS DISTINCT FROM b.h"""
+)
+def merkle_changes(spark, sf):
+    """What differs between two versions of the documents, from the ranges that differ."""
+    d = _hashed(spark, sf)
+    levels = merkle.levels_for(d.count())
+    now = d.filter("document_id % 50 <> 1").withColumn("content_hash", F.when(F.col("document_id") % 70 == 0, "x").otherwise(F.col("content_hash")))
+    return merkle.changes(merkle.build(d.filter("document_id % 110 <> 5"), levels), merkle.build(now, levels))
+
+
 @query("SELECT max(doc_id) AS max_document_id FROM documents")
 def max_document_id(spark, sf):
     """A8."""
