@@ -15,9 +15,9 @@ from ..config import DEFAULT
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import crawl, evaluate, history, hybrid, lexical, lifecycle, merkle, modes, rag, semantic
+from ..operators import crawl, evaluate, history, hybrid, lexical, lifecycle, merkle, modes, rag, segments, semantic, vector_index
 from ..sources import corpus, web
-from ..sources.tables import stored
+from ..sources.tables import shared_folder, stored
 from . import search as plans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,6 +254,18 @@ def idf_table(spark, sf):
     return doc_index(spark, sf).term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+@query(f"WITH {_DOCS}, {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def segmented_index(spark, sf):
+    """Idf of all terms from a segmented index that began with other documents: some were missing, some had other words, some are gone."""
+    d = docs_of(spark, sf).withColumn("content_hash", F.sha2("content", 256))
+    early = d.filter("document_id % 5 <> 0").withColumn("content", F.when(F.col("document_id") % 7 == 0, F.concat(F.col("content"), F.lit(" nachtrag"))).otherwise(F.col("content")))
+    other = d.filter("document_id % 9 = 0").withColumn("document_id", -1 - F.col("document_id"))
+    store = segments.SegmentStore(spark, shared_folder(spark, "segments"))
+    store.refresh(early.unionByName(other).withColumn("content_hash", F.sha2("content", 256)))
+    store.refresh(d)
+    return store.index().term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 @query(f"WITH {_DOCS}, {_INDEX} SELECT * FROM post")
 def postings(spark, sf):
     """Term frequencies of all documents."""
@@ -306,6 +318,15 @@ def vector_topk(spark, sf):
     return semantic.vector_scores(q, v, 10).select("query_id", "document_id", "score", "rank")
 
 
+@query(f"WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0), {_NEAR}, {_top('near', 10)} SELECT * FROM top")
+def vector_index_topk(spark, sf):
+    """The same from a stored index in cells, which is built here."""
+    v = vectors_of(spark, sf)
+    q = v.filter("document_id % 100 = 0").select(F.col("document_id").alias("query_id"), "embedding")
+    index = made(spark, sf, "vector index", lambda: vector_index.build(v))
+    return vector_index.search(q, index, 10).select("query_id", "document_id", "score", "rank")
+
+
 @query(
     """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM documents),
 h AS (SELECT doc_id, sha256(w) AS h FROM w),

@@ -6,13 +6,12 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once and read back, which cuts its lineage. The folder is spark.checkpoint.dir; where that is unset, a local session
-    (as in tests) gets a temporary one, and a cluster an error, as its executors don't share the driver's folders."""
-    spark = df.sparkSession
+def _new_path(spark: SparkSession, name: str):
+    """A path in spark.checkpoint.dir that isn't there yet, as text, as Hadoop's, and its file system. Where that setting is unset, a local session (as in
+    tests) gets a temporary folder, and a cluster an error, as its executors don't share the driver's folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -21,7 +20,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, which goes when the application ends."""
+    path, place, fs = _new_path(spark, name)
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once to a shared folder and read back, which cuts its lineage. Its files go when the application ends."""
+    path, place, fs = _new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    fs.deleteOnExit(place)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
