@@ -184,6 +184,35 @@ def public_form(url: Column) -> Column:
     return F.concat(scheme(url), F.lit("://"), host(url), F.when(standard, "").otherwise(F.concat(F.lit(":"), port)), F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
+#: What the labels of a host name are made of, and how long they and the name are at most.
+LABEL_LETTERS, LABEL_CHARS, NAME_CHARS = "abcdefghijklmnopqrstuvwxyz0123456789-", 63, 253
+
+
+@F.pandas_udf(StringType())
+def _ascii_form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Names with other letters in the ASCII form of domain names; null where there is none."""
+
+    def one(name: str | None) -> str | None:
+        if not name or name.isascii():
+            return name
+        try:
+            return name.encode("idna").decode("ascii")
+        except UnicodeError:
+            return None
+
+    for s in batches:
+        yield s.map(one)
+
+
+def host_name(name: Column | str) -> Column:
+    """A name in its ASCII form, lower-cased, without white space around it and dots at its end; null if it is no host name: labels between dots, each of
+    letters, digits and inner hyphens."""
+    clean = F.regexp_replace(F.regexp_replace(F.col(name) if isinstance(name, str) else name, r"\A\s+|\s+\z", ""), r"\.+\z", "")
+    ascii_name = F.lower(_ascii_form(clean))
+    fits = F.forall(F.split(ascii_name, r"\."), lambda x: F.length(x).between(1, LABEL_CHARS) & (F.translate(x, LABEL_LETTERS, "") == "") & ~F.startswith(x, F.lit("-")) & ~F.endswith(x, F.lit("-")))
+    return F.when(fits & (F.length(ascii_name) <= NAME_CHARS), ascii_name)
+
+
 def in_scope(name: Column, domains: list[str]) -> Column:
     """The host is one of the domains or below one; no domains match nothing."""
     clean = F.regexp_replace(F.lower(name), r"\.+\z", "")

@@ -15,7 +15,7 @@ from ..config import DEFAULT
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import crawl, evaluate, history, hybrid, lexical, lifecycle, merkle, modes, rag, segments, semantic, vector_index
+from ..operators import crawl, evaluate, history, hybrid, impacts, lexical, lifecycle, merkle, modes, rag, requests, reservations, segments, semantic, vector_index
 from ..sources import corpus, web
 from ..sources.tables import shared_folder, stored
 from . import search as plans
@@ -278,6 +278,13 @@ def bm25_batch_topk(spark, sf):
     return lexical.ranked(asked(spark, sf), doc_index(spark, sf), 10).select("query_id", "document_id", "score", "rank")
 
 
+@query(f"WITH {_DOCS}, {_INDEX}, {_ASKED}, {_SCORES}, {_top('sc', 10)} SELECT * FROM top")
+def impact_topk(spark, sf):
+    """The same by thresholds, without scoring every posting."""
+    index = made(spark, sf, "document impacts", lambda: impacts.build(doc_index(spark, sf)))
+    return impacts.impact_top_k(asked(spark, sf), index, 10).select("query_id", "document_id", "score", "rank")
+
+
 @query(f"WITH {_DOCS}, {_INDEX}, {_ASKED}, {_SCORES}, {_PADDED}, {_top('pad', 50)} SELECT * FROM top")
 def bm25_padded(spark, sf):
     """Pages of fifty, filled up with documents that don't match."""
@@ -578,6 +585,55 @@ def usage_reserve(spark, sf):
     return history.reserve(_ledger(spark, sf).limit(0), ask, 10, 2).select(F.col("reservation_id").alias("id"), "state")
 
 
+_ALLOWED = 4000
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, event_type, strftime(ts, '%Y-%m') AS month, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m'), event_type ORDER BY ts, event_id::VARCHAR) AS n FROM events WHERE event_type IN ('view', 'click')),
+spent AS (SELECT month, sum(CASE WHEN event_id % 4 = 0 THEN 1 WHEN event_id % 4 = 1 THEN 0 ELSE 2 END) AS spent FROM e WHERE event_type = 'view' AND 2 * n <= {_ALLOWED} GROUP BY month)
+SELECT event_id::VARCHAR AS id, CASE WHEN 2 * n <= {_ALLOWED} - coalesce(spent, 0) THEN 'reserved' ELSE 'refused' END AS state FROM e LEFT JOIN spent USING (month) WHERE event_type = 'click'"""
+)
+def reserve_committed(spark, sf):
+    """K9: a commit log in which views have taken credits, a quarter of them got cheaper and a quarter failed, before clicks ask for what is left."""
+    ledger = reservations.ReservationLedger(spark, shared_folder(spark, "reservations"), _ALLOWED)
+    e = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("reservation_id"), F.col("ts").alias("at"), "event_type", "event_id")
+    ledger.reserve(e.filter("event_type = 'view'").select("reservation_id", "at"), 2)
+    ledger.settle(e.filter("event_type = 'view' AND event_id % 4 < 2").select("reservation_id", F.lit(1).alias("credits"), (F.col("event_id") % 4 == 0).alias("succeeded")))
+    return ledger.reserve(e.filter("event_type = 'click'").select("reservation_id", "at"), 2).select(F.col("reservation_id").alias("id"), "state")
+
+
+@query(
+    """SELECT event_id, CASE event_id % 7 WHEN 0 THEN k WHEN 1 THEN k WHEN 2 THEN k WHEN 3 THEN NULL WHEN 4 THEN CASE WHEN k % 2 = 0 THEN k // 2 ELSE 7 END WHEN 5 THEN k WHEN 6 THEN NULL END AS credits
+FROM (SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events)"""
+)
+def reported_credits(spark, sf):
+    """f27: what answers say that they cost, in seven forms of answers made of the events' properties."""
+    k = F.get_json_object("props", "$.k")
+    forms = ['{"credits_used": %s}', '{"credits_used": true, "credits": "9", "usage": {"credits": %s}}', '{"credits": {"credits_used": -1, "api_credits": %s}, "usage": {"credits_used": 3}}', '{"credits": "%s", "usage": [%s]}', '{"credits": %s.0e0, "usage": 7}', '{"usage": {"credits": {"api_credits": %s}}}', 'not %s {']
+    halves = F.format_string('{"credits": %s, "usage": 7}', (k.cast("int") / 2).cast("string"))
+    body = F.when(F.col("event_id") % 7 == 4, halves)
+    for i, form in enumerate(forms):
+        if i != 4:
+            pieces = form.split("%s")
+            body = body.when(F.col("event_id") % 7 == i, F.concat(F.lit(pieces[0]), *[x for p in pieces[1:] for x in (k, F.lit(p))]))
+    return table(spark, sf, "events").select("event_id", requests.reported_credits(body).alias("credits"))
+
+
+@query(
+    rf"""WITH {_URL}, d AS (SELECT page_id // 10 AS request_id, CASE WHEN page_id // 10 % 2 = 0 THEN 'include' ELSE 'exclude' END AS kind, page_id, host, page_id // 10 % 7 = 3 AND page_id % 10 = 5 AS wrong FROM u)
+SELECT request_id, kind, CASE WHEN NOT bool_or(wrong) THEN array_to_string(list(host ORDER BY page_id) FILTER (nth = 1), ' ') END AS domains, CASE WHEN bool_or(wrong) THEN 'not_a_host' END AS error
+FROM (SELECT *, row_number() OVER (PARTITION BY request_id, host ORDER BY page_id) AS nth FROM d) GROUP BY request_id, kind"""
+)
+def checked_requests(spark, sf):
+    """Lists of domains, made of the pages' hosts in other forms; in some of them a name isn't one."""
+    host = U.host(F.col("url"))
+    name = F.when((F.floor(F.col("page_id") / 10) % 7 == 3) & (F.col("page_id") % 10 == 5), F.concat(F.lit("-"), host)).when(F.col("page_id") % 3 == 0, F.concat(F.lit(" "), F.upper(host), F.lit(". "))).otherwise(host)
+    rows = table(spark, sf, "pages").select(F.floor(F.col("page_id") / 10).alias("request_id"), F.struct("page_id", name.alias("name")).alias("x"))
+    rows = rows.groupBy("request_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    rows = rows.select("request_id", F.when(F.col("request_id") % 2 == 0, "include").otherwise("exclude").alias("kind"), F.col("x.name").alias("domains"))
+    return requests.checked_domains(rows).select("request_id", "kind", F.array_join("domains", " ").alias("domains"), "error")
+
+
 @query("SELECT event_id AS id, CASE WHEN event_type <> 'click' THEN 'success' WHEN event_id % 2 = 0 THEN 'success' WHEN event_id % 3 = 0 THEN 'failed' ELSE 'reserved' END AS state, CASE WHEN event_type = 'click' AND (event_id % 2 = 0 OR event_id % 3 = 0) THEN event_id % 5 ELSE 1 END::BIGINT AS credits FROM events")
 def usage_settle(spark, sf):
     """K9: reservations (clicks) settled by outcomes; those without one stay open."""
