@@ -142,18 +142,35 @@ def escape_html(c: Column) -> Column:
     return c
 
 
-#: Two private-use characters stand for the marks while the rest is escaped.
-_OPEN, _CLOSE = "\ue000", "\ue001"
+#: Two private-use characters stand for the marks while the rest is escaped; a text's own ones are written as pairs meanwhile.
+_OPEN, _CLOSE, _PAIR = "\ue000", "\ue001", "\ue002"
+_OWN = ((_PAIR, f"{_PAIR}\ue005"), (_OPEN, f"{_PAIR}\ue003"), (_CLOSE, f"{_PAIR}\ue004"))
+
+
+def _paired(c: Column) -> Column:
+    out = c
+    for raw, pair in _OWN:
+        out = F.replace(out, F.lit(raw), F.lit(pair))
+    return F.when(c.rlike(f"[{_OPEN}-{_PAIR}]"), out).otherwise(c)
+
+
+def _unpaired(c: Column) -> Column:
+    out = c
+    for raw, pair in reversed(_OWN):
+        out = F.replace(out, F.lit(pair), F.lit(raw))
+    return F.when(F.contains(c, F.lit(_PAIR)), out).otherwise(c)
 
 
 def highlight(text: Column, terms: Column) -> Column:
     """text, escaped, with every occurrence of a term in mark tags: the longest term first, in any case, in its own spelling."""
-    quoted = F.transform(F.filter(terms, lambda t: F.trim(t) != ""), lambda t: F.regexp_replace(F.trim(t), r"([^\p{L}\p{N}\s])", r"\\$1"))
+    text = _paired(text)
+    quoted = F.transform(F.filter(terms, lambda t: F.trim(t) != ""), lambda t: F.regexp_replace(_paired(F.trim(t)), r"([^\p{L}\p{N}\s])", r"\\$1"))
     longest = F.array_sort(quoted, lambda a, b: F.length(b) - F.length(a))
     pattern = F.concat(F.lit("(?iu)("), F.array_join(longest, "|"), F.lit(")"))
     marked = F.regexp_replace(text, pattern, F.lit(f"{_OPEN}$1{_CLOSE}"))
     plain = escape_html(F.when(F.size(quoted) > 0, marked).otherwise(text))
-    return F.coalesce(F.replace(F.replace(plain, F.lit(_OPEN), F.lit("<mark>")), F.lit(_CLOSE), F.lit("</mark>")), F.lit(""))
+    tagged = F.replace(F.replace(plain, F.lit(_OPEN), F.lit("<mark>")), F.lit(_CLOSE), F.lit("</mark>"))
+    return F.coalesce(_unpaired(tagged), F.lit(""))
 
 
 def chunks(text: Column, size: int = 1500) -> Column:

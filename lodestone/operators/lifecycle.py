@@ -6,7 +6,8 @@ import json
 import uuid
 from datetime import UTC, datetime
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,3 +176,20 @@ class IndexStore:
         for name in ("current", found.get("version"), found.get("previous")):
             if name:
                 self._fs.delete(self._path(name), True)
+
+
+def rebuild_with_fallback(store: IndexStore, read_documents, local: DataFrame, crawled: DataFrame | None = None) -> dict:
+    """Rebuilds from what read_documents() gives and publishes; where that can't be read, builds an index of the local documents and the crawled ones
+    (document_id, content, content_hash each) and leaves the published version as it is. {"source": "database" or "legacy_corpus", "documents_indexed",
+    "crawled_documents", "corpus_documents", "index_version", "index"}."""
+    try:
+        docs = read_documents()
+        found = store.rebuild(docs)
+        return {"source": "database", "documents_indexed": found["document_count"], "crawled_documents": None, "corpus_documents": None, "index_version": found["index_version"], "index": store.load()}
+    except (PySparkException, Py4JJavaError, OSError):
+        columns = ["document_id", "content", "content_hash"]
+        docs = local.select(*columns) if crawled is None else local.select(*columns).unionByName(crawled.select(*columns))
+        index = build_index(docs, store.config)
+        indexed = index.doc_stats.count()
+        more = 0 if crawled is None else index.doc_stats.join(crawled.select("document_id"), "document_id", "left_semi").count()
+        return {"source": "legacy_corpus", "documents_indexed": indexed, "crawled_documents": more, "corpus_documents": indexed - more, "index_version": None, "index": index}

@@ -158,6 +158,17 @@ def enrich_snippets(hits: DataFrame, docs: DataFrame, queries: DataFrame, words:
     return hits.join(rows, ["query_id", "document_id", "rank"], "left").withColumn("snippet", F.coalesce("wide", "snippet")).drop("wide")
 
 
+def enrich_stats(hits: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """query_id, enriched (hits whose document gives a snippet) and words, of what enrich_snippets does: any text that isn't blank gives one."""
+    rows = with_contents(hits, docs).withColumn("__has", T.strip(F.coalesce("__content", F.lit(""))) != "")
+    return rows.groupBy("query_id").agg(F.count_if("__has").alias("enriched")).withColumn("words", F.lit(words))
+
+
+def code_stats(hits: DataFrame) -> DataFrame:
+    """query_id, hits_with_code: of hits after attach_code."""
+    return hits.groupBy("query_id").agg(F.count_if(F.col("code_snippet").isNotNull()).alias("hits_with_code"))
+
+
 def attach_code(hits: DataFrame, docs: DataFrame, queries: DataFrame, budget: int = DEFAULT.code_chars) -> DataFrame:
     """code_snippet: an excerpt of code from the document, null without one."""
     rows = with_contents(hits, docs).join(asked_terms(queries).withColumnRenamed("terms", "__terms"), "query_id")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html import unescape
+from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,6 +53,57 @@ def stub_answer(query: Column) -> Column:
     return F.concat(F.lit("The sources cover '"), F.coalesce(F.nullif(F.trim(query), F.lit("")), F.lit("your query")), F.lit("' [1]."))
 
 
+class Provider(Protocol):
+    """What answers prompts. It is sent to the executors, so it must pickle; generate() may raise, which fails the prompts that it got."""
+
+    name: str
+    model: str
+
+    def generate(self, prompts: list[tuple[str, str]]) -> list[str | None]:
+        """An answer for each (system prompt, prompt); None or a blank one is none."""
+
+
+class StubProvider:
+    """The built-in provider: the fixed sentence of stub_answer, from the question that the prompt ends with."""
+
+    name, model = "built-in", "stub"
+
+    def generate(self, prompts: list[tuple[str, str]]) -> list[str | None]:
+        questions = [p.rpartition("USER QUESTION:")[2].removesuffix("ANSWER:").strip() for _, p in prompts]
+        return [f"The sources cover '{q or 'your query'}' [1]." for q in questions]
+
+
+#: Prompts that a provider gets at once.
+PROMPTS_AT_ONCE = 16
+
+
+def generate(asked: DataFrame, provider: Provider, tries: int = 2) -> DataFrame:
+    """asked (query_id, system_prompt, prompt) with answer, error (null, or provider_error, empty_answer), provider and model. Prompts go to the provider in lots of
+    PROMPTS_AT_ONCE on the executors; a lot that fails is tried again, prompt by prompt at last, so that one can't fail the others."""
+    kind = asked.schema["query_id"].dataType.simpleString()
+    # where an executor is lost its prompts are asked again; what was answered elsewhere isn't
+    rows = asked.select("query_id", "system_prompt", "prompt")
+
+    def ask(lot: list[tuple[str, str]]) -> list[tuple[str | None, str | None]]:
+        for _ in range(max(1, tries)):
+            try:
+                found = provider.generate(lot)
+                if len(found) == len(lot):
+                    return [(t, None) if t and t.strip() else (None, "empty_answer") for t in found]
+            except Exception:  # noqa: BLE001  whatever a provider raises is its failure
+                continue
+        return [(None, "provider_error")] if len(lot) == 1 else [x for one in lot for x in ask([one])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lots = list(zip(b.column("system_prompt").to_pylist(), b.column("prompt").to_pylist(), strict=True))
+            found = [x for i in range(0, len(lots), PROMPTS_AT_ONCE) for x in ask(lots[i : i + PROMPTS_AT_ONCE])]
+            cells = [b.column("query_id"), pa.array([t for t, _ in found], pa.string()), pa.array([e for _, e in found], pa.string()), pa.array([provider.name] * len(found)), pa.array([provider.model] * len(found))]
+            yield pa.RecordBatch.from_arrays(cells, ["query_id", "answer", "error", "provider", "model"])
+
+    return rows.mapInArrow(run, f"query_id {kind}, answer string, error string, provider string, model string")
+
+
 def cited(answers: DataFrame, citations: DataFrame) -> DataFrame:
     """Citations (query_id, citation_id, ...) that the answers (query_id, answer) name as [n]; if an answer names none that is there, its
     first citation."""

@@ -488,7 +488,7 @@ def mode_code_snippets(spark, sf):
 def mode_ai(spark, sf):
     """R12 ai, R21: answers by the built-in provider with the document that each cites."""
     found = plans.search(like_documents(spark, sf), hybrid_corpus(spark, sf), "ai")
-    return found.answers.join(found.citations.select("query_id", F.col("document_id").alias("cited")), "query_id")
+    return found.answers.drop("status").join(found.citations.select("query_id", F.col("document_id").alias("cited")), "query_id")
 
 
 @query("SELECT * FROM (VALUES ('web', 'Web Search', 10, 50, 1, false, 0, 0, false), ('ai', 'AI Answers', 5, 50, 1, true, 0, 0, false), ('research', 'Research', 15, 50, 4, true, 3, 56, false), ('code', 'Code Docs', 10, 50, 3, false, 0, 34, true)) t(mode, label, default_limit, max_limit, candidate_multiplier, ai_answer, host_cap, snippet_words, code_snippets)")
@@ -752,7 +752,7 @@ def crawl_site(spark, sf):
     p = table(spark, sf, "pages").filter("url IS NOT NULL")
     fetched = p.select("url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), "html")
     seeds = p.groupBy(U.host(F.col("url")).alias("host")).agg(F.min_by("url", "page_id").alias("url"), F.min("page_id").alias("pos")).select("pos", "url")
-    return crawl.crawl(fetched, seeds, crawl.CrawlConfig(max_pages=1 << 40, max_depth=10, frontier_cap=1 << 40), robots_of(spark, sf)).report
+    return crawl.crawl(fetched, seeds, crawl.CrawlConfig(max_pages=1 << 40, max_depth=1 << 30, frontier_cap=1 << 40), robots_of(spark, sf)).report
 
 
 @query(

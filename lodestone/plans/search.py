@@ -50,14 +50,6 @@ class Found:
     citations: DataFrame | None = None
 
 
-def answer_status(retrieval: str, generated: bool, answer: str = "ok") -> str:
-    """The status of an answered search: retrieval that isn't whole counts first; then an answer is ok, and none is ok only if the
-    provider was there."""
-    if retrieval in ("degraded", "unavailable"):
-        return retrieval
-    return "unavailable" if not generated and answer in ("degraded", "unavailable", "disabled") else "ok"
-
-
 @dataclass(frozen=True)
 class PipelineReport:
     """What indexing a corpus did; rows that a store had before aren't persisted again."""
@@ -74,9 +66,9 @@ def run_pipeline(docs: DataFrame, known: DataFrame | None = None, config: Engine
     return made, PipelineReport(docs.count(), made.index.doc_stats.count(), new.count())
 
 
-def search(queries: DataFrame, corpus: Corpus, mode: str = "lexical", limit: int | None = None, weights: tuple[float, float] | None = None) -> Found:
+def search(queries: DataFrame, corpus: Corpus, mode: str = "lexical", limit: int | None = None, weights: tuple[float, float] | None = None, provider: rag.Provider | None = None) -> Found:
     """All queries (query_id, query, and embedding where vectors are searched) in one mode. Ranking modes return padded pages; special
-    modes only what matched."""
+    modes only what matched. Modes that answer ask the provider (the built-in one by default)."""
     name = modes.mode_name(mode)
     config = corpus.config
     semantic_ready = corpus.vectors is not None and "embedding" in queries.columns
@@ -105,12 +97,23 @@ def search(queries: DataFrame, corpus: Corpus, mode: str = "lexical", limit: int
         hits = modes.documentation_first(modes.attach_code(hits, corpus.docs, asked, config.code_chars))
     hits = modes.truncate(hits, k) if spec.host_cap is None else modes.diversify(hits, spec.host_cap, k)
     out = Found(name, "ok" if semantic_ready else "degraded", hits, modes.source_entries(hits))
-    return _answered(out, matched, queries, k, config) if spec.rag else out
+    return _answered(out, matched, queries, k, config, provider) if spec.rag else out
 
 
-def _answered(out: Found, matched: DataFrame, queries: DataFrame, k: int, config: EngineConfig) -> Found:
-    """Adds the answer. Its passages come from the matched hits as retrieved: before wider snippets, diversification and limit."""
+def _answered(out: Found, matched: DataFrame, queries: DataFrame, k: int, config: EngineConfig, provider: rag.Provider | None) -> Found:
+    """Adds the answers, each with its status. Their passages come from the matched hits as retrieved: before wider snippets, diversification and limit."""
     chosen = rag.passages(rag.enough(matched, config.rag_min_score), k, config.rag_chars)
     has = chosen.select("query_id").distinct().withColumn("has", F.lit(True))
-    answers = queries.join(has, "query_id", "left").select("query_id", F.when(F.col("has"), rag.stub_answer(F.col("query"))).otherwise(rag.NOT_ENOUGH).alias("answer"))
-    return replace(out, passages=chosen, answers=answers, citations=rag.cited(answers.join(has, "query_id", "left_semi"), chosen))
+    if provider is None:
+        said = queries.join(has, "query_id").select("query_id", rag.stub_answer(F.col("query")).alias("answer"), F.lit(None).cast("string").alias("error"))
+    else:
+        chosen = stored(chosen, "passages")
+        said = stored(rag.generate(rag.prompts(chosen, queries), provider).select("query_id", "answer", "error"), "answers")
+    rows = queries.join(has, "query_id", "left").join(said, "query_id", "left")
+    generated = F.col("answer").isNotNull()
+    # retrieval that isn't whole counts first; without an answer a query is only ok if the provider was not to blame
+    status = F.lit(out.status) if out.status in ("degraded", "unavailable") else F.when(generated | F.col("error").isNull(), "ok").otherwise("unavailable")
+    text = F.when(F.col("has"), F.col("answer")).otherwise(rag.NOT_ENOUGH)
+    answers = rows.select("query_id", text.alias("answer"), status.alias("status"))
+    given = rows.filter(generated).select("query_id", "answer")
+    return replace(out, passages=chosen, answers=answers, citations=rag.cited(given, chosen))

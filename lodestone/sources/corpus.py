@@ -54,6 +54,25 @@ def documents(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return rows.select(F.col(id_col).alias("document_id"), T.title_of(content).alias("title"), content.alias("content"), F.coalesce(F.col(source_col), F.lit("")).alias("source"))
 
 
+def scan(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Stored documents in the order of document_id, the first limit of them if there is one (a negative one is none at all). With a limit Spark keeps so
+    many rows of each partition and no more; without one the order is that of a range partitioning."""
+    return rows.orderBy("document_id") if limit is None else rows.orderBy("document_id").limit(max(0, limit))
+
+
+def read_database(spark: SparkSession, url: str, table: str = "documents", number: str | None = None, partitions: int = 8, **options: str) -> DataFrame:
+    """A table of a database by JDBC. number is a column of whole numbers whose range is split over partitions, so that each is read by a
+    query of its own; its bounds are asked for first. Filters, columns and limits go to the database."""
+    reader = spark.read.format("jdbc").option("url", url).options(**options)
+    if number:
+        low, high = reader.option("query", f"SELECT MIN({number}) AS low, MAX({number}) AS high FROM {table}").load().first()
+        if low is not None:
+            reader = spark.read.format("jdbc").option("url", url).options(**options).option("partitionColumn", number).option("lowerBound", low).option("upperBound", high + 1).option("numPartitions", partitions)
+        else:
+            reader = spark.read.format("jdbc").option("url", url).options(**options)
+    return reader.option("dbtable", table).load()
+
+
 def indexable(docs: DataFrame, include_crawled: bool = True) -> DataFrame:
     """Documents that an index holds: those with tokens, on demand without crawled ones (http or https sources)."""
     if not include_crawled:

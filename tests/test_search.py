@@ -284,9 +284,3 @@ def test_diversify_stats(spark):
     assert tuple(modes.diversify_stats(hits, 2).first()) == (1, 8, 4, 2, 2, 3)
     assert tuple(modes.diversify_stats(hits, 0).first())[1:5] == (8, 5, 3, 0)
     assert tuple(modes.documentation_stats(hits).first()) == (1, 2, 6, 2)
-
-
-def test_status():
-    from lodestone.plans.search import answer_status
-
-    assert [answer_status(*x) for x in (("degraded", True), ("ok", True), ("ok", False, "disabled"), ("ok", False, "ok"))] == ["degraded", "ok", "unavailable", "ok"]
