@@ -11,19 +11,18 @@ A key's block is one 64-bit word; four bits in it are set, all from one hash, so
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored, unused
 from .exact_dedup import ascii_lower
 
-#: Keys per 64-bit block (16 bits a key: about 1 % false positives), as long as the filter has at most MAX_BLOCKS words. It travels
-#: with the plan as one value, so this bounds it to 32 MB; a list of over 16 million keys fills it more and lets more through.
-KEYS_PER_BLOCK, MAX_BLOCKS = 4, 1 << 22
-#: The longest host name that there can be; a longer one is on no list.
-LONGEST_HOST = 253
+#: Keys per 64-bit block: 16 bits a key, about 1 % false positives.
+KEYS_PER_BLOCK = 4
+#: Blocks up to which the filter, as a table of (block, word), goes to every task: some 50 MB there. A larger one is joined as it is.
+BROADCAST_BLOCKS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -89,23 +88,22 @@ def _mask(h: Column) -> Column:
 
 
 def blocked_bloom(keys: DataFrame, blocks: int) -> DataFrame:
-    """One row with one column, words: the filter of keys' column key as an array of so many 64-bit words."""
+    """The filter of keys' column key, stored: block and word, for the blocks that have bits."""
     hashed = keys.select(F.xxhash64("key").alias("h"))
-    words = hashed.select(F.pmod(F.shiftright("h", 24), F.lit(blocks)).alias("b"), _mask(F.col("h")).alias("w"))
-    words = words.union(keys.sparkSession.range(blocks).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("w"))).groupBy("b").agg(F.bit_or("w").alias("w"))
-    return words.agg(F.sort_array(F.collect_list(F.struct("b", "w"))).alias("all")).select(F.transform("all", lambda x: x["w"]).alias("words"))
+    return stored(hashed.select(F.pmod(F.shiftright("h", 24), F.lit(blocks)).alias("block"), _mask(F.col("h")).alias("word")).groupBy("block").agg(F.bit_or("word").alias("word")), "url-filter")
 
 
-def _passes(words: Column, blocks: int) -> Callable[[Column], Column]:
-    """Whether the filter lets a key through."""
-
-    def one(key: Column) -> Column:
-        h = F.xxhash64(key)
-        word = F.element_at(words, (F.pmod(F.shiftright(h, 24), F.lit(blocks)) + 1).cast("int"))
-        bits = [F.call_function("getbit", word, F.shiftright(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")) == 1 for k in range(4)]
-        return bits[0] & bits[1] & bits[2] & bits[3]
-
-    return one
+def probed(rows: DataFrame, key: str, bloom: DataFrame, blocks: int, out: str) -> DataFrame:
+    """rows with out: whether the filter lets their key through; a null key doesn't pass. The filter is joined by the key's block, so a row carries one
+    word of it, however large it is."""
+    h, block, word = unused(rows, "h_", "block_", "word_")
+    held = bloom.select(F.col("block").alias(block), F.col("word").alias(word))
+    if blocks <= BROADCAST_BLOCKS:
+        held = F.broadcast(held)
+    rows = rows.withColumn(h, F.when(F.col(key).isNotNull(), F.xxhash64(key)))
+    rows = rows.withColumn(block, F.pmod(F.shiftright(h, 24), F.lit(blocks))).join(held, block, "left")
+    bits = [F.call_function("getbit", F.col(word), F.shiftright(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")) == 1 for k in range(4)]
+    return rows.withColumn(out, F.coalesce(bits[0] & bits[1] & bits[2] & bits[3], F.lit(False))).drop(h, block, word)
 
 
 def listed_keys(listed: DataFrame) -> DataFrame:
@@ -126,28 +124,33 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules: tuple[Listed, ...]
     are each judged; an empty table of pages or an empty list is fine. Other columns of pages are not read.
     """
     host, path = F.col("host"), F.col("path")
-    entries = listed_keys(listed)
-    n, hosts, depth = entries.agg(F.count("*"), F.count_distinct("host"), F.max("depth")).first()
-    blocks = min(MAX_BLOCKS, max(1, -(-(n + hosts) // KEYS_PER_BLOCK)))
-    words = blocked_bloom(entries.select("key").union(entries.select("host").distinct()), blocks).scalar()
+    entries = stored(listed_keys(listed), "listed-keys")
+    labels_of = F.max(F.size(F.split("host", r"\.")))
+    n, hosts, depth, most_labels = entries.agg(F.count("*"), F.count_distinct("host"), F.max("depth"), labels_of).first()
+    blocks = max(1, -(-(n + hosts) // KEYS_PER_BLOCK))
+    bloom = blocked_bloom(entries.select("key").union(entries.select("host").distinct()), blocks)
     rule, rule_verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for x in sorted(rules, key=lambda x: (len(x.host + x.path), x.host + x.path)):
         fits = ((host == x.host) | F.endswith(host, F.lit("." + x.host))) & F.startswith(path, F.lit(x.path))
         rule, rule_verdict = F.when(fits, x.host + x.path).otherwise(rule), F.when(fits, x.verdict).otherwise(rule_verdict)
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("u")).select("id", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
-    base = base.select(F.monotonically_increasing_id().alias("row"), "id", "host", "path", rule.alias("rule"), rule_verdict.alias("rule_verdict"), canonical_host(host).alias("h"), canonical_path(path).alias("p"), words.alias("words"))
-    passes, labels, parts = _passes(F.col("words"), blocks), F.split("h", r"\."), F.split("p", "/")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    on_list = F.when((F.col("h") != "") & (F.length("h") <= LONGEST_HOST) & F.col("rule").isNull(), F.filter(suffixes, passes)).otherwise(F.array().cast("array<string>"))
+    base = base.select(F.monotonically_increasing_id().alias("row"), "id", "host", "path", rule.alias("rule"), rule_verdict.alias("rule_verdict"), canonical_host(host).alias("h"), canonical_path(path).alias("p"))
+    kept = ("row", "id", "host", "path", "rule", "rule_verdict")
+    nothing = F.array().cast("array<string>")
+    labels, parts = F.split("h", r"\."), F.split("p", "/")
+    # no suffix of more labels, and no directory of more parts, than any that is listed
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most_labels or 1))), lambda i: F.array_join(F.slice(labels, F.size(labels) - i + 1, i), "."))
+    suffixes = F.when((F.col("h") != "") & F.col("rule").isNull() & F.lit(n > 0), suffixes).otherwise(nothing)
     deep = F.least(F.size(parts) - 1, F.lit(depth or 0))
     directories = F.transform(F.when(deep > 0, F.sequence(F.lit(1), deep)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
-    own = F.when(F.size(parts) - 1 <= F.lit(depth or 0), F.array("p")).otherwise(F.array().cast("array<string>"))
+    own = F.when(F.size(parts) - 1 <= F.lit(depth or 0), F.array("p")).otherwise(nothing)
     paths = F.array_distinct(F.concat(directories, own))
-    keys = F.filter(F.flatten(F.transform("on_list", lambda s: F.transform(paths, lambda p: F.concat(s, p)))), passes)
-    hits = base.withColumn("on_list", on_list).withColumn("keys", F.when(F.size("on_list") > 0, keys).otherwise(F.array().cast("array<string>")))
-    kept = ("row", "id", "host", "path", "rule", "rule_verdict")
+    # of the suffixes, and then of the keys, those that pass go on; a row without any keeps its first one, which the exact join ignores
+    on_list = probed(base.select(*kept, "p", F.posexplode_outer(suffixes).alias("at", "suffix")), "suffix", bloom, blocks, "passes").filter("passes OR at IS NULL OR at = 0")
+    keys = F.when(F.col("passes"), F.transform(paths, lambda p: F.concat(F.col("suffix"), p))).otherwise(nothing)
+    possible = probed(on_list.select(*kept, F.posexplode_outer(keys).alias("at", "key")), "key", bloom, blocks, "passes").filter("passes OR at IS NULL OR at = 0")
     # a row without possible hits gets a key of its own that nothing has, so such rows don't meet in one task
-    possible = hits.select(*kept, F.explode_outer("keys").alias("key")).withColumn("key", F.coalesce("key", F.concat(F.lit("\n"), F.col("row").cast("string"))))
+    possible = possible.withColumn("key", F.when(F.col("passes"), F.col("key")).otherwise(F.concat(F.lit("\n"), F.col("row").cast("string"))))
     found = possible.join(entries.select("key", "key_verdict"), "key", "left")
     best = F.max(F.when(F.col("key_verdict").isNotNull(), F.struct(F.length("key").alias("n"), "key", "key_verdict"))).alias("best")
     return found.groupBy(*kept).agg(best).select(

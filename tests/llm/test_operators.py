@@ -420,14 +420,22 @@ def test_bloom_has_no_false_negatives(spark, monkeypatch):
     blocked = lambda: sorted(r.page_id for r in url_filter.url_verdicts(df, many, ()).filter("verdict = 'block'").collect())
     assert blocked() == list(range(4000))
     keys, blocks = url_filter.listed_keys(many).select("key"), 1000
-    words = url_filter.blocked_bloom(keys, blocks)
-    assert len(words.first().words) == blocks
-    probes = df.withColumn("words", words.scalar()).withColumn("pass", url_filter._passes(F.col("words"), blocks)(F.regexp_extract("url", "//(.*/)", 1)))
+    bloom = url_filter.blocked_bloom(keys, blocks)
+    assert bloom.count() <= blocks and bloom.select("block").distinct().count() == bloom.count()
+    probes = url_filter.probed(df.withColumn("key", F.regexp_extract("url", "//(.*/)", 1)), "key", bloom, blocks, "pass")
     assert probes.filter("pass AND page_id < 4000").count() == 4000 and probes.filter("pass AND page_id >= 4000").count() < 400
-    monkeypatch.setattr(url_filter, "MAX_BLOCKS", 3)
+    monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", 3)
     assert blocked() == list(range(4000))
 
 
+def test_long_hosts_are_judged(spark):
+    """Longer than a host name may be, on a list and below one that is."""
+    long = ".".join(["label"] * 100) + ".org"
+    table = spark.createDataFrame([(f"http://{long}/", "block"), ("http://bad.org/", "block")], "url string, verdict string")
+    df = spark.createDataFrame(list(enumerate([f"http://{long}/x", f"http://{long[6:]}/x", f"http://{long[:-4]}.bad.org/"])), "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_filter.url_verdicts(df, table).collect()} == {0: "block", 1: "allow", 2: "block"}
+
+
 # --------------------------------------------------------------------------------------------------------------- 8: chat
 
 
