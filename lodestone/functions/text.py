@@ -61,9 +61,15 @@ def fold(c: Column) -> Column:
     """fold_text in JVM code: lower() for ASCII texts, else one translate(); a text that holds a character that becomes several is taken
     character by character first."""
     before, after, by_place, several = _tables()
+    # those that are frequent are replaced, so that few texts are taken character by character; and a table tells faster than a pattern of many
+    # ranges whether a text has any
+    whole, longer = c, by_place[0][0]
+    for x in "ß…":
+        c = F.replace(c, F.lit(x), F.lit(fold_text(x)))
+    has_any = F.length(F.translate(c, longer, "")) < F.length(c)
     spelled = lambda x: F.when(x.rlike(f"[{several}]"), F.concat(*[F.translate(x, a, b) for a, b in by_place])).otherwise(x)
     spread = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(f"[{several}]|[^{several}]+"), F.lit(0)), spelled), "")
-    return F.when(c.rlike(r"\A[\x00-\x7f]*\z"), F.lower(c)).otherwise(F.translate(F.when(c.rlike(f"[{several}]"), spread).otherwise(c), before, after))
+    return F.when(whole.rlike(r"\A[\x00-\x7f]*\z"), F.lower(whole)).otherwise(F.translate(F.when(has_any, spread).otherwise(c), before, after))
 
 
 @F.pandas_udf(StringType())
@@ -83,8 +89,7 @@ def words(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """The tokens that an index holds, repeats included: all but stop words."""
-    stop = f"(?!(?:{'|'.join(STOP_WORDS)})(?!{_WORD}))"
-    return F.regexp_extract_all(F.coalesce(fold(c), F.lit("")), F.lit(f"(?<!{_WORD}){stop}{_WORD}+"), F.lit(0))
+    return F.filter(words(c), lambda t: ~t.isin(*STOP_WORDS))
 
 
 def leading(c: Column, n: int = 26) -> Column:
