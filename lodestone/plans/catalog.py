@@ -50,12 +50,20 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-_MADE: dict[tuple[str, str, str], object] = {}
+_MADE: dict[tuple, object] = {}
+
+
+def _stamp(spark: SparkSession, sf: str) -> tuple:
+    """What tells a folder's tables from what they were before: names, lengths and times of change."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
 
 
 def made(spark: SparkSession, sf: str, name: str, make: Callable):
-    """What make() stores for a folder of tables, made once for an application: search runs against indexes that are there."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    """What make() stores for a folder of tables, made once for an application and anew when the folder changes: search runs against indexes that are
+    there."""
+    key = (spark.sparkContext.applicationId, sf, name, _stamp(spark, sf))
     if key not in _MADE:
         _MADE[key] = make()
     return _MADE[key]
@@ -748,7 +756,7 @@ def reader_blocks(spark, sf):
 @query()
 def crawl_site(spark, sf):
     """A crawl of the pages table from every host's first page, as deep as it goes, under the hosts' robots.txt: the
-    report (held against plain Python in the tests)."""
+    report (tests hold crawls of small tables against plain Python)."""
     p = table(spark, sf, "pages").filter("url IS NOT NULL")
     fetched = p.select("url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), "html")
     seeds = p.groupBy(U.host(F.col("url")).alias("host")).agg(F.min_by("url", "page_id").alias("url"), F.min("page_id").alias("pos")).select("pos", "url")
