@@ -22,22 +22,28 @@ from lodestone.llm.quality import keep_good
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the classifier rejects. A null text counts as empty; labels may cover few documents or none (then all stay). Repeated rows are judged
+    alike; an empty table stays empty."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for A-Z and a-z, nulls being empty ones, the row with the largest doc_id stays; of repeated rows one."""
     return exact_dedup(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the row with the smallest doc_id stays; of repeated rows one. Texts without words all stay."""
     return dedup_near(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a window of the benchmark. A null or empty text has none; a null or empty item has no window."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds token_ids. A null or empty text has none; repeated rows are encoded each."""
     import public_tokenizers
 
     return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
