@@ -5,7 +5,7 @@ place, so each window of LENGTH bytes is dealt to the rarest-looking of its gram
 the same smallest gram, so they meet; neighbouring windows mostly share it and travel as one stretch of text.
 
 1. Blocks of documents count in how many documents each smallest gram occurs (see blocks.py). A gram of a single document repeats nothing.
-2. Blocks send their stretches under shared grams, each distinct one once with its smallest id. A gram of more than FINE documents is cut finer:
+2. Blocks send their stretches under shared grams, each distinct one once with its smallest id. A gram of at least twice FINE documents is cut finer:
    every window goes by itself, dealt by all its bytes, so what thousands of documents share, and where they part, is spread.
 3. A part joins the stretches of each gram to a text, sorts its suffixes by Lyndon grouping (see suffix_arrays.py) and walks along them: windows
    with the same LENGTH bytes are neighbours there. Every window gets the smallest id that has it, and each block its answers.
@@ -32,7 +32,7 @@ from .common import bound_batches, distinct, mixed, places, stored, texts
 from .suffix_arrays import suffix_arrays
 
 LENGTH = 50
-#: Documents of a gram from which on its windows are dealt one by one.
+#: A gram of at least twice so many documents has its windows dealt one by one.
 FINE = 64
 #: Bits of a gram's hash, windows of a stretch, bytes that are hashed at once, and symbols of the texts that are sorted side by side.
 KEY_BITS, STRETCH, SLICE, SIDE_BY_SIDE = 52, 64, 128 << 10, 1 << 20

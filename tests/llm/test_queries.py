@@ -5,12 +5,14 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import common, decontaminate, exact_dedup, jaccard_join, lm_score, queries, token_files, url_filter
 
 from test_operators import BPE, P, brute_components, brute_hits, judged, lowered, plain_spans, prose
+from test_trie_negatives_repeats import brute_negatives, brute_repeats, brute_trie
 
 SHA = lambda s: hashlib.sha256(s if isinstance(s, bytes) else s.encode()).hexdigest()
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
@@ -28,7 +30,8 @@ def tables(spark, tmp_path_factory):
     urls = ["http://Example.com/en/x", "https://a.net/es/1", "http://x.org:80/", "http://m.free-bets.example.com?x", None, "no", "http://h/" + "p/" * 3000]
     rows["pages"] = [(i, u, "<p>x</p>") for i, u in enumerate(urls)]
     rows["conversations"] = [(1, 0, "user", "a"), (1, 1, "assistant", "b <c> #\\"), (2, 0, "assistant", None), (1, 2, "assistant", "é")]
-    kinds = {"documents": DOCS, "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string", "conversations": "conv_id long, turn long, role string, text string"}
+    rows["embeddings"] = [(i, [rnd.gauss(0, 0.2) for _ in range(5)], i % 3) for i in range(230)] + [(900, None, 1), (901, [0.1] * 5, None)]
+    kinds = {"embeddings": "vec_id long, embedding array<float>, label int", "documents": DOCS, "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string", "conversations": "conv_id long, turn long, role string, text string"}
     full, none = (str(tmp_path_factory.mktemp(x)) for x in ("full", "none"))
     for name, kind in kinds.items():
         df = spark.createDataFrame(rows[name], kind)
@@ -123,6 +126,25 @@ def test_op10(spark, tables):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(items), SHA(",".join(items)), hit > 0)
 
 
+def test_op11(spark, tables):
+    rows = [r for r in tables[2]["conversations"]]
+    got = sorted((tuple(r) for r in result(spark, "op11_prefix_trie", tables[0])), key=repr)
+    assert got == brute_trie(rows)
+
+
+def test_op12(spark, tables):
+    single = lambda v: v and np.array(v, np.float32).astype(float).tolist()
+    rows = [(i, single(v), (label + 1) % 10 if label is not None and i % 7 == 0 else label) for i, v, label in tables[2]["embeddings"]]
+    got = sorted((r.anchor_id, r.positive_id, r["rank"], r.negative_id, r.positive_score, r.negative_score) for r in result(spark, "op12_hard_negatives", tables[0]))
+    assert got == brute_negatives(rows, 100) and got
+
+
+def test_op13(spark, tables):
+    want = {i: (n, n - len(kept), len(spans), SHA(kept)) for i, n, spans, kept in brute_repeats([(i, t) for i, t, *_ in tables[2]["documents"]], 50)}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in result(spark, "op13_suffix_dedup", tables[0])}
+    assert got == want and sum(x[1] for x in want.values()) > 0
+
+
 def test_empty_tables(spark, tables):
     import corpus_pipeline
 
