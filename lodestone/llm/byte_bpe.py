@@ -10,7 +10,7 @@ bytes extends the table exactly; after an edit it is recomputed from the edit on
 from __future__ import annotations
 
 import base64
-import hashlib
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -36,7 +36,8 @@ class PrefixBPE:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
-        self.longest = max(map(len, ranks))
+        self.sizes = {i: len(b) for b, i in ranks.items()}
+        self.longest = max(self.sizes.values())
         # finds all tokens that end at a byte, the longest first; it reads bytes as the characters of Latin-1
         self.tokens = ahocorasick.Automaton()
         for t, i in ranks.items():
@@ -46,7 +47,8 @@ class PrefixBPE:
         self.pieces = regex.compile(pattern).findall
         self._pairs: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._kept: dict[str, tuple[int, ...]] = {}
+        self._kept: dict[str, bytes] = {}
+        self._kept_before: dict[str, bytes] = {}
 
     def merged(self, piece: bytes, but: int = -1) -> list[int]:
         """By definition: the adjacent pair of lowest rank merges, the first of equals, until none can; the token `but` is not
@@ -95,23 +97,31 @@ class PrefixBPE:
 
     def extend(self, piece: bytes, last: list[int], stop: int | None = None) -> list[int]:
         """Extends last, where last[i] is the last token of piece[:i + 1], to stop bytes (all by default)."""
-        compatible, halves, found = self._compatible, self.halves, len(last)
+        known, compatible, found = self._pairs.get, self._compatible, len(last)
         begin = max(0, found - self.longest)
         for at, (token, size) in self.tokens.iter(piece[begin:stop].decode("latin-1")):
             if at + begin == found:
                 start = found + 1 - size
-                if compatible(last[start - 1], token) if start > 0 else start == 0 and halves(token):
+                if start > 0:
+                    ok = known(last[start - 1] << 32 | token)
+                    if ok is None:
+                        ok = compatible(last[start - 1], token)
+                else:
+                    ok = start == 0 and self.halves(token)
+                if ok:
                     last.append(token)
                     found += 1
         return last
 
     def read_off(self, last: list[int]) -> list[int]:
         """The encoding that a table of last tokens holds."""
-        ids, end = [], len(last)
+        ids, end, sizes = [], len(last), self.sizes
         while end:
-            ids.append(last[end - 1])
-            end -= len(self.bytes_of[last[end - 1]])
-        return ids[::-1]
+            token = last[end - 1]
+            ids.append(token)
+            end -= sizes[token]
+        ids.reverse()
+        return ids
 
     def edited(self, old: bytes, last: list[int], start: int, end: int, new: bytes) -> tuple[bytes, list[int]]:
         """The piece old with old[start:end] replaced by new, and its table, from old's table. Only the rows from the edit
@@ -134,18 +144,28 @@ class PrefixBPE:
         return self.read_off(self.extend(piece, []))
 
     def encode(self, text: str) -> list[int]:
-        kept, out = self._kept, []
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers. Pieces are kept in two lots: when the new one is full it becomes the old one, and what is met again
+        in the old one goes to the new one, so frequent pieces stay."""
+        kept, before, out = self._kept, self._kept_before, []
         for piece in self.pieces(text):
             ids = kept.get(piece)
             if ids is None:
-                raw = piece.encode("utf-8", "replace")
-                ids = tuple(self.encode_piece(raw))
-                if len(raw) <= CACHE_PIECE_BYTES:
-                    if len(kept) >= CACHE_WORDS:
-                        kept.clear()
+                ids = before.get(piece)
+                if ids is None:
+                    raw = piece.encode("utf-8", "replace")
+                    ids = array("i", self.encode_piece(raw)).tobytes()
+                    keep = len(raw) <= CACHE_PIECE_BYTES
+                else:
+                    keep = True
+                if keep:
+                    if len(kept) >= CACHE_WORDS // 2:
+                        self._kept_before, self._kept = before, kept = kept, {}
                     kept[piece] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -164,8 +184,8 @@ def tokenizer(path: str, pattern: str) -> PrefixBPE:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """docs with its other columns as they are, and ids_col (array<int>): the ids of the whole text. A null text has none.
-    A column of docs that is named ids_col is replaced."""
+    """docs with its other columns as they are, and ids_col (array<int>): the ids of the whole text. A null or empty text has none.
+    Repeated rows are encoded each, and an empty table gives an empty one. A column of docs that is named ids_col is replaced."""
     bound_batches(docs.sparkSession)
     docs = docs.drop(ids_col)
     schema = with_fields(docs, f"`{ids_col}` array<int>")
@@ -173,14 +193,17 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         for b in batches:
-            ids = pa.array([bpe.encode(t or "") for t in b.column(text_col).to_pylist()], pa.list_(pa.int32()))
+            packed = [bpe.packed(t or "") for t in b.column(text_col).to_pylist()]
+            ends = np.cumsum([0, *map(len, packed)]) // 4
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, ids_col])
 
     return docs.mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
-    """encoded with bytes_col (binary): the bytes of its ids; null ids give no bytes."""
+    """encoded with bytes_col (binary): the bytes of its ids; null ids give no bytes. Repeated rows are decoded each, and an empty table gives
+    an empty one."""
     bound_batches(encoded.sparkSession)
     encoded = encoded.drop(bytes_col)
     schema = with_fields(encoded, f"`{bytes_col}` binary")

@@ -20,8 +20,8 @@ from pyspark.sql.types import StructType
 
 #: Bounds of one Arrow batch on its way to Python; one row may be larger.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
-#: Pieces of text that a worker's cache holds before it starts anew.
-CACHE_WORDS = 150_000
+#: Pieces of text that a worker keeps at most, in two lots.
+CACHE_WORDS = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
