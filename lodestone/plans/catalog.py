@@ -979,3 +979,50 @@ def eval_macro(spark, sf):
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: hybrid retrieval of every hundredth document's like."""
     return plans.search(like_documents(spark, sf), hybrid_corpus(spark, sf), "hybrid", DEFAULT.default_limit).hits
+
+
+# ------------------------------------------------------------------------------------------- lookups, sessions, reports
+
+
+@query("SELECT doc_id AS document_id, source FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents)")
+def document_by_id(spark, sf):
+    """the document of the largest id."""
+    d = docs_of(spark, sf)
+    return corpus.by_id(d, d.agg(F.max("document_id")).first()[0]).select("document_id", "source")
+
+
+@query(
+    f"""WITH {_EVENTS}, s AS (SELECT DISTINCT owner, max(created_at) OVER (PARTITION BY owner) + INTERVAL 2 DAYS AS until FROM h WHERE owner % 3 <> 0)
+SELECT id, owner, mode FROM h WHERE owner IN (SELECT owner FROM s WHERE until > (SELECT max(created_at) FROM h))"""
+)
+def session_history(spark, sf):
+    """The entries of owners whose session, which ends two days after their last entry, is still valid when the last entry of all is made; a third of the
+    owners have none."""
+    h = _events(spark, sf)
+    sessions = h.filter("owner % 3 <> 0").groupBy(F.col("owner").alias("token_hash")).agg((F.max("created_at") + F.expr("INTERVAL 2 DAYS")).alias("expires_at"))
+    now = h.agg(F.max("created_at")).first()[0]
+    return history.with_session(h, sessions, now).select("id", "owner", "mode")
+
+
+@query(f"WITH {_HASHED}, {_INDEX} SELECT (SELECT count(*) FROM docs) AS documents_loaded, (SELECT count(*) FROM dl) AS indexed, (SELECT count(DISTINCT h) FROM h WHERE h NOT IN (SELECT h FROM h WHERE document_id % 3 = 0)) AS persisted")
+def pipeline_report(spark, sf):
+    """What indexing all documents does where a store has every third one."""
+    d = _hashed(spark, sf)
+    _, report = plans.run_pipeline(d, d.filter("document_id % 3 = 0"))
+    return spark.createDataFrame([(report.documents_loaded, report.indexed, report.persisted)], "documents_loaded long, indexed long, persisted long")
+
+
+@query("SELECT count(*) AS jobs, sum(n)::BIGINT AS documents FROM (SELECT count(*) AS n FROM pages GROUP BY page_id // 7)")
+def crawl_jobs(spark, sf):
+    """A report on crawls of seven pages each."""
+    jobs = table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / 7).alias("job_id")).agg(F.count("*").alias("pages_crawled"))
+    return crawl.jobs_report(jobs)
+
+
+@query(f"WITH {_DOCS}, q AS (SELECT document_id AS query_id FROM docs WHERE document_id % 50 = 0) SELECT query_id, count(*) FILTER (trim(content) <> '') AS enriched, 56::INTEGER AS words FROM q JOIN docs ON document_id % 50 = query_id % 7 GROUP BY query_id")
+def enriched_counts(spark, sf):
+    """A10: of hits dealt to queries by their ids, those whose document gives a wider snippet."""
+    d = docs_of(spark, sf)
+    q = d.filter("document_id % 50 = 0").select(F.col("document_id").alias("query_id"), (F.col("document_id") % 7).alias("k"))
+    hits = d.select("document_id", (F.col("document_id") % 50).alias("k")).join(q, "k").select("query_id", "document_id")
+    return modes.enrich_stats(hits, d, 56)
