@@ -159,8 +159,10 @@ def enrich_snippets(hits: DataFrame, docs: DataFrame, queries: DataFrame, words:
 
 
 def enrich_stats(hits: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """query_id, enriched (hits whose document gives a snippet) and words, of what enrich_snippets does: any text that isn't blank gives one."""
-    rows = with_contents(hits, docs).withColumn("__has", T.strip(F.coalesce("__content", F.lit(""))) != "")
+    """query_id, enriched (hits whose document gives a snippet) and words, of what enrich_snippets does: any text that isn't blank gives one.
+    Only that flag of a document is joined, not its content."""
+    has = docs.select("document_id", (T.strip(F.coalesce("content", F.lit(""))) != "").alias("__has"))
+    rows = hits.join(has, "document_id", "left")
     return rows.groupBy("query_id").agg(F.count_if("__has").alias("enriched")).withColumn("words", F.lit(words))
 
 
