@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 MODES, SESSION_DAYS = ("web", "ai", "research", "code", "live"), 30
 
 
-def record(events: DataFrame) -> DataFrame:
+def record(events: DataFrame, *arrival: str) -> DataFrame:
     """events (id, owner, query, mode, created_at) as they are kept: the first of each id, with conflict: whether another event of the id
-    says something else."""
+    says something else, and n: how many events have the id. Events of one time are in the order of the columns arrival, if there are any, then
+    of owner, query and mode."""
     said = F.count_distinct(F.struct("owner", "query", "mode"))
-    first = events.groupBy("id").agg(F.min(F.struct("created_at", "owner", "query", "mode")).alias("e"), (said > 1).alias("conflict"))
-    return first.select("id", "e.owner", "e.query", "e.mode", "e.created_at", "conflict")
+    first = F.min(F.struct("created_at", *(F.col(c).alias(f"at{i}") for i, c in enumerate(arrival)), "owner", "query", "mode"))
+    rows = events.groupBy("id").agg(first.alias("e"), (said > 1).alias("conflict"), F.count("*").alias("n"))
+    return rows.select("id", "e.owner", "e.query", "e.mode", "e.created_at", "conflict", "n")
 
 
 def page(history: DataFrame, owner, limit: int, offset: int = 0, mode: str | None = None, contains: str | None = None) -> DataFrame:
