@@ -6,8 +6,9 @@ differs from it by no more than the anchor's length times the stored length (Cau
 anchor's worst kept score, or whose lower bound lies above its window, are left out on that proof alone; the rest are scored in whole
 numbers, which complete each window. So results are exact, whatever the centres are.
 
-Anchors go in blocks against parts of the index, as rows of an equi-join over (block, lot): blocks are repeated for each lot of parts, parts for each
-block. A task keeps k rows for each anchor and window that it sees, and sends those on.
+Anchors go in blocks against parts of the index, dealt by (block, lot): blocks are repeated for each lot of parts, parts for each block. A task
+gets a block once, before the parts that meet it, and keeps k rows for each anchor and window that it sees, which it sends on. Nothing of
+this is broadcast, as a size check takes repeated rows for single ones.
 """
 
 from __future__ import annotations
@@ -104,6 +105,18 @@ def _bytes(rows: np.ndarray) -> bytes:
     return np.ascontiguousarray(rows).tobytes()
 
 
+def _narrow(rows: np.ndarray) -> bytes:
+    """Whole numbers packed in two, four or eight bytes each, as they need."""
+    most = int(np.abs(rows).max()) if rows.size else 0
+    return _bytes(rows.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64))
+
+
+def _wide(packed: bytes, n: int, dims: int) -> np.ndarray:
+    """n rows of whole numbers out of _narrow()."""
+    width = len(packed) // max(1, n * dims)
+    return np.frombuffer(packed, {2: np.int16, 4: np.int32}.get(width, np.int64)).reshape(-1, dims).astype(np.int64)
+
+
 def build_index(rows: DataFrame, scale: float = 256.0) -> Index:
     """Every row of whole_rows() with its codes, in stored parts of PART_ROWS rows at most. Centres are fitted on a bounded sample."""
     spark = rows.sparkSession
@@ -122,8 +135,8 @@ def build_index(rows: DataFrame, scale: float = 256.0) -> Index:
                 piece = b.slice(at, PART_ROWS)
                 whole = whole_numbers(piece.column("v"), dims, scale)
                 codes, left = quantised(whole, own)
-                cells = [piece.column("id").to_numpy(), piece.column("label").to_numpy(), whole, codes, left]
-                yield pa.RecordBatch.from_arrays([pa.array([_bytes(x)], pa.binary()) for x in cells], ["ids", "labels", "whole", "codes", "left"])
+                cells = [*(_bytes(piece.column(c).to_numpy()) for c in ("id", "label")), _narrow(whole), _bytes(codes), _bytes(left)]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in cells], ["ids", "labels", "whole", "codes", "left"])
 
     parts = rows.select("id", "label", "v").mapInArrow(pack, "ids binary, labels binary, whole binary, codes binary, left binary")
     parts = stored(parts.withColumn("part", F.monotonically_increasing_id()), "pq-index")
@@ -162,7 +175,7 @@ class _Block:
 
     def __init__(self, ids: bytes, labels: bytes, whole: bytes, windows: bytes | None, dims: int, centres: np.ndarray, k: int) -> None:
         self.ids, self.labels = np.frombuffer(ids, np.int64), np.frombuffer(labels, np.int64)
-        self.whole = np.frombuffer(whole, np.int64).reshape(-1, dims)
+        self.whole = _wide(whole, len(self.ids), dims)
         self.length = np.sqrt((self.whole.astype(np.float64) ** 2).sum(1)) * (1 + 1e-9)
         self.centres = centres
         self.low = self.high = None
@@ -228,8 +241,7 @@ def _blocks_of(anchors: DataFrame, dims: int, scale: float, with_windows: bool)
             width = max(map(len, sides[0]))
             # a window that isn't there takes nothing: its low end is above its high one
             windows = np.stack([np.array([[*x, *[fill] * (width - len(x))] for x in side], np.int64).reshape(-1, width) for side, fill in zip(sides, (0, -1), strict=True)])
-        cells = [table.column("id").to_numpy(), table.column("label").to_numpy(), whole_numbers(table.column("v").combine_chunks(), dims, scale)]
-        cells = [_bytes(x) for x in cells] + [None if windows is None else _bytes(windows)]
+        cells = [*(_bytes(table.column(c).to_numpy()) for c in ("id", "label")), _narrow(whole_numbers(table.column("v").combine_chunks(), dims, scale)), None if windows is None else _bytes(windows)]
         return pa.Table.from_arrays([pa.array([table.column("block")[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in cells)], ["block", "ids", "labels", "whole", "windows"])
 
     blocks = anchors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy("block").applyInArrow(pack, "block int, ids binary, labels binary, whole binary, windows binary")
@@ -241,21 +253,26 @@ def _search(index: Index, blocks: DataFrame, n_blocks: int, k: int, same_label:
     spark = index.parts.sparkSession
     bound_batches(spark)
     lots = max(1, min(index.n_parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    none = F.lit(None).cast("binary")
     parts = index.parts.withColumn("lot", F.pmod(F.xxhash64("part"), F.lit(lots)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    anchors = blocks.select("block", *(F.col(c).alias(f"a_{c}") for c in ("ids", "labels", "whole", "windows"))).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    parts = parts.select("block", "lot", F.lit(1).alias("kind"), "ids", "labels", "whole", "codes", "left", none.alias("windows"))
+    anchors = blocks.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    anchors = anchors.select("block", "lot", F.lit(0).alias("kind"), "ids", "labels", "whole", none.alias("codes"), none.alias("left"), "windows")
     shared, dims = spark.sparkContext.broadcast(index.centres), index.dims
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, _Block] = {}
         for b in batches:
             for row in b.to_pylist():
-                own = held.get(row["block"])
-                if own is None:
-                    yield from sent(held)
-                    own = held[row["block"]] = _Block(row["a_ids"], row["a_labels"], row["a_whole"], row["a_windows"], dims, shared.value, k)
-                part = {c: np.frombuffer(row[c], t) for c, t in (("ids", np.int64), ("labels", np.int64), ("whole", np.int64), ("codes", np.uint8), ("left", np.float64))}
-                part |= {"whole": part["whole"].reshape(-1, dims), "codes": part["codes"].reshape(-1, dims // PIECE)}
-                own.take(part, same_label)
+                if row["kind"] == 0:
+                    # a block comes once for each of its lots here
+                    if row["block"] not in held:
+                        yield from sent(held)
+                        held[row["block"]] = _Block(row["ids"], row["labels"], row["whole"], row["windows"], dims, shared.value, k)
+                elif row["block"] in held:
+                    part = {c: np.frombuffer(row[c], t) for c, t in (("ids", np.int64), ("labels", np.int64), ("codes", np.uint8), ("left", np.float64))}
+                    part |= {"whole": _wide(row["whole"], len(part["ids"]), dims), "codes": part["codes"].reshape(-1, dims // PIECE)}
+                    held[row["block"]].take(part, same_label)
         yield from sent(held)
 
     def sent(held: dict[int, _Block]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +282,8 @@ def _search(index: Index, blocks: DataFrame, n_blocks: int, k: int, same_label:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], ["anchor", "w", "id", "score"])
         held.clear()
 
-    joined = parts.join(anchors, ["block", "lot"]).sortWithinPartitions("block")
-    found = joined.select("block", "ids", "labels", "whole", "codes", "left", *(f"a_{c}" for c in ("ids", "labels", "whole", "windows"))).mapInArrow(run, "anchor long, w int, id long, score long")
+    dealt = anchors.unionByName(parts).repartition("block", "lot").sortWithinPartitions("block", "kind")
+    found = dealt.mapInArrow(run, "anchor long, w int, id long, score long")
     best = W.partitionBy("anchor", "w").orderBy(F.col("score").desc(), "id")
     return found.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k)
 

@@ -189,6 +189,18 @@ def test_hard_negatives(spark, monkeypatch):
     assert got == brute_negatives(rows, 10) and len(got) > 300
 
 
+def test_hard_negatives_broadcast_no_blocks(spark):
+    # anchors that are small before they are repeated for every lot
+    rows = spark.range(300).selectExpr("id AS vec_id", "id % 3 AS label", "array(float(id % 7), float(id % 5)) AS embedding")
+    index = hard_negatives.build_index(hard_negatives.whole_rows(rows, F.col("label"), "vec_id"))
+    blocks, n = hard_negatives._blocks_of(hard_negatives.whole_rows(rows, F.col("label")).filter("id % 100 = 0"), index.dims, 256.0, False)
+    found = hard_negatives._search(index, blocks, n, 5, True)
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    wide = np.array([[1 << 40, -3], [5, 1 << 20]])
+    assert all((hard_negatives._wide(hard_negatives._narrow(x), 2, 2) == x).all() for x in (wide, wide[1:].repeat(2, 0), wide % 100))
+
+
 def test_hard_negatives_of_few_rows(spark):
     assert negatives(spark, [], 1) == []
     same = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [-1.0, 0.0], 2)]
