@@ -12,11 +12,12 @@ from ..config import DEFAULT
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
-from ..sources.tables import stored
+from ..sources.tables import bound_batches, stored
 
 
 def extracted(pages: DataFrame, chars: int = DEFAULT.crawl_chars) -> DataFrame:
     """pages (url, html) with title, text, content_hash (of the text as extracted), chunks, links and published."""
+    bound_batches(pages.sparkSession)
     rows = pages.withColumn("x", H.extract(F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))))
     rows = rows.select(*pages.columns, "x.title", F.substring("x.text", 1, chars).alias("text"), "x.links", F.to_date("x.published").alias("published"))
     return rows.withColumns({"content_hash": F.sha2("text", 256), "chunks": T.chunks(F.col("text"), DEFAULT.chunk_chars)})

@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 from ..config import DEFAULT
 from ..functions import text as T
 from ..functions import urls as U
+from ..sources.tables import bound_batches
 
 NOT_ENOUGH = "The indexed sources don't hold enough relevant information."
 RULES = "Answer only from the SOURCES. Cite them as [1], [2] after each statement. If they don't answer the question, say so. Name no other sources."
@@ -154,6 +155,7 @@ def prepare_sources(results: DataFrame, most: int = DEFAULT.rag_passages, chars:
 
     Both cuts follow from running sums: of what each source would take, and of the lengths of their JSON.
     """
+    bound_batches(results.sparkSession)
     by_rank = W.partitionBy("query_id").orderBy("rank")
     so_far = by_rank.rowsBetween(W.unboundedPreceding, 0)
     url = F.coalesce("url", F.lit(""))

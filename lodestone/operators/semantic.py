@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import text as T
+from ..sources.tables import bound_batches
 from .lexical import top_k
 
 
@@ -32,6 +33,7 @@ def hash_encode(text: str, dim: int) -> np.ndarray:
 def encode(rows: DataFrame, text_col: str, out_col: str = "embedding", dim: int = 64, encoder=hash_encode) -> DataFrame:
     """rows with out_col: the encoder's vectors of length one. encoder(text, dim) is called in batches on the executors; any model that
     pickles can stand there."""
+    bound_batches(rows.sparkSession)
 
     @F.pandas_udf(ArrayType(FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

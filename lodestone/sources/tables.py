@@ -9,6 +9,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows and bytes that a Python worker gets at once at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker gets at once, as texts and pages may be long: the default of 10,000 rows is some hundred MB of them. These are
+    settings of the session, which Spark reads when it plans an action; they only bound the size of batches, never what comes out."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def _new_path(spark: SparkSession, name: str):
     """A path in spark.checkpoint.dir that isn't there yet, as text, as Hadoop's, and its file system. Where that setting is unset, a local session (as in
     tests) gets a temporary folder, and a cluster an error, as its executors don't share the driver's folders."""

@@ -96,3 +96,14 @@ def test_recorded_answers(spark):
     rows = [(1, f"{A}/", 200, "text/html", "b"), (2, f"{A}/", 200, "image/png", "b"), (3, f"{A}/", 500, "text/html", "b"), (4, None, 200, "text/html", "b"), (5, f"{A}/", None, None, None), (6, f"{A}/", 302, None, None), (7, f"{A}/", 200, None, "é" * 5)]
     got = web.gate_recorded(spark.createDataFrame(rows, "n int, url string, status int, content_type string, body string"), web.FetchSettings(max_bytes=9)).orderBy("n").collect()
     assert [(r.n, r.status, r.error_code, r.n_bytes) for r in got] == [(1, 200, None, 1), (2, 0, "non_html_content", 0), (3, 500, None, 0), (4, 0, "invalid_url", 0), (5, 0, "connection_error", 0), (6, 0, "too_many_redirects", 0), (7, 0, "content_too_large", 0)]
+
+
+def test_python_gets_bounded_batches(spark):
+    from lodestone.operators import crawl, rag, semantic
+    from lodestone.sources import tables
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    page = spark.createDataFrame([("http://a.example/", "<p>x</p>", 1, 1, "t", "c")], "url string, html string, query_id long, rank long, title string, content string")
+    for make in (lambda: crawl.extracted(page.select("url", "html")), lambda: semantic.encode(page, "html"), lambda: rag.prepare_sources(page.drop("html"))):
+        spark.conf.unset(name)
+        assert make().count() == 1 and int(spark.conf.get(name)) == tables.BATCH_ROWS
