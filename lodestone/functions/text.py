@@ -97,8 +97,13 @@ def leading(c: Column, n: int = 26) -> Column:
     return F.slice(words(c), 1, max(0, n))
 
 
+#: The characters of SPACE.
+SPACES = "".join(chr(x) for x in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    """Without white space at both ends. A trim looks at the ends alone, where a pattern is tried at every place of a text."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapsed(c: Column) -> Column:

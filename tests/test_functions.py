@@ -184,3 +184,11 @@ def test_html():
     assert blocks[2]["items"] == ["First", "Second"] and blocks[3]["src"] == "https://h.example/i.png" and blocks[1]["text"] == "First bold"
     assert H.title_text(H.parse("<h1>only</h1>"), "") == "only" and H.title_text(H.parse(""), "https://H.example/x") == "h.example"
     assert H.main_text(H.parse("")) == "" and H.reader_blocks("", "") == []
+
+
+def test_strip_takes_the_class_of_spaces(spark):
+    every = [chr(x) for x in range(0x3100) if re.match(T.SPACE.replace(r"\s", r" \t\n\x0b\f\r"), chr(x))]
+    assert sorted(every) == sorted(T.SPACES)
+    rows = [(T.SPACES + "a" + T.SPACES + "b" + T.SPACES,), (T.SPACES,), ("",), ("\u200b x",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x string").select(T.strip(F.col("x"))).collect()]
+    assert got == ["a" + T.SPACES + "b", "", "", "\u200b x", None]

@@ -284,3 +284,21 @@ def test_diversify_stats(spark):
     assert tuple(modes.diversify_stats(hits, 2).first()) == (1, 8, 4, 2, 2, 3)
     assert tuple(modes.diversify_stats(hits, 0).first())[1:5] == (8, 5, 3, 0)
     assert tuple(modes.documentation_stats(hits).first()) == (1, 2, 6, 2)
+
+
+def test_ranking_keeps_k_a_query(spark, monkeypatch):
+    """Pages in lots, passes and with ties are those of scoring every posting, and no pair of query and document is shuffled."""
+    from lodestone.operators import lexical
+
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} all{'' if i % 4 else ' w1 odd'}") for i in range(200)], "document_id long, content string")
+    asked = spark.createDataFrame([(1, "w1 w2 all"), (2, "odd odd"), (3, "nowhere"), (4, ""), (5, "w5"), (6, "all")], "query_id int, query string")
+    index = lexical.build_index(docs)
+    monkeypatch.setattr(lexical, "QUERIES_AT_ONCE", 2)
+    monkeypatch.setattr(lexical, "DOCS_AT_ONCE", 9)
+    every = lexical.scores(asked, index)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+    assert same(lexical.ranked(asked, index, 5), lexical.top_k(every, 5))
+    pairs = asked.filter("query <> ''").select("query_id").crossJoin(docs.select("document_id")).join(every, ["query_id", "document_id"], "left").na.fill(0.0, ["score"])
+    page = lexical.ranked(asked, index, 60, pad=True)
+    assert same(page, lexical.top_k(pairs, 60))
+    assert "postings" not in "".join(page.inputFiles()) and "Join" not in page._jdf.queryExecution().optimizedPlan().toString()
