@@ -29,25 +29,28 @@ def fold_text(text: str) -> str:
 
 #: No character from here on decomposes, folds or combines.
 LAST_FOLDED = 0x30000
+#: Hangul syllables, which are most of the characters that become several: their letters follow from their numbers.
+HANGUL, HANGUL_CLASS = range(0xAC00, 0xD7A4), r"\x{ac00}-\x{d7a3}"
+INITIALS, VOWELS, FINALS = ("".join(map(chr, x)) for x in (range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A8, 0x11C3)))
 
 
 @cache
 def _tables() -> tuple[str, str, list[tuple[str, str]], str]:
     """fold_text works character by character, as the marks that it could reorder all vanish. For translate(): characters and what single
-    one each becomes, those that vanish last; for characters that become several, the same for the first of these, the second and
-    so on; and a class of all of the latter."""
+    one each becomes, those that vanish last; for characters that become several (but Hangul), the same for the first of these, for the second of those that
+    have one and so on; and a class of all of the latter. These stand in every plan that folds, and the driver keeps plans as text, so they are kept short."""
     single, gone, several = [], [], []
     for code in (*range(0xD800), *range(0xE000, LAST_FOLDED)):
         c = chr(code)
         to = c if code < 0x41 else fold_text(c)
-        if to == c:
+        if to == c or code in HANGUL:
             continue
         (single if len(to) == 1 else several if to else gone).append((c, to))
     longest = max(len(to) for _, to in several)
     by_place = []
     for k in range(longest):
-        there, ended = [(c, to[k]) for c, to in several if len(to) > k], [c for c, to in several if len(to) <= k]
-        by_place.append(("".join(c for c, _ in there) + "".join(ended), "".join(t for _, t in there)))
+        there = [(c, to[k]) for c, to in several if len(to) > k]
+        by_place.append(("".join(c for c, _ in there), "".join(t for _, t in there)))
     runs, codes = [], [ord(c) for c, _ in several]
     for code in codes:
         if runs and runs[-1][1] == code - 1:
@@ -57,6 +60,13 @@ def _tables() -> tuple[str, str, list[tuple[str, str]], str]:
     return "".join(c for c, _ in single) + "".join(c for c, _ in gone), "".join(t for _, t in single), by_place, "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in runs)
 
 
+def _letters(x: Column) -> Column:
+    """A Hangul syllable's letters: an initial, a vowel and perhaps a final."""
+    n = F.ascii(x) - HANGUL.start
+    at = lambda letters, i: F.substring(F.lit(letters), i.cast("int"), F.lit(1))
+    return F.concat(at(INITIALS, F.floor(n / 588) + 1), at(VOWELS, F.floor(n % 588 / 28) + 1), F.when(n % 28 > 0, at(FINALS, n % 28)).otherwise(""))
+
+
 def fold(c: Column) -> Column:
     """fold_text in JVM code: lower() for ASCII texts, else one translate(); a text that holds a character that becomes several is taken
     character by character first."""
@@ -66,9 +76,10 @@ def fold(c: Column) -> Column:
     whole, longer = c, by_place[0][0]
     for x in "ß…":
         c = F.replace(c, F.lit(x), F.lit(fold_text(x)))
-    has_any = F.length(F.translate(c, longer, "")) < F.length(c)
-    spelled = lambda x: F.when(x.rlike(f"[{several}]"), F.concat(*[F.translate(x, a, b) for a, b in by_place])).otherwise(x)
-    spread = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(f"[{several}]|[^{several}]+"), F.lit(0)), spelled), "")
+    has_any = (F.length(F.translate(c, longer, "")) < F.length(c)) | c.rlike(f"[{HANGUL_CLASS}]")
+    placed = lambda x, a, b: F.when(F.contains(F.lit(a), x), F.translate(x, a, b)).otherwise("")
+    spelled = lambda x: F.when(x.rlike(rf"\A[{HANGUL_CLASS}]"), _letters(x)).when(F.contains(F.lit(longer), x), F.concat(*[placed(x, a, b) for a, b in by_place])).otherwise(x)
+    spread = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(f"[{several}{HANGUL_CLASS}]|[^{several}{HANGUL_CLASS}]+"), F.lit(0)), spelled), "")
     return F.when(whole.rlike(r"\A[\x00-\x7f]*\z"), F.lower(whole)).otherwise(F.translate(F.when(has_any, spread).otherwise(c), before, after))
 
 

@@ -192,3 +192,8 @@ def test_strip_takes_the_class_of_spaces(spark):
     rows = [(T.SPACES + "a" + T.SPACES + "b" + T.SPACES,), (T.SPACES,), ("",), ("\u200b x",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "x string").select(T.strip(F.col("x"))).collect()]
     assert got == ["a" + T.SPACES + "b", "", "", "\u200b x", None]
+
+
+def test_a_fold_is_short_in_a_plan(spark):
+    folded = spark.createDataFrame([("x",)], "x string").select(T.fold(F.col("x")).alias("f"))
+    assert len(folded._jdf.queryExecution().executedPlan().toString()) < 60_000
