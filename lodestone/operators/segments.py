@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
-from .lexical import LexicalIndex, corpus_totals, postings_of, with_idf
+from ..sources.tables import stored
+from .lexical import LexicalIndex, corpus_totals, counted, inlined, with_idf
 from .lifecycle import IndexStore
 
 POSTINGS = "term string, document_id {id}, tf long, dl long"
@@ -72,12 +73,11 @@ class SegmentStore:
         return LexicalIndex(postings, doc_stats, with_idf(df, stats, self.config), stats, self.config)
 
     def _write(self, name: str, postings: DataFrame, documents: DataFrame) -> None:
-        """A segment of postings (term, document_id, tf, dl) and documents (document_id, content_hash)."""
+        """A segment of postings (term, document_id, tf, dl) and documents (document_id, content_hash, dl), both read from stored rows."""
         place = f"{self.folder}/{name}"
         postings.repartitionByRange("term").sortWithinPartitions("term", "document_id").write.parquet(f"{place}/postings")
+        documents.select("document_id", "content_hash", "dl").write.parquet(f"{place}/documents")
         made = self.spark.read.schema(postings.schema).parquet(f"{place}/postings")
-        lengths = made.groupBy("document_id").agg(F.max("dl").alias("dl"))
-        documents.join(lengths, "document_id", "left").select("document_id", "content_hash", F.coalesce("dl", F.lit(0)).cast("long").alias("dl")).write.parquet(f"{place}/documents")
         made.groupBy("term").agg(F.count("*").alias("df")).select(F.lit(name).alias("segment"), "term", "df").write.parquet(f"{place}/frequencies")
 
     def _bury(self, name: str, found: dict, gone: DataFrame) -> None:
@@ -119,7 +119,9 @@ class SegmentStore:
         segments, tombstones = list(found["segments"]), list(found["tombstones"])
         if counts["new"] + counts["modified"]:
             fresh = docs.join(changed.filter("change <> 'deleted'").select("document_id"), "document_id", "left_semi")
-            self._write(f"s-{name}", postings_of(fresh), fresh.select("document_id", "content_hash"))
+            # stored, as dealing postings by ranges reads them twice
+            by_document = stored(counted(fresh, "content_hash"), "by-document")
+            self._write(f"s-{name}", inlined(by_document), by_document)
             segments.append(f"s-{name}")
         if counts["modified"] + counts["deleted"]:
             self._bury(f"t-{name}", found, changed.filter("segment IS NOT NULL AND change <> 'new'"))
@@ -136,7 +138,7 @@ class SegmentStore:
         sizes = {r.segment: r.n for r in self._read("documents", found["segments"], f"document_id {found['id_type']}, content_hash string, dl long").groupBy("segment").agg(F.count("*").alias("n")).collect()}
         small = sorted(found["segments"], key=lambda s: sizes.get(s, 0))[: len(found["segments"]) - most + 1]
         name = f"s-{uuid.uuid4().hex}"
-        documents = self._live(found, "documents", "document_id {id}, content_hash string, dl long", small).select("document_id", "content_hash")
+        documents = self._live(found, "documents", "document_id {id}, content_hash string, dl long", small)
         self._write(name, self._live(found, "postings", POSTINGS, small).select("term", "document_id", "tf", "dl"), documents)
         segments = [s for s in found["segments"] if s not in small] + [name]
         used = {r.segment for r in self._gone(found).select("segment").distinct().collect()} & set(segments) if found["tombstones"] else set()

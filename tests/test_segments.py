@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
 from lodestone.operators import lexical
 from lodestone.operators.segments import SegmentStore
 from lodestone.streaming import streams
@@ -81,3 +82,13 @@ def test_streams_add_to_what_is_there(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out/documents"))
     assert sorted(r.content for r in out.collect()) == sorted(["w0 again 0", "w1 run0", "w2 run0", "w0 again 1", "w0 run1", "w1 run1", "w2 run1"])
     same_as_rebuilt(spark, store, everything)
+
+
+def test_a_text_is_read_into_tokens_once(spark):
+    """The filter that Spark puts before reading postings out of rows was pushed down and made the tokens anew for every token of a text."""
+    docs = spark.createDataFrame([(1, "b a b the", "x"), (2, None, "y"), (3, "Ünder a", "z")], "document_id long, content string, content_hash string")
+    postings = lexical.postings_of(docs.filter("document_id > 0"))
+    times = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    assert times(postings) == times(docs.filter("document_id > 0").select(T.tokens(F.col("content")).alias("t")))
+    assert sorted(postings.collect()) == [("b", 1, 2, 2), ("under", 3, 1, 1)]
+    assert [(r.document_id, r.dl, r.content_hash, [tuple(x) for x in r.p]) for r in lexical.counted(docs, "content_hash").orderBy("document_id").collect()] == [(1, 2, "x", [("b", 2)]), (2, 0, "y", []), (3, 1, "z", [("under", 1)])]
