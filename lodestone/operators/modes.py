@@ -147,13 +147,16 @@ def truncate(hits: DataFrame, limit: int) -> DataFrame:
 
 
 def with_contents(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    return hits.join(docs.select("document_id", F.col("content").alias("__content")), "document_id", "left")
+    """hits, which should be stored, with __content. Only contents of their documents are joined."""
+    found = docs.join(hits.select("document_id").distinct(), "document_id", "left_semi")
+    return hits.join(found.select("document_id", F.col("content").alias("__content")), "document_id", "left")
 
 
 def enrich_snippets(hits: DataFrame, docs: DataFrame, queries: DataFrame, words: int) -> DataFrame:
     """Wider snippets from the documents; where that gives none, the old one stays."""
     hits = stored(hits, "hits")
-    rows = with_lines(hits, docs).join(asked_terms(queries), "query_id")
+    asked = stored(hits.select("query_id", "document_id", "rank").join(asked_terms(queries), "query_id"), "hits-terms")
+    rows = with_lines(asked, docs)
     rows = T.with_snippet(rows, "lines", "terms", words, "wide").select("query_id", "document_id", "rank", F.nullif("wide", F.lit("")).alias("wide"))
     return hits.join(rows, ["query_id", "document_id", "rank"], "left").withColumn("snippet", F.coalesce("wide", "snippet")).drop("wide")
 
@@ -173,7 +176,8 @@ def code_stats(hits: DataFrame) -> DataFrame:
 
 def attach_code(hits: DataFrame, docs: DataFrame, queries: DataFrame, budget: int = DEFAULT.code_chars) -> DataFrame:
     """code_snippet: an excerpt of code from the document, null without one."""
-    rows = with_contents(hits, docs).join(asked_terms(queries).withColumnRenamed("terms", "__terms"), "query_id")
+    asked = stored(hits.join(asked_terms(queries).withColumnRenamed("terms", "__terms"), "query_id"), "hits-terms")
+    rows = with_contents(asked, docs)
     code = T.code_excerpt(F.coalesce("__content", F.lit("")), F.col("__terms"), budget)
     return rows.withColumn("code_snippet", F.nullif(code, F.lit(""))).drop("__content", "__terms")
 

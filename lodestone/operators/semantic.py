@@ -16,8 +16,8 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import text as T
-from ..sources.tables import bound_batches
-from .lexical import top_k
+from ..sources.tables import bound_batches, stored
+from .lexical import in_tasks, top_k
 
 
 def hash_encode(text: str, dim: int) -> np.ndarray:
@@ -107,7 +107,7 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, k: int, config: Engine
                 width = best.s.shape[1]
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(len(names)), width))), pa.array(best.d.reshape(-1).tolist(), kind), pa.array(best.s.reshape(-1))], ["query_id", "document_id", "score"])
 
-        return vectors.select("document_id", "embedding").filter("embedding IS NOT NULL AND document_id IS NOT NULL").mapInArrow(run, f"query_id {ids}, document_id {doc_ids}, score double")
+        return in_tasks(vectors.select("document_id", "embedding").filter("embedding IS NOT NULL AND document_id IS NOT NULL")).mapInArrow(run, f"query_id {ids}, document_id {doc_ids}, score double")
 
     for row in queries.select("query_id", "embedding").filter("embedding IS NOT NULL").toLocalIterator():
         if block and (len(block) * len(block[0][1]) * 8 >= config.query_bytes or len(block[0][1]) != len(row[1])):
@@ -129,6 +129,9 @@ def ask(queries: DataFrame, dim: int = 64, encoder=hash_encode) -> DataFrame:
 
 def search(queries: DataFrame, vectors: DataFrame, docs: DataFrame, k: int, places: int = 4) -> DataFrame:
     """Full hits; semantic hits report no matched terms, and their snippet is the first tokens of the content."""
-    rows = vector_scores(queries, vectors, k).join(docs.select("document_id", "title", "source", "content"), "document_id")
+    hits = stored(vector_scores(queries, vectors, k), "ranked")
+    # the snippet is the same for all hits of a document, so it is made once and contents aren't joined
+    found = docs.join(hits.select("document_id").distinct(), "document_id", "left_semi")
+    rows = hits.join(found.select("document_id", "title", "source", F.array_join(T.leading(F.col("content")), " ").alias("snippet")), "document_id")
     none = F.array().cast("array<string>")
-    return rows.select("query_id", "rank", "document_id", "title", "source", F.array_join(T.leading(F.col("content")), " ").alias("snippet"), F.round("score", places).alias("score"), none.alias("matched_terms"))
+    return rows.select("query_id", "rank", "document_id", "title", "source", "snippet", F.round("score", places).alias("score"), none.alias("matched_terms"))

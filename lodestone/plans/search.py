@@ -30,6 +30,7 @@ def make_corpus(docs: DataFrame, vectors: DataFrame | None = None, config: Engin
 def hybrid_hits(queries: DataFrame, corpus: Corpus, limit: int, weights: tuple[float, float] | None = None) -> DataFrame:
     """queries: query_id, query, embedding. Lexical candidates are padded, as unmatched documents count in the scaling."""
     wide, near = hybrid.candidate_widths(limit, corpus.config)
+    queries = stored(queries.select("query_id", "query", "embedding"), "queries")
     weights = weights or (corpus.config.bm25_weight, corpus.config.semantic_weight)
     left = lexical.search(queries, corpus.docs, corpus.index, wide, pad=True, places=6)
     right = semantic.search(queries, corpus.vectors, corpus.docs, near, places=6)

@@ -302,3 +302,22 @@ def test_ranking_keeps_k_a_query(spark, monkeypatch):
     page = lexical.ranked(asked, index, 60, pad=True)
     assert same(page, lexical.top_k(pairs, 60))
     assert "postings" not in "".join(page.inputFiles()) and "Join" not in page._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_wide_rows_are_joined_last(spark, docs, index, monkeypatch):
+    """Lines of documents are not shuffled by query, contents are joined only for documents that are hit, and a task more is no k rows a query more."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        q = spark.createDataFrame([(1, "python", [1.0, 0.0]), (2, "models", [0.0, 1.0])], "query_id long, query string, embedding array<double>")
+        vectors = spark.createDataFrame([(1, [1.0, 0.0]), (4, [0.0, 1.0])], "document_id long, embedding array<double>")
+        found = lexical.search(q, docs, index, 2)
+        assert "hashpartitioning(query_id" not in plan(found) and found.count() == 4
+        near = semantic.search(q, vectors, docs, 1)
+        assert "LeftSemi" in plan(near) and {(r.query_id, r.document_id) for r in near.collect()} == {(1, 1), (2, 4)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    monkeypatch.setattr(lexical, "DOCS_AT_ONCE", 1)
+    many = lexical.build_index(docs.repartition(9))
+    assert lexical._pages(q, many, 2, True).rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
