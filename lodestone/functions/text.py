@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -103,6 +107,80 @@ def tokens(c: Column) -> Column:
     return F.filter(words(c), lambda t: ~t.isin(*STOP_WORDS))
 
 
+@cache
+def word_ranges(spark: SparkSession) -> str:
+    """The characters beyond ASCII that words() takes for letters or digits, as ranges of a Python pattern. The JVM's Unicode tells, as Python's may be another version."""
+    code = F.col("id")
+    beyond = spark.range(0x80, 0x40000, numPartitions=1).filter(~code.between(0xD800, 0xDFFF)).filter(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32").rlike(_WORD))
+    codes = np.array(beyond.agg(F.array_sort(F.collect_list(code))).first()[0])
+    edges = np.flatnonzero(np.diff(codes) > 1)
+    return "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in zip(codes[[0, *(edges + 1)]], codes[[*edges, -1]], strict=True))
+
+
+#: Bytes that may be part of a word before folding (ASCII letters and digits, and all of other characters), and bytes with A-Z lowered.
+_MAY_BE_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
+_LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def _flat(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of an array's values, and where each value starts and the last ends."""
+    at = np.frombuffer(a.buffers()[1], np.int32, len(a) + 1, a.offset * 4) if len(a) else np.zeros(1, np.int32)
+    raw = np.frombuffer(a.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    return raw, at - at[0]
+
+
+def _runs(raw: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Runs of bytes that inside holds for, none beyond a row's end (rows start at `at`): each one's row, and the runs with A-Z lowered."""
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edges = at[(at > 0) & (at < len(raw))]
+    first[edges], last[edges - 1] = inside[edges], inside[edges - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    cuts = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=cuts[1:])
+    return np.searchsorted(at, starts, "right") - 1, pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(_LOWERED[raw[inside]])])
+
+
+def numbered(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of a batch's arrays of tokens each token's row, its number, and the distinct words, sorted, that the numbers stand for."""
+    coded = tokens.flatten().dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    lengths = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(lengths)), lengths), place[coded.indices.to_numpy(zero_copy_only=False)], coded.dictionary.take(order)
+
+
+def numbered_tokens(texts: pa.Array, ranges: str) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """numbered() of the tokens() of a batch's texts. Folding goes character by character and never joins what an ASCII separator parts, so texts are cut at those, and only
+    distinct pieces beyond ASCII are folded and split, in one string. ranges: see word_ranges."""
+    raw, at = _flat(texts.cast(pa.binary()))
+    row, pieces = _runs(raw, at, _MAY_BE_WORD[raw])
+    pieces = pieces.dictionary_encode()
+    raw, at = _flat(pieces.dictionary)
+    plain = np.maximum.reduceat(raw, at[:-1]) < 0x80 if len(raw) else np.zeros(0, bool)
+    odd = np.flatnonzero(~plain)
+    folded = unicodedata.normalize("NFKD", b"\n".join(pieces.dictionary.take(pa.array(odd)).to_pylist()).decode("utf-8", "replace"))
+    for c in set(folded):
+        if unicodedata.combining(c):
+            folded = folded.replace(c, "")
+    split = np.frombuffer(re.sub(f"[^0-9a-z{ranges}\n]+", " ", folded.casefold()).encode(), np.uint8)
+    line, words = _runs(split, np.array([0, *(np.flatnonzero(split == 10) + 1), len(split)]), split > 32)
+    # the words of each piece, by its number
+    piece = np.concatenate((np.flatnonzero(plain), odd[line]))
+    words = pa.concat_arrays([pieces.dictionary.filter(pa.array(plain)), words]).cast(pa.string()).dictionary_encode()
+    kept = words.dictionary.filter(pc.invert(pc.is_in(words.dictionary, pa.array(STOP_WORDS))))
+    kept = kept.take(pc.array_sort_indices(kept))
+    number = pc.fill_null(pc.index_in(words.dictionary, kept), -1).to_numpy(zero_copy_only=False)[words.indices.to_numpy()]
+    piece, number = piece[number >= 0], number[number >= 0]
+    order, sizes = np.argsort(piece, kind="stable"), np.bincount(piece, minlength=len(plain))
+    which = pieces.indices.to_numpy()
+    n = sizes[which]
+    begins = (np.cumsum(sizes) - sizes)[which] - (np.cumsum(n) - n)
+    return np.repeat(row, n), number[order][np.repeat(begins, n) + np.arange(n.sum())].astype(np.int64), kept
+
+
 def leading(c: Column, n: int = 26) -> Column:
     """The first n tokens, stop words included."""
     return F.slice(words(c), 1, max(0, n))

@@ -1,6 +1,7 @@
 """A segmented index gives what an index built anew gives, and writes only what changed."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -92,3 +93,16 @@ def test_a_text_is_read_into_tokens_once(spark):
     assert times(postings) == times(docs.filter("document_id > 0").select(T.tokens(F.col("content")).alias("t")))
     assert sorted(postings.collect()) == [("b", 1, 2, 2), ("under", 3, 1, 1)]
     assert [(r.document_id, r.dl, r.content_hash, [tuple(x) for x in r.p]) for r in lexical.counted(docs, "content_hash").orderBy("document_id").collect()] == [(1, 2, "x", [("b", 2)]), (2, 0, "y", []), (3, 1, "z", [("under", 1)])]
+
+
+def test_tokens_of_batches(spark):
+    """Tokens that tasks find in batches of texts are those of built-in functions for all characters, and frequencies of terms are sums over batches, for which no posting is read."""
+    chars = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x32000), *range(0xE0000, 0xE0200))]
+    lots = ["".join(chars[i : i + 50]) for i in range(0, len(chars), 50)]
+    texts = [*lots, *("x" + "y ".join(t) for t in lots), "", None, "a A", "-", " The of b", "\u00e9", "e\u0301A", "\u2026x\u2026y", "\u00bd", "\u0130I", "\u03a3\u03c2", "b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "document_id long, content string").repartition(3)
+    index, rows = lexical.build_index(docs), sorted(map(tuple, lexical.postings_of(docs).collect()))
+    assert sorted(map(tuple, index.postings.collect())) == rows
+    df = Counter(term for term, *_ in rows)
+    assert {r.term: r.df for r in index.term_stats.collect()} == df
+    assert index.stats.first()["n"] == len({r[1] for r in rows}) and "regexp_extract_all" not in lexical.counted(docs)._jdf.queryExecution().optimizedPlan().toString()
