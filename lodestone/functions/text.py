@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -287,28 +287,28 @@ CODE_STARTS = (
 FENCE, INLINE = r"(?s)```[^\n`]*\n(.*?)```", r"`([^`\n]{2,160})`"
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, which is computed once. A column that a lambda function names is computed anew for every element else, and a text that is split for each of its
+    lines takes time with their square."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def code_excerpt(content: Column, terms: Column, budget: int = 600) -> Column:
     """The fenced block with the most query terms (of equals the shortest, then the first), else three lines from the code-like line
     with the most (then the first), else up to four inline spans, most terms first; cut to the budget. Empty without code."""
     budget = max(80, budget)
-    hits = lambda x: F.size(F.filter(F.array_distinct(terms), lambda t: (t != "") & F.contains(F.lower(x), t)))
-    best = lambda xs, *keys: F.array_sort(xs, lambda a, b: _compared(a, b, keys))
-    placed = lambda xs: F.transform(xs, lambda x, i: F.struct(x.alias("x"), i.alias("i"), hits(x).alias("h"), F.length(x).alias("n")))
-    blocks = F.filter(F.transform(F.regexp_extract_all(content, F.lit(FENCE), F.lit(1)), strip), lambda x: x != "")
-    block = F.try_element_at(best(placed(blocks), ("h", -1), ("n", 1), ("i", 1)), F.lit(1))["x"]
-    lines = F.split(content, LINE_END)
+    hits = lambda x: F.size(bound(F.lower(x), lambda low: F.filter(F.array_distinct(terms), lambda t: (t != "") & F.contains(low, t)))).alias("h")
+    if_any = lambda c: bound(strip(c), lambda x: F.when(x != "", x))
+    pieces = lambda pattern: F.filter(F.transform(F.regexp_extract_all(content, F.lit(pattern), F.lit(1)), strip), lambda x: x != "")
+    block = F.array_max(F.transform(pieces(FENCE), lambda x, i: F.struct(hits(x), (-F.length(x)).alias("n"), (-i).alias("i"), x.alias("x"))))["x"]
     starts = rf"(?i)^\s*(?:{'|'.join(CODE_STARTS)})\b"
-    windows = F.transform(lines, lambda x, i: F.struct(F.array_join(F.slice(lines, i + 1, F.lit(3)), "\n").alias("x"), i.alias("i"), x.rlike(starts).alias("code")))
-    coded = F.transform(F.filter(windows, lambda w: w["code"]), lambda w: F.struct(w["x"].alias("x"), w["i"].alias("i"), hits(F.replace(w["x"], F.lit("\n"), F.lit(" "))).alias("h")))
-    line = F.nullif(strip(F.try_element_at(best(coded, ("h", -1), ("i", 1)), F.lit(1))["x"]), F.lit(""))
-    spans = F.filter(F.transform(F.regexp_extract_all(content, F.lit(INLINE), F.lit(1)), strip), lambda x: x != "")
-    inline = F.array_join(F.transform(F.slice(best(placed(spans), ("h", -1), ("i", 1)), 1, 4), lambda s: s["x"]), " ")
-    return F.substring(F.coalesce(block, line, inline, F.lit("")), 1, budget)
-
-
-def _compared(a: Column, b: Column, keys: tuple[tuple[str, int], ...]) -> Column:
-    """Negative, zero or positive, by one field after the other; -1 is descending."""
-    out = F.lit(0)
-    for name, sign in reversed(keys):
-        out = F.when(a[name] < b[name], F.lit(-sign)).when(a[name] > b[name], F.lit(sign)).otherwise(out)
-    return out
+
+    def line(lines: Column) -> Column:
+        three = lambda i, between: F.array_join(F.slice(lines, i + 1, F.lit(3)), between)
+        coded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(starts), i)), lambda i: i.isNotNull())
+        best = F.array_max(F.transform(coded, lambda i: F.struct(hits(three(i, " ")), (-i).alias("i"))))
+        return bound(-best["i"], lambda i: if_any(three(i, "\n")))
+
+    spans = F.sort_array(F.transform(pieces(INLINE), lambda x, i: F.struct(hits(x), (-i).alias("i"), x.alias("x"))), asc=False)
+    inline = F.array_join(F.transform(F.slice(spans, 1, 4), lambda s: s["x"]), " ")
+    return F.substring(F.coalesce(block, bound(F.split(content, LINE_END), line), inline, F.lit("")), 1, budget)

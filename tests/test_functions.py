@@ -1,5 +1,6 @@
 """Text, URL and HTML functions against the cases that they must meet."""
 
+import random
 import re
 import unicodedata
 
@@ -83,6 +84,40 @@ def test_code_excerpts(spark):
     assert len(take("```\n" + "x" * 500 + "\n```", [], 10)) == 80
 
 
+def plain_excerpt(text, terms, budget):
+    """code_excerpt in plain Python."""
+    hits = lambda x: sum(t in x.lower() for t in set(terms) if t)
+    pieces = lambda pattern: [x for m in re.findall(pattern, text) if (x := m.strip())]
+    if blocks := pieces(T.FENCE):
+        return max(blocks, key=lambda x: (hits(x), -len(x)))[:budget]
+    lines = text.splitlines()
+    coded = [i for i, x in enumerate(lines) if re.match(rf"(?i)\s*(?:{'|'.join(T.CODE_STARTS)})\b", x)]
+    if coded:
+        at = max(coded, key=lambda i: (hits(" ".join(lines[i : i + 3])), -i))
+        if found := "\n".join(lines[at : at + 3]).strip():
+            return found[:budget]
+    return " ".join(sorted(pieces(T.INLINE), key=lambda x: -hits(x))[:4])[:budget]
+
+
+def test_code_excerpts_by_plain_python(spark):
+    r = random.Random(4)
+    parts = ["`", "```", "```sql\n", "\n```\n", "\n", "\r\n", "\x0b", "\u2028", "\x85", " ", "\t", "def ", "SELECT ", "Import", "#include <x>", "returned", "que", "Thin", "thin que", "émigré", "ab"]
+    texts = ["".join(r.choices(parts, weights=[r.choice((0, 1, 4)) for _ in parts[:-1]] + [1], k=r.randint(0, 60))) for _ in range(2000)]
+    terms = [r.sample(["que", "thin", "", "ab", "que"], r.randint(0, 5)) for _ in texts]
+    rows = spark.createDataFrame(list(enumerate(zip(texts, terms))), "i int, x struct<t: string, q: array<string>>")
+    got = rows.select("i", T.code_excerpt(F.col("x.t"), F.col("x.q"), 80).alias("got")).collect()
+    assert {x.i: x.got for x in got} == {i: plain_excerpt(t, q, 80) for i, (t, q) in enumerate(zip(texts, terms))}
+
+
+def test_code_excerpts_split_a_text_once(spark):
+    # not once for each of its lines, which took time with their square
+    text = "\n".join(["plain words"] * 5000 + ["return it"] + ["def f():", "  que", "end"] + ["import a"] * 5000)
+    rows = spark.createDataFrame([(text,)], "t string").select(T.code_excerpt(F.col("t"), F.array(F.lit("que"))).alias("x"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("regexp_extract_all(") == 2
+    assert rows.first().x == "return it\ndef f():\n  que"
+
+
 @pytest.mark.parametrize(
     ("url", "want"),
     [
